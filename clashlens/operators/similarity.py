@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clashlens.operators.sentences import term_rows, with_term_vector
+from clashlens.functions import text as tx
+from clashlens.operators.sentences import term_rows
 
 
 def cosine_from_counts(dot: Column, nsq_a: Column, nsq_b: Column) -> Column:
@@ -62,41 +63,69 @@ def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id"
             .withColumn("jac", jaccard_from_counts(F.col("shared"), F.col("nd_i"), F.col("nd_j"))))
 
 
+def _square_sum(sorted_toks: Column) -> Column:
+    """Sum of squared token counts of a sorted token array: a run of length r adds r^2 = 1 + 3 + ... + (2r-1)."""
+    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("run"),
+                    F.lit(0).cast("long").alias("acc"))
+    return F.aggregate(sorted_toks, init, lambda a, x: F.when(a["p"] == x, F.struct(
+        x.alias("p"), (a["run"] + 1).alias("run"), (a["acc"] + a["run"] * 2 + 1).alias("acc"))).otherwise(
+        F.struct(x.alias("p"), F.lit(1).cast("long").alias("run"), (a["acc"] + 1).alias("acc"))),
+        lambda a: a["acc"])
+
+
+def _merge_dot(sorted_a: Column, sorted_b: Column) -> Column:
+    """Dot product of the count vectors of two token arrays: one pass over their tagged, sorted union."""
+    tagged = F.array_sort(F.concat(F.transform(sorted_a, lambda x: F.struct(x.alias("t"), F.lit(0).alias("s"))),
+                                   F.transform(sorted_b, lambda x: F.struct(x.alias("t"), F.lit(1).alias("s")))))
+    z = F.lit(0).cast("long")
+    init = F.struct(F.lit(None).cast("string").alias("p"), z.alias("ca"), z.alias("cb"), z.alias("dot"))
+
+    def step(a, x):
+        is_a = F.when(x["s"] == 0, 1).otherwise(0).cast("long")
+        is_b = F.when(x["s"] == 1, 1).otherwise(0).cast("long")
+        same = F.struct(a["p"].alias("p"), (a["ca"] + is_a).alias("ca"), (a["cb"] + is_b).alias("cb"),
+                        a["dot"].alias("dot"))
+        new = F.struct(x["t"].alias("p"), is_a.alias("ca"), is_b.alias("cb"),
+                       (a["dot"] + a["ca"] * a["cb"]).alias("dot"))
+        return F.when(a["p"] == x["t"], same).otherwise(new)
+
+    return F.aggregate(tagged, init, step, lambda a: a["dot"] + a["ca"] * a["cb"])
+
+
 def aligned_features(pairs: DataFrame, s1: str = "sentence1", s2: str = "sentence2") -> DataFrame:
     """Adds cos, jac, neg (negation on exactly one side) for two sentences held in the same row.
 
-    The dot product is a merge of the two sorted term arrays inside the row (sort the concatenation;
-    a token present on both sides appears twice, adjacently), so aligned pairs need no join.
+    Built only from built-in array functions and self-contained ``aggregate`` folds (a lambda sees
+    its accumulator and element only), so the cost stays O(n log n) per row even when Catalyst
+    inlines these columns into a pushed-down filter. Aligned pairs need no join.
     """
-    df = with_term_vector(with_term_vector(pairs, s1, "_a_"), s2, "_b_")
-    df = df.withColumn("_both", F.array_sort(F.concat(F.col("_a_terms"), F.col("_b_terms"))))
-    both = F.col("_both")
-    n = F.size(both)
-    df = df.withColumn("_hits", F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-                                         lambda k: F.get(both, k)["token"] == F.get(both, k + 1)["token"]))
-    dot = F.aggregate(F.col("_hits"), F.lit(0).cast("long"),
-                      lambda acc, k: acc + F.get(both, k)["tf"] * F.get(both, k + 1)["tf"])
-    df = df.withColumn("_dot", dot).withColumn("_shared", F.size("_hits"))
-    return (df.withColumn("cos", cosine_from_counts(F.col("_dot"), F.col("_a_nsq"), F.col("_b_nsq")))
-            .withColumn("jac", jaccard_from_counts(F.col("_shared"), F.col("_a_nd"), F.col("_b_nd")))
-            .withColumn("neg", F.col("_a_neg") != F.col("_b_neg"))
-            .drop(*[f"_{x}_{c}" for x in "ab" for c in ("terms", "nsq", "nd", "neg")], "_both", "_hits", "_dot", "_shared"))
+    ta, tb = tx.tokens(F.col(s1)), tx.tokens(F.col(s2))
+    df = (pairs.withColumn("_ta", F.array_sort(ta)).withColumn("_tb", F.array_sort(tb)))
+    a, b = F.col("_ta"), F.col("_tb")
+    df = (df.withColumn("_dot", _merge_dot(a, b))
+            .withColumn("_nsq_a", _square_sum(a)).withColumn("_nsq_b", _square_sum(b))
+            .withColumn("_nd_a", F.size(F.array_distinct(a))).withColumn("_nd_b", F.size(F.array_distinct(b)))
+            .withColumn("_shared", F.size(F.array_intersect(a, b))))
+    return (df.withColumn("cos", cosine_from_counts(F.col("_dot"), F.col("_nsq_a"), F.col("_nsq_b")))
+            .withColumn("jac", jaccard_from_counts(F.col("_shared"), F.col("_nd_a"), F.col("_nd_b")))
+            .withColumn("neg", tx.has_negation(a) != tx.has_negation(b))
+            .drop("_ta", "_tb", "_dot", "_nsq_a", "_nsq_b", "_nd_a", "_nd_b", "_shared"))
 
 
 # ---------------------------------------------------------------------------------------------
 # dense vectors
 # ---------------------------------------------------------------------------------------------
 
-def l2_normalize(vec: Column) -> Column:
-    """Unit-length copy of a vector as ARRAY<DOUBLE>; the zero vector stays zero."""
-    d = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
+def with_l2_normalized(df: DataFrame, vec: str, out: str = "unit", norm: str = "norm") -> DataFrame:
+    """Adds ``norm`` (L2 norm, DOUBLE) and ``out``, the unit-length copy as ARRAY<DOUBLE> (E-2).
 
-
-def vector_norm(vec: Column) -> Column:
-    d = F.transform(vec, lambda x: x.cast("double"))
-    return F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
+    The zero vector stays zero. The norm is its own projection so the per-element division does not
+    re-evaluate it.
+    """
+    d = df.withColumn(out, F.transform(F.col(vec), lambda x: x.cast("double")))
+    d = d.withColumn(norm, F.sqrt(F.aggregate(F.col(out), F.lit(0.0), lambda acc, x: acc + x * x)))
+    nrm = F.col(norm)
+    return d.withColumn(out, F.when(nrm > 0, F.transform(F.col(out), lambda x: x / nrm)).otherwise(F.col(out)))
 
 
 def vector_dot(a: Column, b: Column) -> Column:

@@ -91,3 +91,110 @@ def q_doc_verdict(spark, sf_dir):
 @register("method_cost")
 def q_method_cost(spark, sf_dir):
     return reports.method_cost(_check(spark, sf_dir).stats())
+
+
+# ------------------------------------------------------------------------------------------------
+# aligned sentence pairs: each sentence of a document with the next one
+# ------------------------------------------------------------------------------------------------
+from clashlens.config import LABEL_ORDER, MAX_SEQ_LEN  # noqa: E402
+from clashlens.functions import text as tx  # noqa: E402
+from clashlens.functions.scores import softmax3  # noqa: E402
+from clashlens.operators.nli import _logit  # noqa: E402
+from clashlens.operators.similarity import aligned_features, dense_candidates, with_l2_normalized  # noqa: E402
+from clashlens.plans import pair_check  # noqa: E402
+from clashlens.sources import documents as srcdocs  # noqa: E402
+
+PAIR_KEYS = ("doc_id", "idx")
+
+
+def doc_pairs(spark, sf_dir):
+    return srcdocs.consecutive_sentence_pairs(_check(spark, sf_dir).arrays)
+
+
+@register("doc_source_valid")
+def q_doc_source_valid(spark, sf_dir):
+    return srcdocs.document_source(read_table(spark, sf_dir, "documents"))
+
+
+@register("pair_source_valid")
+def q_pair_source_valid(spark, sf_dir):
+    turns = srcdocs.consecutive_turn_pairs(read_table(spark, sf_dir, "conversations"))
+    return srcdocs.pair_source(turns, keys=("conv_id", "turn"))
+
+
+@register("assemble_docs")
+def q_assemble_docs(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return srcdocs.assemble_documents(conv, "conv_id", "turn", "text")
+
+
+@register("aligned_cosine")
+def q_aligned_cosine(spark, sf_dir):
+    return aligned_features(doc_pairs(spark, sf_dir)).select(*PAIR_KEYS, "cos")
+
+
+@register("pair_report")
+def q_pair_report(spark, sf_dir):
+    return pair_check.pair_report(doc_pairs(spark, sf_dir), PAIR_KEYS)
+
+
+@register("pair_argmax")
+def q_pair_argmax(spark, sf_dir):
+    a = pair_check.pair_argmax(doc_pairs(spark, sf_dir), PAIR_KEYS)
+    return a.select(*PAIR_KEYS, "label", "confidence", *[F.col(f"all_scores.{k}").alias(k) for k in LABEL_ORDER])
+
+
+@register("pair_verdict")
+def q_pair_verdict(spark, sf_dir):
+    return pair_check.pair_verdict(doc_pairs(spark, sf_dir), PAIR_KEYS)
+
+
+@register("expected_score")
+def q_expected_score(spark, sf_dir):
+    return pair_check.pair_expected_score(doc_pairs(spark, sf_dir), PAIR_KEYS)
+
+
+@register("softmax3")
+def q_softmax3(spark, sf_dir):
+    f = aligned_features(doc_pairs(spark, sf_dir))
+    w = DEFAULT.scorer_weights
+    z = [_logit(w[k], F.col("cos"), F.col("jac"), F.col("neg")) for k in LABEL_ORDER]
+    f = f.select(*PAIR_KEYS, *[zz.alias(f"z_{k}") for zz, k in zip(z, LABEL_ORDER)])
+    p = softmax3(*[F.col(f"z_{k}") for k in LABEL_ORDER])
+    return f.select(*PAIR_KEYS, *[round_half_up(F.col(f"z_{k}"), 6).alias(f"z_{k}") for k in LABEL_ORDER],
+                    *[round_half_up(pp, 4).alias(k) for pp, k in zip(p, LABEL_ORDER)])
+
+
+@register("pair_truncate")
+def q_pair_truncate(spark, sf_dir):
+    budget = MAX_SEQ_LEN - 3   # three special tokens of a pair encoding
+    p = (doc_pairs(spark, sf_dir).withColumn("_ta", tx.tokens(F.col("sentence1")))
+         .withColumn("_tb", tx.tokens(F.col("sentence2"))))
+    p = p.withColumn("len_a", F.size("_ta")).withColumn("len_b", F.size("_tb"))
+    ka, kb = tx.truncate_pair(F.col("len_a"), F.col("len_b"), budget)
+    p = p.withColumn("keep_a", ka).withColumn("keep_b", kb)
+    return p.select(*PAIR_KEYS, "len_a", "len_b", "keep_a", "keep_b",
+                    F.array_join(F.slice("_ta", F.lit(1), F.col("keep_a")), " ").alias("text_a"),
+                    F.array_join(F.slice("_tb", F.lit(1), F.col("keep_b")), " ").alias("text_b"))
+
+
+# ------------------------------------------------------------------------------------------------
+# dense vectors (embeddings table)
+# ------------------------------------------------------------------------------------------------
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    e = with_l2_normalized(read_table(spark, sf_dir, "embeddings"), "embedding")
+    e = e.withColumn("unit_norm", F.sqrt(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x)))
+    e = e.withColumn("unit_sum", F.aggregate("unit", F.lit(0.0), lambda a, x: a + x))
+    return e.select("vec_id", "label", round_half_up(F.col("norm"), 6).alias("norm_in"),
+                    round_half_up(F.col("unit_norm"), 6).alias("norm_out"),
+                    round_half_up(F.col("unit_sum"), 6).alias("unit_sum"))
+
+
+@register("candidate_pairs_dense")
+def q_candidate_pairs_dense(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    c = dense_candidates(e, DEFAULT.similarity_threshold, group="label", ident="vec_id", vector="embedding",
+                         block_rows=DEFAULT.dense_block_rows)
+    return c.select("label", "i", "j", round_half_up(F.col("cos"), 6).alias("cos"))

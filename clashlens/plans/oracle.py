@@ -7,8 +7,9 @@ Tables ``documents``, ``conversations``, ``embeddings``, ``labels`` ... are Duck
 
 from __future__ import annotations
 
-from clashlens.config import (CONTRADICTION_THRESHOLD, LABEL_ORDER, NEGATION_WORDS, SCORER_WEIGHTS,
-                              SIMILARITY_THRESHOLD)
+from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, FILTERED_REASON, LABEL_ORDER,
+                              MAX_SEQ_LEN, MISSING_PAIR_REASON, MISSING_TEXT_REASON, NEGATION_WORDS,
+                              SCORER_WEIGHTS, SIMILARITY_THRESHOLD)
 from clashlens.functions import text as tx
 
 
@@ -100,7 +101,20 @@ stats AS (SELECT a.doc_id, len(a.sents) AS total_sentences,
           FROM arr a LEFT JOIN cnt c ON a.doc_id = c.doc_id),
 stats2 AS (SELECT *, {r('(1.0 - filtered_pairs::DOUBLE / greatest(total_pairs, 1)::DOUBLE) * 100.0', 2)} AS filter_reduction_pct,
                   {r('1.0 - contradiction_count::DOUBLE / greatest(filtered_pairs, 1)::DOUBLE', 4)} AS consistency_score
-           FROM stats)"""
+           FROM stats),
+cp AS (SELECT doc_id, unnest(generate_series(0, len(sents) - 2)) AS idx, sents FROM arr),
+cpairs AS (SELECT doc_id, idx, sents[idx + 1] AS sentence1, sents[idx + 2] AS sentence2 FROM cp),
+adot AS (SELECT a.doc_id, a.idx, sum(a.tf * b.tf) AS dot, count(*) AS shared
+         FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND b.idx = a.idx + 1 AND a.token = b.token
+         GROUP BY a.doc_id, a.idx),
+afeat AS (SELECT p.doc_id, p.idx, p.sentence1, p.sentence2,
+                 {cos_sql('coalesce(d.dot, 0)', 'coalesce(va.nsq, 0)', 'coalesce(vb.nsq, 0)')} AS cos,
+                 {jac_sql('coalesce(d.shared, 0)', 'coalesce(va.nd, 0)', 'coalesce(vb.nd, 0)')} AS jac,
+                 (coalesce(va.neg, false) <> coalesce(vb.neg, false)) AS neg
+          FROM cpairs p LEFT JOIN vec va ON va.doc_id = p.doc_id AND va.idx = p.idx
+                        LEFT JOIN vec vb ON vb.doc_id = p.doc_id AND vb.idx = p.idx + 1
+                        LEFT JOIN adot d ON d.doc_id = p.doc_id AND d.idx = p.idx),
+ascored AS (SELECT *, {softmax_sql('cos', 'jac', 'neg')} FROM afeat)"""
 
 
 def with_docs(body: str, **kw) -> str:
@@ -138,6 +152,78 @@ DOC_QUERIES = {
 }
 
 
+def _verdict(c="contradiction"):
+    return f"CASE WHEN {c} >= {CONTRADICTION_THRESHOLD!r} THEN 'CONTRADICTION' ELSE 'CONSISTENT' END"
+
+
+def _confidence(e="entailment", n="neutral", c="contradiction"):
+    return f"CASE WHEN {c} >= {CONTRADICTION_THRESHOLD!r} THEN {c} ELSE greatest({e}, {n}) END"
+
+
+_T = SIMILARITY_THRESHOLD
+DOC_QUERIES.update({
+    "aligned_cosine": "SELECT doc_id, idx::INTEGER AS idx, cos FROM afeat",
+    "pair_report": f"""SELECT doc_id, idx::INTEGER AS idx, {r('cos', 4)} AS similarity, {_T!r} AS threshold,
+        cos >= {_T!r} AS passed_filter,
+        CASE WHEN cos >= {_T!r} THEN {r('entailment', 4)} END AS entailment,
+        CASE WHEN cos >= {_T!r} THEN {r('neutral', 4)} END AS neutral,
+        CASE WHEN cos >= {_T!r} THEN {r('contradiction', 4)} END AS contradiction,
+        CASE WHEN cos >= {_T!r} THEN {_verdict()} ELSE 'CONSISTENT' END AS verdict,
+        CASE WHEN cos >= {_T!r} THEN {r(_confidence(), 4)} END AS confidence,
+        CASE WHEN NOT (cos >= {_T!r}) THEN {q(FILTERED_REASON)} END AS filtered_reason
+        FROM ascored""",
+    "pair_argmax": f"""SELECT doc_id, idx::INTEGER AS idx, {argmax_sql()} AS label,
+        {r('greatest(entailment, neutral, contradiction)', 4)} AS confidence,
+        {r('entailment', 4)} AS entailment, {r('neutral', 4)} AS neutral, {r('contradiction', 4)} AS contradiction
+        FROM ascored""",
+    "pair_verdict": f"""SELECT doc_id, idx::INTEGER AS idx, {_verdict()} AS verdict, {r(_confidence(), 4)} AS confidence
+        FROM ascored""",
+    "expected_score": f"""SELECT doc_id, idx::INTEGER AS idx,
+        {r(f'entailment * {EXPECTED_SCORE_WEIGHTS[0]!r} + neutral * {EXPECTED_SCORE_WEIGHTS[1]!r} + contradiction * {EXPECTED_SCORE_WEIGHTS[2]!r}', 4)} AS expected_score
+        FROM ascored""",
+    "softmax3": f"""SELECT doc_id, idx::INTEGER AS idx,
+        {', '.join(r(logit_sql(SCORER_WEIGHTS[k], 'cos', 'jac', 'neg'), 6) + f' AS z_{k}' for k in LABEL_ORDER)},
+        {r('entailment', 4)} AS entailment, {r('neutral', 4)} AS neutral, {r('contradiction', 4)} AS contradiction
+        FROM ascored""",
+    "pair_truncate": f"""SELECT doc_id, idx::INTEGER AS idx, len_a::INTEGER AS len_a, len_b::INTEGER AS len_b,
+        keep_a::INTEGER AS keep_a, keep_b::INTEGER AS keep_b,
+        array_to_string(list_slice(ta, 1, keep_a), ' ') AS text_a, array_to_string(list_slice(tb, 1, keep_b), ' ') AS text_b
+        FROM (SELECT *,
+            CASE WHEN rr <= 0 THEN len_a WHEN rr <= dd THEN (CASE WHEN len_a > len_b THEN len_a - rr ELSE len_a END)
+                 ELSE least(len_a, len_b) - (rr - dd) // 2 END AS keep_a,
+            CASE WHEN rr <= 0 THEN len_b WHEN rr <= dd THEN (CASE WHEN len_a > len_b THEN len_b ELSE len_b - rr END)
+                 ELSE least(len_a, len_b) - ((rr - dd) + 1) // 2 END AS keep_b
+            FROM (SELECT *, len_a + len_b - {MAX_SEQ_LEN - 3} AS rr, abs(len_a - len_b) AS dd
+                  FROM (SELECT doc_id, idx, ta, tb, len(ta) AS len_a, len(tb) AS len_b
+                        FROM (SELECT doc_id, idx, {tokens_sql('sentence1')} AS ta, {tokens_sql('sentence2')} AS tb
+                              FROM cpairs))))""",
+})
+
+STANDALONE = {
+    "doc_source_valid": f"""SELECT doc_id, {strip_sql("coalesce(text, '')")} AS text,
+        CASE WHEN {strip_sql("coalesce(text, '')")} = '' THEN {q(MISSING_TEXT_REASON)} END AS error FROM documents""",
+    "pair_source_valid": f"""SELECT conv_id, turn, sentence1, sentence2,
+        CASE WHEN sentence1 = '' OR sentence2 = '' THEN {q(MISSING_PAIR_REASON)} END AS error
+        FROM (SELECT a.conv_id, a.turn, {strip_sql("coalesce(a.text, '')")} AS sentence1,
+                     {strip_sql("coalesce(b.text, '')")} AS sentence2
+              FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
+    "assemble_docs": f"""SELECT conv_id AS doc_id, {strip_sql("string_agg(text, ' ' ORDER BY turn)")} AS text
+        FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""",
+    "l2_normalize": f"""WITH v AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings),
+        n AS (SELECT *, sqrt(list_sum([x * x for x in e])) AS nrm FROM v),
+        u AS (SELECT *, CASE WHEN nrm > 0 THEN [x / nrm for x in e] ELSE e END AS unit FROM n)
+        SELECT vec_id, label, {r('nrm', 6)} AS norm_in, {r('sqrt(list_sum([x * x for x in unit]))', 6)} AS norm_out,
+               {r('list_sum(unit)', 6)} AS unit_sum FROM u""",
+    "candidate_pairs_dense": f"""WITH v AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings),
+        n AS (SELECT *, sqrt(list_sum([x * x for x in e])) AS nrm FROM v),
+        u AS (SELECT vec_id, label, CASE WHEN nrm > 0 THEN [x / nrm for x in e] ELSE e END AS unit FROM n),
+        p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.unit, b.unit) AS cos
+              FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id)
+        SELECT label, i, j, {r('cos', 6)} AS cos FROM p WHERE cos >= {_T!r}""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {k: with_docs(v) for k, v in DOC_QUERIES.items()}
+    out.update(STANDALONE)
     return out
