@@ -198,3 +198,95 @@ def q_candidate_pairs_dense(spark, sf_dir):
     c = dense_candidates(e, DEFAULT.similarity_threshold, group="label", ident="vec_id", vector="embedding",
                          block_rows=DEFAULT.dense_block_rows)
     return c.select("label", "i", "j", round_half_up(F.col("cos"), 6).alias("cos"))
+
+
+# ------------------------------------------------------------------------------------------------
+# evaluation on graded pairs (consecutive sentences of labelled documents)
+# ------------------------------------------------------------------------------------------------
+from clashlens.plans import evaluation as ev  # noqa: E402
+
+
+def _graded(spark, sf_dir):
+    return ev.graded_pairs_from_tables(spark, sf_dir)
+
+
+@register("graded_pairs")
+def q_graded_pairs(spark, sf_dir):
+    return _graded(spark, sf_dir).select("split", "doc_id", "idx", "sentence1", "sentence2", "score", "label")
+
+
+@register("score_label")
+def q_score_label(spark, sf_dir):
+    g = _graded(spark, sf_dir)
+    return g.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_pairs"),
+                                           round_half_up(F.min("score05"), 4).alias("min_score"),
+                                           round_half_up(F.max("score05"), 4).alias("max_score"))
+
+
+@register("gated_scores")
+def q_gated_scores(spark, sf_dir):
+    w = ev.wide_predictions(_graded(spark, sf_dir))
+    return w.select("split", "doc_id", "idx", round_half_up(F.col("cos"), 6).alias("cos"),
+                    (F.col("cos") >= F.lit(DEFAULT.similarity_threshold)).alias("passed_filter"),
+                    round_half_up(F.col("pred_two_stage"), 6).alias("pred"), F.col("bin_two_stage").alias("pred_bin"),
+                    round_half_up(F.col("entail_conf"), 6).alias("entail_conf"),
+                    round_half_up(F.col("contra_conf"), 6).alias("contra_conf"))
+
+
+def _comparison(spark, sf_dir):
+    return ev.method_comparison(_graded(spark, sf_dir))
+
+
+@register("method_comparison")
+def q_method_comparison(spark, sf_dir):
+    return _comparison(spark, sf_dir)
+
+
+@register("pearson")
+def q_pearson(spark, sf_dir):
+    return _comparison(spark, sf_dir).select("split", "method", "pearson")
+
+
+@register("spearman")
+def q_spearman(spark, sf_dir):
+    return _comparison(spark, sf_dir).select("split", "method", "spearman")
+
+
+@register("f1_binary")
+def q_f1_binary(spark, sf_dir):
+    return _comparison(spark, sf_dir).select("split", "method", "f1")
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    return ev.threshold_sweep(_graded(spark, sf_dir))
+
+
+@register("example_pairs")
+def q_example_pairs(spark, sf_dir):
+    return ev.example_pairs(ev.wide_predictions(_graded(spark, sf_dir)))
+
+
+@register("doc_threshold_sweep")
+def q_doc_threshold_sweep(spark, sf_dir):
+    """Per sweep threshold over all documents: surviving pairs, contradictions, reduction %.
+
+    Candidates are formed once at the lowest threshold; every candidate and every document is
+    replicated once per threshold by an in-row explode, and one aggregation produces all rows.
+    """
+    ts = sorted(DEFAULT.sweep_thresholds)
+    c = check_documents(read_table(spark, sf_dir, "documents"), DEFAULT, similarity_threshold=ts[0])
+    arr = F.array(*[F.lit(float(t)) for t in ts])
+    z = F.lit(0).cast("long")
+    cand = (c.scored.select("cos", "contradiction", F.explode_outer(arr).alias("threshold"))
+            .where(F.col("cos") >= F.col("threshold"))
+            .select("threshold", F.lit(1).cast("long").alias("s"),
+                    (F.col("contradiction") >= F.lit(DEFAULT.contradiction_threshold)).cast("long").alias("k"),
+                    z.alias("t")))
+    docs = (c.arrays.select(reports.total_pairs(F.col("total_sentences")).alias("t"),
+                            F.explode_outer(arr).alias("threshold"))
+            .select("threshold", z.alias("s"), z.alias("k"), "t"))
+    a = cand.unionByName(docs).groupBy("threshold").agg(
+        F.sum("s").cast("long").alias("survivors"), F.sum("k").cast("long").alias("contradictions"),
+        F.sum("t").cast("long").alias("total_pairs"))
+    return a.withColumn("reduction_pct", reports.reduction_pct(F.col("survivors"), F.col("total_pairs")))

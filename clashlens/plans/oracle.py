@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, FILTERED_REASON, LABEL_ORDER,
                               MAX_SEQ_LEN, MISSING_PAIR_REASON, MISSING_TEXT_REASON, NEGATION_WORDS,
-                              SCORER_WEIGHTS, SIMILARITY_THRESHOLD)
+                              SCORER_WEIGHTS, SIMILARITY_THRESHOLD, SWEEP_THRESHOLDS)
 from clashlens.functions import text as tx
 
 
@@ -73,6 +73,12 @@ def jac_sql(shared: str, da: str, db: str) -> str:
     return f"CASE WHEN ({da} + {db} - {shared}) > 0 THEN ({shared})::DOUBLE / ({da} + {db} - {shared})::DOUBLE ELSE 0.0 END"
 
 
+ES = (f"entailment * {EXPECTED_SCORE_WEIGHTS[0]!r} + neutral * {EXPECTED_SCORE_WEIGHTS[1]!r} "
+      f"+ contradiction * {EXPECTED_SCORE_WEIGHTS[2]!r}")
+PEARSON = "CASE WHEN ({x}) * ({y}) > 0 THEN ({c}) / sqrt(({x}) * ({y})) END"
+F1 = "CASE WHEN 2 * ({tp}) + ({fp}) + ({fn}) > 0 THEN (2 * ({tp}))::DOUBLE / (2 * ({tp}) + ({fp}) + ({fn}))::DOUBLE ELSE 0.0 END"
+
+
 def doc_ctes(threshold: float = SIMILARITY_THRESHOLD, ct: float = CONTRADICTION_THRESHOLD) -> str:
     """CTEs arr, sents, tf, vec, cand, scored over ``documents``."""
     return f"""
@@ -114,7 +120,32 @@ afeat AS (SELECT p.doc_id, p.idx, p.sentence1, p.sentence2,
           FROM cpairs p LEFT JOIN vec va ON va.doc_id = p.doc_id AND va.idx = p.idx
                         LEFT JOIN vec vb ON vb.doc_id = p.doc_id AND vb.idx = p.idx + 1
                         LEFT JOIN adot d ON d.doc_id = p.doc_id AND d.idx = p.idx),
-ascored AS (SELECT *, {softmax_sql('cos', 'jac', 'neg')} FROM afeat)"""
+ascored AS (SELECT *, {softmax_sql('cos', 'jac', 'neg')} FROM afeat),
+graded AS (SELECT CASE WHEN a.doc_id % 10 < 7 THEN 'train' WHEN a.doc_id % 10 = 7 THEN 'validation' ELSE 'test' END AS split,
+                  a.*, (2.5 * (1 + l.quality - l.toxic))::DOUBLE AS score
+           FROM ascored a JOIN labels l ON l.doc_id = a.doc_id),
+graded2 AS (SELECT *, score AS score05,
+                   CASE WHEN score >= 3.5 THEN 'consistent' WHEN score <= 2.0 THEN 'contradiction' ELSE 'neutral' END AS label
+            FROM graded),
+wide AS (SELECT *, CASE WHEN label = 'contradiction' THEN 1 ELSE 0 END AS gold_bin,
+                5.0 * cos AS pred_embedding, (5.0 * cos < 2.0)::INTEGER AS bin_embedding,
+                {ES} AS pred_verifier, (contradiction >= {ct!r})::INTEGER AS bin_verifier,
+                CASE WHEN cos >= {threshold!r} THEN {ES} ELSE 5.0 * cos END AS pred_two_stage,
+                CASE WHEN cos >= {threshold!r} THEN (contradiction >= {ct!r})::INTEGER ELSE (5.0 * cos <= 2.0)::INTEGER END AS bin_two_stage,
+                CASE WHEN cos >= {threshold!r} THEN entailment ELSE 0.0 END AS entail_conf,
+                CASE WHEN cos >= {threshold!r} THEN contradiction WHEN 5.0 * cos <= 2.0 THEN 1.0 ELSE 0.0 END AS contra_conf
+         FROM graded2),
+long AS (SELECT split, doc_id, idx, score05 AS gold, gold_bin, 'embedding' AS method, pred_embedding AS pred, bin_embedding AS pred_bin FROM wide
+         UNION ALL SELECT split, doc_id, idx, score05, gold_bin, 'verifier', pred_verifier, bin_verifier FROM wide
+         UNION ALL SELECT split, doc_id, idx, score05, gold_bin, 'two_stage', pred_two_stage, bin_two_stage FROM wide),
+ranked AS (SELECT *, rank() OVER (PARTITION BY split, method ORDER BY pred) + (count(*) OVER (PARTITION BY split, method, pred) - 1) / 2.0 AS rp,
+                     rank() OVER (PARTITION BY split, method ORDER BY gold) + (count(*) OVER (PARTITION BY split, method, gold) - 1) / 2.0 AS rg
+           FROM long),
+cmp AS (SELECT split, method, count(*) AS n_pairs,
+               {r(PEARSON.format(c='covar_pop(pred, gold)', x='var_pop(pred)', y='var_pop(gold)'), 6)} AS pearson,
+               {r(PEARSON.format(c='covar_pop(rp, rg)', x='var_pop(rp)', y='var_pop(rg)'), 6)} AS spearman,
+               {r(F1.format(tp='count(*) FILTER (WHERE pred_bin = 1 AND gold_bin = 1)', fp='count(*) FILTER (WHERE pred_bin = 1 AND gold_bin = 0)', fn='count(*) FILTER (WHERE pred_bin = 0 AND gold_bin = 1)'), 6)} AS f1
+        FROM ranked GROUP BY split, method)"""
 
 
 def with_docs(body: str, **kw) -> str:
@@ -199,6 +230,39 @@ DOC_QUERIES.update({
                               FROM cpairs))))""",
 })
 
+SWEEP = "(VALUES " + ", ".join(f"({t!r})" for t in SWEEP_THRESHOLDS) + ") AS ts(threshold)"
+DOC_QUERIES.update({
+    "graded_pairs": "SELECT split, doc_id, idx::INTEGER AS idx, sentence1, sentence2, score, label FROM graded2",
+    "score_label": f"""SELECT split, label, count(*) AS n_pairs, {r('min(score05)', 4)} AS min_score,
+        {r('max(score05)', 4)} AS max_score FROM graded2 GROUP BY split, label""",
+    "gated_scores": f"""SELECT split, doc_id, idx::INTEGER AS idx, {r('cos', 6)} AS cos, cos >= {_T!r} AS passed_filter,
+        {r('pred_two_stage', 6)} AS pred, bin_two_stage AS pred_bin, {r('entail_conf', 6)} AS entail_conf,
+        {r('contra_conf', 6)} AS contra_conf FROM wide""",
+    "method_comparison": "SELECT split, method, n_pairs, pearson, spearman, f1 FROM cmp",
+    "pearson": "SELECT split, method, pearson FROM cmp",
+    "spearman": "SELECT split, method, spearman FROM cmp",
+    "f1_binary": "SELECT split, method, f1 FROM cmp",
+    "threshold_sweep": f"""SELECT split, threshold, n_pairs, survivors,
+        {r('(1.0 - survivors::DOUBLE / greatest(n_pairs, 1)::DOUBLE) * 100.0', 2)} AS reduction_pct,
+        {r(F1.format(tp='tp', fp='fp', fn='fn'), 6)} AS f1
+        FROM (SELECT split, threshold, count(*) AS n_pairs, sum(ps)::BIGINT AS survivors,
+                     count(*) FILTER (WHERE pb = 1 AND gold_bin = 1) AS tp,
+                     count(*) FILTER (WHERE pb = 1 AND gold_bin = 0) AS fp,
+                     count(*) FILTER (WHERE pb = 0 AND gold_bin = 1) AS fn
+              FROM (SELECT split, gold_bin, threshold, (cos >= threshold)::INTEGER AS ps,
+                           CASE WHEN cos >= threshold THEN (contradiction >= {CONTRADICTION_THRESHOLD!r})::INTEGER
+                                ELSE (5.0 * cos <= 2.0)::INTEGER END AS pb
+                    FROM wide CROSS JOIN {SWEEP})
+              GROUP BY split, threshold)""",
+    "example_pairs": f"""SELECT kind, split, doc_id, idx::INTEGER AS idx, sentence1, sentence2, {r('score05', 2)} AS human_score,
+        {r('conf', 4)} AS confidence FROM (
+          SELECT *, row_number() OVER (PARTITION BY kind ORDER BY split, doc_id, idx) AS rn FROM (
+            SELECT 'contradiction' AS kind, *, contra_conf AS conf FROM wide WHERE score05 < 1.5 AND contra_conf > 0.7
+            UNION ALL
+            SELECT 'consistent' AS kind, *, entail_conf AS conf FROM wide WHERE score05 > 4.0 AND entail_conf > 0.8))
+        WHERE rn <= 5""",
+})
+
 STANDALONE = {
     "doc_source_valid": f"""SELECT doc_id, {strip_sql("coalesce(text, '')")} AS text,
         CASE WHEN {strip_sql("coalesce(text, '')")} = '' THEN {q(MISSING_TEXT_REASON)} END AS error FROM documents""",
@@ -226,4 +290,13 @@ STANDALONE = {
 def oracle_sql() -> dict[str, str]:
     out = {k: with_docs(v) for k, v in DOC_QUERIES.items()}
     out.update(STANDALONE)
+    lo = min(SWEEP_THRESHOLDS)
+    out["doc_threshold_sweep"] = with_docs(f"""SELECT threshold, survivors, contradictions, total_pairs,
+        {r('(1.0 - survivors::DOUBLE / greatest(total_pairs, 1)::DOUBLE) * 100.0', 2)} AS reduction_pct
+        FROM (SELECT ts.threshold,
+                     (SELECT count(*) FROM scored s WHERE s.cos >= ts.threshold)::BIGINT AS survivors,
+                     (SELECT count(*) FROM scored s WHERE s.cos >= ts.threshold
+                        AND s.contradiction >= {CONTRADICTION_THRESHOLD!r})::BIGINT AS contradictions,
+                     (SELECT sum(total_pairs) FROM stats)::BIGINT AS total_pairs
+              FROM {SWEEP})""", threshold=lo)
     return out
