@@ -290,3 +290,77 @@ def q_doc_threshold_sweep(spark, sf_dir):
         F.sum("s").cast("long").alias("survivors"), F.sum("k").cast("long").alias("contradictions"),
         F.sum("t").cast("long").alias("total_pairs"))
     return a.withColumn("reduction_pct", reports.reduction_pct(F.col("survivors"), F.col("total_pairs")))
+
+
+# ------------------------------------------------------------------------------------------------
+# training-set preparation (NLI-shaped rows from documents and conversations)
+# ------------------------------------------------------------------------------------------------
+from clashlens.config import NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_SENTENCE_LIMIT, SNLI_LIMIT  # noqa: E402
+from clashlens.plans import training as tr  # noqa: E402
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf_dir):
+    rows = tr.valid_labels(tr.nli_rows_from_tables(spark, sf_dir)).where(F.col("source_ord") == 0)
+    return tr.seeded_sample(rows, {0: SNLI_LIMIT}).select("source", "key", "sample_ord", "label")
+
+
+@register("nli_training_set")
+def q_nli_training_set(spark, sf_dir):
+    return tr.load_nli(spark, sf_dir).select("source", "source_ord", "sample_ord", "key", "premise", "hypothesis", "label")
+
+
+@register("head_limit")
+def q_head_limit(spark, sf_dir):
+    return tr.head(tr.load_nli(spark, sf_dir), NLI_HEAD_LIMIT).select("row_ord", "source", "key", "label")
+
+
+
+
+
+@register("distinct_first")
+def q_distinct_first(spark, sf_dir):
+    return tr.distinct_first(tr.load_nli(spark, sf_dir))
+
+
+def _premises(spark, sf_dir):
+    return tr.load_nli(spark, sf_dir).select(F.col("premise").alias("sentence")).distinct()
+
+
+@register("paraphrase_topn")
+def q_paraphrase_topn(spark, sf_dir):
+    return tr.builtin_paraphrases(_premises(spark, sf_dir), NUM_PARAPHRASES)
+
+
+@register("paraphrase_lookup")
+def q_paraphrase_lookup(spark, sf_dir):
+    nli = tr.load_nli(spark, sf_dir)
+    cache = tr.builtin_paraphrases(nli.where(F.col("source_ord") == 0).select(F.col("premise").alias("sentence"))
+                                   .distinct(), NUM_PARAPHRASES)
+    req = nli.select(F.col("premise").alias("sentence"))
+    return tr.paraphrase_lookup(req, cache, NUM_PARAPHRASES)
+
+
+@register("augment_pairs")
+def q_augment_pairs(spark, sf_dir):
+    firsts = tr.distinct_first(tr.load_nli(spark, sf_dir)).where(F.col("first_ord") <= PARAPHRASE_SENTENCE_LIMIT)
+    return tr.augment(firsts.withColumnRenamed("premise", "sentence"), NUM_PARAPHRASES).select(
+        "first_ord", "sentence", "rank", "paraphrase")
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    return tr.training_set(tr.load_nli(spark, sf_dir))
+
+
+@register("training_shards")
+def q_training_shards(spark, sf_dir):
+    return tr.training_shards(tr.training_set(tr.load_nli(spark, sf_dir))).select("part", "ord", "shuffle_ord", "shard")
+
+
+@register("train_pair_classifier")
+def q_train_pair_classifier(spark, sf_dir):
+    train = tr.training_set(tr.load_nli(spark, sf_dir))
+    model = tr.fit_pair_classifier(train)
+    return model.transform(tr.pair_features(train)).select("part", "ord", "label",
+                                                          F.col("prediction").cast("int").alias("prediction"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, FILTERED_REASON, LABEL_ORDER,
                               MAX_SEQ_LEN, MISSING_PAIR_REASON, MISSING_TEXT_REASON, NEGATION_WORDS,
-                              SCORER_WEIGHTS, SIMILARITY_THRESHOLD, SWEEP_THRESHOLDS)
+                              SCORER_WEIGHTS, SIMILARITY_THRESHOLD, SWEEP_THRESHOLDS,
+                              SAMPLE_SEED, SNLI_LIMIT, MNLI_LIMIT, NLI_HEAD_LIMIT, NUM_PARAPHRASES,
+                              PARAPHRASE_PROMPT, PARAPHRASE_SENTENCE_LIMIT, BATCH_SIZE)
 from clashlens.functions import text as tx
 
 
@@ -145,7 +147,35 @@ cmp AS (SELECT split, method, count(*) AS n_pairs,
                {r(PEARSON.format(c='covar_pop(pred, gold)', x='var_pop(pred)', y='var_pop(gold)'), 6)} AS pearson,
                {r(PEARSON.format(c='covar_pop(rp, rg)', x='var_pop(rp)', y='var_pop(rg)'), 6)} AS spearman,
                {r(F1.format(tp='count(*) FILTER (WHERE pred_bin = 1 AND gold_bin = 1)', fp='count(*) FILTER (WHERE pred_bin = 1 AND gold_bin = 0)', fn='count(*) FILTER (WHERE pred_bin = 0 AND gold_bin = 1)'), 6)} AS f1
-        FROM ranked GROUP BY split, method)"""
+        FROM ranked GROUP BY split, method),
+turns AS (SELECT a.conv_id, a.turn, {strip_sql("coalesce(a.text, '')")} AS sentence1, {strip_sql("coalesce(b.text, '')")} AS sentence2
+          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+nli_raw AS (SELECT 'documents' AS source, 0 AS source_ord, doc_id::VARCHAR || ':' || idx::VARCHAR AS key,
+                   sentence1 AS premise, sentence2 AS hypothesis FROM cpairs
+            UNION ALL
+            SELECT 'conversations', 1, conv_id::VARCHAR || ':' || turn::VARCHAR, sentence1, sentence2 FROM turns
+            WHERE sentence1 <> '' AND sentence2 <> ''),
+nli_lab AS (SELECT *, ((position(substr(md5(source || ':' || key), 1, 1) IN '0123456789abcdef') - 1) % 4) - 1 AS label
+            FROM nli_raw),
+nli_s AS (SELECT *, row_number() OVER (PARTITION BY source_ord ORDER BY md5('{SAMPLE_SEED}:' || source || ':' || key), key) AS sample_ord
+          FROM nli_lab WHERE label IN (0, 1, 2)),
+nli AS (SELECT * FROM nli_s WHERE sample_ord <= CASE WHEN source_ord = 0 THEN {SNLI_LIMIT} ELSE {MNLI_LIMIT} END),
+nhead AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY source_ord, sample_ord) AS row_ord FROM nli)
+          WHERE row_ord <= {NLI_HEAD_LIMIT}),
+dfirst AS (SELECT row_number() OVER (ORDER BY source_ord, sample_ord) AS first_ord, premise
+           FROM (SELECT *, row_number() OVER (PARTITION BY premise ORDER BY source_ord, sample_ord) AS k FROM nli) WHERE k = 1),
+psent AS (SELECT DISTINCT premise AS sentence FROM nli),
+para AS (SELECT sentence, rank, paraphrase FROM (
+           SELECT sentence, row_number() OVER (PARTITION BY sentence ORDER BY -length(text), k) AS rank, text AS paraphrase
+           FROM (SELECT sentence, k, nw, array_to_string(list_concat(list_slice(w, 1, k - 1), list_slice(w, k + 1, nw + 1)), ' ') AS text
+                 FROM (SELECT sentence, w, len(w) AS nw FROM (SELECT sentence,
+                          regexp_split_to_array({strip_sql(f"substr({q(PARAPHRASE_PROMPT)} || sentence, {len(PARAPHRASE_PROMPT) + 1})")}, {q(tx.WS + '+')}) AS w
+                       FROM psent)), range(1, {NUM_PARAPHRASES + 3}) AS t(k))
+           WHERE k <= nw AND text <> '') WHERE rank <= {NUM_PARAPHRASES}),
+tset AS (SELECT 0 AS part, row_ord AS ord, premise AS s1, hypothesis AS s2, label::INTEGER AS label FROM nhead
+         UNION ALL
+         SELECT 1, (f.first_ord - 1) * {NUM_PARAPHRASES} + p.rank, f.premise, p.paraphrase, 0
+         FROM dfirst f JOIN para p ON p.sentence = f.premise WHERE f.first_ord <= {PARAPHRASE_SENTENCE_LIMIT})"""
 
 
 def with_docs(body: str, **kw) -> str:
@@ -263,6 +293,24 @@ DOC_QUERIES.update({
         WHERE rn <= 5""",
 })
 
+DOC_QUERIES.update({
+    "seeded_sample": "SELECT source, key, sample_ord, label FROM nli WHERE source_ord = 0",
+    "nli_training_set": "SELECT source, source_ord, sample_ord, key, premise, hypothesis, label FROM nli",
+    "head_limit": "SELECT row_ord, source, key, label FROM nhead",
+    "distinct_first": "SELECT first_ord, premise FROM dfirst",
+    "paraphrase_topn": "SELECT sentence, rank::INTEGER AS rank, paraphrase FROM para",
+    "paraphrase_lookup": f"""SELECT p.sentence, p.rank::INTEGER AS rank, p.paraphrase, coalesce(c.n >= {NUM_PARAPHRASES}, false) AS from_cache
+        FROM para p LEFT JOIN (SELECT sentence, count(*) AS n FROM para
+                               WHERE sentence IN (SELECT premise FROM nli WHERE source_ord = 0) GROUP BY sentence) c
+             ON c.sentence = p.sentence""",
+    "augment_pairs": f"""SELECT f.first_ord, f.premise AS sentence, p.rank::INTEGER AS rank, p.paraphrase
+        FROM dfirst f JOIN para p ON p.sentence = f.premise WHERE f.first_ord <= {PARAPHRASE_SENTENCE_LIMIT}""",
+    "training_set": "SELECT part, ord, s1, s2, label FROM tset",
+    "training_shards": f"""SELECT part, ord, shuffle_ord, (shuffle_ord - 1) // {BATCH_SIZE} AS shard FROM (
+        SELECT part, ord, row_number() OVER (ORDER BY md5('{SAMPLE_SEED}:' || part::VARCHAR || ':' || ord::VARCHAR), part, ord) AS shuffle_ord
+        FROM tset)""",
+})
+
 STANDALONE = {
     "doc_source_valid": f"""SELECT doc_id, {strip_sql("coalesce(text, '')")} AS text,
         CASE WHEN {strip_sql("coalesce(text, '')")} = '' THEN {q(MISSING_TEXT_REASON)} END AS error FROM documents""",
