@@ -47,17 +47,18 @@ def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id"
     if not threshold > 0:
         raise ValueError("the token plan only forms pairs that share a token; threshold must be > 0")
     t = term_rows(vectors, (group, ident))
-
-    def side(sfx: str) -> DataFrame:
-        return t.select(F.col(group), "token", F.col(ident).alias(sfx), F.col("tf").alias(f"tf_{sfx}"),
-                        F.col("nsq").alias(f"nsq_{sfx}"), F.col("nd").alias(f"nd_{sfx}"),
-                        F.col("neg").alias(f"neg_{sfx}"))
-
-    joined = side("i").join(side("j"), [group, "token"]).where(F.col("i") < F.col("j"))
-    pairs = joined.groupBy(group, "i", "j").agg(
-        F.sum(F.col("tf_i") * F.col("tf_j")).alias("dot"),
+    a, b = t.alias("a"), t.alias("b")
+    # Sort-merge self-join on (group, token): both sides are the same plan, so the exchange is
+    # computed once and reused, and AQE can split a skewed (group, token) partition on both sides.
+    # The term table is derived data with an unreliable size estimate: it must never be broadcast.
+    cond = ((F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token"))
+            & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
+    joined = a.hint("merge").join(b, cond)
+    pairs = joined.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{ident}").alias("i"),
+                           F.col(f"b.{ident}").alias("j")).agg(
+        F.sum(F.col("a.tf") * F.col("b.tf")).alias("dot"),
         F.count(F.lit(1)).alias("shared"),
-        *[F.max(c).alias(c) for c in ("nsq_i", "nsq_j", "nd_i", "nd_j", "neg_i", "neg_j")])
+        *[F.max(F.col(f"{s}.{c}")).alias(f"{c}_{x}") for s, x in (("a", "i"), ("b", "j")) for c in ("nsq", "nd", "neg")])
     pairs = pairs.withColumn("cos", cosine_from_counts(F.col("dot"), F.col("nsq_i"), F.col("nsq_j")))
     return (pairs.where(F.col("cos") >= F.lit(threshold))
             .withColumn("jac", jaccard_from_counts(F.col("shared"), F.col("nd_i"), F.col("nd_j"))))

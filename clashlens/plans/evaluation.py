@@ -19,6 +19,7 @@ from clashlens.operators.ranking import average_rank
 from clashlens.operators.reports import reduction_pct
 from clashlens.operators.sentences import sentence_arrays
 from clashlens.operators.similarity import aligned_features
+from clashlens.session import ensure_checkpoint_dir
 from clashlens.sources.documents import consecutive_sentence_pairs
 from clashlens.sources.tables import read_table
 
@@ -112,8 +113,14 @@ def metrics(long: DataFrame, groups=("split", "method"), num_partitions: int | N
 
 
 def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
-    """M-8: one row per (split, method)."""
-    return metrics(long_predictions(wide_predictions(graded, settings, scorer)))
+    """M-8: one row per (split, method).
+
+    The long table feeds three reads (moments, two rank passes); it is checkpointed once to the
+    shared checkpoint folder so the features and the scorer run once and the lineage is cut.
+    """
+    ensure_checkpoint_dir(graded.sparkSession)
+    long = long_predictions(wide_predictions(graded, settings, scorer)).checkpoint(eager=True)
+    return metrics(long)
 
 
 def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, thresholds=None) -> DataFrame:

@@ -1,8 +1,9 @@
 """N-8 and friends: checking aligned sentence pairs (one row per pair, no pair join).
 
-The cheap similarity gate runs before the scorer as a separate DataFrame branch: survivors are
-scored, the rest get NULL scores and a reason, and the two branches are unioned. A model scorer
-(mapInPandas) therefore only sees survivors; Catalyst would not move a Python scorer behind a filter.
+With a model scorer (mapInPandas) the cheap similarity gate runs before it as a separate DataFrame
+branch: survivors are scored, the rest get NULL scores and a reason, and the branches are unioned, so
+the model only sees survivors (Catalyst would not move a Python scorer behind a filter). The built-in
+scorer is plain column arithmetic and is applied in one pass with the scores nulled where filtered.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ def gated_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, thr
     """P-6: pairs with cos >= threshold are scored; the others keep NULL scores. Adds passed_filter."""
     t = settings.similarity_threshold if threshold is None else threshold
     feats = aligned_features(pairs)
+    if scorer is None:
+        # The built-in scorer is a few JVM arithmetic expressions: one pass, scores nulled for the
+        # filtered rows, is cheaper than two branches that each recompute the features.
+        s = lexical_scorer(feats, settings.scorer_weights)
+        passed = F.col("cos") >= F.lit(t)
+        for k in LABEL_ORDER:
+            s = s.withColumn(k, F.when(passed, F.col(k)))
+        return s.withColumn("passed_filter", passed)
     survivors = _scorer(settings, scorer)(feats.where(F.col("cos") >= F.lit(t)))
     rest = feats.where(~(F.col("cos") >= F.lit(t)))
     for k in LABEL_ORDER:
