@@ -176,3 +176,28 @@ def dense_candidates(df: DataFrame, threshold: float, group: str = "label", iden
     schema = T.StructType([T.StructField(group, gtype), T.StructField("i", itype),
                            T.StructField("j", itype), T.StructField("cos", T.DoubleType())])
     return tiles.groupBy(group, "_lo", "_hi").applyInPandas(_tile_scorer(threshold, group, ident, vector), schema)
+
+
+def lsh_candidates(df: DataFrame, threshold: float, group: str = "label", ident: str = "vec_id",
+                   vector: str = "embedding", bucket_length: float = 1.0, num_hash_tables: int = 8,
+                   seed: int = 42) -> DataFrame:
+    """P-2 (c), opt-in and approximate: (group, i, j, cos) from ``BucketedRandomProjectionLSH``.
+
+    For unit vectors cos >= t is ||a - b|| <= sqrt(2 - 2t), so the LSH distance join finds a subset of
+    the exact pairs (every returned pair is verified; recall below 1 is possible). Measure recall
+    against ``dense_candidates`` before relying on it.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    unit = with_l2_normalized(df.select(group, ident, vector), vector, "_u", "_n")
+    vecs = unit.select(group, ident, array_to_vector("_u").alias("_v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                      numHashTables=num_hash_tables, seed=seed).fit(vecs)
+    dist = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+    j = lsh.approxSimilarityJoin(vecs, vecs, dist, distCol="_d")
+    out = j.select(F.col(f"datasetA.{group}").alias(group), F.col(f"datasetA.{ident}").alias("i"),
+                   F.col(f"datasetB.{ident}").alias("j"), F.col(f"datasetB.{group}").alias("_gb"),
+                   (F.lit(1.0) - F.col("_d") * F.col("_d") / 2.0).alias("cos"))
+    return (out.where((F.col(group) == F.col("_gb")) & (F.col("i") < F.col("j")) & (F.col("cos") >= F.lit(threshold)))
+            .drop("_gb"))

@@ -17,6 +17,7 @@ from clashlens.operators import reports
 from clashlens.operators.nli import lexical_scorer
 from clashlens.operators.sentences import explode_sentences, sentence_arrays, sentence_vectors
 from clashlens.operators.similarity import token_candidates
+from clashlens.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -27,6 +28,18 @@ class DocumentCheck:
     scored: DataFrame       # candidates + entailment, neutral, contradiction
     settings: Settings
 
+    def materialize(self) -> "DocumentCheck":
+        """Write the sentence arrays and scored candidates once to the shared checkpoint folder.
+
+        For jobs that derive several outputs (stats, contradictions, nested report) from one check:
+        the split, the token join and the scorer then run once, and the lineage is cut so a lost
+        executor does not replay the join.
+        """
+        ensure_checkpoint_dir(self.arrays.sparkSession)
+        arrays = self.arrays.checkpoint(eager=True)
+        scored = self.scored.checkpoint(eager=True)
+        return DocumentCheck(arrays, explode_sentences(arrays), scored, scored, self.settings)
+
     def stats(self) -> DataFrame:
         counts = reports.candidate_counts(self.scored, self.settings.contradiction_threshold)
         return reports.doc_stats(self.arrays, counts)
@@ -43,6 +56,15 @@ class DocumentCheck:
         return reports.nested_report(stats.select(*cols), self.contradictions()).select(*cols, "contradictions")
 
 
+def run_document_check(docs: DataFrame, out_dir: str, settings: Settings = DEFAULT, scorer=None,
+                       fmt: str = "parquet") -> None:
+    """Batch job: nested per-document reports and the flat contradiction table under ``out_dir``."""
+    from clashlens.sources.sinks import write_doc_report
+    c = check_documents(docs, settings, scorer).materialize()
+    write_doc_report(c.report(nested=True), f"{out_dir}/doc_report", fmt)
+    c.contradictions().write.mode("overwrite").format(fmt).save(f"{out_dir}/contradictions")
+
+
 def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
                     similarity_threshold: float | None = None) -> DocumentCheck:
     t = settings.similarity_threshold if similarity_threshold is None else similarity_threshold

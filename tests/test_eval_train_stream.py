@@ -123,3 +123,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 200
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_run_document_check_writes_both_outputs(spark):
+    from clashlens.plans.document_check import check_documents, run_document_check
+    from clashlens.sources.tables import read_table
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    out = tempfile.mkdtemp(prefix="clashlens-job-")
+    run_document_check(docs, out)
+    rep = spark.read.parquet(os.path.join(out, "doc_report"))
+    con = spark.read.parquet(os.path.join(out, "contradictions"))
+    assert rep.count() == 200
+    assert con.count() == rep.select(F.sum(F.size("contradictions"))).collect()[0][0]
+    assert con.count() == check_documents(docs).contradictions().count()

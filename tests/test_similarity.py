@@ -98,3 +98,15 @@ def test_aligned_features(spark):
     assert rows[1].jac == pytest.approx(2 / 3)
     assert rows[2].cos == 0.0 and rows[2].jac == 0.0
     assert rows[3].neg is True and rows[1].neg is False
+
+
+def test_lsh_is_a_subset_of_exact(spark):
+    from clashlens.operators.similarity import lsh_candidates
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 16))
+    x = np.concatenate([base + 0.3 * rng.normal(size=(20, 16)) for _ in range(5)]).astype(np.float32)
+    rows = [(int(i), x[i].tolist(), int(i % 2)) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    exact = {(r.label, r.i, r.j) for r in dense_candidates(df, 0.6, block_rows=16).collect()}
+    approx = {(r.label, r.i, r.j) for r in lsh_candidates(df, 0.6, bucket_length=2.0, num_hash_tables=12).collect()}
+    assert approx <= exact and len(approx) >= 0.5 * len(exact) > 0
