@@ -155,7 +155,7 @@ nli_raw AS (SELECT 'documents' AS source, 0 AS source_ord, doc_id::VARCHAR || ':
             UNION ALL
             SELECT 'conversations', 1, conv_id::VARCHAR || ':' || turn::VARCHAR, sentence1, sentence2 FROM turns
             WHERE sentence1 <> '' AND sentence2 <> ''),
-nli_lab AS (SELECT *, ((position(substr(md5(source || ':' || key), 1, 1) IN '0123456789abcdef') - 1) % 4) - 1 AS label
+nli_lab AS (SELECT *, (((position(substr(md5(source || ':' || key), 1, 1) IN '0123456789abcdef') - 1) % 4) - 1)::INTEGER AS label
             FROM nli_raw),
 nli_s AS (SELECT *, row_number() OVER (PARTITION BY source_ord ORDER BY md5('{SAMPLE_SEED}:' || source || ':' || key), key) AS sample_ord
           FROM nli_lab WHERE label IN (0, 1, 2)),
@@ -224,7 +224,7 @@ def _confidence(e="entailment", n="neutral", c="contradiction"):
 _T = SIMILARITY_THRESHOLD
 DOC_QUERIES.update({
     "aligned_cosine": "SELECT doc_id, idx::INTEGER AS idx, cos FROM afeat",
-    "pair_report": f"""SELECT doc_id, idx::INTEGER AS idx, {r('cos', 4)} AS similarity, {_T!r} AS threshold,
+    "pair_report": f"""SELECT doc_id, idx::INTEGER AS idx, {r('cos', 4)} AS similarity, {_T!r}::DOUBLE AS threshold,
         cos >= {_T!r} AS passed_filter,
         CASE WHEN cos >= {_T!r} THEN {r('entailment', 4)} END AS entailment,
         CASE WHEN cos >= {_T!r} THEN {r('neutral', 4)} END AS neutral,
@@ -260,7 +260,7 @@ DOC_QUERIES.update({
                               FROM cpairs))))""",
 })
 
-SWEEP = "(VALUES " + ", ".join(f"({t!r})" for t in SWEEP_THRESHOLDS) + ") AS ts(threshold)"
+SWEEP = "(VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in SWEEP_THRESHOLDS) + ") AS ts(threshold)"
 DOC_QUERIES.update({
     "graded_pairs": "SELECT split, doc_id, idx::INTEGER AS idx, sentence1, sentence2, score, label FROM graded2",
     "score_label": f"""SELECT split, label, count(*) AS n_pairs, {r('min(score05)', 4)} AS min_score,
