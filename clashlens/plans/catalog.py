@@ -312,7 +312,7 @@ def q_nli_training_set(spark, sf_dir):
 
 @register("head_limit")
 def q_head_limit(spark, sf_dir):
-    return tr.head(tr.load_nli(spark, sf_dir), NLI_HEAD_LIMIT).select("row_ord", "source", "key", "label")
+    return tr.head_by_rank(tr.load_nli(spark, sf_dir), NLI_HEAD_LIMIT).select("row_ord", "source", "key", "label")
 
 
 

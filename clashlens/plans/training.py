@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clashlens.config import (BATCH_SIZE, MNLI_LIMIT, NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_PROMPT,
@@ -55,21 +55,54 @@ def valid_labels(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label").isin(0, 1, 2))
 
 
+HASH_PREFIX_DIGITS = 12          # hex digits of the md5 used for pruning (48 bits, exact in a long)
+PRUNE_MARGIN = 1.25              # keep this many times the needed share before the exact ranking
+
+
+def _prefix_value(h) -> F.Column:
+    return F.conv(F.substring(h, 1, HASH_PREFIX_DIGITS), 16, 10).cast("long")
+
+
 def seeded_sample(rows: DataFrame, limits: dict, seed: int = SAMPLE_SEED, group: str = "source_ord",
                   key: str = "key") -> DataFrame:
     """L-4: per ``group``, exactly min(limit, rows) rows, chosen by the order of md5(seed:source:key).
 
-    Adds ``sample_ord`` (1-based position in the seeded order within the group). The order is a
-    distributed row number; groups are told apart by subtracting each group's first position.
+    Adds ``sample_ord`` (1-based position in the seeded order within the group).
+
+    A full sort of every row to keep n of them does not scale, so rows are first pruned by the hash
+    prefix: keep prefix < cutoff, with the cutoff sized from the group counts (n / N plus a margin).
+    Rows below a cutoff are exactly the first ones in hash order, so if a group keeps at least
+    min(n, N) rows, its sample is exact; a second small count verifies that and disables pruning for
+    any group where it fell short. Only the survivors are ranked (distributed row number).
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("source"), F.col(key)))
-    ranked = running_sum(rows.withColumn("_h", h), [F.col(group), F.col("_h"), F.col(key)], None, "_g")
+    hashed = rows.withColumn("_h", h).withColumn("_p", _prefix_value(F.col("_h")))
+    full = 16 ** HASH_PREFIX_DIGITS
+    sizes = {r[0]: r[1] for r in hashed.groupBy(group).count().collect()}          # one row per group
+    cut = {}
+    for g, n_all in sizes.items():
+        need = min(limits.get(g, 0), n_all)
+        share = need / n_all if n_all else 1.0
+        cut[g] = full if share * PRUNE_MARGIN >= 0.5 else int(min(1.0, share * PRUNE_MARGIN + 1e-6) * full) + 1
+
+    def cutoff_col(cuts):
+        c = F.lit(full).cast("long")
+        for g, v in cuts.items():
+            c = F.when(F.col(group) == g, F.lit(v).cast("long")).otherwise(c)
+        return c
+
+    kept_n = {r[0]: r[1] for r in hashed.where(F.col("_p") < cutoff_col(cut)).groupBy(group).count().collect()}
+    for g, n_all in sizes.items():
+        if kept_n.get(g, 0) < min(limits.get(g, 0), n_all):
+            cut[g] = full                                                           # fall back: no pruning
+    kept = hashed.where(F.col("_p") < cutoff_col(cut))
+    ranked = running_sum(kept, [F.col(group), F.col("_h"), F.col(key)], None, "_g")
     first = ranked.groupBy(group).agg(F.min("_g").alias("_first"))
     ranked = ranked.join(first, group).withColumn("sample_ord", F.col("_g") - F.col("_first") + 1)
     lim = F.lit(None).cast("long")
     for g, n in limits.items():
         lim = F.when(F.col(group) == g, F.lit(n)).otherwise(lim)
-    return ranked.where(F.col("sample_ord") <= lim).drop("_h", "_g", "_first")
+    return ranked.where(F.col("sample_ord") <= lim).drop("_h", "_p", "_g", "_first")
 
 
 def load_nli(spark, sf_dir: str, snli_limit: int = SNLI_LIMIT, mnli_limit: int = MNLI_LIMIT,
@@ -83,6 +116,20 @@ def head(df: DataFrame, k: int, order=("source_ord", "sample_ord"), out: str = "
     return row_number(df, list(order), out).where(F.col(out) <= F.lit(k))
 
 
+def head_by_rank(df: DataFrame, k: int, group: str = "source_ord", rank: str = "sample_ord",
+                 out: str = "row_ord") -> DataFrame:
+    """L-6 when ``rank`` is already dense (1..n) inside each ``group``: no sort at all.
+
+    Position = rows of the earlier groups + rank. Group sizes are one small aggregation (one row per
+    group, a bounded broadcast); the filter then keeps the first k rows.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
+    return (df.join(F.broadcast(offs), group).withColumn(out, F.col("_off") + F.col(rank))
+            .where(F.col(out) <= F.lit(k)).drop("_off"))
+
+
 def distinct_first(df: DataFrame, col: str = "premise", order=("source_ord", "sample_ord")) -> DataFrame:
     """L-7: distinct values of ``col`` in order of first appearance: (first_ord, col), 1-based."""
     firsts = df.groupBy(col).agg(F.min(F.struct(*order)).alias("_first"))
@@ -146,7 +193,7 @@ def training_set(nli: DataFrame, head_limit: int = NLI_HEAD_LIMIT, paraphrase_li
 
     The 200-sentence limit is applied before generation, as in the reference.
     """
-    first = head(nli, head_limit).select(F.lit(0).alias("part"), F.col("row_ord").alias("ord"),
+    first = head_by_rank(nli, head_limit).select(F.lit(0).alias("part"), F.col("row_ord").alias("ord"),
                                          F.col("premise").alias("s1"), F.col("hypothesis").alias("s2"),
                                          F.col("label").cast("int").alias("label"))
     sents = distinct_first(nli).where(F.col("first_ord") <= F.lit(paraphrase_limit))

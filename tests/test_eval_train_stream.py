@@ -136,3 +136,24 @@ def test_run_document_check_writes_both_outputs(spark):
     assert rep.count() == 200
     assert con.count() == rep.select(F.sum(F.size("contradictions"))).collect()[0][0]
     assert con.count() == check_documents(docs).contradictions().count()
+
+
+def test_pruned_sample_equals_full_sort(spark):
+    rows = spark.createDataFrame([("documents", 0, f"k{i}", "p", "h", 0) for i in range(3000)] +
+                                 [("conversations", 1, f"c{i}", "p", "h", 1) for i in range(40)],
+                                 "source string, source_ord int, key string, premise string, hypothesis string, label int")
+    got = {(r.source_ord, r.key, r.sample_ord) for r in tr.seeded_sample(rows, {0: 100, 1: 1000}).collect()}
+    import hashlib
+    want = set()
+    for so, src, n, lim in ((0, "documents", 3000, 100), (1, "conversations", 40, 1000)):
+        keys = [f"{'k' if so == 0 else 'c'}{i}" for i in range(n)]
+        order = sorted(keys, key=lambda k: (hashlib.md5(f"42:{src}:{k}".encode()).hexdigest(), k))
+        want |= {(so, k, i + 1) for i, k in enumerate(order[:lim])}
+    assert got == want
+
+
+def test_head_by_rank_equals_general_head(spark):
+    nli = tr.load_nli(spark, SF)
+    a = {(r.source_ord, r.sample_ord, r.row_ord) for r in tr.head(nli, 500).collect()}
+    b = {(r.source_ord, r.sample_ord, r.row_ord) for r in tr.head_by_rank(nli, 500).collect()}
+    assert a == b and len(a) == 500
