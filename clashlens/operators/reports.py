@@ -58,7 +58,9 @@ def with_texts(pairs: DataFrame, sentence_arrays: DataFrame, key: str = "doc_id"
     One equi-join on the document key against one row per document holding its sentence array;
     the texts are picked by position. Pair rows stay narrow until this last step.
     """
-    return (pairs.join(sentence_arrays.select(key, "sents"), key)
+    # The document side is the corpus itself: never broadcast it (its size estimate comes from a
+    # compressed file and can look small). A shuffle join on the key; AQE splits a skewed document.
+    return (pairs.join(sentence_arrays.select(key, "sents").hint("merge"), key)
             .withColumn("sentence1", F.get(F.col("sents"), F.col("i")))
             .withColumn("sentence2", F.get(F.col("sents"), F.col("j")))
             .drop("sents"))

@@ -91,10 +91,11 @@ def seeded_sample(rows: DataFrame, limits: dict, seed: int = SAMPLE_SEED, group:
             c = F.when(F.col(group) == g, F.lit(v).cast("long")).otherwise(c)
         return c
 
-    kept_n = {r[0]: r[1] for r in hashed.where(F.col("_p") < cutoff_col(cut)).groupBy(group).count().collect()}
-    for g, n_all in sizes.items():
-        if kept_n.get(g, 0) < min(limits.get(g, 0), n_all):
-            cut[g] = full                                                           # fall back: no pruning
+    if any(v < full for v in cut.values()):
+        kept_n = {r[0]: r[1] for r in hashed.where(F.col("_p") < cutoff_col(cut)).groupBy(group).count().collect()}
+        for g, n_all in sizes.items():
+            if kept_n.get(g, 0) < min(limits.get(g, 0), n_all):
+                cut[g] = full                                                       # fall back: no pruning
     kept = hashed.where(F.col("_p") < cutoff_col(cut))
     ranked = running_sum(kept, [F.col(group), F.col("_h"), F.col(key)], None, "_g")
     first = ranked.groupBy(group).agg(F.min("_g").alias("_first"))
