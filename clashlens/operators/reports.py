@@ -16,7 +16,7 @@ from clashlens.functions.scores import round_half_up
 
 # Document verdict texts.
 VERDICT_CONSISTENT = "Fully Consistent"
-VERDICT_FOUND = "{k} Contradiction"
+VERDICT_WORD = " Contradiction"
 VERDICT_PLURAL = "s"
 
 
@@ -88,7 +88,7 @@ def nested_report(stats: DataFrame, flat_contradictions: DataFrame, key: str = "
 
 def doc_verdict_text(k):
     return (F.when(k == 0, F.lit(VERDICT_CONSISTENT))
-            .otherwise(F.concat(k.cast("string"), F.lit(" Contradiction"),
+            .otherwise(F.concat(k.cast("string"), F.lit(VERDICT_WORD),
                                 F.when(k > 1, F.lit(VERDICT_PLURAL)).otherwise(F.lit("")))))
 
 

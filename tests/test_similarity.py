@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from clashlens.operators.sentences import sentence_vectors
 from clashlens.operators.similarity import aligned_features, dense_candidates, token_candidates, with_l2_normalized
