@@ -109,3 +109,12 @@ def test_lsh_is_a_subset_of_exact(spark):
     exact = {(r.label, r.i, r.j) for r in dense_candidates(df, 0.6, block_rows=16).collect()}
     approx = {(r.label, r.i, r.j) for r in lsh_candidates(df, 0.6, bucket_length=2.0, num_hash_tables=12).collect()}
     assert approx <= exact and len(approx) >= 0.5 * len(exact) > 0
+
+
+def test_cosine_exactly_at_threshold_passes(spark):
+    # 5 distinct tokens each, 2 shared: cos = 2 / sqrt(5 * 5) = 0.4 exactly
+    df = spark.createDataFrame([(1, 0, "a b c d e"), (1, 1, "a b x y z")], "doc_id long, idx int, sentence string")
+    v = sentence_vectors(df)
+    rows = token_candidates(v, 0.40).collect()
+    assert [(r.i, r.j, r.cos) for r in rows] == [(0, 1, 0.4)]
+    assert token_candidates(v, 0.4000001).count() == 0
