@@ -103,10 +103,16 @@ def aligned_features(pairs: DataFrame, s1: str = "sentence1", s2: str = "sentenc
     ta, tb = tx.tokens(F.col(s1)), tx.tokens(F.col(s2))
     df = (pairs.withColumn("_ta", F.array_sort(ta)).withColumn("_tb", F.array_sort(tb)))
     a, b = F.col("_ta"), F.col("_tb")
-    df = (df.withColumn("_dot", _merge_dot(a, b))
-            .withColumn("_nsq_a", _square_sum(a)).withColumn("_nsq_b", _square_sum(b))
-            .withColumn("_nd_a", F.size(F.array_distinct(a))).withColumn("_nd_b", F.size(F.array_distinct(b)))
+    df = (df.withColumn("_nd_a", F.size(F.array_distinct(a))).withColumn("_nd_b", F.size(F.array_distinct(b)))
             .withColumn("_shared", F.size(F.array_intersect(a, b))))
+    # Fast path (built-in, code-generated array functions): without repeated tokens every count is 1,
+    # so the squared norm is the token count and the dot product is the number of shared tokens.
+    # Only rows with repeats run the folds (CASE evaluates the chosen branch only).
+    rep_a = F.size(a) != F.col("_nd_a")
+    rep_b = F.size(b) != F.col("_nd_b")
+    df = (df.withColumn("_nsq_a", F.when(rep_a, _square_sum(a)).otherwise(F.size(a).cast("long")))
+            .withColumn("_nsq_b", F.when(rep_b, _square_sum(b)).otherwise(F.size(b).cast("long")))
+            .withColumn("_dot", F.when(rep_a | rep_b, _merge_dot(a, b)).otherwise(F.col("_shared").cast("long"))))
     return (df.withColumn("cos", cosine_from_counts(F.col("_dot"), F.col("_nsq_a"), F.col("_nsq_b")))
             .withColumn("jac", jaccard_from_counts(F.col("_shared"), F.col("_nd_a"), F.col("_nd_b")))
             .withColumn("neg", tx.has_negation(a) != tx.has_negation(b))
