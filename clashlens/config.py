@@ -61,6 +61,9 @@ class Settings:
     dense_block_rows: int = 256
     # range partitions of the distributed numbering (0 = use spark.sql.shuffle.partitions)
     rank_partitions: int = 0
+    # explicit salting of (doc_id, token) keys with more rows than this in the token join (0 = off,
+    # rely on AQE's skew-join split); results are identical either way
+    hot_key_rows: int = 0
 
 
 DEFAULT = Settings()

@@ -39,21 +39,55 @@ def jaccard_from_counts(shared: Column, nd_a: Column, nd_b: Column) -> Column:
     return F.when(den > 0, shared.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id", ident: str = "idx") -> DataFrame:
+HOT_KEYS_BROADCAST_LIMIT = 200_000   # hot (group, token) keys broadcast only below this count
+
+
+def _salted(t: DataFrame, group: str, ident: str, hot_key_rows: int, max_salt: int) -> DataFrame:
+    """Adds ``_s`` (salt on the i side) and ``_ss`` (salts the j side is copied to) per term row.
+
+    A key with n > hot_key_rows rows gets k = min(max_salt, ceil(n / hot_key_rows)) salts: an i-side
+    row takes salt hash(ident) mod k, a j-side row is copied to all k salts, so every pair meets once.
+    The hot-key table is broadcast only after counting it against a limit; above it, a shuffle join.
+    """
+    counts = t.groupBy(group, "token").agg(F.count(F.lit(1)).alias("_n"))
+    hot = (counts.where(F.col("_n") > F.lit(hot_key_rows))
+           .select(group, "token", F.least(F.lit(max_salt), F.ceil(F.col("_n") / F.lit(hot_key_rows)))
+                   .cast("int").alias("_k")))
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_LIMIT else hot
+    x = t.join(hot, [group, "token"], "left").withColumn("_k", F.coalesce(F.col("_k"), F.lit(1)))
+    return (x.withColumn("_s", F.pmod(F.xxhash64(F.col(ident)), F.col("_k")).cast("int"))
+             .withColumn("_ss", F.sequence(F.lit(0), F.col("_k") - 1)))
+
+
+def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id", ident: str = "idx",
+                     hot_key_rows: int | None = None, max_salt: int = 64) -> DataFrame:
     """(group, i, j, dot, shared, nsq_i, nsq_j, nd_i, nd_j, neg_i, neg_j, cos, jac) for cos >= threshold.
 
     ``vectors`` holds one row per item with ``terms, nsq, nd, neg`` (see ``sentence_vectors``).
+    ``hot_key_rows`` turns on explicit salting of (group, token) keys with more rows than that (for
+    clusters where AQE skew handling is off or its thresholds do not fire); the result is identical.
     """
     if not threshold > 0:
         raise ValueError("the token plan only forms pairs that share a token; threshold must be > 0")
     t = term_rows(vectors, (group, ident))
+    if hot_key_rows:
+        st = _salted(t, group, ident, hot_key_rows, max_salt)
+        a = st.drop("_ss").alias("a")
+        b = st.drop("_s").withColumn("_s", F.explode("_ss")).drop("_ss").alias("b")
+        cond = ((F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token"))
+                & (F.col("a._s") == F.col("b._s")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
+        return _pairs_from_join(a.hint("merge").join(b, cond), group, ident, threshold)
     a, b = t.alias("a"), t.alias("b")
     # Sort-merge self-join on (group, token): both sides are the same plan, so the exchange is
     # computed once and reused, and AQE can split a skewed (group, token) partition on both sides.
     # The term table is derived data with an unreliable size estimate: it must never be broadcast.
     cond = ((F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token"))
             & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
-    joined = a.hint("merge").join(b, cond)
+    return _pairs_from_join(a.hint("merge").join(b, cond), group, ident, threshold)
+
+
+def _pairs_from_join(joined: DataFrame, group: str, ident: str, threshold: float) -> DataFrame:
     pairs = joined.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{ident}").alias("i"),
                            F.col(f"b.{ident}").alias("j")).agg(
         F.sum(F.col("a.tf") * F.col("b.tf")).alias("dot"),

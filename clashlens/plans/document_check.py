@@ -71,6 +71,6 @@ def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
     arrays = sentence_arrays(docs.select("doc_id", "text"))
     sents = explode_sentences(arrays)
     vectors = sentence_vectors(sents)
-    cand = token_candidates(vectors, t)
+    cand = token_candidates(vectors, t, hot_key_rows=settings.hot_key_rows or None)
     scored = (scorer or (lambda df: lexical_scorer(df, settings.scorer_weights)))(cand)
     return DocumentCheck(arrays, sents, cand, scored, settings)

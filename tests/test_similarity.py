@@ -118,3 +118,19 @@ def test_cosine_exactly_at_threshold_passes(spark):
     rows = token_candidates(v, 0.40).collect()
     assert [(r.i, r.j, r.cos) for r in rows] == [(0, 1, 0.4)]
     assert token_candidates(v, 0.4000001).count() == 0
+
+
+def test_salted_hot_keys_give_identical_pairs(spark):
+    from clashlens.operators.sentences import sentences
+    from clashlens.sources.tables import read_table
+    rnd = random.Random(11)
+    rows = [(0, i, "the " + " ".join(rnd.choice(WORDS) for _ in range(3))) for i in range(60)]   # "the" is hot
+    v = sentence_vectors(spark.createDataFrame(rows, "doc_id long, idx int, sentence string"))
+    plain = {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in token_candidates(v, 0.3).collect()}
+    salted = {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in token_candidates(v, 0.3, hot_key_rows=7).collect()}
+    assert plain == salted and len(plain) > 0
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    rv = sentence_vectors(sentences(docs))
+    a = {(r.doc_id, r.i, r.j, r.dot) for r in token_candidates(rv, 0.4).collect()}
+    b = {(r.doc_id, r.i, r.j, r.dot) for r in token_candidates(rv, 0.4, hot_key_rows=20).collect()}
+    assert a == b
