@@ -120,7 +120,7 @@ def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=No
     """
     ensure_checkpoint_dir(graded.sparkSession)
     long = long_predictions(wide_predictions(graded, settings, scorer)).checkpoint(eager=True)
-    return metrics(long)
+    return metrics(long, num_partitions=settings.rank_partitions or None)
 
 
 def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, thresholds=None) -> DataFrame:

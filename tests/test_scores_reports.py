@@ -65,3 +65,15 @@ def test_doc_verdict_text(spark):
     df = spark.createDataFrame([(0,), (1,), (3,)], "k long")
     got = [r[0] for r in df.select(reports.doc_verdict_text(F.col("k"))).collect()]
     assert got == ["Fully Consistent", "1 Contradiction", "3 Contradictions"]
+
+
+def test_properties_on_driver_documents(spark):
+    from clashlens.plans.document_check import check_documents
+    from clashlens.sources.tables import read_table
+    c = check_documents(read_table(spark, "/root/testdata/sf0.001", "documents"))
+    s = c.scored.agg(F.max(F.abs(F.col("entailment") + F.col("neutral") + F.col("contradiction") - 1)).alias("dev"),
+                     F.min("cos").alias("mincos"), F.count_if(F.col("i") >= F.col("j")).alias("bad")).collect()[0]
+    assert s.dev < 1e-12 and s.mincos >= 0.40 and s.bad == 0
+    st = c.stats().agg(F.min("consistency_score").alias("lo"), F.max("consistency_score").alias("hi"),
+                       F.count_if(F.col("filtered_pairs") > F.col("total_pairs")).alias("over")).collect()[0]
+    assert 0.0 <= st.lo <= st.hi <= 1.0 and st.over == 0
