@@ -19,11 +19,17 @@ from clashlens.config import BATCH_SIZE
 _CACHE: dict = {}
 
 
-def _model(load: Callable[[], object]):
-    key = id(load)
-    if key not in _CACHE:
-        _CACHE[key] = load()
-    return _CACHE[key]
+def model_key(load: Callable[[], object]) -> str:
+    """Stable name of a loader. Not ``id()``: each task unpickles a fresh loader object, and a reused
+    worker could hand a new, different loader the id of a collected one and return the wrong model."""
+    return f"{getattr(load, '__module__', '')}.{getattr(load, '__qualname__', repr(load))}"
+
+
+def _model(load: Callable[[], object], key: str | None = None):
+    k = key or model_key(load)
+    if k not in _CACHE:
+        _CACHE[k] = load()
+    return _CACHE[k]
 
 
 def encode_with(df: DataFrame, load_encoder: Callable[[], object], text: str = "sentence", out: str = "embedding",

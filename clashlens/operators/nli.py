@@ -54,7 +54,8 @@ def model_scorer(pairs: DataFrame, load_model: Callable[[], object], labels: Seq
     if missing:
         raise ValueError(f"model labels lack {sorted(missing)}")
     pos = [list(labels).index(k) for k in LABEL_ORDER]
-    key = id(load_model)
+    from clashlens.operators.hooks import model_key
+    key = model_key(load_model)
     schema = T.StructType(pairs.schema.fields + [T.StructField(k, T.DoubleType()) for k in LABEL_ORDER])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
