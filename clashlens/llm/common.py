@@ -158,3 +158,8 @@ def word_hashes(col: pa.Array, is_break: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def run_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (written, narrow rows) marked for broadcast if it is counted at most ``rows``, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clashlens.llm import jaccard_join, language_id
+from clashlens.llm import decontaminate, jaccard_join, language_id, token_codes, token_count
 from clashlens.llm.common import held_out, table
 
 
@@ -21,7 +21,27 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=1024)
+
+
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op7_token_id_output": op7_token_id_output,
 }
