@@ -163,3 +163,20 @@ def run_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` (written, narrow rows) marked for broadcast if it is counted at most ``rows``, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str) -> DataFrame:
+    """(doc_id, label): about ``rows`` ids at most of every label, of the ids that aren't held out.
+
+    Takes the ids whose salted hash lies below the share that ``rows`` is of the label's ids. An id with
+    several labels has the largest. Null ids and labels are left out.
+    """
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label"))
+             .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id"), 11) / F.lit(float(1 << 53))
+    share = F.lit(0.0)
+    for k, n in counts.items():
+        share = F.when(F.col("label") == k, F.lit(min(1.0, rows / n))).otherwise(share)
+    return known.where(unit < share)

@@ -4,14 +4,19 @@ Candidates come from a partition of the universe of shingles. Sizes are cut into
 sets that reach the threshold differ in at most H shingles, H growing with the smaller set's size. A hash
 deals all shingles into m segments; among any H + 1 of them, two such sets agree on one. Every set is
 indexed under its subsets of the first p segments, and in the first d of them also under each subset less
-one shingle (which finds a difference of one): p + d > H + e gives a guarantee with e segments to spare,
-and the smaller set's p segments are among the larger's. Costs choose m, d and e for each band. Empty subsets would put unrelated sets together, so they aren't indexed
-unless a set has lost more than the e spare segments to them, which keeps the guarantee.
+one shingle (which finds a difference of one); p is the smallest number with p + min(p, d) > H, so the
+pair agrees within the smaller p of its two sets. Costs choose m and d for each band.
 
-A bucket (sets under one key) is not expanded into pairs. Each member is verified against the bucket's
-smallest set first; verified links form components; then only members of different components in a bucket
-are verified against each other. Every pair of linked texts shares a bucket, so each is verified or
-lies within one component already: components are those of the full join.
+Empty subsets, and those of shingles that very many texts share, would put unrelated texts together. They
+are no keys; a set makes up for each by more segments. Only a set that runs out of segments is indexed
+under all its subsets. Which shingles are known as frequent changes costs, never results.
+
+A bucket (sets under one key) is not expanded into pairs. Each member is compared with the bucket's smallest
+id, its hub; links form components. Two other members of a bucket then have a hub in common: the sets that
+share a hub and lie in different components are compared in tiles of bounded size by parity sketches
+(the bits in which two sketches differ never exceed the shingles in which the sets do), and the pairs
+that the sketches leave are verified on the sets themselves. So every linked pair is verified or lies
+within one component already: components are those of the full join.
 
 Defined results: words are runs without the given break bytes after ASCII lower-casing. A text with fewer
 words than n has one shingle, all its words; a null text or one without words has none and links with
@@ -23,14 +28,14 @@ names, aren't read.
 from __future__ import annotations
 
 from functools import cache, partial, reduce
-from math import exp, sqrt
+from math import exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clashlens.llm.common import _U, as_batch, blocks, columns_only, mix, saved, word_hashes
+from clashlens.llm.common import _U, as_batch, blocks, checked_broadcast, columns_only, mix, saved, word_hashes
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,70 +108,81 @@ def most_differences(size: int, num: int, den: int) -> int:
 
 
 @cache
-def allocation(k: int, num: int, den: int, mean: float) -> tuple[int, int, int]:
-    """(segments m, of them with one-deletion subsets d, spare e) of band k, by cost.
+def allocation(k: int, num: int, den: int, mean: float) -> tuple[int, int]:
+    """(segments m, of them with one-deletion subsets d) of band k, by cost.
 
-    ``mean``: mean size of the sets of this band. Cost of a set: its number of keys, and three keys' worth
-    for each expected subset of one or two shingles, as unrelated texts can share those.
+    ``mean``: mean size of the sets of this band. Cost of a set: its number of keys, and three more for each
+    expected subset of one or two shingles, as unrelated texts can share those. A quarter more segments
+    than the largest set needs stand by for subsets that are no keys.
     """
-    low, high = band_start(k), band_start(k + 1) - 1
-    need = most_differences(high, num, den) + 1
+    need = most_differences(band_start(k + 1) - 1, num, den) + 1
     if need == 1:
-        return 0, 0, 0          # equal sets only: they are one set here
-    best = None
-    for m in sorted({1, 2, 3, *np.unique(np.geomspace(1, need + 8, 60).astype(int)).tolist(), need}):
-        for spare in range(0, 2 * need + 12):
-            d = need + spare - m
-            if d < 0:
-                continue
-            if d > m:
-                break
-            lam = low / m
-            empty, one = (exp(-lam), lam * exp(-lam)) if m > 1 else (0.0, 0.0)
-            lost = (m - d) * empty + d * (2 * empty + one)
-            if spare < lost + 5 * sqrt(lost) - 0.02:
-                continue
-            used = segments_used(int(mean), (m, d, spare), num, den)
-            lam = mean / m
-            cost = used + min(d, used) * lam + 3 * used * exp(-lam) * (lam + lam * lam / 2) * (m > 1)
-            if best is None or cost < best[0]:
-                best = cost, (m, d, spare)
-            break
-    return best[1] if best else (1 + need // 2, 1 + need // 2, 0)
-
-
-def segments_used(size: int, plan: tuple[int, int, int], num: int, den: int) -> int:
-    """The smallest p with p + min(p, d) > H + e for a set of this size, at most m."""
-    m, d, spare = plan
-    need = most_differences(size, num, den) + 1 + spare
-    return min(m, max(need - d, -(-need // 2)))
-
-
-def keys_of(s: np.ndarray, k: int, plan: tuple[int, int, int], num: int, den: int) -> np.ndarray:
-    """The index keys of a set under band k."""
-    m, d, spare = plan
+        return 0, 0         # equal sets only: they are one set here
+    mine, best = most_differences(int(mean), num, den) + 1, None
+    for d in sorted({0, 1, 2, 3, *range(0, need + 1, max(1, need // 16))}):
+        m = max(need - d, -(-need // 2))
+        m, d = (1, 1) if m == 1 else (m + 1 + m // 4, min(d, m))
+        p, lam = max(mine - d, -(-mine // 2)), mean / m
+        cost = p + min(d, p) * lam + 3 * (p * exp(-lam) * (lam + lam * lam / 2) if m > 1 else 0)
+        if best is None or cost < best[0]:
+            best = cost, (m, d)
+    return best[1]
+
+
+def keys_of(s: np.ndarray, k: int, plan: tuple[int, int], num: int, den: int, frequent: np.ndarray) -> np.ndarray:
+    """The index keys of a set under band k.
+
+    A subset without a shingle beyond the frequent ones is no key. Such a segment counts nothing towards
+    H + 1; one with a single telling shingle, whose subset less that shingle is no key, counts one. If two
+    linked sets met under no key, then in every segment of the shorter index they would differ by at least
+    what it counts in the set with the shorter index, together by more than H.
+    """
+    m, d = plan
     if not m or not len(s):
         return np.zeros(0, np.uint64)
-    p = segments_used(len(s), plan, num, den)
     seg = (mix(s, 21) % _U(m)).astype(np.int64)
-    s, seg = s[seg < p], seg[seg < p]
     order = np.argsort(seg, kind="stable")
-    seg, value = seg[order], mix(s[order], 22)
-    size = np.bincount(seg, minlength=p)
-    total = np.zeros(p, np.uint64)
-    full = np.flatnonzero(size)
+    s, seg = s[order], seg[order]
+    telling = np.ones(len(s), bool)
+    if len(frequent):
+        telling = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
+    tell = np.bincount(seg, weights=telling, minlength=m).astype(np.int64)
+    two = np.arange(m) < d
+    counts = np.cumsum(np.minimum(tell, np.where(two, 2, 1)))
+    need = most_differences(len(s), num, den) + 1
+    p = int(np.searchsorted(counts, need)) + 1
+    every = p > m           # not enough: all subsets are keys
+    p = min(p, m)
+    inside = seg < p
+    s, seg, telling, tell, two = s[inside], seg[inside], telling[inside], tell[:p], two[:p]
+    value, size = mix(s, 22), np.bincount(seg, minlength=p)
+    total, full = np.zeros(p, np.uint64), np.flatnonzero(size)
     if len(full):
         total[full] = np.add.reduceat(value, (np.cumsum(size) - size)[full])
-    two = np.arange(p) < d
-    lost = int((size[~two] == 0).sum() + 2 * (size[two] == 0).sum() + (size[two] == 1).sum())
     where = mix(np.arange(p, dtype=np.uint64) + _U((k * 1_000_003 + m) << 20), 23)
-    some = lost > spare          # then empty subsets are keys as well
-    keep = (size > 0) | some
-    one = two[seg] & ((size[seg] > 1) | some)
+    keep = (tell > 0) | every
+    one = two[seg] & ((tell[seg] - telling > 0) | every)
     return np.unique(np.concatenate([mix(total[keep] + where[keep], 24), mix(total[seg[one]] - value[one] + where[seg[one]], 24)]))
 
 
-def index(docs: DataFrame, n: int, num: int, den: int, means: dict[int, float]) -> DataFrame:
+def frequent_shingles(docs: DataFrame, n: int, in_block: int = 4, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of shingles that many texts share.
+
+    Every task counts the texts of each shingle in its blocks of texts (some hundred) and reports the
+    counts from ``in_block`` up; the ``most`` shingles with the largest sums are taken.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in blocks(batches):
+            x, c = np.unique(np.concatenate(shingle_sets(b.column(1), n)), return_counts=True)
+            yield as_batch(schema, _signed(x[c >= in_block]), c[c >= in_block].astype(np.int64))
+
+    top = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most)
+    return np.sort(np.array(top.toPandas()["shingle"], np.int64).view(np.uint64))
+
+
+def index(docs: DataFrame, n: int, num: int, den: int, means: dict[int, float], frequent: np.ndarray) -> DataFrame:
     """(doc_id, keys): the keys of each document's set in its band and the bands of smaller partners."""
     schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -178,7 +194,7 @@ def index(docs: DataFrame, n: int, num: int, den: int, means: dict[int, float])
                 if size:
                     for k in range(band(-(-num * size // den)), band(size) + 1):
                         if k in means:
-                            keys.append(keys_of(s, k, allocation(k, num, den, means[k]), num, den))
+                            keys.append(keys_of(s, k, allocation(k, num, den, means[k]), num, den, frequent))
                 out.append(_signed(np.concatenate(keys)) if keys else [])
             yield as_batch(schema, b.column(0), out)
 
@@ -187,25 +203,107 @@ def index(docs: DataFrame, n: int, num: int, den: int, means: dict[int, float])
 
 # --- verification and components -----------------------------------------------------------------
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit for each hash class: whether the set has an odd number of shingles in it."""
+    bits = 1 << max(9, int(4 * max(1, len(s)) - 1).bit_length())
+    flags = np.bincount((mix(s, 31) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").tobytes()
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(node, size, sketch, shingles) of rows (doc_id, text)."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in blocks(batches):
-            yield as_batch(schema, b.column(0), [_signed(s) for s in shingle_sets(b.column(1), n)])
+            sets = shingle_sets(b.column(1), n)
+            yield as_batch(schema, b.column(0), [len(s) for s in sets], [parity_sketch(s) for s in sets], [_signed(s) for s in sets])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, size long, sketch binary, shingles array<long>")
+
+
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, folded to the length of the shortest."""
+    short = min(map(len, sketches))
+    out = []
+    for x in sketches:
+        w = np.frombuffer(x, np.uint64)
+        out.append(w if len(x) == short else np.bitwise_xor.reduce(w.reshape(-1, short // 8), axis=0))
+    return np.array(out)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes a and b that differ in at least ``differ`` shingles can link."""
+    common = (a + b - np.maximum(differ, np.abs(a - b))) // 2
+    return den * common >= num * (a + b - common)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link: den * |intersection| >= num * |union|, in integers."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (both.where(smaller * den >= larger * num)
-            .withColumn("i", common).where(F.col("i") * den >= (F.size("sa") + F.size("sb") - F.col("i")) * num).select("a", "b"))
+    side = lambda c, what: sets.select(F.col("node").alias(c), *(F.col(x).alias(x + c) for x in what))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def possible(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+            differ = np.fromiter((int(np.bitwise_count(np.bitwise_xor(*_words([x, y]))).sum()) for x, y in zip(
+                batch.column(4).to_pylist(), batch.column(5).to_pylist())), np.int64, len(a))
+            ok = may_link(na, nb, differ, num, den)
+            yield as_batch(schema, a[ok], b[ok])
+
+    near = (pairs.join(side("a", ["size", "sketch"]), "a").join(side("b", ["size", "sketch"]), "b")
+            .select("a", "b", "sizea", "sizeb", "sketcha", "sketchb").mapInArrow(possible, "a long, b long"))
+    both = near.join(side("a", ["shingles"]), "a").join(side("b", ["shingles"]), "b")
+    return (both.withColumn("i", F.size(F.array_intersect("shinglesa", "shinglesb")))
+            .where(F.col("i") * den >= (F.size("shinglesa") + F.size("shinglesb") - F.col("i")) * num).select("a", "b"))
+
+
+def compared_in_tiles(grouped: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
+    """Pairs (a, b) of nodes that share a hub, lie in different components and can link by their sketches.
+
+    ``grouped``: hub, node, comp, size, sketch. A hub's nodes are dealt into blocks of about ``block`` rows,
+    and every two blocks meet in one tile, so no task holds a whole hub however many nodes it has.
+    """
+    count = grouped.groupBy("hub").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    dealt = (grouped.join(count.select("hub", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hub")
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "comp", "size", "sketch"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tile(rows):
+        block_, node, comp, size = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(3, 7))
+        words = _words([x for r in rows for x in r.column(7).to_pylist()])
+        x, y = int(rows[0].column(1)[0].as_py()), int(rows[0].column(2)[0].as_py())
+        a, b = [], []
+        for i in range(len(node)):
+            j = slice(i + 1, None)
+            ok = may_link(size[i], size[j], np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64), num, den) & (comp[j] != comp[i])
+            if x != y:
+                ok &= block_[j] != block_[i]
+            k = np.flatnonzero(ok) + i + 1
+            a.append(np.minimum(node[k], node[i]))
+            b.append(np.maximum(node[k], node[i]))
+        return as_batch(schema, np.concatenate(a), np.concatenate(b))
+
+    def run(batches):
+        at, held = None, []
+        for whole in batches:
+            hub, x, y = (whole.column(i).to_numpy() for i in range(3))
+            cuts = [0, *(np.flatnonzero((np.diff(hub) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(hub)]
+            for u, v in zip(cuts, cuts[1:]):
+                if u == v:
+                    continue
+                here = int(hub[u]), int(x[u]), int(y[u])
+                if here != at and held:
+                    yield tile(held)
+                    held = []
+                at = here
+                held.append(whole.slice(u, v - u))
+        if held:
+            yield tile(held)
+
+    return (dealt.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,27 +350,22 @@ def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> Dat
     number = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("size"))) - 1
     means = {r["k"]: r["mean"] for r in nodes.groupBy(number.alias("k")).agg(F.avg("size").alias("mean")).collect()}
 
-    keys = (index(docs, n, num, den, means).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    keys = (index(docs, n, num, den, means, frequent_shingles(docs, n)).join(checked_broadcast(ids), "doc_id", "left_semi")
             .select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
     same = Window.partitionBy("key")
-    hub = keys.select("key", "node", *(f("node").over(same).alias(c) for c, f in (("hub", F.min), ("far", F.max))))
-    members = saved(hub.where("hub <> far").select("key", "node", "hub"), "members")
+    hub = keys.select("key", "node", F.min("node").over(same).alias("hub"))
+    tried = saved(hub.where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("keys")).select("hub", "node"), "tried")
 
-    near = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = saved(tried.select("node").union(tried.select("hub")).distinct().withColumnRenamed("node", "doc_id"), "near")
+    near = docs.join(checked_broadcast(near), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = saved(sets_of(near, n), "sets")
     check = partial(verified, sets=sets, num=num, den=den)
-
-    tried = saved(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    links = saved(check(tried), "links")
+    links = saved(check(tried.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
     comp = components(links)
-    # members of different components within a bucket: every such pair that wasn't tried
-    named = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = saved(named.select("key", "node", "comp", *(f("comp").over(same).alias(c) for c, f in (("lo", F.min), ("hi", F.max))))
-                  .where("lo <> hi").select("key", "node", "comp"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = (open_.withColumnsRenamed({"node": "a", "comp": "comp_a"}).join(other, "key").where("a < b and comp_a <> comp_b")
-            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    comp = components(links.unionByName(check(rest)))
+    grouped = (tried.join(comp, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
+               .join(sets.select("node", "size", "sketch"), "node").select("hub", "node", "comp", "size", "sketch"))
+    comp = components(links.unionByName(check(compared_in_tiles(grouped, num, den))))
 
     named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
     return sizes.join(named, ["h1", "h2"], "left").select(
