@@ -1,3 +1,95 @@
-"""DuckDB twins of the operators that SQL can express."""
+"""DuckDB twins of the operators that SQL can express, written apart from the operators' own method."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from clashlens.llm.warc import CRLF, DATE, SERVED_AS, TEXT_STEPS, VERSION
+
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS n, count(*) AS i
+      FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
+"""
+
+_WORDS = rf"coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS x
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS x
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+h AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (n, x)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def _quoted(s: str) -> str:
+    """A DuckDB literal; line ends and tabs by their code."""
+    parts = s.replace("'", "''")
+    for c in "\r\n":
+        parts = parts.replace(c, f"' || chr({ord(c)}) || '")
+    return f"('{parts}')"
+
+
+def _plain(html: str) -> str:
+    for pattern, to in TEXT_STEPS:
+        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    return html
+
+
+def _record_id(text: str) -> str:
+    h = f"md5({text})"
+    cut = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"('<urn:uuid:' || {cut} || '>')"
+
+
+def _op6() -> str:
+    nl, end = "chr(10)", "chr(13) || chr(10)"
+    one_line = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    title = "regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1)"
+    lang = "regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1)"
+    meta = (f"'source-headers: ' || replace(left(http, length(http) - 2), {end}, {end} || ' ') || {end} || 'source-block-digest: ' || block_digest || {end}"
+            f" || 'source-payload-digest: ' || payload_digest || {end} || 'title: ' || {one_line(title)} || {end} || 'language: ' || {one_line(lang)} || {end}")
+    line = lambda k, c: f"coalesce('{k}: ' || {c}::VARCHAR || {end}, '')"
+    fields = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"),
+              ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "record_digest"), ("WARC-Source-Payload-Digest", "source_digest"),
+              ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    served = f"'HTTP/1.1 200 OK' || {end} || 'Content-Type: {SERVED_AS}' || {end} || 'Content-Length: ' || strlen(html) || {end}"
+    resp_text = f"'response' || {nl} || coalesce(target, '') || {nl} || coalesce(page_id::VARCHAR, '') || {nl} || block_digest"
+    assert CRLF == "\r\n"
+    return f"""
+WITH p AS (SELECT page_id, regexp_replace(url, '[\\r\\n]+', '', 'g') AS target, coalesce(html, '') AS html FROM pages),
+q AS (SELECT *, {served} AS http FROM p),
+r AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest, 'sha256:' || sha256(http || {end} || html) AS block_digest FROM q),
+s AS (SELECT *, {_record_id(resp_text)} AS response_id FROM r),
+k AS (SELECT page_id, 'metadata' AS record_type, target, response_id, 'application/warc-fields' AS content_type, NULL AS source_digest, {meta} AS block FROM s
+      UNION ALL
+      SELECT page_id, 'conversion', target, response_id, 'text/plain; charset=utf-8', payload_digest, {_plain('html')} FROM s),
+f AS (SELECT page_id, record_type, {_record_id(f"record_type || {nl} || response_id")} AS record_id, response_id AS refers_to, target AS target_uri,
+             '{DATE}' AS date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS record_digest,
+             source_digest::VARCHAR AS source_digest, block FROM k)
+SELECT *, '{VERSION}' || {end} || {" || ".join(line(k, c) for k, c in fields)} || {end} AS header FROM f
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2,
+    "op3_benchmark_decontamination": OP3,
+    "op6_warc_derivatives": _op6(),
+}
