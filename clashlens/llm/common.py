@@ -131,6 +131,16 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def range_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of a sequence of 64-bit values, equal for equal contents."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    pw, inv = _pow(len(values))
+    run = np.cumsum(values * pw)
+    total = run[end - 1] - np.where(first > 0, run[first - 1], _U(0))
+    return mix(total * inv[first] + (end - first).astype(np.uint64))
+
+
 def word_hashes(col: pa.Array, is_break: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-lower-cased words of each text, and the n + 1 word offsets of its rows.
 
@@ -150,10 +160,7 @@ def word_hashes(col: pa.Array, is_break: np.ndarray) -> tuple[np.ndarray, np.nda
     first[edge] |= inside[edge]        # a text's first byte begins a word even where the text before has no break
     last[edge - 1] |= inside[edge - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    pw, inv = _pow(n)
-    run = np.cumsum(_BYTE[data] * pw)
-    total = run[e] - np.where(s > 0, run[s - 1], _U(0))
-    return mix(total * inv[s] + (e - s).astype(np.uint64)), np.searchsorted(s, off)
+    return range_hashes(_BYTE[data], s, e + 1), np.searchsorted(s, off)
 
 
 def run_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -22,6 +22,7 @@ their text. An empty table gives no segment. Other columns of the input aren't r
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -33,11 +34,10 @@ from pyspark.sql import functions as F
 
 from clashlens.llm.common import as_batch, blocks, bucket_of, columns_only, range_splits, saved, shared_path
 from clashlens.llm.token_count import compiled_classes, load_tokenizer
-from clashlens.llm.transducer import split_pieces
+from clashlens.llm.transducer import PieceTable, _byte_letters, split_pieces
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
-MEMO_PIECES = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -127,42 +127,67 @@ class Encoder:
         self.tokenizer, self.classes = load_tokenizer(path), classes
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.memo: dict[str, int] = {}
-        self.pool, self.first, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, k = e.ids, len(self.memo)
-            if k >= len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.memo[p], self.first[k], self.size[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        self.known = PieceTable()
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces. Words after a space stay apart when they are put together, so the library gets
+        all of them as one text; the tokens that begin with the space say where each word begins."""
+        plain = np.fromiter((p[0] == " " and p[1:].isascii() and p[1:].isalpha() for p in pieces), bool, len(pieces))
+        words = [p for p, k in zip(pieces, plain) if k]
+        first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for a in range(0, len(words), 4096):
+            e = self.tokenizer.encode("".join(words[a:a + 4096]), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids])
+            at = np.flatnonzero(plain)[a:a + 4096]
+            if len(starts) != len(at):
+                raise ValueError("words did not stay apart")
+            first[at] = self._keep(ids) + starts
+            size[at] = np.diff(np.append(starts, len(ids)))
+        rest = np.flatnonzero(~plain)
+        for i, e in zip(rest.tolist(), self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            first[i], size[i] = self._keep(np.array(e.ids, np.uint32)), len(e.ids)
+        self.known.put(hashes, first << 24 | size)
+
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Whether each token begins with a space (the letter for it in a byte-level vocabulary)."""
+        space = next(c for c, b in _byte_letters().items() if b == 0x20)
+        vocab = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-            self.used = 0
         odd = {i: t for i, t in enumerate(texts) if self.special and self.special.search(t)}
-        pieces, of = split_pieces([("" if i in odd else t) for i, t in enumerate(texts)], self.classes)
-        at = list(map(self.memo.get, pieces))
-        if None in at:
-            self._learn(list({p for p, k in zip(pieces, at) if k is None}))
-            at = list(map(self.memo.__getitem__, pieces))
-        at = np.asarray(at, np.int64)
-        n = self.size[at]
-        sizes = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64) + 1
+        pieces = split_pieces([("" if i in odd else t) for i, t in enumerate(texts)], self.classes)
+        at = self.known.get(pieces.hash)
+        if (at < 0).any():
+            h, which = np.unique(pieces.hash, return_index=True)
+            if self.known.full_with(len(h)):
+                self.known.clear()
+                self.used = 0
+            which = which[self.known.get(h) < 0]
+            self._learn(pieces.hash[which], pieces.strings(which))
+            at = self.known.get(pieces.hash)
+        first, n = at >> 24, at & 0xFFFFFF
+        sizes = np.bincount(pieces.part, weights=n, minlength=len(texts)).astype(np.int64) + 1
         ids = np.empty(int(sizes.sum()), np.uint32)
         ends = np.cumsum(sizes) - 1
         ids[ends] = end
         body = np.ones(len(ids), bool)
         body[ends] = False
         if len(n):
-            ids[body] = self.pool[np.arange(int(n.sum())) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)]
+            ids[body] = self.pool[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)]
         if odd:     # a text with the string of a special token is encoded by itself
             parts = np.split(ids, ends[:-1] + 1)
             for i, t in odd.items():

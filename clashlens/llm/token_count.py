@@ -20,9 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from clashlens.llm.common import as_batch, blocks, columns_only
-from clashlens.llm.transducer import CountTransducer, character_classes, split_pieces
+from clashlens.llm.transducer import CountTransducer, PieceTable, character_classes, split_pieces
 
-MEMO_PIECES = 200_000
 _counters: dict[str, "Counter"] = {}
 
 
@@ -43,8 +42,7 @@ class Counter:
         self.bpe = CountTransducer(path)
         special = sorted((t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.memo: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.known = PieceTable()
 
     def count(self, texts: list[str]) -> np.ndarray:
         parts, of, extra = [], [], np.zeros(len(texts), np.int64)
@@ -53,18 +51,16 @@ class Counter:
             extra[i] = len(cut) - 1
             parts += cut
             of += [i] * len(cut)
-        pieces, at = split_pieces(parts, self.classes)
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            self.memo, self.older = {}, memo     # pieces in use move over to the new one
-            memo = self.memo
-        n = list(map(memo.get, pieces))
-        if None in n:
-            for p in {p for p, k in zip(pieces, n) if k is None}:
-                k = self.older.get(p)
-                memo[p] = self.bpe.count(p.encode()) if k is None else k
-            n = list(map(memo.__getitem__, pieces))
-        total = np.bincount(np.asarray(of, np.int64)[at], weights=n, minlength=len(texts)) if pieces else 0
+        pieces = split_pieces(parts, self.classes)
+        n = self.known.get(pieces.hash)
+        if (n < 0).any():
+            h, which = np.unique(pieces.hash, return_index=True)
+            if self.known.full_with(len(h)):
+                self.known.clear()
+            which = which[self.known.get(h) < 0]
+            self.known.put(pieces.hash[which], np.array(self.bpe.counts([p.encode() for p in pieces.strings(which)]), np.int64))
+            n = self.known.get(pieces.hash)
+        total = np.bincount(np.asarray(of, np.int64)[pieces.part], weights=n, minlength=len(texts))
         return (total + extra).astype(np.int64)
 
 

@@ -13,11 +13,14 @@ token ends a prefix exactly if it and the last token before it stay apart when t
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import regex
 
+from clashlens.llm.common import mix, range_hashes
+
 # character classes of the pieces; the letters of the contractions 's 't 'm 'd 're 've 'll are classes of their own
 END, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, STMD, RV, E, L = range(11)
 LETTERS = (LETTER, STMD, RV, E, L)
@@ -27,6 +30,7 @@ STATES, WIDTH = 11, 16
 HERE, BEFORE = 1, 2     # a piece begins at this character; at the character before it
 CHUNK = 128
 NEVER = 1 << 60
+ONE = [bytes([b]) for b in range(256)]
 SHIFT = 128
 
 
@@ -121,14 +125,27 @@ def run_chunks(classes: np.ndarray) -> np.ndarray:
     return marks.T.reshape(-1)
 
 
-def split_pieces(parts: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """All pieces of the parts, and the number of the part that each lies in."""
+@dataclass
+class Pieces:
+    """The pieces of some text parts: where each lies in ``text``, the part it is of, and a 64-bit hash of it."""
+    text: str
+    first: np.ndarray
+    end: np.ndarray
+    part: np.ndarray
+    hash: np.ndarray
+
+    def strings(self, which) -> list[str]:
+        return [self.text[a:z] for a, z in zip(self.first[which].tolist(), self.end[which].tolist())]
+
+
+def split_pieces(parts: list[str], table: np.ndarray) -> Pieces:
     text = "\n".join([*parts, ""])
     size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(size) - 1
     n = len(text)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     classes = np.zeros(-(-(n + 1) // CHUNK) * CHUNK, np.uint8)
-    classes[:n] = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    classes[:n] = table[code]
     classes[ends] = END
     marks = run_chunks(classes)
     first = (marks & HERE).astype(bool)
@@ -136,15 +153,57 @@ def split_pieces(parts: list[str], table: np.ndarray) -> tuple[list[str], np.nda
     at = np.flatnonzero(first[:n + 1])
     inner = classes[at] != END
     inner[at >= n] = False
-    a = at[inner]
-    z = at[np.flatnonzero(inner) + 1]
-    return [text[x:y] for x, y in zip(a.tolist(), z.tolist())], np.searchsorted(ends, a)
+    a, z = at[inner], at[np.flatnonzero(inner) + 1]
+    return Pieces(text, a, z, np.searchsorted(ends, a), range_hashes(mix(code.astype(np.uint64), 41), a, z))
+
+
+class PieceTable:
+    """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64), 0
+
+    def full_with(self, more: int) -> bool:
+        return 2 * (self.used + more) > len(self.keys)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The numbers; -1 where there is none."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        have = self.keys[slot]
+        out = np.where(have == h, self.values[slot], -1)
+        open_ = np.flatnonzero((have != h) & (have != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            have, want = self.keys[slot[open_]], h[open_]
+            hit = have == want
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (have != 0)]
+        return out
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct hashes that aren't there."""
+        mask = len(self.keys) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = h[free]         # of several for one slot the last stays
+            won = free[self.keys[slot[free]] == h[free]]
+            self.values[slot[won]] = values[won]
+            open_ = open_[self.keys[slot[open_]] != h[open_]]
+            slot[open_] = (slot[open_] + 1) & mask
+        self.used += len(h)
 
 
 class CountTransducer:
     """Deterministic transducer over the bytes of a piece whose transitions carry token counts."""
 
-    LIMIT = 400_000     # transitions kept at a time
+    LIMIT = 250_000     # states kept at a time
 
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))["model"]
@@ -160,9 +219,11 @@ class CountTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = (b"", ((b"", 0),))
+        self.start = b"", (b"",), (0,)
         self.states, self.number = [self.start], {self.start: 0}
-        self.moves: dict[int, int] = {}     # state and byte: next state and change of the count
+        # next state and change of the count, by state and the byte's column
+        self.width, self.column, self.bytes = 64, np.full(256, -1, np.int64), []
+        self.table = np.full(1024 * self.width, -1, np.int32)
 
     def merge(self, data: bytes) -> list[bytes]:
         """The tokens of a few bytes by the merge rules themselves."""
@@ -218,40 +279,78 @@ class CountTransducer:
 
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, change of the token count)."""
-        tail, past = self.states[state]     # past[k]: (last token, count less the current one) k bytes back
-        tail += bytes([byte])
-        for n in range(len(tail), 0, -1):
-            token = tail[len(tail) - n:]
-            if token in self.vocab and past[n - 1] and self.stay_apart(past[n - 1][0], token):
+        tail, tokens, counts = self.states[state]   # last token, and count less the current one, k bytes back
+        tail += ONE[byte]
+        vocab, prefixes, n = self.vocab, self.prefixes, len(tail)
+        for k in range(n, 0, -1):
+            token = tail[n - k:]
+            if token in vocab and tokens[k - 1] is not None and self.stay_apart(tokens[k - 1], token):
                 break
         else:
             raise ValueError("a byte without a token")
-        change = past[n - 1][1] + 1
-        past = ((token, 0), *(x and (x[0], x[1] - change) for x in past))
-        while tail not in self.prefixes:
-            tail = tail[1:]
+        change = counts[k - 1] + 1
         # a longer token can only begin where the rest of the tail is the beginning of one
-        new = tail, tuple(past[k] if k == 0 or tail[len(tail) - k:] in self.prefixes else None for k in range(len(tail) + 1))
+        back = [k for k in range(1, n + 1) if tail[n - k:] in prefixes]
+        if not back:
+            new = b"", (token,), (0,)
+        else:
+            far = back[-1]
+            known: list = [None] * far
+            less = [0] * far
+            for k in back:
+                if tokens[k - 1] is not None:
+                    known[k - 1], less[k - 1] = tokens[k - 1], counts[k - 1] - change
+            new = tail[n - far:], (token, *known), (0, *less)
         at = self.number.get(new)
         if at is None:
             at = self.number[new] = len(self.states)
             self.states.append(new)
         return at, change
 
-    def count(self, piece: bytes) -> int:
-        if len(self.moves) > self.LIMIT:
+    def _fill(self, keys) -> None:
+        """Make the transitions of these places of the table."""
+        for key in keys:
+            state, column = divmod(int(key), self.width)
+            to, change = self.move(state, self.bytes[column])
+            self.table[key] = to << 8 | change + SHIFT
+        rows = len(self.table) // self.width
+        if len(self.states) > rows:
+            self.table = np.concatenate([self.table, np.full(max(rows, len(self.states) - rows) * self.width, -1, np.int32)])
+
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The table's columns of bytes; bytes that are new get one, and a wider table if there is none left."""
+        new = np.unique(data[self.column[data] < 0])
+        if len(new):
+            if len(self.bytes) + len(new) > self.width:
+                old, self.width = self.width, 2 * (len(self.bytes) + len(new))
+                table = np.full((len(self.table) // old, self.width), -1, np.int32)
+                table[:, :old] = self.table.reshape(-1, old)
+                self.table = table.reshape(-1)
+            self.column[new] = np.arange(len(self.bytes), len(self.bytes) + len(new))
+            self.bytes += new.tolist()
+        return self.column[data]
+
+    def counts(self, pieces: list[bytes]) -> list[int]:
+        """Token counts; all pieces take a step at a time."""
+        if len(self.states) > self.LIMIT:
             self._reset()
-        state = total = 0
-        moves = self.moves
-        for byte in piece:
-            key = state * 257 + byte        # not a power of two: dict places would coincide
-            got = moves.get(key)
-            if got is None:
-                to, change = self.move(state, byte)
-                got = moves[key] = to << 8 | change + SHIFT
-            state = got >> 8
-            total += (got & 255) - SHIFT
-        return total
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        columns = self._columns(np.frombuffer(b"".join(pieces), np.uint8))
+        order = np.argsort(-size, kind="stable")
+        at, size = (np.cumsum(size) - size)[order], size[order]
+        state, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        running = len(pieces) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
+        for t, n in enumerate(running.tolist()):
+            key = state[:n] * self.width + columns[at[:n] + t]
+            got = self.table[key]
+            if (got < 0).any():
+                self._fill(np.unique(key[got < 0]))
+                got = self.table[key]
+            state[:n] = got >> 8
+            total[:n] += (got & 255) - SHIFT
+        out = np.empty_like(total)
+        out[order] = total
+        return out.tolist()
 
 
 @cache
