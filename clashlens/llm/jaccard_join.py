@@ -375,7 +375,13 @@ def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> Dat
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document kept of every group of linked documents.
 
-    Keeps the smallest id of a component, and one row of rows that repeat an id.
+    Keeps the smallest id of a component, one row of rows that repeat an id, and every row with a null id.
     """
-    found = similarity_components(docs, n, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = saved(similarity_components(docs, n, percent).where("component_id = doc_id").groupBy("doc_id")
+                  .agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id"), "kept")
+    once, more = found.where("n = 1"), found.where("n > 1")
+    here = lambda ids: docs["doc_id"].cast("long") == ids["kept_id"]
+    out = docs.join(checked_broadcast(once), here(once), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if not more.isEmpty():
+        out = out.unionByName(docs.join(more, here(more), "left_semi").dropDuplicates(["doc_id"]))
+    return out

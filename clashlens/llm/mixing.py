@@ -107,10 +107,11 @@ def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], size: float, ri
     return x, y
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None,
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, of_own: bool = False,
         max_rate: float | None = None, ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-4) -> Mixture:
     """Rates whose expected domain totals match ``total`` (default: all tokens) shared out by ``weights``.
 
+    With ``of_own`` a domain's target is its weight times the tokens it has at a rate of 1 everywhere.
     Stops after ``steps`` steps, or once no total moves by more than ``tolerance`` of all tokens.
     """
     names = model.domains or sorted(weights)
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: f
     n_all = float(mass["n"] or 0) or 1.0
     gram = np.array([[mass[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) / n_all
     size = 1 / (float(np.linalg.eigvalsh(gram).max()) + ridge)
-    goal = np.array([weights.get(x, 0.0) for x in names]) * (n_all if total is None else total) / (sum(weights.values()) or 1.0)
+    share = np.array([weights.get(x, 0.0) for x in names])
     most = np.inf if max_rate is None else max_rate
     sums = pa.schema([(f"t{i}", pa.float64()) for i in range(2 * k)])
     sum_cols = ", ".join(f"t{i} double" for i in range(2 * k))
@@ -151,7 +152,8 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: f
         return both[:k], both[k:]
 
     taken: list[tuple[np.ndarray, float]] = []
-    at_rate, at_point = totals_after(taken)
+    at_rate, at_point = totals_after(taken)     # of the rates 1
+    goal = share * at_rate if of_own else share * (n_all if total is None else total) / (share.sum() or 1.0)
     theta = 1.0
     while len(taken) < steps:
         nxt = (1 + (1 + 4 * theta * theta) ** 0.5) / 2
@@ -180,8 +182,11 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def drawn(docs: DataFrame, mixture: Mixture, salt: str = "mixing") -> DataFrame:
-    """Rows of ``docs``, all columns, by their rates of 0 to 1: kept where a hash of the id lies below the rate."""
+    """Rows of ``docs``, all columns, by their rates of 0 to 1: kept where a hash of the id lies below the rate.
+
+    Rows that repeat an id are all kept if one of them is; rows with a null id are kept.
+    """
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id"), 11) / F.lit(float(1 << 53))
-    kept = mixture.documents.where(unit < F.col("rate")).select("doc_id").distinct()
-    mark = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, mark, "left_semi")
+    kept = saved(mixture.documents.where((unit < F.col("rate")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    return (docs.join(checked_broadcast(kept), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+            .unionByName(docs.where(F.col("doc_id").isNull())))

@@ -1,21 +1,59 @@
-"""The corpus pipeline: documents through the operators, each stage written and reread."""
+"""The corpus pipeline: documents through five operators, each stage written and reread.
+
+Stages take (spark, docs, sf_dir), work on all rows of ``docs`` and, but for the last, return its columns:
+
+1. language_id       drops documents without a recognisable language
+2. near_duplicates   keeps one document of every group linked by word 5-grams at a Jaccard of 0.8
+3. decontamination   drops documents that hold ten consecutive words of a benchmark item (or all of a shorter one)
+4. mixing            draws documents by rates that keep good text, half of the poor and none of the toxic
+5. token_ids         writes token ids in directly addressable codes and returns the index read back from them
+
+Models are fitted on the labelled rows of the given tables; the stages themselves see only their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clashlens.llm import language_id
+from clashlens.llm import decontaminate, jaccard_join, language_id, mixing, token_codes
 from clashlens.llm.common import saved, table
+from clashlens.llm.queries import tokenizer_file
+
+#: Targets of the mixing stage, as multiples of what a domain has. The good domain's lies a little above
+#: what there is, so that its rates reach their bound of 1.
+KEEP = {"good": 1.02, "poor": 0.5, "toxic": 0.0}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the models come from the labelled rows of the documents table."""
     return language_id.accepted(docs, language_id.train(table(spark, sf_dir, "documents")))
 
 
-STAGES = [("language_id", language_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = mixing.train(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")))
+    return mixing.drawn(docs, mixing.mix(docs, model, KEEP, of_own=True, max_rate=1.0))
+
+
+def token_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_codes.round_trip(docs, tokenizer_file(), end=2)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", token_id_stage),
+]
 
-#: Models and id encoding are not SQL; the pipeline is tested against a brute-force version.
+#: Models and token codes are not SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
