@@ -57,13 +57,11 @@ class Settings:
     seed: int = SAMPLE_SEED
     sweep_thresholds: tuple = SWEEP_THRESHOLDS
     scorer_weights: dict = field(default_factory=lambda: dict(SCORER_WEIGHTS))
-    # rows per block of the dense tiled similarity plan
-    dense_block_rows: int = 256
+    # rows per block of the dense tiled similarity plan, sentences per block of the token join
+    dense_block_rows: int = 2048
+    token_block_rows: int = 256
     # range partitions of the distributed numbering (0 = use spark.sql.shuffle.partitions)
     rank_partitions: int = 0
-    # explicit salting of (doc_id, token) keys with more rows than this in the token join (0 = off,
-    # rely on AQE's skew-join split); results are identical either way
-    hot_key_rows: int = 0
 
 
 DEFAULT = Settings()

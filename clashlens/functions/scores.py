@@ -9,10 +9,23 @@ from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, L
                               STS_CONSISTENT_MIN, STS_CONTRADICTION_MAX)
 
 
-def round_half_up(x: Column, digits: int) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d: one IEEE expression, so every engine returns the same bits."""
-    s = float(10 ** digits)
-    return F.floor(x * F.lit(s) + F.lit(0.5)) / F.lit(s)
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded to ``digits`` decimals as Python's ``round``: by its exact binary value, ties to even.
+
+    The product p = x * 10^d is itself rounded; its error comes from cutting x into two halves whose
+    products with 10^d are exact, and decides the cases where p lies on a half.
+    """
+    s = F.lit(float(10 ** digits))
+    a = F.abs(x)
+    p = a * s
+    t = a * F.lit(134217729.0)          # 2^27 + 1
+    high = t - (t - a)
+    error = (high * s - p) + (a - high) * s
+    whole = F.floor(p).cast("double")
+    rest = p - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    out = (whole + F.when(up, 1.0).otherwise(0.0)) / s
+    return F.when(x < 0, F.lit(0.0) - out).otherwise(out)
 
 
 def softmax3(z0: Column, z1: Column, z2: Column):

@@ -7,29 +7,38 @@ built-in, SQL-checkable defaults (term vectors, lexical scorer, word-drop paraph
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from clashlens.config import BATCH_SIZE
 
+MOST_MODELS = 4
 _CACHE: dict = {}
 
 
 def model_key(load: Callable[[], object]) -> str:
-    """Stable name of a loader. Not ``id()``: each task unpickles a fresh loader object, and a reused
-    worker could hand a new, different loader the id of a collected one and return the wrong model."""
-    return f"{getattr(load, '__module__', '')}.{getattr(load, '__qualname__', repr(load))}"
+    """Key of a loader, made on the driver: a digest of the loader as it is sent to the tasks, so two
+    loaders of one factory differ and the same loader keeps its model; a fresh key if it can't be pickled."""
+    try:
+        return hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+    except Exception:
+        return uuid.uuid4().hex
 
 
-def _model(load: Callable[[], object], key: str | None = None):
-    k = key or model_key(load)
-    if k not in _CACHE:
-        _CACHE[k] = load()
-    return _CACHE[k]
+def model_of(load: Callable[[], object], key: str):
+    """The loaded model, one for each key in a Python worker; the oldest goes beyond MOST_MODELS."""
+    if key not in _CACHE:
+        while len(_CACHE) >= MOST_MODELS:
+            _CACHE.pop(next(iter(_CACHE)))
+        _CACHE[key] = load()
+    return _CACHE[key]
 
 
 def encode_with(df: DataFrame, load_encoder: Callable[[], object], text: str = "sentence", out: str = "embedding",
@@ -40,8 +49,10 @@ def encode_with(df: DataFrame, load_encoder: Callable[[], object], text: str = "
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
+    key = model_key(load_encoder)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _model(load_encoder)
+        enc = model_of(load_encoder, key)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size].copy()
@@ -63,8 +74,10 @@ def generate_with(sentences: DataFrame, load_generator: Callable[[], object], n:
     schema = T.StructType([T.StructField(col, T.StringType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("paraphrase", T.StringType())])
 
+    key = model_key(load_generator)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _model(load_generator)
+        gen = model_of(load_generator, key)
         for pdf in it:
             prompts = [PARAPHRASE_PROMPT + s for s in pdf[col].fillna("").tolist()]
             outs = gen(prompts, n)

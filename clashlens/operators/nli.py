@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from clashlens.config import LABEL_ORDER, SCORER_WEIGHTS, BATCH_SIZE
 from clashlens.functions.scores import softmax3
+from clashlens.operators.hooks import model_key, model_of
 
 
 def _logit(w, cos: Column, jac: Column, neg: Column) -> Column:
@@ -40,9 +41,6 @@ def lexical_scorer(pairs: DataFrame, weights: dict | None = None, cos: str = "co
     return pairs.withColumn("entailment", e).withColumn("neutral", n).withColumn("contradiction", c)
 
 
-_MODEL_CACHE: dict = {}
-
-
 def model_scorer(pairs: DataFrame, load_model: Callable[[], object], labels: Sequence[str],
                  s1: str = "sentence1", s2: str = "sentence2", batch_size: int = BATCH_SIZE) -> DataFrame:
     """Hook U-2: score pairs with a user model ``model(list_s1, list_s2) -> array[n, k] of probabilities``.
@@ -54,14 +52,11 @@ def model_scorer(pairs: DataFrame, load_model: Callable[[], object], labels: Seq
     if missing:
         raise ValueError(f"model labels lack {sorted(missing)}")
     pos = [list(labels).index(k) for k in LABEL_ORDER]
-    from clashlens.operators.hooks import model_key
     key = model_key(load_model)
     schema = T.StructType(pairs.schema.fields + [T.StructField(k, T.DoubleType()) for k in LABEL_ORDER])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _MODEL_CACHE.get(key)
-        if model is None:
-            model = _MODEL_CACHE[key] = load_model()
+        model = model_of(load_model, key)
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size].copy()

@@ -60,26 +60,56 @@ def running_sum(df: DataFrame, order: Sequence[Column | str], weight: str | None
             .drop("_pid", "_local", "_off", "_w"))
 
 
+HEX_DIGITS = 4       # of a hexadecimal hash: 65,536 buckets of about equal size
+
+
+def hash_numbers(df: DataFrame, hashed: str, ties: Sequence[str], out: str, groups: Sequence[str] = (),
+                 limit: Column | None = None) -> DataFrame:
+    """Adds ``out``: the 1-based place of each row in the order of a hexadecimal hash column, then ``ties``.
+
+    With ``groups`` places count within each group. The first digits of the hash cut the order into buckets;
+    one aggregation counts them (at most 16^HEX_DIGITS rows a group, which bounds its broadcast), running
+    sums give where each begins, and places inside a bucket are a window over that bucket alone. With
+    ``limit`` (largest place wanted, by group) buckets that begin beyond it are left out before any sort.
+    """
+    g = list(groups)
+    rows = df.withColumn("_bucket", F.substring(hashed, 1, HEX_DIGITS))
+    counts = rows.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")
+    earlier = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*g, "_bucket", F.coalesce(earlier, F.lit(0)).cast("long").alias("_before"))
+    if limit is not None:
+        starts = starts.where(F.col("_before") < limit)
+    inside = Window.partitionBy(*g, "_bucket").orderBy(hashed, *ties)
+    rows = (rows.join(F.broadcast(starts), [*g, "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
+            .drop("_bucket", "_before"))
+    return rows if limit is None else rows.where(F.col(out) <= limit)
+
+
 def row_number(df: DataFrame, order: Sequence[Column | str], out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Global 1-based row number in ``order`` (a total order)."""
     return running_sum(df, order, None, out, num_partitions)
 
 
-def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str, num_partitions: int | None = None) -> DataFrame:
-    """Adds ``out`` = average rank (ties share the mean of their positions) of ``value`` within ``groups``.
+def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, out: str, num_partitions: int | None = None) -> DataFrame:
+    """(groups, value, out): average rank of each distinct value, from rows (groups, value, _c) with its count.
 
-    Distinct values are counted first (partial aggregation, so a heavily repeated value is one row),
-    then ranked by the distributed running sum, then joined back on (groups, value).
+    Ties share the mean of their positions. Only distinct values are sorted; a value that stands in a
+    third of all rows is one row here.
     """
     g = list(groups)
-    counts = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sum(counts, [*g, value], "_c", "_cum", num_partitions)
+    cum = running_sum(counts.select(*g, value, "_c"), [*g, value], "_c", "_cum", num_partitions)
     # rows of earlier groups are included in _cum; subtract where this group starts
     if g:
         start = cum.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"))
         cum = cum.join(start, g)
     else:
         cum = cum.withColumn("_start", F.lit(0).cast("long"))
-    ranks = cum.select(*g, value, (F.col("_cum") - F.col("_c") - F.col("_start")
-                                   + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*g, value])
+    return cum.select(*g, value, (F.col("_cum") - F.col("_c") - F.col("_start") + (F.col("_c") + 1) / 2.0).alias(out))
+
+
+def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``out`` = average rank (ties share the mean of their positions) of ``value`` within ``groups``."""
+    g = list(groups)
+    counts = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    return df.join(value_ranks(counts, g, value, out, num_partitions), [*g, value])

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clashlens.config import CONTRADICTION_THRESHOLD
-from clashlens.functions.scores import round_half_up
+from clashlens.functions.scores import rounded
+from clashlens.functions.text import split_sentences
 
 # Document verdict texts.
 VERDICT_CONSISTENT = "Fully Consistent"
@@ -25,11 +26,11 @@ def total_pairs(n):
 
 
 def reduction_pct(filtered, total):
-    return round_half_up((F.lit(1.0) - filtered.cast("double") / F.greatest(total, F.lit(1)).cast("double")) * 100.0, 2)
+    return rounded((F.lit(1.0) - filtered.cast("double") / F.greatest(total, F.lit(1)).cast("double")) * 100.0, 2)
 
 
 def consistency(k, checked):
-    return round_half_up(F.lit(1.0) - k.cast("double") / F.greatest(checked, F.lit(1)).cast("double"), 4)
+    return rounded(F.lit(1.0) - k.cast("double") / F.greatest(checked, F.lit(1)).cast("double"), 4)
 
 
 def candidate_counts(scored: DataFrame, threshold: float = CONTRADICTION_THRESHOLD, key: str = "doc_id") -> DataFrame:
@@ -52,26 +53,32 @@ def doc_stats(counts_of_sentences: DataFrame, counts: DataFrame, key: str = "doc
             .withColumn("consistency_score", consistency(F.col("contradiction_count"), F.col("filtered_pairs"))))
 
 
-def with_texts(pairs: DataFrame, sentence_arrays: DataFrame, key: str = "doc_id") -> DataFrame:
-    """P-3: attach sentence1/sentence2 to (key, i, j) rows.
+PAIR_BLOCK = 64     # first sentences of the pairs that are packed into one row
 
-    One equi-join on the document key against one row per document holding its sentence array;
-    the texts are picked by position. Pair rows stay narrow until this last step.
+
+def with_texts(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """P-3: attach sentence1/sentence2 to (key, i, j, ...) rows.
+
+    Pairs are packed by document and blocks of their first sentence, the packs meet the raw documents, and
+    only documents with a pair are split, once a pack. A pack holds PAIR_BLOCK sentences' pairs at most.
+    Documents that come with their sentence arrays (``sents``) aren't split again.
     """
-    # The document side is the corpus itself: never broadcast it (its size estimate comes from a
-    # compressed file and can look small). A shuffle join on the key; AQE splits a skewed document.
-    return (pairs.join(sentence_arrays.select(key, "sents").hint("merge"), key)
-            .withColumn("sentence1", F.get(F.col("sents"), F.col("i")))
-            .withColumn("sentence2", F.get(F.col("sents"), F.col("j")))
-            .drop("sents"))
+    ready = "sents" in docs.columns
+    rest = [c for c in pairs.columns if c != key]
+    packs = (pairs.groupBy(key, F.floor(F.col("i") / PAIR_BLOCK).alias("_block"))
+             .agg(F.collect_list(F.struct(*rest)).alias("_pairs")))
+    split = packs.join(docs.select(key, F.col("sents" if ready else text).alias("_text")), key)
+    split = split.withColumn("sents", F.col("_text") if ready else split_sentences(F.col("_text")))
+    return (split.select(key, "sents", F.explode_outer("_pairs").alias("_p")).select(key, "_p.*",
+            F.get("sents", F.col("_p.i")).alias("sentence1"), F.get("sents", F.col("_p.j")).alias("sentence2")))
 
 
-def contradictions(scored: DataFrame, sentence_arrays: DataFrame, threshold: float = CONTRADICTION_THRESHOLD,
+def contradictions(scored: DataFrame, docs: DataFrame, threshold: float = CONTRADICTION_THRESHOLD,
                    key: str = "doc_id") -> DataFrame:
     """D-1 flat: (key, i, j, sentence1, sentence2, confidence) for P(contradiction) >= threshold."""
     hits = (scored.where(F.col("contradiction") >= F.lit(threshold))
             .select(key, "i", "j", F.col("contradiction").alias("confidence")))
-    return with_texts(hits, sentence_arrays, key).select(key, "i", "j", "sentence1", "sentence2", "confidence")
+    return with_texts(hits, docs, key).select(key, "i", "j", "sentence1", "sentence2", "confidence")
 
 
 def nested_report(stats: DataFrame, flat_contradictions: DataFrame, key: str = "doc_id") -> DataFrame:

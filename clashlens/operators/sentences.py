@@ -27,13 +27,13 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return explode_sentences(sentence_arrays(docs, key, text), key)
 
 
-def explode_sentences(arrays: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, idx, sentence) from per-document sentence arrays.
+def explode_sentences(arrays: DataFrame, key: str = "doc_id", keep=()) -> DataFrame:
+    """(key, idx, sentence) from per-document sentence arrays, and further columns to ``keep``.
 
     posexplode_outer + a null filter instead of posexplode: the plain generator makes Catalyst infer
     a ``size(sents) > 0`` filter that would evaluate the whole split expression a second time.
     """
-    return (arrays.select(F.col(key), F.posexplode_outer("sents").alias("idx", "sentence"))
+    return (arrays.select(F.col(key), *keep, F.posexplode_outer("sents").alias("idx", "sentence"))
             .where(F.col("idx").isNotNull()))
 
 

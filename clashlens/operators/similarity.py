@@ -5,9 +5,8 @@ Two exact plans for "all pairs (i < j) of a group whose cosine is at least t":
 * ``token_candidates`` — sparse term vectors. Inverted-index equi-join on (group, token): only pairs
   that share a token are ever formed, the dot product is a partial-then-final aggregation on
   (group, i, j), and norms are exact integers, so ``cos >= t`` is decided identically by any engine.
-  The join key includes the token, so one long document is spread over many tasks; a very frequent
-  token of a very long document is a skewed key, which AQE's skew-join split handles at run time
-  (``spark.sql.adaptive.skewJoin.enabled``; both sides of an inner join may be split).
+  The join key is (group, token, pair of sentence blocks), so even a word that stands in every sentence
+  of a very long document is spread over many keys of bounded size.
 * ``dense_candidates`` — dense vectors. Each group is cut into blocks of ``block_rows`` vectors by a
   hash of the id; a vector is copied to every tile (lo, hi) its block belongs to, and each tile is one
   NumPy product of at most ``2 * block_rows`` vectors. No task ever holds a whole group, and only
@@ -39,51 +38,34 @@ def jaccard_from_counts(shared: Column, nd_a: Column, nd_b: Column) -> Column:
     return F.when(den > 0, shared.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-HOT_KEYS_BROADCAST_LIMIT = 200_000   # hot (group, token) keys broadcast only below this count
-
-
-def _salted(t: DataFrame, group: str, ident: str, hot_key_rows: int, max_salt: int) -> DataFrame:
-    """Adds ``_s`` (salt on the i side) and ``_ss`` (salts the j side is copied to) per term row.
-
-    A key with n > hot_key_rows rows gets k = min(max_salt, ceil(n / hot_key_rows)) salts: an i-side
-    row takes salt hash(ident) mod k, a j-side row is copied to all k salts, so every pair meets once.
-    The hot-key table is broadcast only after counting it against a limit; above it, a shuffle join.
-    """
-    counts = t.groupBy(group, "token").agg(F.count(F.lit(1)).alias("_n"))
-    hot = (counts.where(F.col("_n") > F.lit(hot_key_rows))
-           .select(group, "token", F.least(F.lit(max_salt), F.ceil(F.col("_n") / F.lit(hot_key_rows)))
-                   .cast("int").alias("_k")))
-    n_hot = hot.count()
-    hot = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_LIMIT else hot
-    x = t.join(hot, [group, "token"], "left").withColumn("_k", F.coalesce(F.col("_k"), F.lit(1)))
-    return (x.withColumn("_s", F.pmod(F.xxhash64(F.col(ident)), F.col("_k")).cast("int"))
-             .withColumn("_ss", F.sequence(F.lit(0), F.col("_k") - 1)))
-
-
 def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id", ident: str = "idx",
-                     hot_key_rows: int | None = None, max_salt: int = 64) -> DataFrame:
+                     block_rows: int = 256, total: str = "total_sentences") -> DataFrame:
     """(group, i, j, dot, shared, nsq_i, nsq_j, nd_i, nd_j, neg_i, neg_j, cos, jac) for cos >= threshold.
 
-    ``vectors`` holds one row per item with ``terms, nsq, nd, neg`` (see ``sentence_vectors``).
-    ``hot_key_rows`` turns on explicit salting of (group, token) keys with more rows than that (for
-    clusters where AQE skew handling is off or its thresholds do not fire); the result is identical.
+    ``vectors`` holds one row per item with ``terms, nsq, nd, neg`` (see ``sentence_vectors``), ``ident``
+    counting from 0 in its group, and the group's item count as ``total`` (counted here if it is missing).
+    Items are cut into blocks of ``block_rows``; a term row goes to every pair of blocks that its own
+    block is part of, so no join key holds more than two blocks, however long the document is.
     """
     if not threshold > 0:
         raise ValueError("the token plan only forms pairs that share a token; threshold must be > 0")
-    t = term_rows(vectors, (group, ident))
-    if hot_key_rows:
-        st = _salted(t, group, ident, hot_key_rows, max_salt)
-        a = st.drop("_ss").alias("a")
-        b = st.drop("_s").withColumn("_s", F.explode("_ss")).drop("_ss").alias("b")
-        cond = ((F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token"))
-                & (F.col("a._s") == F.col("b._s")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
-        return _pairs_from_join(a.hint("merge").join(b, cond), group, ident, threshold)
+    if total not in vectors.columns:
+        vectors = vectors.join(vectors.groupBy(group).agg((F.max(ident) + 1).alias(total)), group)
+    last = F.greatest(F.col(total) - 1, F.lit(0)) / block_rows
+    t = (term_rows(vectors, (group, ident, total))
+         .withColumn("_b", F.floor(F.col(ident) / block_rows).cast("int"))
+         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(last).cast("int"))))
+         .withColumn("_lo", F.least("_b", "_k")).withColumn("_hi", F.greatest("_b", "_k")).drop("_k", total))
     a, b = t.alias("a"), t.alias("b")
-    # Sort-merge self-join on (group, token): both sides are the same plan, so the exchange is
-    # computed once and reused, and AQE can split a skewed (group, token) partition on both sides.
+    # Sort-merge self-join: both sides are the same plan, so the exchange is computed once and reused.
+    # Off the diagonal the a side is the lower block; said in a way that concerns both sides, as a
+    # condition on one of them would be pushed below its exchange and the two would differ.
     # The term table is derived data with an unreliable size estimate: it must never be broadcast.
-    cond = ((F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token"))
-            & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
+    cond = F.lit(True)
+    for c in (group, "token", "_lo", "_hi"):
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    cond = (cond & (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
+            & ((F.col("a._b") < F.col("b._b")) | (F.col("a._lo") == F.col("b._hi"))))
     return _pairs_from_join(a.hint("merge").join(b, cond), group, ident, threshold)
 
 
@@ -169,12 +151,6 @@ def with_l2_normalized(df: DataFrame, vec: str, out: str = "unit", norm: str = "
     return d.withColumn(out, F.when(nrm > 0, F.transform(F.col(out), lambda x: x / nrm)).otherwise(F.col(out)))
 
 
-def vector_dot(a: Column, b: Column) -> Column:
-    """Dot product of two equal-length vectors (E-4)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
 def _tile_scorer(threshold: float, group: str, ident: str, vector: str):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["_lo"].iat[0], pdf["_hi"].iat[0]
@@ -198,7 +174,7 @@ def _tile_scorer(threshold: float, group: str, ident: str, vector: str):
 
 
 def dense_candidates(df: DataFrame, threshold: float, group: str = "label", ident: str = "vec_id",
-                     vector: str = "embedding", block_rows: int = 256) -> DataFrame:
+                     vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """(group, i, j, cos) for every pair i < j of one group with cosine >= threshold.
 
     Group sizes come from a partial-then-final count; their join back is planned by Spark (AQE

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT
-from clashlens.functions.scores import argmax_label, round_half_up
+from clashlens.functions.scores import argmax_label, rounded
 from clashlens.operators import reports
 from clashlens.operators.sentences import sentence_vectors, term_rows
 from clashlens.plans.document_check import check_documents
@@ -47,21 +47,21 @@ def q_candidate_pairs(spark, sf_dir):
 @register("candidate_texts")
 def q_candidate_texts(spark, sf_dir):
     c = _check(spark, sf_dir)
-    return reports.with_texts(c.candidates.select("doc_id", "i", "j"), c.arrays)
+    return reports.with_texts(c.candidates.select("doc_id", "i", "j"), c.docs)
 
 
 @register("nli_scores")
 def q_nli_scores(spark, sf_dir):
     s = _check(spark, sf_dir).scored
     return s.select("doc_id", "i", "j",
-                    *[round_half_up(F.col(k), 4).alias(k) for k in ("entailment", "neutral", "contradiction")],
+                    *[rounded(F.col(k), 4).alias(k) for k in ("entailment", "neutral", "contradiction")],
                     argmax_label(F.col("entailment"), F.col("neutral"), F.col("contradiction")).alias("label"))
 
 
 @register("contradictions")
 def q_contradictions(spark, sf_dir):
     c = _check(spark, sf_dir).contradictions()
-    return c.withColumn("confidence", round_half_up(F.col("confidence"), 4))
+    return c.withColumn("confidence", rounded(F.col("confidence"), 4))
 
 
 @register("doc_pair_stats")
@@ -161,8 +161,8 @@ def q_softmax3(spark, sf_dir):
     z = [_logit(w[k], F.col("cos"), F.col("jac"), F.col("neg")) for k in LABEL_ORDER]
     f = f.select(*PAIR_KEYS, *[zz.alias(f"z_{k}") for zz, k in zip(z, LABEL_ORDER)])
     p = softmax3(*[F.col(f"z_{k}") for k in LABEL_ORDER])
-    return f.select(*PAIR_KEYS, *[round_half_up(F.col(f"z_{k}"), 6).alias(f"z_{k}") for k in LABEL_ORDER],
-                    *[round_half_up(pp, 4).alias(k) for pp, k in zip(p, LABEL_ORDER)])
+    return f.select(*PAIR_KEYS, *[rounded(F.col(f"z_{k}"), 6).alias(f"z_{k}") for k in LABEL_ORDER],
+                    *[rounded(pp, 4).alias(k) for pp, k in zip(p, LABEL_ORDER)])
 
 
 @register("pair_truncate")
@@ -187,9 +187,9 @@ def q_l2_normalize(spark, sf_dir):
     e = with_l2_normalized(read_table(spark, sf_dir, "embeddings"), "embedding")
     e = e.withColumn("unit_norm", F.sqrt(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x)))
     e = e.withColumn("unit_sum", F.aggregate("unit", F.lit(0.0), lambda a, x: a + x))
-    return e.select("vec_id", "label", round_half_up(F.col("norm"), 6).alias("norm_in"),
-                    round_half_up(F.col("unit_norm"), 6).alias("norm_out"),
-                    round_half_up(F.col("unit_sum"), 6).alias("unit_sum"))
+    return e.select("vec_id", "label", rounded(F.col("norm"), 6).alias("norm_in"),
+                    rounded(F.col("unit_norm"), 6).alias("norm_out"),
+                    rounded(F.col("unit_sum"), 6).alias("unit_sum"))
 
 
 @register("candidate_pairs_dense")
@@ -197,7 +197,16 @@ def q_candidate_pairs_dense(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     c = dense_candidates(e, DEFAULT.similarity_threshold, group="label", ident="vec_id", vector="embedding",
                          block_rows=DEFAULT.dense_block_rows)
-    return c.select("label", "i", "j", round_half_up(F.col("cos"), 6).alias("cos"))
+    return c.select("label", "i", "j", rounded(F.col("cos"), 6).alias("cos"))
+
+
+@register("candidate_pairs_dense_all")
+def q_candidate_pairs_dense_all(spark, sf_dir):
+    """All embeddings as one group, in tiles of the production size."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(0).alias("whole"))
+    c = dense_candidates(e, DEFAULT.similarity_threshold, group="whole", ident="vec_id", vector="embedding",
+                         block_rows=DEFAULT.dense_block_rows)
+    return c.select("i", "j", rounded(F.col("cos"), 6).alias("cos"))
 
 
 # ------------------------------------------------------------------------------------------------
@@ -219,42 +228,42 @@ def q_graded_pairs(spark, sf_dir):
 def q_score_label(spark, sf_dir):
     g = _graded(spark, sf_dir)
     return g.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_pairs"),
-                                           round_half_up(F.min("score05"), 4).alias("min_score"),
-                                           round_half_up(F.max("score05"), 4).alias("max_score"))
+                                           rounded(F.min("score05"), 4).alias("min_score"),
+                                           rounded(F.max("score05"), 4).alias("max_score"))
 
 
 @register("gated_scores")
 def q_gated_scores(spark, sf_dir):
     w = ev.wide_predictions(_graded(spark, sf_dir))
-    return w.select("split", "doc_id", "idx", round_half_up(F.col("cos"), 6).alias("cos"),
+    return w.select("split", "doc_id", "idx", rounded(F.col("cos"), 6).alias("cos"),
                     (F.col("cos") >= F.lit(DEFAULT.similarity_threshold)).alias("passed_filter"),
-                    round_half_up(F.col("pred_two_stage"), 6).alias("pred"), F.col("bin_two_stage").alias("pred_bin"),
-                    round_half_up(F.col("entail_conf"), 6).alias("entail_conf"),
-                    round_half_up(F.col("contra_conf"), 6).alias("contra_conf"))
+                    rounded(F.col("pred_two_stage"), 6).alias("pred"), F.col("bin_two_stage").alias("pred_bin"),
+                    rounded(F.col("entail_conf"), 6).alias("entail_conf"),
+                    rounded(F.col("contra_conf"), 6).alias("contra_conf"))
 
 
-def _comparison(spark, sf_dir):
-    return ev.method_comparison(_graded(spark, sf_dir))
+def _predictions(spark, sf_dir):
+    return ev.method_predictions(_graded(spark, sf_dir))
 
 
 @register("method_comparison")
 def q_method_comparison(spark, sf_dir):
-    return _comparison(spark, sf_dir)
+    return ev.method_comparison(_graded(spark, sf_dir))
 
 
 @register("pearson")
 def q_pearson(spark, sf_dir):
-    return _comparison(spark, sf_dir).select("split", "method", "pearson")
+    return ev.pearson(_predictions(spark, sf_dir)).select("split", "method", "pearson")
 
 
 @register("spearman")
 def q_spearman(spark, sf_dir):
-    return _comparison(spark, sf_dir).select("split", "method", "spearman")
+    return ev.spearman(_predictions(spark, sf_dir))
 
 
 @register("f1_binary")
 def q_f1_binary(spark, sf_dir):
-    return _comparison(spark, sf_dir).select("split", "method", "f1")
+    return ev.f1_binary(_predictions(spark, sf_dir))
 
 
 @register("threshold_sweep")
@@ -295,7 +304,7 @@ def q_doc_threshold_sweep(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------
 # training-set preparation (NLI-shaped rows from documents and conversations)
 # ------------------------------------------------------------------------------------------------
-from clashlens.config import NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_SENTENCE_LIMIT, SNLI_LIMIT  # noqa: E402
+from clashlens.config import NLI_HEAD_LIMIT, NUM_PARAPHRASES, SNLI_LIMIT  # noqa: E402
 from clashlens.plans import training as tr  # noqa: E402
 
 
@@ -318,13 +327,18 @@ def q_head_limit(spark, sf_dir):
 
 
 
+def _valid(spark, sf_dir):
+    """All valid NLI-shaped rows; the samples' limits hold in the training queries only."""
+    return tr.valid_labels(tr.nli_rows_from_tables(spark, sf_dir))
+
+
 @register("distinct_first")
 def q_distinct_first(spark, sf_dir):
-    return tr.distinct_first(tr.load_nli(spark, sf_dir))
+    return tr.distinct_first(_valid(spark, sf_dir))
 
 
 def _premises(spark, sf_dir):
-    return tr.load_nli(spark, sf_dir).select(F.col("premise").alias("sentence")).distinct()
+    return _valid(spark, sf_dir).select(F.col("premise").alias("sentence")).distinct()
 
 
 @register("paraphrase_topn")
@@ -334,7 +348,7 @@ def q_paraphrase_topn(spark, sf_dir):
 
 @register("paraphrase_lookup")
 def q_paraphrase_lookup(spark, sf_dir):
-    nli = tr.load_nli(spark, sf_dir)
+    nli = _valid(spark, sf_dir)
     cache = tr.builtin_paraphrases(nli.where(F.col("source_ord") == 0).select(F.col("premise").alias("sentence"))
                                    .distinct(), NUM_PARAPHRASES)
     req = nli.select(F.col("premise").alias("sentence"))
@@ -343,7 +357,7 @@ def q_paraphrase_lookup(spark, sf_dir):
 
 @register("augment_pairs")
 def q_augment_pairs(spark, sf_dir):
-    firsts = tr.distinct_first(tr.load_nli(spark, sf_dir)).where(F.col("first_ord") <= PARAPHRASE_SENTENCE_LIMIT)
+    firsts = tr.distinct_first(_valid(spark, sf_dir))
     return tr.augment(firsts.withColumnRenamed("premise", "sentence"), NUM_PARAPHRASES).select(
         "first_ord", "sentence", "rank", "paraphrase")
 

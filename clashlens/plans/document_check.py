@@ -1,7 +1,7 @@
 """D-7: the whole document check over a table of documents, as one lazy plan.
 
-split (narrow) -> term vectors (narrow) -> token-join candidates (shuffle on (doc_id, token), then on
-(doc_id, i, j) with map-side partial sums) -> scorer (narrow for the built-in one) -> per-document
+split (narrow) -> term vectors (narrow) -> token-join candidates (shuffle on (doc_id, token, blocks), then
+on (doc_id, i, j) with map-side partial sums) -> scorer (narrow for the built-in one) -> per-document
 counts (shuffle on doc_id, partial) -> left join to every document.
 """
 
@@ -13,18 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT, Settings
+from clashlens.functions import text as tx
 from clashlens.operators import reports
+from clashlens.operators.hooks import encode_with
 from clashlens.operators.nli import lexical_scorer
 from clashlens.operators.sentences import explode_sentences, sentence_arrays, sentence_vectors
-from clashlens.operators.similarity import token_candidates
+from clashlens.operators.similarity import aligned_features, dense_candidates, token_candidates
 from clashlens.session import ensure_checkpoint_dir
+from clashlens.sources.documents import document_source, valid_only
 
 
 @dataclass
 class DocumentCheck:
+    docs: DataFrame         # doc_id and text, or sents where they are written already
     arrays: DataFrame       # doc_id, sents, total_sentences
     sentences: DataFrame    # doc_id, idx, sentence
-    candidates: DataFrame   # doc_id, i, j, cos, jac, ... (cos >= similarity threshold)
+    candidates: DataFrame   # doc_id, i, j, cos, ... (cos >= similarity threshold)
     scored: DataFrame       # candidates + entailment, neutral, contradiction
     settings: Settings
 
@@ -32,20 +36,20 @@ class DocumentCheck:
         """Write the sentence arrays and scored candidates once to the shared checkpoint folder.
 
         For jobs that derive several outputs (stats, contradictions, nested report) from one check:
-        the split, the token join and the scorer then run once, and the lineage is cut so a lost
+        the split, the similarity join and the scorer then run once, and the lineage is cut so a lost
         executor does not replay the join.
         """
         ensure_checkpoint_dir(self.arrays.sparkSession)
         arrays = self.arrays.checkpoint(eager=True)
         scored = self.scored.checkpoint(eager=True)
-        return DocumentCheck(arrays, explode_sentences(arrays), scored, scored, self.settings)
+        return DocumentCheck(arrays, arrays, explode_sentences(arrays), scored, scored, self.settings)
 
     def stats(self) -> DataFrame:
         counts = reports.candidate_counts(self.scored, self.settings.contradiction_threshold)
         return reports.doc_stats(self.arrays, counts)
 
     def contradictions(self) -> DataFrame:
-        return reports.contradictions(self.scored, self.arrays, self.settings.contradiction_threshold)
+        return reports.contradictions(self.scored, self.docs, self.settings.contradiction_threshold)
 
     def report(self, nested: bool = True) -> DataFrame:
         stats = self.stats()
@@ -57,20 +61,54 @@ class DocumentCheck:
 
 
 def run_document_check(docs: DataFrame, out_dir: str, settings: Settings = DEFAULT, scorer=None,
-                       fmt: str = "parquet") -> None:
-    """Batch job: nested per-document reports and the flat contradiction table under ``out_dir``."""
+                       fmt: str = "parquet", encoder=None) -> None:
+    """Batch job: nested reports, the flat contradiction table and the rejected documents under ``out_dir``."""
     from clashlens.sources.sinks import write_doc_report
-    c = check_documents(docs, settings, scorer).materialize()
+    source = document_source(docs)
+    c = check_documents(valid_only(source), settings, scorer, encoder=encoder).materialize()
     write_doc_report(c.report(nested=True), f"{out_dir}/doc_report", fmt)
     c.contradictions().write.mode("overwrite").format(fmt).save(f"{out_dir}/contradictions")
+    source.where(F.col("error").isNotNull()).write.mode("overwrite").format(fmt).save(f"{out_dir}/rejected")
+
+
+def within_budget(pairs: DataFrame, budget: int, s1: str = "sentence1", s2: str = "sentence2") -> DataFrame:
+    """T-4 before a model: both sentences cut together to ``budget`` word tokens, the longer side first.
+
+    A sentence that fits keeps its text; a cut one is its first tokens joined by blanks.
+    """
+    d = pairs.withColumn("_ta", tx.tokens(F.col(s1))).withColumn("_tb", tx.tokens(F.col(s2)))
+    keep = tx.truncate_pair(F.size("_ta"), F.size("_tb"), budget)
+    for col, toks, n in ((s1, "_ta", keep[0]), (s2, "_tb", keep[1])):
+        d = d.withColumn(col, F.when(n < F.size(toks), F.array_join(F.slice(toks, F.lit(1), F.greatest(n, F.lit(0))), " ")).otherwise(F.col(col)))
+    return d.drop("_ta", "_tb")
 
 
 def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
-                    similarity_threshold: float | None = None) -> DocumentCheck:
+                    similarity_threshold: float | None = None, encoder=None) -> DocumentCheck:
+    """The document check over a table (doc_id, text).
+
+    ``encoder``: a loader of a sentence encoder (hook U-1); candidates are then found by the tiled dense
+    plan within each document instead of the built-in term vectors. ``scorer``: a function of a DataFrame
+    with ``sentence1, sentence2`` that adds the three probabilities (hook U-2, ``nli.model_scorer``); it
+    sees the surviving pairs only, with texts cut to ``settings.max_seq_len`` less the three marks of a pair.
+    """
     t = settings.similarity_threshold if similarity_threshold is None else similarity_threshold
-    arrays = sentence_arrays(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    arrays = sentence_arrays(docs)
     sents = explode_sentences(arrays)
-    vectors = sentence_vectors(sents)
-    cand = token_candidates(vectors, t, hot_key_rows=settings.hot_key_rows or None)
-    scored = (scorer or (lambda df: lexical_scorer(df, settings.scorer_weights)))(cand)
-    return DocumentCheck(arrays, sents, cand, scored, settings)
+    if encoder is None:
+        totals = explode_sentences(arrays, keep=["total_sentences"])
+        cand = token_candidates(sentence_vectors(totals, ("doc_id", "idx", "total_sentences")), t, block_rows=settings.token_block_rows)
+    else:
+        vectors = encode_with(sents, encoder, batch_size=settings.batch_size)
+        cand = dense_candidates(vectors, t, group="doc_id", ident="idx", vector="embedding", block_rows=settings.dense_block_rows)
+    if scorer is None and encoder is None:
+        scored = lexical_scorer(cand, settings.scorer_weights)
+    else:
+        texts = reports.with_texts(cand, docs)
+        if scorer is None:
+            scored = lexical_scorer(aligned_features(texts.drop("jac", "neg")), settings.scorer_weights)
+        else:
+            scored = scorer(within_budget(texts, settings.max_seq_len - 3))
+        scored = scored.drop("sentence1", "sentence2")
+    return DocumentCheck(docs, arrays, sents, cand, scored, settings)

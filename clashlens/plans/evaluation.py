@@ -3,7 +3,7 @@
 All methods are columns of one wide row per pair (cosine computed once, the scorer run once), melted
 to a long table ``(split, method, pred, pred_bin, gold, gold_bin)`` and aggregated by
 ``(split, method)``. Pearson is covar_pop / sqrt(var_pop * var_pop), NULL for constant input (Spark's
-``corr`` raises under ANSI there); Spearman is Pearson on average ranks from the distributed ranking;
+``corr`` raises under ANSI there); Spearman is Pearson on average ranks of the distinct values;
 F1 is 2tp / (2tp + fp + fn), 0 when undefined.
 """
 
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT, Settings
-from clashlens.functions.scores import expected_score, round_half_up, score_label, to_05_scale
+from clashlens.functions.scores import expected_score, rounded, score_label, to_05_scale
 from clashlens.operators.nli import lexical_scorer
-from clashlens.operators.ranking import average_rank
+from clashlens.operators.ranking import value_ranks
 from clashlens.operators.reports import reduction_pct
 from clashlens.operators.sentences import sentence_arrays
 from clashlens.operators.similarity import aligned_features
@@ -91,35 +91,65 @@ def _pearson(cov, vx, vy):
     return F.when(den > 0, cov / F.sqrt(den))
 
 
+def _f1(tp, fp, fn):
+    den = tp * 2 + fp + fn
+    return F.when(den > 0, (tp * 2).cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+
+
+def pearson(long: DataFrame, groups=("split", "method")) -> DataFrame:
+    """M-4: (groups, n_pairs, pearson), one aggregation."""
+    return (long.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_pairs"), F.covar_pop("pred", "gold").alias("_cov"),
+                                      F.var_pop("pred").alias("_vp"), F.var_pop("gold").alias("_vg"))
+            .select(*groups, "n_pairs", rounded(_pearson(F.col("_cov"), F.col("_vp"), F.col("_vg")), 6).alias("pearson")))
+
+
+def f1_binary(long: DataFrame, groups=("split", "method")) -> DataFrame:
+    """M-6: (groups, f1), one aggregation."""
+    hit = lambda p, g: F.count_if((F.col("pred_bin") == p) & (F.col("gold_bin") == g))
+    return (long.groupBy(*groups).agg(hit(1, 1).alias("_tp"), hit(1, 0).alias("_fp"), hit(0, 1).alias("_fn"))
+            .select(*groups, rounded(_f1(F.col("_tp"), F.col("_fp"), F.col("_fn")), 6).alias("f1")))
+
+
+def spearman(long: DataFrame, groups=("split", "method"), num_partitions: int | None = None) -> DataFrame:
+    """M-5: (groups, spearman) from the distinct (pred, gold) pairs and their counts, written once.
+
+    Ranks are of distinct values. The ranks of pred meet the pairs on keys without repeats there; what is
+    left is summed by gold before the ranks of gold join, so no row count decides the size of a join key.
+    """
+    g = list(groups)
+    ensure_checkpoint_dir(long.sparkSession)
+    pairs = long.groupBy(*g, "pred", "gold").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+    of = lambda v: value_ranks(pairs.groupBy(*g, v).agg(F.sum("_c").alias("_c")), g, v, f"_r{v}", num_partitions)
+    c, p, q = F.col("_c"), F.col("_rpred"), F.col("_rgold")
+    by_gold = (pairs.join(of("pred"), [*g, "pred"]).groupBy(*g, "gold")
+               .agg(F.sum(c).alias("_c"), F.sum(c * p).alias("_p"), F.sum(c * p * p).alias("_pp")))
+    sums = by_gold.join(of("gold"), [*g, "gold"]).groupBy(*g).agg(
+        F.sum(c).cast("double").alias("n"), F.sum("_p").alias("p"), F.sum("_pp").alias("pp"), F.sum(c * q).alias("q"),
+        F.sum(c * q * q).alias("qq"), F.sum(F.col("_p") * q).alias("pq"))
+    mean = lambda x: F.col(x) / F.col("n")
+    return sums.select(*g, rounded(_pearson(mean("pq") - mean("p") * mean("q"), mean("pp") - mean("p") * mean("p"),
+                                            mean("qq") - mean("q") * mean("q")), 6).alias("spearman"))
+
+
 def metrics(long: DataFrame, groups=("split", "method"), num_partitions: int | None = None) -> DataFrame:
     """M-4..M-7: (groups, n_pairs, pearson, spearman, f1), metrics rounded to 6 decimals."""
     g = list(groups)
-    base = long.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.covar_pop("pred", "gold").alias("_cov"), F.var_pop("pred").alias("_vp"), F.var_pop("gold").alias("_vg"),
-        F.count_if((F.col("pred_bin") == 1) & (F.col("gold_bin") == 1)).alias("_tp"),
-        F.count_if((F.col("pred_bin") == 1) & (F.col("gold_bin") == 0)).alias("_fp"),
-        F.count_if((F.col("pred_bin") == 0) & (F.col("gold_bin") == 1)).alias("_fn"))
-    ranked = average_rank(average_rank(long, g, "pred", "_rp", num_partitions), g, "gold", "_rg", num_partitions)
-    rho = ranked.groupBy(*g).agg(F.covar_pop("_rp", "_rg").alias("_rc"), F.var_pop("_rp").alias("_rvp"),
-                                 F.var_pop("_rg").alias("_rvg"))
-    f1den = F.col("_tp") * 2 + F.col("_fp") + F.col("_fn")
-    return (base.join(rho, g)
-            .select(*g, "n_pairs",
-                    round_half_up(_pearson(F.col("_cov"), F.col("_vp"), F.col("_vg")), 6).alias("pearson"),
-                    round_half_up(_pearson(F.col("_rc"), F.col("_rvp"), F.col("_rvg")), 6).alias("spearman"),
-                    round_half_up(F.when(f1den > 0, (F.col("_tp") * 2).cast("double") / f1den.cast("double"))
-                                  .otherwise(F.lit(0.0)), 6).alias("f1")))
+    return (pearson(long, g).join(spearman(long, g, num_partitions), g).join(f1_binary(long, g), g)
+            .select(*g, "n_pairs", "pearson", "spearman", "f1"))
+
+
+def method_predictions(graded: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
+    return long_predictions(wide_predictions(graded, settings, scorer))
 
 
 def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
     """M-8: one row per (split, method).
 
-    The long table feeds three reads (moments, two rank passes); it is checkpointed once to the
-    shared checkpoint folder so the features and the scorer run once and the lineage is cut.
+    The long table feeds three aggregations; it is checkpointed once to the shared checkpoint folder so
+    the features and the scorer run once and the lineage is cut.
     """
     ensure_checkpoint_dir(graded.sparkSession)
-    long = long_predictions(wide_predictions(graded, settings, scorer)).checkpoint(eager=True)
+    long = method_predictions(graded, settings, scorer).select("split", "method", "pred", "pred_bin", "gold", "gold_bin").checkpoint(eager=True)
     return metrics(long, num_partitions=settings.rank_partitions or None)
 
 
@@ -144,23 +174,21 @@ def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None
         F.count_if((F.col("_pb") == 1) & (F.col("gold_bin") == 1)).alias("_tp"),
         F.count_if((F.col("_pb") == 1) & (F.col("gold_bin") == 0)).alias("_fp"),
         F.count_if((F.col("_pb") == 0) & (F.col("gold_bin") == 1)).alias("_fn"))
-    f1den = F.col("_tp") * 2 + F.col("_fp") + F.col("_fn")
     return a.select("split", "threshold", "n_pairs", "survivors",
                     reduction_pct(F.col("survivors"), F.col("n_pairs")).alias("reduction_pct"),
-                    round_half_up(F.when(f1den > 0, (F.col("_tp") * 2).cast("double") / f1den.cast("double"))
-                                  .otherwise(F.lit(0.0)), 6).alias("f1"))
+                    rounded(_f1(F.col("_tp"), F.col("_fp"), F.col("_fn")), 6).alias("f1"))
 
 
-def example_pairs(wide: DataFrame, k: int = 5) -> DataFrame:
-    """M-9: the first k correct contradictions (gold < 1.5, P(c) > 0.7) and consistencies
+def example_pairs(wide: DataFrame, k: int = 5, split: str = "test") -> DataFrame:
+    """M-9: of the test split, the first k correct contradictions (gold < 1.5, P(c) > 0.7) and consistencies
     (gold > 4.0, P(e) > 0.8) in pair order. A top-k per kind (each partition keeps k rows)."""
     kinds = [("contradiction", (F.col("score05") < 1.5) & (F.col("contra_conf") > 0.7), "contra_conf"),
              ("consistent", (F.col("score05") > 4.0) & (F.col("entail_conf") > 0.8), "entail_conf")]
     out = None
     for name, cond, conf in kinds:
-        top = (wide.where(cond).orderBy("split", "doc_id", "idx").limit(k)
+        top = (wide.where((F.col("split") == split) & cond).orderBy("split", "doc_id", "idx").limit(k)
                .select(F.lit(name).alias("kind"), "split", "doc_id", "idx", "sentence1", "sentence2",
-                       round_half_up(F.col("score05"), 2).alias("human_score"),
-                       round_half_up(F.col(conf), 4).alias("confidence")))
+                       rounded(F.col("score05"), 2).alias("human_score"),
+                       rounded(F.col(conf), 4).alias("confidence")))
         out = top if out is None else out.unionByName(top)
     return out

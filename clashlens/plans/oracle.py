@@ -7,6 +7,8 @@ Tables ``documents``, ``conversations``, ``embeddings``, ``labels`` ... are Duck
 
 from __future__ import annotations
 
+import re
+
 from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, FILTERED_REASON, LABEL_ORDER,
                               MAX_SEQ_LEN, MISSING_PAIR_REASON, MISSING_TEXT_REASON, NEGATION_WORDS,
                               SCORER_WEIGHTS, SIMILARITY_THRESHOLD, SWEEP_THRESHOLDS,
@@ -42,9 +44,8 @@ def tokens_sql(x: str) -> str:
 
 
 def r(x: str, d: int) -> str:
-    """SQL twin of ``round_half_up``."""
-    s = float(10 ** d)
-    return f"(floor(({x}) * {s!r} + 0.5) / {s!r})"
+    """Rounding as Python's ``round``: printed decimals are rounded by the exact binary value."""
+    return f"(CASE WHEN ({x}) < 0 THEN 0.0 - printf('%.{d}f', abs({x}))::DOUBLE ELSE printf('%.{d}f', {x})::DOUBLE END)"
 
 
 def logit_sql(w, cos: str, jac: str, neg: str) -> str:
@@ -163,8 +164,10 @@ nli AS (SELECT * FROM nli_s WHERE sample_ord <= CASE WHEN source_ord = 0 THEN {S
 nhead AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY source_ord, sample_ord) AS row_ord FROM nli)
           WHERE row_ord <= {NLI_HEAD_LIMIT}),
 dfirst AS (SELECT row_number() OVER (ORDER BY source_ord, sample_ord) AS first_ord, premise
+           FROM (SELECT *, row_number() OVER (PARTITION BY premise ORDER BY source_ord, sample_ord) AS k FROM nli_s) WHERE k = 1),
+tfirst AS (SELECT row_number() OVER (ORDER BY source_ord, sample_ord) AS first_ord, premise
            FROM (SELECT *, row_number() OVER (PARTITION BY premise ORDER BY source_ord, sample_ord) AS k FROM nli) WHERE k = 1),
-psent AS (SELECT DISTINCT premise AS sentence FROM nli),
+psent AS (SELECT DISTINCT premise AS sentence FROM nli_s),
 para AS (SELECT sentence, rank, paraphrase FROM (
            SELECT sentence, row_number() OVER (PARTITION BY sentence ORDER BY -length(text), k) AS rank, text AS paraphrase
            FROM (SELECT sentence, k, nw, array_to_string(list_concat(list_slice(w, 1, k - 1), list_slice(w, k + 1, nw + 1)), ' ') AS text
@@ -175,11 +178,40 @@ para AS (SELECT sentence, rank, paraphrase FROM (
 tset AS (SELECT 0 AS part, row_ord AS ord, premise AS s1, hypothesis AS s2, label::INTEGER AS label FROM nhead
          UNION ALL
          SELECT 1, (f.first_ord - 1) * {NUM_PARAPHRASES} + p.rank, f.premise, p.paraphrase, 0
-         FROM dfirst f JOIN para p ON p.sentence = f.premise WHERE f.first_ord <= {PARAPHRASE_SENTENCE_LIMIT})"""
+         FROM tfirst f JOIN para p ON p.sentence = f.premise WHERE f.first_ord <= {PARAPHRASE_SENTENCE_LIMIT})"""
+
+
+def split_ctes(sql: str) -> dict[str, str]:
+    """Name and body of each common table expression, in order."""
+    out, depth, quoted, start, name = {}, 0, False, 0, ""
+    for i, c in enumerate(sql):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted and c == "(":
+            if depth == 0:
+                name, start = sql[start:i].strip(" ,\n").removesuffix(" AS"), i
+            depth += 1
+        elif not quoted and c == ")":
+            depth -= 1
+            if depth == 0:
+                out[name], start = sql[start:i + 1], i + 1
+    return out
 
 
 def with_docs(body: str, **kw) -> str:
-    return "WITH " + doc_ctes(**kw).strip() + "\n" + body
+    """``body`` after the expressions that it needs; those that are read more than once are materialized."""
+    ctes, uses, todo = split_ctes(doc_ctes(**kw)), {}, [body]
+    while todo:
+        words = re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "", todo.pop()))
+        for name in ctes:
+            n = sum(w == name and words[i - 1].upper() in ("FROM", "JOIN", "IN") for i, w in enumerate(words) if i)
+            if n and name not in uses:
+                todo.append(ctes[name])
+            uses[name] = uses.get(name, 0) + n if n or name in uses else 0
+            if not uses[name]:
+                del uses[name]
+    parts = [f"{k} AS {'MATERIALIZED ' if uses[k] > 1 else ''}{v}" for k, v in ctes.items() if k in uses]
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 DOC_QUERIES = {
@@ -287,9 +319,9 @@ DOC_QUERIES.update({
     "example_pairs": f"""SELECT kind, split, doc_id, idx::INTEGER AS idx, sentence1, sentence2, {r('score05', 2)} AS human_score,
         {r('conf', 4)} AS confidence FROM (
           SELECT *, row_number() OVER (PARTITION BY kind ORDER BY split, doc_id, idx) AS rn FROM (
-            SELECT 'contradiction' AS kind, *, contra_conf AS conf FROM wide WHERE score05 < 1.5 AND contra_conf > 0.7
+            SELECT 'contradiction' AS kind, *, contra_conf AS conf FROM wide WHERE split = 'test' AND score05 < 1.5 AND contra_conf > 0.7
             UNION ALL
-            SELECT 'consistent' AS kind, *, entail_conf AS conf FROM wide WHERE score05 > 4.0 AND entail_conf > 0.8))
+            SELECT 'consistent' AS kind, *, entail_conf AS conf FROM wide WHERE split = 'test' AND score05 > 4.0 AND entail_conf > 0.8))
         WHERE rn <= 5""",
 })
 
@@ -301,10 +333,10 @@ DOC_QUERIES.update({
     "paraphrase_topn": "SELECT sentence, rank::INTEGER AS rank, paraphrase FROM para",
     "paraphrase_lookup": f"""SELECT p.sentence, p.rank::INTEGER AS rank, p.paraphrase, coalesce(c.n >= {NUM_PARAPHRASES}, false) AS from_cache
         FROM para p LEFT JOIN (SELECT sentence, count(*) AS n FROM para
-                               WHERE sentence IN (SELECT premise FROM nli WHERE source_ord = 0) GROUP BY sentence) c
+                               WHERE sentence IN (SELECT premise FROM nli_s WHERE source_ord = 0) GROUP BY sentence) c
              ON c.sentence = p.sentence""",
     "augment_pairs": f"""SELECT f.first_ord, f.premise AS sentence, p.rank::INTEGER AS rank, p.paraphrase
-        FROM dfirst f JOIN para p ON p.sentence = f.premise WHERE f.first_ord <= {PARAPHRASE_SENTENCE_LIMIT}""",
+        FROM dfirst f JOIN para p ON p.sentence = f.premise""",
     "training_set": "SELECT part, ord, s1, s2, label FROM tset",
     "training_shards": f"""SELECT part, ord, shuffle_ord, (shuffle_ord - 1) // {BATCH_SIZE} AS shard FROM (
         SELECT part, ord, row_number() OVER (ORDER BY md5('{SAMPLE_SEED}:' || part::VARCHAR || ':' || ord::VARCHAR), part, ord) AS shuffle_ord
@@ -319,8 +351,8 @@ STANDALONE = {
         FROM (SELECT a.conv_id, a.turn, {strip_sql("coalesce(a.text, '')")} AS sentence1,
                      {strip_sql("coalesce(b.text, '')")} AS sentence2
               FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
-    "assemble_docs": f"""SELECT conv_id AS doc_id, {strip_sql("string_agg(text, ' ' ORDER BY turn)")} AS text
-        FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""",
+    "assemble_docs": f"""SELECT conv_id AS doc_id, {strip_sql("coalesce(string_agg(text, ' ' ORDER BY turn), '')")} AS text
+        FROM conversations GROUP BY conv_id""",
     "l2_normalize": f"""WITH v AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings),
         n AS (SELECT *, sqrt(list_sum([x * x for x in e])) AS nrm FROM v),
         u AS (SELECT *, CASE WHEN nrm > 0 THEN [x / nrm for x in e] ELSE e END AS unit FROM n)
@@ -332,6 +364,11 @@ STANDALONE = {
         p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.unit, b.unit) AS cos
               FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id)
         SELECT label, i, j, {r('cos', 6)} AS cos FROM p WHERE cos >= {_T!r}""",
+    "candidate_pairs_dense_all": f"""WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings),
+        n AS (SELECT *, sqrt(list_sum([x * x for x in e])) AS nrm FROM v),
+        u AS (SELECT vec_id, CASE WHEN nrm > 0 THEN [x / nrm for x in e] ELSE e END AS unit FROM n),
+        p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.unit, b.unit) AS cos FROM u a JOIN u b ON a.vec_id < b.vec_id)
+        SELECT i, j, {r('cos', 6)} AS cos FROM p WHERE cos >= {_T!r}""",
 }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT, FILTERED_REASON, LABEL_ORDER, Settings
-from clashlens.functions.scores import (argmax_label, expected_score, round_half_up, verdict,
+from clashlens.functions.scores import (argmax_label, expected_score, rounded, verdict,
                                         verdict_confidence)
 from clashlens.operators.nli import lexical_scorer
 from clashlens.operators.similarity import aligned_features
@@ -55,12 +55,12 @@ def pair_report(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=Non
     passed = F.col("passed_filter")
     return g.select(
         *keys,
-        round_half_up(F.col("cos"), 4).alias("similarity"),
+        rounded(F.col("cos"), 4).alias("similarity"),
         F.lit(settings.similarity_threshold).alias("threshold"),
         passed.alias("passed_filter"),
-        *[round_half_up(F.col(k), 4).alias(k) for k in LABEL_ORDER],
+        *[rounded(F.col(k), 4).alias(k) for k in LABEL_ORDER],
         F.when(passed, verdict(c, ct)).otherwise(F.lit("CONSISTENT")).alias("verdict"),
-        F.when(passed, round_half_up(verdict_confidence(e, n, c, ct), 4)).alias("confidence"),
+        F.when(passed, rounded(verdict_confidence(e, n, c, ct), 4)).alias("confidence"),
         F.when(~passed, F.lit(FILTERED_REASON)).alias("filtered_reason"))
 
 
@@ -69,8 +69,8 @@ def pair_argmax(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=Non
     s = scored_pairs(pairs, settings, scorer)
     e, n, c = F.col("entailment"), F.col("neutral"), F.col("contradiction")
     return s.select(*keys, argmax_label(e, n, c).alias("label"),
-                    round_half_up(F.greatest(e, n, c), 4).alias("confidence"),
-                    F.struct(*[round_half_up(F.col(k), 4).alias(k) for k in LABEL_ORDER]).alias("all_scores"))
+                    rounded(F.greatest(e, n, c), 4).alias("confidence"),
+                    F.struct(*[rounded(F.col(k), 4).alias(k) for k in LABEL_ORDER]).alias("all_scores"))
 
 
 def pair_verdict(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
@@ -79,11 +79,11 @@ def pair_verdict(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=No
     e, n, c = F.col("entailment"), F.col("neutral"), F.col("contradiction")
     ct = settings.contradiction_threshold
     return s.select(*keys, verdict(c, ct).alias("verdict"),
-                    round_half_up(verdict_confidence(e, n, c, ct), 4).alias("confidence"))
+                    rounded(verdict_confidence(e, n, c, ct), 4).alias("confidence"))
 
 
 def pair_expected_score(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
     """N-9: 5 P(entailment) + 2.5 P(neutral) + 0 P(contradiction)."""
     s = scored_pairs(pairs, settings, scorer)
-    return s.select(*keys, round_half_up(expected_score(F.col("entailment"), F.col("neutral"),
+    return s.select(*keys, rounded(expected_score(F.col("entailment"), F.col("neutral"),
                                                         F.col("contradiction")), 4).alias("expected_score"))

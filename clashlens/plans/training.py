@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from clashlens.config import (BATCH_SIZE, MNLI_LIMIT, NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_PROMPT,
                               PARAPHRASE_SENTENCE_LIMIT, SAMPLE_SEED, SNLI_LIMIT, WARMUP_FRACTION)
 from clashlens.functions.text import WS, strip
-from clashlens.operators.ranking import row_number, running_sum
+from clashlens.operators.ranking import HEX_DIGITS, hash_numbers, row_number
 from clashlens.operators.sentences import sentence_arrays
 from clashlens.operators.similarity import aligned_features
 from clashlens.sources.documents import consecutive_sentence_pairs, consecutive_turn_pairs, pair_source, valid_only
+from clashlens.session import ensure_checkpoint_dir
 from clashlens.sources.tables import read_table
 
 # Names and order of the two NLI-shaped sources derived from the driver tables.
@@ -55,55 +56,21 @@ def valid_labels(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label").isin(0, 1, 2))
 
 
-HASH_PREFIX_DIGITS = 12          # hex digits of the md5 used for pruning (48 bits, exact in a long)
-PRUNE_MARGIN = 1.25              # keep this many times the needed share before the exact ranking
-
-
-def _prefix_value(h) -> F.Column:
-    return F.conv(F.substring(h, 1, HASH_PREFIX_DIGITS), 16, 10).cast("long")
+def seeded_hash(seed: int = SAMPLE_SEED, source: str = "source", key: str = "key") -> F.Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(source), F.col(key)))
 
 
 def seeded_sample(rows: DataFrame, limits: dict, seed: int = SAMPLE_SEED, group: str = "source_ord",
                   key: str = "key") -> DataFrame:
     """L-4: per ``group``, exactly min(limit, rows) rows, chosen by the order of md5(seed:source:key).
 
-    Adds ``sample_ord`` (1-based position in the seeded order within the group).
-
-    A full sort of every row to keep n of them does not scale, so rows are first pruned by the hash
-    prefix: keep prefix < cutoff, with the cutoff sized from the group counts (n / N plus a margin).
-    Rows below a cutoff are exactly the first ones in hash order, so if a group keeps at least
-    min(n, N) rows, its sample is exact; a second small count verifies that and disables pruning for
-    any group where it fell short. Only the survivors are ranked (distributed row number).
+    Adds ``sample_ord`` (1-based position in the seeded order within the group). Only rows of the hash
+    buckets up to the one in which a group's limit falls are sorted (``ranking.hash_numbers``).
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("source"), F.col(key)))
-    hashed = rows.withColumn("_h", h).withColumn("_p", _prefix_value(F.col("_h")))
-    full = 16 ** HASH_PREFIX_DIGITS
-    sizes = {r[0]: r[1] for r in hashed.groupBy(group).count().collect()}          # one row per group
-    cut = {}
-    for g, n_all in sizes.items():
-        need = min(limits.get(g, 0), n_all)
-        share = need / n_all if n_all else 1.0
-        cut[g] = full if share * PRUNE_MARGIN >= 0.5 else int(min(1.0, share * PRUNE_MARGIN + 1e-6) * full) + 1
-
-    def cutoff_col(cuts):
-        c = F.lit(full).cast("long")
-        for g, v in cuts.items():
-            c = F.when(F.col(group) == g, F.lit(v).cast("long")).otherwise(c)
-        return c
-
-    if any(v < full for v in cut.values()):
-        kept_n = {r[0]: r[1] for r in hashed.where(F.col("_p") < cutoff_col(cut)).groupBy(group).count().collect()}
-        for g, n_all in sizes.items():
-            if kept_n.get(g, 0) < min(limits.get(g, 0), n_all):
-                cut[g] = full                                                       # fall back: no pruning
-    kept = hashed.where(F.col("_p") < cutoff_col(cut))
-    ranked = running_sum(kept, [F.col(group), F.col("_h"), F.col(key)], None, "_g")
-    first = ranked.groupBy(group).agg(F.min("_g").alias("_first"))
-    ranked = ranked.join(first, group).withColumn("sample_ord", F.col("_g") - F.col("_first") + 1)
-    lim = F.lit(None).cast("long")
+    limit = F.lit(0)
     for g, n in limits.items():
-        lim = F.when(F.col(group) == g, F.lit(n)).otherwise(lim)
-    return ranked.where(F.col("sample_ord") <= lim).drop("_h", "_p", "_g", "_first")
+        limit = F.when(F.col(group) == g, F.lit(n)).otherwise(limit)
+    return hash_numbers(rows.withColumn("_h", seeded_hash(seed, key=key)), "_h", [key], "sample_ord", [group], limit).drop("_h")
 
 
 def load_nli(spark, sf_dir: str, snli_limit: int = SNLI_LIMIT, mnli_limit: int = MNLI_LIMIT,
@@ -122,20 +89,28 @@ def head_by_rank(df: DataFrame, k: int, group: str = "source_ord", rank: str = "
     """L-6 when ``rank`` is already dense (1..n) inside each ``group``: no sort at all.
 
     Position = rows of the earlier groups + rank. Group sizes are one small aggregation (one row per
-    group, a bounded broadcast); the filter then keeps the first k rows.
+    group), which Spark joins by their size; the filter then keeps the first k rows.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
-    return (df.join(F.broadcast(offs), group).withColumn(out, F.col("_off") + F.col(rank))
+    return (df.join(offs, group).withColumn(out, F.col("_off") + F.col(rank))
             .where(F.col(out) <= F.lit(k)).drop("_off"))
 
 
-def distinct_first(df: DataFrame, col: str = "premise", order=("source_ord", "sample_ord")) -> DataFrame:
-    """L-7: distinct values of ``col`` in order of first appearance: (first_ord, col), 1-based."""
-    firsts = df.groupBy(col).agg(F.min(F.struct(*order)).alias("_first"))
-    numbered = row_number(firsts.select(col, *[F.col(f"_first.{o}").alias(o) for o in order]), list(order), "first_ord")
-    return numbered.select("first_ord", col)
+def distinct_first(rows: DataFrame, col: str = "premise", seed: int = SAMPLE_SEED, group: str = "source_ord",
+                   key: str = "key") -> DataFrame:
+    """L-7: distinct values of ``col`` over all ``rows`` in order of first appearance: (first_ord, col), 1-based.
+
+    Rows are in the order of their group, then of the seeded hash. The first appearance of a value is an
+    aggregation; places are counted by hash buckets, and groups follow each other.
+    """
+    hashed = rows.withColumn("_h", seeded_hash(seed, key=key))
+    firsts = (hashed.groupBy(col).agg(F.min(F.struct(F.col(group).alias("g"), F.col("_h").alias("h"), F.col(key).alias("k"))).alias("_f"))
+              .select(col, F.col("_f.g").alias("_g"), F.col("_f.h").alias("_h"), F.col("_f.k").alias("_k")))
+    # the group's number goes before the hash, so one order covers all groups
+    firsts = firsts.withColumn("_h", F.concat(F.lpad(F.hex("_g"), HEX_DIGITS // 2, "0"), "_h"))
+    return hash_numbers(firsts, "_h", ["_k"], "first_ord").select("first_ord", col)
 
 
 def paraphrase_prompt(sentence) -> F.Column:
@@ -192,8 +167,11 @@ def training_set(nli: DataFrame, head_limit: int = NLI_HEAD_LIMIT, paraphrase_li
                  n: int = NUM_PARAPHRASES, generator=None) -> DataFrame:
     """A-5/A-6/A-9: (part, ord, s1, s2, label): the first NLI rows plus paraphrase pairs labelled 0.
 
-    The 200-sentence limit is applied before generation, as in the reference.
+    The 200-sentence limit is applied before generation. The sampled rows, which the limits of the sources
+    bound, are written once to the shared checkpoint folder: three steps read them.
     """
+    ensure_checkpoint_dir(nli.sparkSession)
+    nli = nli.checkpoint(eager=True)
     first = head_by_rank(nli, head_limit).select(F.lit(0).alias("part"), F.col("row_ord").alias("ord"),
                                          F.col("premise").alias("s1"), F.col("hypothesis").alias("s2"),
                                          F.col("label").cast("int").alias("label"))
@@ -205,15 +183,18 @@ def training_set(nli: DataFrame, head_limit: int = NLI_HEAD_LIMIT, paraphrase_li
 
 
 def training_shards(train: DataFrame, seed: int = SAMPLE_SEED, size: int = BATCH_SIZE) -> DataFrame:
-    """A-7: seeded shuffle into shards of ``size`` rows: adds ``shuffle_ord`` and ``shard``.
-
-    Write with ``.write.partitionBy("shard")`` to hand any trainer fixed, reproducible batches.
-    """
+    """A-7: seeded shuffle into shards of ``size`` rows: adds ``shuffle_ord`` and ``shard``."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("part").cast("string"), F.col("ord").cast("string")))
-    r = row_number(train.withColumn("_h", h), [F.col("_h"), F.col("part"), F.col("ord")], "shuffle_ord")
+    r = hash_numbers(train.withColumn("_h", h), "_h", ["part", "ord"], "shuffle_ord")
     return r.withColumn("shard", F.floor((F.col("shuffle_ord") - 1) / F.lit(size)).cast("long")).drop("_h")
 
 
+def write_shards(shards: DataFrame, path: str, files: int | None = None, fmt: str = "parquet") -> None:
+    """Shards in order, many to a file: ranges of ``shard`` with the shard as a column."""
+    n = files or int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards.repartitionByRange(n, "shard").sortWithinPartitions("shard", "shuffle_ord").write.mode("overwrite").format(fmt).save(path)
+
+
 def schedule(n_rows: int, size: int = BATCH_SIZE, warmup_fraction: float = WARMUP_FRACTION) -> tuple[int, int]:
     """Steps of one epoch and warm-up steps: ceil(n / size), int(0.1 * steps)."""
     steps = -(-n_rows // size)

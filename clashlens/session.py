@@ -15,14 +15,16 @@ LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def local_session(cores: int | str = "*", app: str = "clashlens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster use the cluster's own session."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in {**LOCAL_CONF, **(extra or {})}.items():
+    spread = {} if cores == "*" else {"spark.clashlens.scan.partitions": str(cores)}
+    for k, v in {**LOCAL_CONF, **spread, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,8 +48,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -36,10 +36,11 @@ def valid_only(df: DataFrame) -> DataFrame:
 def assemble_documents(lines: DataFrame, key: str, order: str, line: str, out_key: str = "doc_id") -> DataFrame:
     """S-5: one document per key from its lines in ``order``, joined by one blank, then stripped.
 
-    Partial aggregation collects (order, line) pairs; the sort happens once per document.
+    A key whose lines are all NULL is an empty document. Partial aggregation collects (order, line) pairs; the sort happens once per document.
     """
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l"))))
-    return (lines.where(F.col(line).isNotNull()).groupBy(F.col(key).alias(out_key)).agg(parts.alias("_p"))
+    row = F.when(F.col(line).isNotNull(), F.struct(F.col(order).alias("o"), F.col(line).alias("l")))
+    parts = F.array_sort(F.collect_list(row))
+    return (lines.groupBy(F.col(key).alias(out_key)).agg(parts.alias("_p"))
             .select(out_key, strip(F.array_join(F.col("_p.l"), " ")).alias("text")))
 
 

@@ -19,10 +19,6 @@ def pair_records_json(report: DataFrame, keys) -> DataFrame:
     return report.select(*keys, rec.alias("json"))
 
 
-def write_pair_report(report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    report.write.mode("overwrite").format(fmt).save(path)
-
-
 def write_doc_report(report: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S-8: nested per-document report (stats + contradictions array) to parquet or json."""
     report.write.mode("overwrite").format(fmt).save(path)

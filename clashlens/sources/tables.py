@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+SCAN_PARTITIONS = "spark.clashlens.scan.partitions"
+
 SCHEMAS = {
     "documents": T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -32,22 +34,15 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table; projections and filters above it are pushed into the scan."""
+    """Parquet scan of one driver table; projections and filters above it are pushed into the scan.
+
+    Tables are left as scanned. A session over a few small files (bench, tests) may ask for a round-robin
+    spread with the setting SCAN_PARTITIONS.
+    """
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    return ensure_parallelism(reader.parquet(table_path(sf_dir, name)))
+    df = reader.parquet(table_path(sf_dir, name))
+    spread = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(spread)) if spread else df
 
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A small table stored as one row group scans as one partition, and everything before the first
-    shuffle would run in one task. Only then is a round-robin repartition added; a large input
-    (many files and row groups) is left as scanned, so no extra shuffle appears at scale.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

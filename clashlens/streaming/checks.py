@@ -10,47 +10,61 @@ Checkpoints go to the shared folder named by ``spark.checkpoint.dir`` unless a l
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clashlens.config import DEFAULT, Settings
 from clashlens.plans.document_check import check_documents
 from clashlens.plans.pair_check import pair_report
 from clashlens.session import ensure_checkpoint_dir
+from clashlens.sources.documents import document_source, pair_source, valid_only
 
 PAIR_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("sentence1", T.StringType()),
                             T.StructField("sentence2", T.StringType())])
 DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
-def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+def _checkpoint(spark: SparkSession, name: str, sink: str, location: str | None) -> str:
+    """Without a given location a folder of the sink's own, so two streams never share their state."""
+    return location or os.path.join(ensure_checkpoint_dir(spark), "streams", name, hashlib.sha256(sink.encode()).hexdigest()[:16])
 
 
 def stream_pair_reports(spark: SparkSession, source_dir: str, sink_dir: str, settings: Settings = DEFAULT,
-                        checkpoint: str | None = None, fmt: str = "parquet", available_now: bool = True):
-    """ST-1: parquet files of (pair_id, sentence1, sentence2) -> pair reports, appended to ``sink_dir``."""
-    from clashlens.sources.documents import pair_source, valid_only
-    pairs = spark.readStream.schema(PAIR_SCHEMA).parquet(source_dir)
-    report = pair_report(valid_only(pair_source(pairs, keys=("pair_id",))), ("pair_id",), settings)
-    w = (report.writeStream.format(fmt).outputMode("append")
-         .option("checkpointLocation", _checkpoint(spark, "pairs", checkpoint)).option("path", sink_dir))
+                        checkpoint: str | None = None, fmt: str = "parquet", available_now: bool = True, scorer=None):
+    """ST-1: parquet files of (pair_id, sentence1, sentence2) -> pair reports, appended to ``sink_dir``.
+
+    Every pair gives one row: a pair that lacks a sentence has its reason in ``error`` and no scores.
+    """
+    pairs = pair_source(spark.readStream.schema(PAIR_SCHEMA).parquet(source_dir), keys=("pair_id",))
+    good = pair_report(valid_only(pairs), ("pair_id",), settings, scorer).withColumn("error", F.lit(None).cast("string"))
+    bad = pairs.where(F.col("error").isNotNull())
+    bad = bad.select(*(F.col(f.name) if f.name in ("pair_id", "error") else F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema))
+    w = (good.unionByName(bad).writeStream.format(fmt).outputMode("append")
+         .option("checkpointLocation", _checkpoint(spark, "pairs", sink_dir, checkpoint)).option("path", sink_dir))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
 def stream_doc_reports(spark: SparkSession, source_dir: str, sink_dir: str, settings: Settings = DEFAULT,
-                       checkpoint: str | None = None, available_now: bool = True):
-    """ST-2: parquet files of (doc_id, text) -> nested document reports, one folder per micro-batch."""
+                       checkpoint: str | None = None, available_now: bool = True, scorer=None, encoder=None):
+    """ST-2: parquet files of (doc_id, text) -> nested document reports, one folder per micro-batch.
+
+    Documents without text go to the folder ``<sink>-rejected``, with the reason.
+    """
     docs = spark.readStream.schema(DOC_SCHEMA).parquet(source_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = check_documents(batch, settings).report(nested=True)
+        source = document_source(batch)
+        out = check_documents(valid_only(source), settings, scorer, encoder=encoder).report(nested=True)
         out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+        bad = source.where(F.col("error").isNotNull())
+        bad.write.mode("overwrite").parquet(os.path.join(f"{sink_dir.rstrip('/')}-rejected", f"batch_id={batch_id}"))
 
     w = (docs.writeStream.foreachBatch(run)
-         .option("checkpointLocation", _checkpoint(spark, "docs", checkpoint)))
+         .option("checkpointLocation", _checkpoint(spark, "docs", sink_dir, checkpoint)))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

@@ -1,66 +1,42 @@
-"""A 30-sentence document with 15 intended contradictions (same pair structure as the scaling demo,
-sentences written anew). The marks are intent, used as binary gold for F1 (M-6), not as an accuracy
-promise of the built-in scorer."""
+"""A report on a building with four planted contradictions; the gold marks are of these sentences."""
 
 import itertools
 
-
 from clashlens.plans.document_check import check_documents
 from clashlens.plans.evaluation import metrics
 
-SENTENCES = [
-    "The office was very quiet this morning.",        # 0
-    "Anna drove her red car to work.",                # 1
-    "The meeting room was full of people.",           # 2
-    "Anna did not drive her car to work.",            # 3
-    "The coffee machine worked fine all day.",        # 4
-    "Tom arrived early for the meeting.",             # 5
-    "The office was not quiet this morning.",         # 6
-    "Phones rang all afternoon.",                     # 7
-    "Visitors waited in the lobby.",                  # 8
-    "The office was never quiet this morning.",       # 9
-    "The coffee machine did not work all day.",       # 10
-    "The printer had plenty of paper.",               # 11
-    "Everyone printed their reports.",                # 12
-    "The printer had no paper.",                      # 13
-    "The lights stayed on all day.",                  # 14
-    "The heating was switched off.",                  # 15
-    "The lights were not on all day.",                # 16
-    "Lunch was served at one.",                       # 17
-    "Lunch was not served at one.",                   # 18
-    "Tom came in before nine for the meeting.",       # 19
-    "Tom did not arrive early for the meeting.",      # 20
-    "The windows were cleaned on Friday.",            # 21
-    "The elevator was out of order.",                 # 22
-    "The elevator was not out of order.",             # 23
-    "The manager praised the team.",                  # 24
-    "The manager never praised the team.",            # 25
-    "The deadline was moved to Monday.",              # 26
-    "The deadline was not moved to Monday.",          # 27
-    "The rooms felt cold by noon.",                   # 28
-    "The heating was not switched off.",              # 29
+TEXT = [
+    "The bridge opened to traffic in April.",
+    "Divers inspected both of the stone piers.",
+    "The eastern pier shows deep cracks near the water.",
+    "A ferry carried cars across the river before that.",
+    "Painters need eight weeks for the railings.",
+    "The eastern pier shows no deep cracks near the water.",
+    "Trucks pay a toll of nine euros.",
+    "The bridge never opened to traffic in April.",
+    "School classes visit the old toll house.",
+    "Trucks pay no toll of nine euros.",
+    "The town council voted for new lamps.",
+    "Storms closed the walkway twice.",
+    "The town council did not vote for new lamps.",
 ]
-GOLD = {(0, 6), (0, 9), (1, 3), (2, 6), (4, 10), (5, 20), (11, 13), (14, 16), (15, 29), (17, 18),
-        (19, 20), (22, 23), (24, 25), (26, 27), (28, 29)}
+GOLD = {(0, 7), (2, 5), (6, 9), (10, 12)}
 
 
 def test_annotated_document(spark):
-    docs = spark.createDataFrame([(1, " ".join(SENTENCES))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(TEXT))], "doc_id long, text string")
     check = check_documents(docs)
     stats = check.stats().collect()[0]
-    assert stats.total_sentences == 30 and stats.total_pairs == 435
+    n = len(TEXT)
+    assert (stats.total_sentences, stats.total_pairs) == (n, n * (n - 1) // 2)
     pc = {(r.i, r.j): r.contradiction for r in check.scored.collect()}
     found = {k for k, c in pc.items() if c >= 0.70}
-    assert stats.filtered_pairs == len(pc) and stats.contradiction_count == len(found)
-    # F1 through the distributed metric operator equals the set arithmetic
+    assert stats.filtered_pairs == len(pc) and stats.contradiction_count == len(found) and len(found & GOLD) >= 3
     rows = [("doc", "two_stage", float(pc.get(k, 0.0)), int(k in found), float(k in GOLD), int(k in GOLD))
-            for k in itertools.combinations(range(30), 2)]
+            for k in itertools.combinations(range(n), 2)]
     long = spark.createDataFrame(rows, "split string, method string, pred double, pred_bin int, gold double, gold_bin int")
-    f1 = metrics(long).collect()[0].f1
     tp = len(found & GOLD)
-    assert f1 == round(2 * tp / (2 * tp + len(found - GOLD) + len(GOLD - found)), 6)
-    assert tp >= 8          # the negated restatements share most words with their originals
-    # survivors fall as the threshold rises; reduction is 1 - k / 435
+    assert metrics(long).collect()[0].f1 == round(2 * tp / (2 * tp + len(found - GOLD) + len(GOLD - found)), 6)
     for t in (0.30, 0.40, 0.50, 0.65):
         k = check_documents(docs, similarity_threshold=t).stats().collect()[0]
-        assert k.filter_reduction_pct == round(100 * (1 - k.filtered_pairs / 435), 2)
+        assert k.filter_reduction_pct == round(100 * (1 - k.filtered_pairs / k.total_pairs), 2)

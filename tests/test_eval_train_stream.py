@@ -95,6 +95,7 @@ def test_stream_equals_batch(spark):
     q.awaitTermination()
     streamed = spark.read.parquet(os.path.join(sink, "docs"))
     batch = check_documents(docs).report(nested=True)
+    assert spark.read.parquet(os.path.join(sink, "docs-rejected")).count() == 0
     cols = ["doc_id", "total_pairs", "filtered_pairs", "consistency_score"]
     assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
 
@@ -105,7 +106,7 @@ def test_stream_equals_batch(spark):
                             checkpoint=os.path.join(sink, "ck-pairs"))
     q.awaitTermination()
     out = {r.pair_id: r for r in spark.read.parquet(os.path.join(sink, "pairs")).collect()}
-    assert set(out) == {1, 3}                       # the blank pair is rejected by the source
+    assert set(out) == {1, 2, 3} and out[2].error and out[2].verdict is None and not out[1].error    # one row each
     assert out[1].passed_filter and out[3].passed_filter is False and out[3].filtered_reason
 
 
@@ -157,3 +158,28 @@ def test_head_by_rank_equals_general_head(spark):
     a = {(r.source_ord, r.sample_ord, r.row_ord) for r in tr.head(nli, 500).collect()}
     b = {(r.source_ord, r.sample_ord, r.row_ord) for r in tr.head_by_rank(nli, 500).collect()}
     assert a == b and len(a) == 500
+
+
+def test_no_limit_cuts_the_distinct_premises(spark):
+    from clashlens.plans.catalog import QUERIES, _valid
+    want = _valid(spark, SF).select("premise").distinct().count()
+    assert QUERIES["distinct_first"](spark, SF).count() == want
+    assert QUERIES["augment_pairs"](spark, SF).select("first_ord").distinct().count() > 200
+
+
+def test_hash_numbers_cover_every_row_once(spark):
+    from clashlens.operators.ranking import hash_numbers
+    df = spark.range(3000).withColumn("h", F.md5((F.col("id") % 700).cast("string"))).withColumn("g", F.col("id") % 3)
+    got = hash_numbers(df, "h", ["id"], "n", ["g"]).collect()
+    for g in range(3):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.n)
+        assert [r.n for r in own] == list(range(1, 1001)) and [(r.h, r.id) for r in own] == sorted((r.h, r.id) for r in own)
+    assert spark.range(0).withColumn("h", F.lit("ab")).transform(lambda d: hash_numbers(d, "h", ["id"], "n")).count() == 0
+
+
+def test_shards_are_written_many_to_a_file(spark, tmp_path):
+    rows = spark.range(200).select(F.lit(0).alias("part"), F.col("id").alias("ord"))
+    tr.write_shards(tr.training_shards(rows, size=8), str(tmp_path / "s"), files=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 200 and back.groupBy("shard").count().where("count = 8").count() == 25
+    assert len(list((tmp_path / "s").glob("part-*"))) <= 3

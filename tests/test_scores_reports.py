@@ -77,3 +77,17 @@ def test_properties_on_driver_documents(spark):
     st = c.stats().agg(F.min("consistency_score").alias("lo"), F.max("consistency_score").alias("hi"),
                        F.count_if(F.col("filtered_pairs") > F.col("total_pairs")).alias("over")).collect()[0]
     assert 0.0 <= st.lo <= st.hi <= 1.0 and st.over == 0
+
+
+def test_rounding_equals_python(spark):
+    from pyspark.sql import functions as F
+
+    from clashlens.functions.scores import rounded
+    df = (spark.range(1, 401).withColumnRenamed("id", "n").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+          .withColumn("x", 1 - F.col("k") / F.col("n")).withColumn("y", F.col("x") * 100.0))
+    got = df.select("x", "y", rounded(F.col("x"), 4).alias("a"), rounded(F.col("y"), 2).alias("b"), rounded(-F.col("x"), 3).alias("c")).toPandas()
+    for x, y, a, b, c in got.itertuples(index=False, name=None):
+        assert (a, b, c) == (round(x, 4), round(y, 2), round(-x, 3)), (x, y)
+    odd = [2.675, 0.5, 1.5, 2.5, 0.125, 1e15 + 0.5, 4.35, 1.005]
+    got = spark.createDataFrame([(v,) for v in odd], "x double").select("x", rounded(F.col("x"), 2).alias("r"), rounded(F.col("x"), 0).alias("z")).collect()
+    assert all(r["r"] == round(r["x"], 2) and r["z"] == round(r["x"], 0) for r in got)

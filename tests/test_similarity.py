@@ -120,17 +120,28 @@ def test_cosine_exactly_at_threshold_passes(spark):
     assert token_candidates(v, 0.4000001).count() == 0
 
 
-def test_salted_hot_keys_give_identical_pairs(spark):
-    from clashlens.operators.sentences import sentences
-    from clashlens.sources.tables import read_table
+def test_hot_word_of_a_long_document_is_cut_into_bounded_keys(spark):
+    from pyspark.sql import functions as F
     rnd = random.Random(11)
-    rows = [(0, i, "the " + " ".join(rnd.choice(WORDS) for _ in range(3))) for i in range(60)]   # "the" is hot
+    rows = [(0, i, "the " + " ".join(rnd.choice(WORDS) for _ in range(3))) for i in range(330)]   # "the" in all
+    rows += [(1, i, "the " + rnd.choice(WORDS)) for i in range(5)]
     v = sentence_vectors(spark.createDataFrame(rows, "doc_id long, idx int, sentence string"))
-    plain = {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in token_candidates(v, 0.3).collect()}
-    salted = {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in token_candidates(v, 0.3, hot_key_rows=7).collect()}
-    assert plain == salted and len(plain) > 0
-    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
-    rv = sentence_vectors(sentences(docs))
-    a = {(r.doc_id, r.i, r.j, r.dot) for r in token_candidates(rv, 0.4).collect()}
-    b = {(r.doc_id, r.i, r.j, r.dot) for r in token_candidates(rv, 0.4, hot_key_rows=20).collect()}
-    assert a == b
+    whole = {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in token_candidates(v, 0.3, block_rows=1000).collect()}
+    cut = token_candidates(v, 0.3, block_rows=50)
+    assert {(r.doc_id, r.i, r.j, r.dot, r.shared) for r in cut.collect()} == whole and len(whole) > 1000
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "_lo" in plan and "_hi" in plan
+    # keys of the hot word: pairs of 7 blocks of at most 50 sentences, none with more than two blocks
+    t = spark.range(330).select((F.col("id") / 50).cast("int").alias("b"))
+    t = t.select("b", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    sizes = [r["count"] for r in t.groupBy(F.least("b", "k"), F.greatest("b", "k")).count().collect()]
+    assert len(sizes) == 28 and max(sizes) <= 100
+
+
+def test_dense_tiles_off_the_diagonal(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, id int, v array<double>")
+    got = {(r.i, r.j) for r in dense_candidates(df, 0.5, "g", "id", "v", block_rows=20).collect()}
+    assert got == {(i, j) for j in range(90) for i in range(j) if x[i] @ x[j] >= 0.5}
