@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,3 +189,94 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str) -> Data
     for k, n in counts.items():
         share = F.when(F.col("label") == k, F.lit(min(1.0, rows / n))).otherwise(share)
     return known.where(unit < share)
+
+
+class PieceTable:
+    """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.used = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, np.int64), 0
+
+    def full_with(self, more: int) -> bool:
+        return 2 * (self.used + more) > len(self.keys)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The numbers; -1 where there is none."""
+        mask = _U(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        have = self.keys[slot]
+        out = np.where(have == h, self.values[slot], -1)
+        open_ = np.flatnonzero((have != h) & (have != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            have, want = self.keys[slot[open_]], h[open_]
+            hit = have == want
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (have != 0)]
+        return out
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct hashes that aren't there."""
+        mask = len(self.keys) - 1
+        slot = (h & _U(mask)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = h[free]         # of several for one slot the last stays
+            won = free[self.keys[slot[free]] == h[free]]
+            self.values[slot[won]] = values[won]
+            open_ = open_[self.keys[slot[open_]] != h[open_]]
+            slot[open_] = (slot[open_] + 1) & mask
+        self.used += len(h)
+
+
+@cache
+def code_points(pattern: str) -> np.ndarray:
+    """Which code points a one-character pattern of ``regex`` matches."""
+    import regex
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in regex.findall(pattern, "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))]] = True
+    return out
+
+
+@dataclass
+class Words:
+    """The words of some texts, in order: where each lies in ``text``, its hash, and each text's word count."""
+    text: str
+    first: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    sizes: np.ndarray
+
+    def strings(self, which) -> list[str]:
+        return [self.text[a:z] for a, z in zip(self.first[which].tolist(), self.end[which].tolist())]
+
+    def numbers(self, known: PieceTable, learn: Callable[[list[str]], np.ndarray], forget: Callable[[], None]) -> np.ndarray:
+        """The number that ``known`` has for each word; ``learn`` gives those of new words."""
+        got = known.get(self.hash)
+        if (got < 0).any():
+            h, which = np.unique(self.hash, return_index=True)
+            if known.full_with(len(h)):
+                known.clear()
+                forget()
+            which = which[known.get(h) < 0]
+            known.put(self.hash[which], learn(self.strings(which)))
+            got = known.get(self.hash)
+        return got
+
+
+def words_of(texts: list[str], inside: np.ndarray) -> Words:
+    """Maximal runs of the code points marked in ``inside``."""
+    text = "\n".join([*texts, ""])
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    ends = np.cumsum(size) - 1
+    is_in = inside[code]
+    is_in[ends] = False
+    edge = np.diff(np.concatenate([[0], is_in.astype(np.int8), [0]]))
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return Words(text, first, end, range_hashes(mix(code.astype(_U), 43), first, end), np.bincount(np.searchsorted(ends, first), minlength=len(texts)))

@@ -12,22 +12,22 @@ an empty table. Texts are read whole.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clashlens.llm.common import as_batch, blocks, columns_only, held_out
+from clashlens.llm.common import PieceTable, Words, as_batch, blocks, code_points, columns_only, held_out, words_of
 
-WORD = re.compile(r"[^\W\d_]+")
+LETTER = r"\p{L}|\p{M}"
+WORD = regex.compile(rf"(?:{LETTER})+")
 BUCKETS = 1 << 16
 RUN_WORDS = 8
-MEMO_WORDS = 400_000
 UNDETERMINED = "und"
 
 
@@ -37,8 +37,8 @@ class LanguageModel:
     logp: np.ndarray            # (BUCKETS, languages), log probability of an n-gram bucket
 
     def __post_init__(self):
-        self._memo: dict[str, int] = {}
-        self._table = np.zeros((1024, len(self.langs)), np.float32)
+        self._known = PieceTable(20)
+        self._table, self._used = np.zeros((1024, len(self.langs)), np.float32), 0
 
     def __getstate__(self):
         return {"langs": self.langs, "logp": self.logp}
@@ -47,19 +47,25 @@ class LanguageModel:
         self.langs, self.logp = s["langs"], s["logp"]
         self.__post_init__()
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """(len(words), languages) log-likelihoods of words."""
-        memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        at = list(map(memo.get, words))
-        for w in {w for w, i in zip(words, at) if i is None} if None in at else ():
-            k = memo[w] = len(memo)
-            if k >= len(self._table):
-                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-            self._table[k] = self.logp[grams(w)].sum(axis=0)
-        if None in at:
-            at = list(map(memo.__getitem__, words))
+    def _forget(self) -> None:
+        self._used = 0
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Rows of the table for new words: the sums of their n-grams' log probabilities."""
+        each = [grams(w) for w in words]
+        starts = np.cumsum([0, *map(len, each)])
+        while self._used + len(words) > len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+        for a in range(0, len(words), 4096):
+            part = each[a:a + 4096]
+            flat = np.fromiter((k for g in part for k in g), np.int64, int(starts[a + len(part)] - starts[a]))
+            self._table[self._used + a:self._used + a + len(part)] = np.add.reduceat(self.logp[flat], starts[a:a + len(part)] - starts[a], axis=0)
+        self._used += len(words)
+        return np.arange(self._used - len(words), self._used)
+
+    def rows(self, words: Words) -> np.ndarray:
+        """(words, languages) log-likelihoods."""
+        at = words.numbers(self._known, self._learn, self._forget)      # may replace the table
         return self._table[at]
 
 
@@ -156,13 +162,12 @@ def infer(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, floa
     The score is the proportion of the predicted language times how surely the likelihood tells the
     selected languages from every other one.
     """
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    flat = [w for ws in words for w in ws]
+    words = words_of([t.lower() if t else "" for t in texts], code_points(LETTER))
     out: list[tuple[str, float, np.ndarray | None]] = []
-    if not flat or not model.langs:
+    if not len(words.hash) or not model.langs:
         return [(UNDETERMINED, 0.0, None)] * len(texts)
-    ll = model.rows(flat).astype(np.float64)
-    sizes = [len(ws) for ws in words]
+    ll = model.rows(words).astype(np.float64)
+    sizes = words.sizes.tolist()
     starts = np.concatenate([np.arange(a, a + n, RUN_WORDS) for a, n in zip(np.cumsum([0, *sizes[:-1]]), sizes)])
     runs = np.add.reduceat(ll, starts, axis=0)
     a = 0

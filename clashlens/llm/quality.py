@@ -15,20 +15,20 @@ are read whole.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from clashlens.llm.common import as_batch, blocks, checked_broadcast, columns_only, labelled_sample, saved
+from clashlens.llm import common
+from clashlens.llm.common import PieceTable, as_batch, blocks, checked_broadcast, code_points, columns_only, labelled_sample, saved
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4)
 AGAIN = "\x02"              # a word that repeats the one before it counts as this word as well
-MEMO_WORDS = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -49,34 +49,48 @@ class QualityModel:
     margin: np.ndarray          # of each bucket, towards label 1
     bias: float
     prior: float
-    memo: dict[str, tuple[float, int]] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        self._known, self._used = PieceTable(20), 0
+        self._sum, self._count = np.zeros(1024), np.zeros(1024)
 
     def __getstate__(self):
-        return {"margin": np.asarray(self.margin, np.float32), "bias": self.bias, "prior": self.prior, "memo": {}}
+        return {"margin": np.asarray(self.margin, np.float32), "bias": self.bias, "prior": self.prior}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def _forget(self) -> None:
+        self._used = 0
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Places of new words' sums of margins and bucket counts."""
+        each = [buckets_of(w) for w in words]
+        count = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((k for b in each for k in b), np.int64, int(count.sum()))
+        while self._used + len(words) > len(self._sum):
+            self._sum, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._sum, self._count))
+        new = np.arange(self._used, self._used + len(words))
+        self._sum[new] = np.add.reduceat(np.asarray(self.margin, float)[flat], np.cumsum(count) - count)
+        self._count[new] = count
+        self._used += len(words)
+        return new
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        words = common.words_of([t.lower() if t else "" for t in texts], code_points(r"\S"))
         out = np.full(len(texts), self.prior)
-        if isinstance(self.margin, np.ndarray):
-            self.margin = self.margin.tolist()
-        memo, m = self.memo, self.margin
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for i, t in enumerate(texts):
-            words = words_of(t) if t else []
-            if not words:
-                continue
-            again = repeats(words)
-            got = list(map(memo.get, words))
-            if None in got:
-                for w in {w for w, g in zip(words, got) if g is None}:
-                    b = buckets_of(w)
-                    memo[w] = sum([m[k] for k in b]), len(b)
-                got = list(map(memo.__getitem__, words))
-            total, n = map(sum, zip(*got))
-            if again:
-                k = buckets_of(AGAIN)
-                total, n = total + again * sum(m[x] for x in k), n + again * len(k)
-            out[i] = 1 / (1 + np.exp(-np.clip(total / n + self.bias, -30, 30)))
+        if not len(words.hash):
+            return out
+        at = words.numbers(self._known, self._learn, self._forget)
+        of = np.repeat(np.arange(len(texts)), words.sizes)
+        again = np.flatnonzero((words.hash[1:] == words.hash[:-1]) & (of[1:] == of[:-1])) + 1
+        k = buckets_of(AGAIN)
+        repeated = np.bincount(of[again], minlength=len(texts))
+        total = np.bincount(of, self._sum[at], len(texts)) + repeated * float(np.asarray(self.margin, float)[k].sum())
+        n = np.bincount(of, self._count[at], len(texts)) + repeated * len(k)
+        some = n > 0
+        out[some] = 1 / (1 + np.exp(-np.clip(total[some] / n[some] + self.bias, -30, 30)))
         return out
 
 

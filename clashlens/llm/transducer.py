@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from clashlens.llm.common import mix, range_hashes
+from clashlens.llm.common import PieceTable, mix, range_hashes  # noqa: F401
 
 # character classes of the pieces; the letters of the contractions 's 't 'm 'd 're 've 'll are classes of their own
 END, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, STMD, RV, E, L = range(11)
@@ -157,49 +157,6 @@ def split_pieces(parts: list[str], table: np.ndarray) -> Pieces:
     return Pieces(text, a, z, np.searchsorted(ends, a), range_hashes(mix(code.astype(np.uint64), 41), a, z))
 
 
-class PieceTable:
-    """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time."""
-
-    def __init__(self, bits: int = 21):
-        self.bits = bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.values, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64), 0
-
-    def full_with(self, more: int) -> bool:
-        return 2 * (self.used + more) > len(self.keys)
-
-    def get(self, h: np.ndarray) -> np.ndarray:
-        """The numbers; -1 where there is none."""
-        mask = np.uint64(len(self.keys) - 1)
-        slot = (h & mask).astype(np.int64)
-        have = self.keys[slot]
-        out = np.where(have == h, self.values[slot], -1)
-        open_ = np.flatnonzero((have != h) & (have != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & int(mask)
-            have, want = self.keys[slot[open_]], h[open_]
-            hit = have == want
-            out[open_[hit]] = self.values[slot[open_[hit]]]
-            open_ = open_[~hit & (have != 0)]
-        return out
-
-    def put(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct hashes that aren't there."""
-        mask = len(self.keys) - 1
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        open_ = np.arange(len(h))
-        while len(open_):
-            free = open_[self.keys[slot[open_]] == 0]
-            self.keys[slot[free]] = h[free]         # of several for one slot the last stays
-            won = free[self.keys[slot[free]] == h[free]]
-            self.values[slot[won]] = values[won]
-            open_ = open_[self.keys[slot[open_]] != h[open_]]
-            slot[open_] = (slot[open_] + 1) & mask
-        self.used += len(h)
-
-
 class CountTransducer:
     """Deterministic transducer over the bytes of a piece whose transitions carry token counts."""
 
