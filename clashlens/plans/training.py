@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clashlens.config import (BATCH_SIZE, MNLI_LIMIT, NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_PROMPT,
                               PARAPHRASE_SENTENCE_LIMIT, SAMPLE_SEED, SNLI_LIMIT, WARMUP_FRACTION)
-from clashlens.functions.text import WS, strip
+from clashlens.functions.text import WS, has_negation, strip, tokens
 from clashlens.operators.ranking import HEX_DIGITS, hash_numbers, row_number
 from clashlens.operators.sentences import sentence_arrays
 from clashlens.operators.similarity import aligned_features
@@ -201,6 +201,14 @@ def schedule(n_rows: int, size: int = BATCH_SIZE, warmup_fraction: float = WARMU
     return steps, int(warmup_fraction * steps)
 
 
+def rule_labels(train: DataFrame) -> DataFrame:
+    """The training set with labels that its texts bear out, as the driver tables have no labelled pairs:
+    2 where one side alone has a negation word, else 0 where the sides share a word, else 1."""
+    d = train.withColumn("_a", tokens(F.col("s1"))).withColumn("_b", tokens(F.col("s2")))
+    return d.withColumn("label", F.when(has_negation(F.col("_a")) != has_negation(F.col("_b")), 2)
+                        .when(F.arrays_overlap("_a", "_b"), 0).otherwise(1)).drop("_a", "_b")
+
+
 FEATURES = ("cos", "jac", "negf")
 
 
@@ -211,9 +219,13 @@ def pair_features(train: DataFrame) -> DataFrame:
 
 def fit_pair_classifier(train: DataFrame, max_iter: int = 50) -> PipelineModel:
     """A-8: multinomial logistic regression over native pair features, fitted by Spark ML (distributed)."""
+    return fit_features(pair_features(train), max_iter)
+
+
+def fit_features(features: DataFrame, max_iter: int = 50) -> PipelineModel:
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
                             LogisticRegression(family="multinomial", labelCol="label", maxIter=max_iter)])
-    return pipe.fit(pair_features(train))
+    return pipe.fit(features)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
