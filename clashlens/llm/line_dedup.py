@@ -92,7 +92,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     slim = saved(_chunk_rows(keyed, with_text=False), "chunks")
     again = saved(slim.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
     where = saved(slim.join(again, ["h1", "h2"], "left_semi"), "where")
-    texts = keyed.join(where.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    # joined by a merge at every size: how many texts hold a repeated chunk isn't bounded
+    texts = keyed.join(where.select("id", "digest").distinct().hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     parts = saved(_chunk_rows(texts, with_text=True).join(again, ["h1", "h2"], "left_semi"), "parts")
     first = (parts.groupBy("h1", "h2", "part").agg(F.min(F.struct("id", "digest", "chunk")).alias("first")))
     return parts.join(first, ["h1", "h2", "part"]).where(F.struct("id", "digest", "chunk") != F.col("first")).select("id", "digest", "chunk")
@@ -101,7 +102,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of every row of ``docs``."""
     drop = saved(repeated_chunks(docs).groupBy("id", "digest").agg(F.collect_set("chunk").alias("drop")), "drop")
-    both = _keyed(docs).join(drop, ["id", "digest"], "left").select("doc_id", "text", "drop")
+    both = _keyed(docs).join(drop.hint("merge"), ["id", "digest"], "left").select("doc_id", "text", "drop")
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
     def run(batches):
