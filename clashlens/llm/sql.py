@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clashlens.llm.warc import CRLF, DATE, SERVED_AS, TEXT_STEPS, VERSION
+from clashlens.llm.warc import CRLF, DATE, ENTITY_STEPS, MARKUP_STEPS, SERVED_AS, SPACE_STEPS, VERSION
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,9 +48,13 @@ def _quoted(s: str) -> str:
 
 
 def _plain(html: str) -> str:
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in MARKUP_STEPS:
         html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    return html
+    for plain, to in ENTITY_STEPS:
+        html = f"replace({html}, {_quoted(plain)}, {_quoted(to)})"
+    for pattern, to in SPACE_STEPS:
+        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    return f"trim({html}, ' ' || chr(10))"
 
 
 def _record_id(text: str) -> str:

@@ -24,30 +24,30 @@ CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"       # the pages carry no date
 SERVED_AS = "text/html; charset=utf-8"
 
-#: Steps from HTML to text: pattern and what replaces it, in order.
-TEXT_STEPS = (
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
-    (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|body|html|pre|blockquote)\b[^>]*>", "\n"),
-    (r"(?i)</?(td|th)\b[^>]*>", " "),
+#: Steps from HTML to text, in order: pattern and replacement, then plain strings and theirs, then patterns again.
+MARKUP_STEPS = (
+    (r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|head\b[^>]*>.*?</head\s*>)", ""),
+    (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|body|html|pre|blockquote)\b[^>]*>", "\n"),
+    (r"(?i)</?(?:td|th)\b[^>]*>", " "),
     (r"<[a-zA-Z/!][^>]*>", ""),
-    (r"&nbsp;|&#160;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;|&apos;", "'"), (r"&amp;", "&"),
-    (r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+$", ""),
 )
+ENTITY_STEPS = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Runs of blanks become one, lines lose blanks at their ends, empty lines go.
+SPACE_STEPS = ((r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" \n ?|\n ", "\n"), (r"\n{2,}", "\n"))
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in MARKUP_STEPS:
         html = F.regexp_replace(html, pattern, to)
-    return html
+    for plain, to in ENTITY_STEPS:
+        html = F.replace(html, F.lit(plain), F.lit(to))
+    for pattern, to in SPACE_STEPS:
+        html = F.regexp_replace(html, pattern, to)
+    return F.btrim(html, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
-    h = F.md5(F.concat_ws("\n", *parts))
-    return F.concat(F.lit("<urn:uuid:"), *(x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-                                           for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]), F.lit(">"))
+    return F.regexp_replace(F.md5(F.concat_ws("\n", *parts)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def digest(text: Column) -> Column:
@@ -69,13 +69,29 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             .withColumn("response_id", record_id(F.lit("response"), F.coalesce("target", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("block_digest"))))
 
 
+def _record(kind: str, name: str, refers_to: Column, content_type: str, block: str, own: str, source: Column) -> Column:
+    """One record as a struct; its id, block and digest are columns, as they are used several times."""
+    none = F.lit(None).cast("string")
+    name, block, own = F.col(name), F.col(block), F.col(own)
+    length = F.octet_length(block).cast("long")
+    lines = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", name), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("target")),
+             ("WARC-Refers-To", none if refers_to is None else refers_to), ("WARC-Block-Digest", own),
+             ("WARC-Payload-Digest" if kind == "response" else "WARC-Source-Payload-Digest", none if source is None else source),
+             ("Content-Type", F.lit(content_type)), ("Content-Length", length.cast("string"))]
+    return F.struct(F.lit(kind).alias("record_type"), name.alias("record_id"), (none if refers_to is None else refers_to).alias("refers_to"),
+                    F.col("target").alias("target_uri"), F.col("date").alias("date"), F.lit(content_type).alias("content_type"),
+                    length.alias("content_length"), own.alias("record_digest"), (none if source is None else source).alias("source_digest"),
+                    block.alias("block"), header(lines).alias("header"))
+
+
 def response_records(resp: DataFrame) -> DataFrame:
-    return _records(resp, "response", F.col("response_id"), None, f"application/http; msgtype=response",
-                    F.concat("http", F.lit(CRLF), "html"), F.col("payload_digest"))
+    df = resp.withColumn("_block", F.concat("http", F.lit(CRLF), "html"))
+    return df.select("page_id", F.inline(F.array(_record(
+        "response", "response_id", None, "application/http; msgtype=response", "_block", "block_digest", F.col("payload_digest")))))
 
 
 def derivatives(resp: DataFrame) -> DataFrame:
-    """The metadata and the conversion record of every response, two rows each."""
+    """The metadata and the conversion record of every response, two rows each, from one pass over its text."""
     title = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)
     lang = F.regexp_extract("html", r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1)
     one_line = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -83,23 +99,13 @@ def derivatives(resp: DataFrame) -> DataFrame:
         F.lit("source-headers: "), F.regexp_replace(F.regexp_replace("http", "\r\n$", ""), "\r\n", "\r\n "), F.lit(CRLF),
         F.lit("source-block-digest: "), "block_digest", F.lit(CRLF + "source-payload-digest: "), "payload_digest", F.lit(CRLF),
         F.lit("title: "), one_line(title), F.lit(CRLF + "language: "), one_line(lang), F.lit(CRLF))
-    text = resp.withColumn("block", plain_text(F.col("html")))
-    meta = resp.withColumn("block", fields)
     kind = lambda k: record_id(F.lit(k), F.col("response_id"))
-    return _records(meta, "metadata", kind("metadata"), F.col("response_id"), "application/warc-fields", F.col("block"), None).unionByName(
-        _records(text, "conversion", kind("conversion"), F.col("response_id"), "text/plain; charset=utf-8", F.col("block"), F.col("payload_digest")))
-
-
-def _records(df: DataFrame, kind: str, name: Column, refers_to: Column | None, content_type: str, block: Column, source: Column | None) -> DataFrame:
-    df = df.withColumn("block", block).select(
-        "page_id", F.lit(kind).alias("record_type"), name.alias("record_id"), (F.lit(None).cast("string") if refers_to is None else refers_to).alias("refers_to"),
-        F.col("target").alias("target_uri"), "date", F.lit(content_type).alias("content_type"), F.octet_length("block").cast("long").alias("content_length"),
-        digest(F.col("block")).alias("record_digest"), (F.lit(None).cast("string") if source is None else source).alias("source_digest"), "block")
-    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"),
-             ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "record_digest"),
-             ("WARC-Payload-Digest" if kind == "response" else "WARC-Source-Payload-Digest", "source_digest"),
-             ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    return df.withColumn("header", header([(k, F.col(c).cast("string")) for k, c in lines]))
+    both = (resp.withColumn("_fields", fields).withColumn("_text", plain_text(F.col("html")))
+            .withColumn("_of_fields", digest(F.col("_fields"))).withColumn("_of_text", digest(F.col("_text")))
+            .withColumn("_meta_id", kind("metadata")).withColumn("_text_id", kind("conversion")))
+    return both.select("page_id", F.inline(F.array(
+        _record("metadata", "_meta_id", F.col("response_id"), "application/warc-fields", "_fields", "_of_fields", None),
+        _record("conversion", "_text_id", F.col("response_id"), "text/plain; charset=utf-8", "_text", "_of_text", F.col("payload_digest")))))
 
 
 def write(records: DataFrame, path: str, per_file: int = 50_000) -> None:
