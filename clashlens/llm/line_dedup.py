@@ -95,7 +95,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # joined by a merge at every size: how many texts hold a repeated chunk isn't bounded
     texts = keyed.join(where.select("id", "digest").distinct().hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     parts = saved(_chunk_rows(texts, with_text=True).join(again, ["h1", "h2"], "left_semi"), "parts")
-    first = (parts.groupBy("h1", "h2", "part").agg(F.min(F.struct("id", "digest", "chunk")).alias("first")))
+    # written, so that the join below has exchanges of its own, which a chunk with very many places can split
+    first = saved(parts.groupBy("h1", "h2", "part").agg(F.min(F.struct("id", "digest", "chunk")).alias("first")), "first")
     return parts.join(first, ["h1", "h2", "part"]).where(F.struct("id", "digest", "chunk") != F.col("first")).select("id", "digest", "chunk")
 
 
