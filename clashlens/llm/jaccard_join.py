@@ -11,7 +11,7 @@ Empty subsets, and those of shingles that very many texts share, would put unrel
 are no keys; a set makes up for each by more segments. Only a set that runs out of segments is indexed
 under all its subsets. Which shingles are known as frequent changes costs, never results.
 
-A bucket (sets under one key) is not expanded into pairs. Each member is compared with the bucket's smallest
+A bucket (sets under one key) is not expanded into pairs, and blocks of texts that share a key enter it as one. Each member is compared with the bucket's smallest
 id, its hub; links form components. Two other members of a bucket then have a hub in common: the sets that
 share a hub and lie in different components are compared in tiles of bounded size by parity sketches
 (the bits in which two sketches differ never exceed the shingles in which the sets do), and the pairs
@@ -20,7 +20,8 @@ within one component already: components are those of the full join.
 
 Defined results: words are runs without the given break bytes after ASCII lower-casing. A text with fewer
 words than n has one shingle, all its words; a null text or one without words has none and links with
-nothing (component: itself). Equal sets link. Repeated rows and ties: the smallest id names a component.
+nothing (component: itself). Equal sets link. Repeated rows and ties: the smallest id names a component;
+an id stands for one text, so of rows that repeat an id with other texts only one is compared.
 Documents with a null id are returned with a null component. Other columns of the input, whatever their
 names, aren't read.
 """
@@ -182,23 +183,44 @@ def frequent_shingles(docs: DataFrame, n: int, in_block: int = 4, most: int = 20
     return np.sort(np.array(top.toPandas()["shingle"], np.int64).view(np.uint64))
 
 
+IN_BLOCK = 4        # texts of one block that share a key, from which the block stands behind one of them
+
+
 def index(docs: DataFrame, n: int, num: int, den: int, means: dict[int, float], frequent: np.ndarray) -> DataFrame:
-    """(doc_id, keys): the keys of each document's set in its band and the bands of smaller partners."""
-    schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(node, keys, behind): the keys of each set in its band and the bands of smaller partners.
+
+    Pre-aggregated by blocks of some hundred texts: of the texts in a block that share a key, from IN_BLOCK
+    up, the smallest id alone has it in ``keys``; the others have (key, that id) in ``behind``.
+    """
+    pair = pa.struct([("key", pa.int64()), ("rep", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("behind", pa.list_(pair))])
 
     def run(batches):
         for b in blocks(batches):
-            out = []
+            ids = b.column(0).to_numpy()
+            each = []
             for s in shingle_sets(b.column(1), n):
-                size, keys = len(s), []
+                size, keys = len(s), [np.zeros(0, np.uint64)]
                 if size:
                     for k in range(band(-(-num * size // den)), band(size) + 1):
                         if k in means:
                             keys.append(keys_of(s, k, allocation(k, num, den, means[k]), num, den, frequent))
-                out.append(_signed(np.concatenate(keys)) if keys else [])
-            yield as_batch(schema, b.column(0), out)
-
-    return docs.mapInArrow(run, "doc_id long, keys array<long>")
+                each.append(np.concatenate(keys))
+            size = np.array([len(k) for k in each])
+            keys, at, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            node = np.repeat(ids, size)
+            rep = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(rep, at, node)
+            led = (count[at] >= IN_BLOCK) & (rep[at] != node)
+            own, behind, a = [], [], 0
+            for z in np.cumsum(size).tolist():
+                k, r, m = _signed(keys[at[a:z]]), rep[at[a:z]], led[a:z]
+                own.append(k[~m])
+                behind.append([{"key": x, "rep": y} for x, y in zip(k[m].tolist(), r[m].tolist())])
+                a = z
+            yield as_batch(schema, b.column(0), own, behind)
+
+    return docs.mapInArrow(run, "node long, keys array<long>, behind array<struct<key: long, rep: long>>")
 
 
 # --- verification and components -----------------------------------------------------------------
@@ -351,11 +373,17 @@ def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> Dat
     means = {r["k"]: r["mean"] for r in nodes.groupBy(number.alias("k")).agg(F.avg("size").alias("mean")).collect()}
 
     ids = nodes.select(F.col("node").alias("doc_id"))
-    keys = (index(docs, n, num, den, means, frequent_shingles(docs, n)).join(checked_broadcast(ids), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
+    frequent = frequent_shingles(docs, n)
+    firsts = docs.join(checked_broadcast(ids), "doc_id", "left_semi")
+    indexed = saved(index(firsts, n, num, den, means, frequent), "index")
     same = Window.partitionBy("key")
-    hub = keys.select("key", "node", F.min("node").over(same).alias("hub"))
-    tried = saved(hub.where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("keys")).select("hub", "node"), "tried")
+    hub = (indexed.select("node", F.explode("keys").alias("key"))
+           .select("key", "node", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("far")))
+    behind = indexed.select("node", F.explode("behind").alias("b")).select("node", "b.key", "b.rep")
+    led = saved(hub.where((F.col("hub") != F.col("far"))).select("key", "node", "hub"), "led")
+    above = behind.join(led.select("key", F.col("node").alias("rep"), "hub"), ["key", "rep"], "left")
+    tried = saved(led.where("node <> hub").select("hub", "node").unionByName(
+        above.select(F.coalesce("hub", "rep").alias("hub"), "node")).where("hub <> node").distinct(), "tried")
 
     near = saved(tried.select("node").union(tried.select("hub")).distinct().withColumnRenamed("node", "doc_id"), "near")
     near = docs.join(checked_broadcast(near), "doc_id", "left_semi").dropDuplicates(["doc_id"])
