@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,8 +16,13 @@ from pyspark.sql import functions as F
 
 from clashlens.session import ensure_checkpoint_dir
 
+if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+    # Spark keeps Python workers for many tasks: let the arrays of a block (M_MMAP_THRESHOLD, from 512 KB) go
+    # back to the system when they are freed, not stay with the worker
+    libc.mallopt(-3, 1 << 19)
+
 #: Text bytes handled at once inside a task.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +119,7 @@ _BYTE = mix(_LOWER.astype(np.uint64), 7)
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES * 2)
+        size = max(1 << 19, 1 << (n - 1).bit_length())
         _powers[:] = []
         for b in (_BASE, _BASE_INV):
             p = np.full(size, b, np.uint64)
@@ -194,7 +200,7 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str) -> Data
 class PieceTable:
     """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.clear()
 
@@ -238,8 +244,10 @@ class PieceTable:
 def code_points(pattern: str) -> np.ndarray:
     """Which code points a one-character pattern of ``regex`` matches."""
     import regex
+    known = np.delete(np.arange(0x110000, dtype="<u4"), np.s_[0xD800:0xE000])
     out = np.zeros(0x110000, bool)
-    out[[ord(c) for c in regex.findall(pattern, "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))]] = True
+    for m in regex.finditer(f"(?:{pattern})+", known.tobytes().decode("utf-32-le")):
+        out[known[m.start():m.end()]] = True
     return out
 
 

@@ -37,7 +37,7 @@ class LanguageModel:
     logp: np.ndarray            # (BUCKETS, languages), log probability of an n-gram bucket
 
     def __post_init__(self):
-        self._known = PieceTable(20)
+        self._known = PieceTable(19)
         self._table, self._used = np.zeros((1024, len(self.langs)), np.float32), 0
 
     def __getstate__(self):

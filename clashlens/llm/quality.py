@@ -51,7 +51,7 @@ class QualityModel:
     prior: float
 
     def __post_init__(self):
-        self._known, self._used = PieceTable(20), 0
+        self._known, self._used = PieceTable(19), 0
         self._sum, self._count = np.zeros(1024), np.zeros(1024)
 
     def __getstate__(self):
