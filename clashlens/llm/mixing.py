@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from clashlens.llm.common import as_batch, blocks, checked_broadcast, columns_only, labelled_sample, saved
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 
 
 @dataclass
@@ -59,8 +59,12 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return np.append(at, [BUCKETS, BUCKETS + 1]), value, len(tokens)
 
 
-def train(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows_per_domain: int = 1500, epochs: int = 12) -> DomainModel:
-    """Softmax regression on about ``rows_per_domain`` whole texts at most of every domain (``labels``: doc_id, domain)."""
+def train(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows_per_domain: int = 1500, epochs: int = 8,
+          least_share: float = 0.006) -> DomainModel:
+    """Softmax regression on about ``rows_per_domain`` whole texts at most of every domain (``labels``: doc_id, domain).
+
+    Only tokens in ``least_share`` of the sampled texts and more get a weight: rarer ones tell texts, not domains.
+    """
     sample = checked_broadcast(saved(labelled_sample(labels, domain, rows_per_domain, "domain"), "sample"))
     texts = columns_only(docs, doc_id="long", text="string").join(sample, "doc_id")
     schema = pa.schema([("label", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
@@ -74,6 +78,11 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows_per_d
     names = sorted(set(got["label"].to_pylist()))
     rows = sorted(((names.index(y), np.array(a, np.int64), np.array(x)) for y, a, x in zip(
         got["label"].to_pylist(), got["at"].to_pylist(), got["x"].to_pylist())), key=lambda r: (r[0], len(r[1]), r[1].sum()))
+    texts_with = np.zeros(BUCKETS + 2, np.int64)
+    for _, at, _ in rows:
+        texts_with[at] += 1
+    common = texts_with >= least_share * len(rows)
+    rows = [(y, at[common[at]], x[common[at]]) for y, at, x in rows]
     w = np.zeros((BUCKETS + 2, len(names)))
     square = np.full_like(w, 1e-3)
     rng = np.random.default_rng(1)
