@@ -1,14 +1,17 @@
 """Line deduplication by content-defined chunks (operator 10).
 
-A text is a sequence of lines. A rolling hash over the hashes of the last lines decides where a chunk
-ends, so the chunks of a passage are the same wherever it stands, whatever lines come before it. Chunks of
-two lines and more that occur again anywhere in the table, after comparing their bytes, are removed; the
-first occurrence (smallest id, then place) stays.
+A text is a sequence of lines. A rolling hash over the hashes of two lines names a chunk at every line, so the
+chunks of a passage overlap and are the same wherever it stands, whatever lines come before and after it.
+Chunks that occur again anywhere in the table, after comparing their bytes, are removed with all their lines; of
+each chunk the first occurrence (smallest id, then place) is no reason to remove. As chunks overlap, a repeated
+passage of two lines and more goes whole, from its first line to its last.
 
 Defined results: lines end at "\\n"; a text keeps its other lines in order, joined by "\\n". A null text
 stays null, an empty one empty. Documents that repeat an id are told apart by their text; rows that repeat
 both get equal results (each keeps what the first occurrence keeps). Null ids come before all others. A
-chunk without any word isn't removed. Other columns, whatever their names, aren't read. Texts are read whole.
+chunk without any word isn't removed. Of every line that is removed an equal one stays somewhere before it; the
+lines of a first occurrence can go with a chunk beside it that stands elsewhere. Other columns, whatever their
+names, aren't read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,27 +22,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clashlens.llm.common import _U, as_batch, blocks, columns_only, mix, saved
+from clashlens.llm.common import as_batch, blocks, columns_only, mix, saved
 
-WINDOW = 2          # lines of the rolling hash
-DIVISOR = 2         # a chunk ends after one in so many lines
-LEAST, MOST = 2, 64
+LEAST = 2           # lines of a chunk, and of the rolling hash
 NO_ID = -(1 << 63)
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, end) of the chunks of a text."""
+    """(first line, end) of the chunks of a text, one at every line but the last."""
+    return [(a, a + LEAST) for a in range(len(lines) - LEAST + 1)]
+
+
+def rolling(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, hashes) of the chunks that can be removed: those with a word."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-    rolling = mix(h, 1)
-    for k in range(1, min(WINDOW, len(h))):
-        rolling[k:] += mix(h[:-k], k + 1)
-    ends = (mix(rolling, 9) % _U(DIVISOR) == 0).tolist()
-    out, a = [], 0
-    for i, end in enumerate(ends):
-        if (end and i + 1 - a >= LEAST) or i + 1 - a >= MOST or i + 1 == len(lines):
-            out.append((a, i + 1))
-            a = i + 1
-    return out
+    word = np.fromiter((bool(x.strip()) for x in lines), bool, len(lines))
+    n = len(lines) - LEAST + 1
+    each, any_word = mix(h[:n], 1), word[:n].copy()
+    for k in range(1, LEAST):
+        each += mix(h[k:n + k], k + 1)
+        any_word |= word[k:n + k]
+    at = np.flatnonzero(any_word)
+    return at, each[at].view(np.int64)
 
 
 def multi_line(text: str | None) -> list[tuple[int, str]]:
@@ -47,7 +51,7 @@ def multi_line(text: str | None) -> list[tuple[int, str]]:
     if not text or "\n" not in text:
         return []
     lines = text.split("\n")
-    return [(i, part) for i, (a, z) in enumerate(chunks(lines)) if z - a >= LEAST and (part := "\n".join(lines[a:z])).strip()]
+    return [(i, part) for i, (a, z) in enumerate(chunks(lines)) if (part := "\n".join(lines[a:z])).strip()]
 
 
 def without(text: str | None, drop: set[int]) -> tuple[str | None, int]:
@@ -55,8 +59,8 @@ def without(text: str | None, drop: set[int]) -> tuple[str | None, int]:
     if not text or not drop:
         return text, 0
     lines = text.split("\n")
-    parts = chunks(lines)
-    kept = [x for i, (a, z) in enumerate(parts) if i not in drop for x in lines[a:z]]
+    gone = {i + k for i in drop for k in range(LEAST)}
+    kept = [x for i, x in enumerate(lines) if i not in gone]
     return "\n".join(kept), len(lines) - len(kept)
 
 
@@ -65,21 +69,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("digest"), "text")
 
 
-def _chunk_rows(keyed: DataFrame, with_text: bool) -> DataFrame:
-    fields = [("id", pa.int64()), ("digest", pa.int64()), ("chunk", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
-    schema = pa.schema([*fields, ("part", pa.string())] if with_text else fields)
+def _chunk_rows(keyed: DataFrame) -> DataFrame:
+    """(id, digest, chunk, h) of all chunks that can be removed."""
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("chunk", pa.int32()), ("h", pa.int64())])
+
+    def run(batches):
+        for b in blocks(batches):
+            got = [rolling(t.split("\n")) if t and "\n" in t else None for t in b.column(2).to_pylist()]
+            some = [i for i, g in enumerate(got) if g is not None and len(g[0])]
+            if some:
+                row = np.repeat(some, [len(got[i][0]) for i in some])
+                yield as_batch(schema, b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
+                               np.concatenate([got[i][0] for i in some]).astype(np.int32), np.concatenate([got[i][1] for i in some]))
+
+    return keyed.select("id", "digest", "text").mapInArrow(run, "id long, digest long, chunk int, h long")
+
+
+def _part_rows(texts: DataFrame) -> DataFrame:
+    """(id, digest, chunk, h, part): the chunks in ``chunks`` of every row (id, digest, text, chunks), with their text."""
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("chunk", pa.int32()), ("h", pa.int64()), ("part", pa.string())])
 
     def run(batches):
         for b in blocks(batches):
-            ids, digests = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(i, d, k, part) for i, d, t in zip(ids, digests, b.column(2).to_pylist()) for k, part in multi_line(t)]
+            rows = []
+            for i, d, t, some in zip(*(b.column(k).to_pylist() for k in range(4))):
+                lines = t.split("\n")
+                h = dict(zip(*(x.tolist() for x in rolling(lines))))
+                rows += [(i, d, k, h[k], "\n".join(lines[k:k + LEAST])) for k in some]
             if rows:
-                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r[3]) for r in rows), "<i8").reshape(-1, 2)
-                cols = [[r[j] for r in rows] for j in range(3)]
-                yield as_batch(schema, *cols, hashes[:, 0], hashes[:, 1], *([[r[3] for r in rows]] if with_text else []))
+                yield as_batch(schema, *zip(*rows))
 
-    return keyed.select("id", "digest", "text").mapInArrow(
-        run, "id long, digest long, chunk int, h1 long, h2 long" + (", part string" if with_text else ""))
+    return texts.select("id", "digest", "text", "chunks").mapInArrow(run, "id long, digest long, chunk int, h long, part string")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -89,15 +109,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     equal bytes decide.
     """
     keyed = _keyed(docs)
-    slim = saved(_chunk_rows(keyed, with_text=False), "chunks")
-    again = saved(slim.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
-    where = saved(slim.join(again, ["h1", "h2"], "left_semi"), "where")
+    slim = saved(_chunk_rows(keyed), "chunks")
+    again = saved(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    where = saved(slim.join(again, "h", "left_semi").groupBy("id", "digest").agg(F.collect_set("chunk").alias("chunks")), "where")
     # joined by a merge at every size: how many texts hold a repeated chunk isn't bounded
-    texts = keyed.join(where.select("id", "digest").distinct().hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    parts = saved(_chunk_rows(texts, with_text=True).join(again, ["h1", "h2"], "left_semi"), "parts")
+    texts = keyed.join(where.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    parts = saved(_part_rows(texts), "parts")
     # written, so that the join below has exchanges of its own, which a chunk with very many places can split
-    first = saved(parts.groupBy("h1", "h2", "part").agg(F.min(F.struct("id", "digest", "chunk")).alias("first")), "first")
-    return parts.join(first, ["h1", "h2", "part"]).where(F.struct("id", "digest", "chunk") != F.col("first")).select("id", "digest", "chunk")
+    first = saved(parts.groupBy("h", "part").agg(F.min(F.struct("id", "digest", "chunk")).alias("first")), "first")
+    return parts.join(first, ["h", "part"]).where(F.struct("id", "digest", "chunk") != F.col("first")).select("id", "digest", "chunk")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -195,6 +195,27 @@ def test_chunks_do_not_depend_on_what_stands_before():
         assert len(plain & cut([words(8, 9000 + 70 * k) for k in range(n)])) >= len(plain) - 3
 
 
+def test_short_repeated_passages_go_whole(spark):
+    """Passages of 2 to 6 lines go with their first and last line, wherever they stand."""
+    docs, want, n = [], {}, 0
+    for size in range(2, 7):
+        for trial in range(8):
+            passage = [f"line {k} of passage {size} {trial}" for k in range(size)]
+            for copy in range(2):
+                head, tail = ([f"{x} {n} {k}" for k in range((trial + copy) % 3)] for x in ("before", "after"))
+                docs.append((n, "\n".join(head + passage + tail)))
+                want[n] = "\n".join(head + ([] if copy else passage) + tail)
+                n += 1
+    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def test_no_line_is_lost(spark):
+    docs = [(1, "b\nc"), (2, "a\nb\nc"), (3, "a\nb"), (4, "x\nx\nx\nx"), (5, "one"), (6, "one")]
+    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: "b\nc", 2: "a", 3: "", 4: "x", 5: "one", 6: "one"}
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = rows(line_dedup.deduplicated(odd(spark, ["drop", "n_lines"])))
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in odd_rows())
