@@ -4,10 +4,12 @@ A softmax classifier, fitted on a labelled table, gives every document a posteri
 document then gets a nonnegative rate (its expected number of copies) so that the expected tokens of every
 domain, sum of rate * tokens * posterior, match the targets. The rates solve
 
-    minimise  |totals - targets|^2 / (2 N)  +  ridge / 2 * sum of tokens * (rate - 1)^2,   0 <= rate [<= max_rate]
+    minimise  |totals - targets|^2 / 2  +  ridge / 2 * sum of tokens * (rate - 1)^2,   0 <= rate [<= max_rate]
 
-by accelerated projected gradient steps (N: all tokens; steps are taken in the metric that weighs a rate by
-its tokens). The gradient of a rate depends on the documents only through the domain totals, so a step is
+by accelerated projected gradient steps, taken in the metric that weighs a rate by its tokens. The misses are
+measured in the inverse of the domains' gram matrix (tokens * posterior * posterior), so a domain's miss counts
+by the domain's own size, the ridge is as small for a rare domain as for a large one, and a step goes as far for
+both. The gradient of a rate depends on the documents only through the domain totals, so a step is
 one distributed sum. No rate is stored between the steps: a task replays the steps so far from the few
 numbers that each step had, and a lost executor costs only its own part of one sum.
 
@@ -108,7 +110,7 @@ class Mixture:
 
 
 def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], size: float, ridge: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, point of the next gradient) after the steps, each the totals' error by N and its momentum."""
+    """(rate, point of the next gradient) after the steps, each the totals' measured error and its momentum."""
     x = y = np.ones(len(p))
     for error, momentum in steps:
         new = np.clip(y - size * (p @ error + ridge * (y - 1)), 0, most)
@@ -116,12 +118,19 @@ def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], size: float, ri
     return x, y
 
 
+def inverse(gram: np.ndarray) -> np.ndarray:
+    """The gram matrix inverted, each domain in its own scale; without the directions that posteriors don't tell apart."""
+    d = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    return np.linalg.pinv(gram / np.outer(d, d), rcond=1e-6, hermitian=True) / np.outer(d, d)
+
+
 def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, of_own: bool = False,
         max_rate: float | None = None, ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-4) -> Mixture:
     """Rates whose expected domain totals match ``total`` (default: all tokens) shared out by ``weights``.
 
     With ``of_own`` a domain's target is its weight times the tokens it has at a rate of 1 everywhere.
-    Stops after ``steps`` steps, or once no total moves by more than ``tolerance`` of all tokens.
+    Stops once a step changes the rates by no more than ``tolerance`` of every domain's own tokens, which is where
+    the bounded problem has its minimum, or after ``steps`` steps. ``totals`` beside ``targets`` tell what is met.
     """
     names = model.domains or sorted(weights)
     if not model.domains:
@@ -140,36 +149,44 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total: f
                                                     for i in range(k) for j in range(i, k))).collect()[0]
     n_all = float(mass["n"] or 0) or 1.0
     gram = np.array([[mass[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) / n_all
-    size = 1 / (float(np.linalg.eigvalsh(gram).max()) + ridge)
+    measure = inverse(gram)
+    size = 1 / (1 + ridge)      # measured so, the totals' part has no curvature above 1
     share = np.array([weights.get(x, 0.0) for x in names])
     most = np.inf if max_rate is None else max_rate
-    sums = pa.schema([(f"t{i}", pa.float64()) for i in range(2 * k)])
-    sum_cols = ", ".join(f"t{i} double" for i in range(2 * k))
+    n_sums = 3 * k + 1
+    sums = pa.schema([(f"t{i}", pa.float64()) for i in range(n_sums)])
+    sum_cols = ", ".join(f"t{i} double" for i in range(n_sums))
 
     def totals_after(taken):
+        """By domain: totals of the rates, of the next point, what the last step moved; whether it went back on its momentum."""
         def run(batches):
-            out = np.zeros(2 * k)
+            out = np.zeros(n_sums)
             for b in batches:
                 p = np.column_stack([b.column(1 + i).to_numpy() for i in range(k)])
                 n = b.column(0).to_numpy()
-                for j, rate in enumerate(replay(p, taken, size, ridge, most)):
-                    out[j * k:(j + 1) * k] += (n * rate) @ p
+                rate, point = replay(p, taken, size, ridge, most)
+                rate_before, point_before = replay(p, taken[:-1], size, ridge, most)
+                for j, x in enumerate((rate, point, np.abs(rate - point_before))):
+                    out[j * k:(j + 1) * k] += (n * x) @ p
+                out[-1] += float((n * (point_before - rate)) @ (rate - rate_before))
             yield as_batch(sums, *([v] for v in out))
 
-        got = slim.select("n_tokens", *(f"p{i}" for i in range(k))).mapInArrow(run, sum_cols).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(2 * k))).collect()[0]
-        both = np.array([v or 0.0 for v in got])
-        return both[:k], both[k:]
+        got = slim.select("n_tokens", *(f"p{i}" for i in range(k))).mapInArrow(run, sum_cols).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(n_sums))).collect()[0]
+        all_ = np.array([v or 0.0 for v in got])
+        return all_[:k], all_[k:2 * k], all_[2 * k:3 * k], all_[-1] > 0
 
     taken: list[tuple[np.ndarray, float]] = []
-    at_rate, at_point = totals_after(taken)     # of the rates 1
-    goal = share * at_rate if of_own else share * (n_all if total is None else total) / (share.sum() or 1.0)
+    own, at_point, _, back = totals_after(taken)    # of the rates 1
+    at_rate = own
+    goal = share * own if of_own else share * (n_all if total is None else total) / (share.sum() or 1.0)
     theta = 1.0
     while len(taken) < steps:
+        theta = 1.0 if back else theta
         nxt = (1 + (1 + 4 * theta * theta) ** 0.5) / 2
-        taken.append(((at_point - goal) / n_all, (theta - 1) / nxt))
-        theta, before = nxt, at_rate
-        at_rate, at_point = totals_after(taken)
-        if np.abs(at_rate - before).max() <= tolerance * n_all:
+        taken.append((measure @ (at_point - goal) / n_all, (theta - 1) / nxt))
+        theta = nxt
+        at_rate, at_point, moved, back = totals_after(taken)
+        if (moved <= tolerance * own).all():
             break
 
     done = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.map_(pa.string(), pa.float64())), ("rate", pa.float64())])

@@ -1,10 +1,12 @@
 import random
+from zlib import crc32
 
 import numpy as np
 import pytest
 
 from clashlens.llm import language_id as L
 from clashlens.llm import mixing, quality
+from clashlens.llm.common import PieceTable
 from tests.llm.helpers import SF, empty, odd, odd_rows, rows
 
 BIG = "/root/testdata/sf0.01"
@@ -118,6 +120,22 @@ def test_totals_match_targets(spark, domains):
     assert all(sum(r["posterior"].values()) == pytest.approx(1) for r in got[:50])
 
 
+def test_a_rare_domain_meets_its_target(spark):
+    """4 of 2,000 texts are toxic: 0.2 % of the tokens."""
+    weights = np.zeros((mixing.BUCKETS + 2, 3), np.float32)
+    for k, name in enumerate(["good", "poor", "toxic"]):
+        weights[crc32(f"{name}word".encode()) % mixing.BUCKETS, k] = 60
+    model = mixing.DomainModel(["good", "poor", "toxic"], weights)
+    for poor in (200, 1000):
+        kinds = ["toxic"] * 4 + ["poor"] * poor + ["good"] * (1996 - poor)
+        docs = spark.createDataFrame([(i, f"{x}word " * 20) for i, x in enumerate(kinds)], "doc_id long, text string")
+        m = mixing.mix(docs, model, {"good": 0.90, "poor": 0.08, "toxic": 0.02})
+        assert all(m.totals[k] == pytest.approx(m.targets[k], rel=0.01) for k in m.targets)
+        m = mixing.mix(docs, model, {"good": 1.02, "poor": 0.5, "toxic": 0.0}, of_own=True, max_rate=1.0)
+        rate = {x: r["rate"] for x, r in zip(kinds, rows(m.documents))}
+        assert rate["good"] == 1 and rate["poor"] == pytest.approx(0.5, abs=0.01) and rate["toxic"] < 0.01
+
+
 def test_rates_equal_a_direct_descent():
     """The replay of shared steps gives the rates of plain accelerated descent on every document."""
     rng = np.random.default_rng(1)
