@@ -198,7 +198,10 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str) -> Data
 
 
 class PieceTable:
-    """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time."""
+    """Numbers by 64-bit hash, in arrays: open addressing with all look-ups taking a step at a time.
+
+    Cleared when it is half full, and larger only as long as one block has more than that (a text is never cut).
+    """
 
     def __init__(self, bits: int = 20):
         self.bits = bits
@@ -226,7 +229,12 @@ class PieceTable:
         return out
 
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct hashes that aren't there."""
+        """Add distinct hashes that aren't there; the arrays double until half of them is free."""
+        if self.full_with(len(h)):
+            some = self.keys != 0
+            h, values = np.concatenate([self.keys[some], h]), np.concatenate([self.values[some], values])
+            size = 1 << (2 * len(h) - 1).bit_length()
+            self.keys, self.values, self.used = np.zeros(size, _U), np.zeros(size, np.int64), 0
         mask = len(self.keys) - 1
         slot = (h & _U(mask)).astype(np.int64)
         open_ = np.arange(len(h))

@@ -69,6 +69,18 @@ def test_odd_rows(spark, model):
     assert {r["lang_pred"] for r in L.identify(odd(spark), none).collect()} == {"und"}
 
 
+def test_a_text_with_more_words_than_the_table_has_places():
+    """A text is one block, however many words it has: the table grows with it."""
+    rng = np.random.default_rng(5)
+    many = " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (300, 6)))
+    m = L.LanguageModel(["a", "b"], rng.normal(-3, 1, (L.BUCKETS, 2)).astype(np.float32))
+    q = quality.QualityModel(rng.normal(size=quality.BUCKETS), 0.25, 0.5)
+    want = str(L.infer(m, [many])), q.scores([many]).tolist()
+    m._known, q._known = PieceTable(6), PieceTable(6)
+    assert (str(L.infer(m, [many])), q.scores([many]).tolist()) == want
+    assert str(L.infer(m, ["few words", many])) == str(L.infer(L.LanguageModel(m.langs, m.logp), ["few words", many]))
+
+
 def test_held_out_quality(spark):
     from clashlens.llm.queries import op8_quality_classifier
     marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}

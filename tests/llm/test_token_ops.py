@@ -43,6 +43,17 @@ def test_transducer_starts_over_when_full(library, counter):
     assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_text_with_more_pieces_than_the_table_has_places(library, counter):
+    text = " ".join(f"word{i} other{i * 7}" for i in range(400))
+    want = library.encode(text, add_special_tokens=False).ids
+    fresh = token_count.Counter(PATH, counter.classes)
+    fresh.known = PieceTable(bits=6)
+    assert [int(fresh.count([t])[0]) for t in (text, "word1", text)] == [len(want), len(library.encode("word1").ids), len(want)]
+    enc = token_codes.Encoder(PATH, counter.classes)
+    enc.known = PieceTable(bits=6)
+    assert enc.encode([text], 2)[0].tolist() == [*want, 2]
+
+
 def test_chunk_maps_compose_to_one_sequential_run():
     classes = np.random.default_rng(3).integers(0, 11, 40 * CHUNK).astype(np.uint8)
     state, want = FRESH, []
