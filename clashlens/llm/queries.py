@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clashlens.llm import (decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality,
-                           token_codes, token_count, warc)
+                           simhash, token_codes, token_count, warc)
 from clashlens.llm.common import held_out, table
 
 #: Shares of all tokens that the mixture aims at.
@@ -65,8 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_target_mixing, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_language_id, op5_token_counts,
-        op6_warc_derivatives, op7_token_id_output, op8_quality_classifier, op9_document_fingerprints, op10_line_dedup)
+        op6_warc_derivatives, op7_token_id_output, op8_quality_classifier, op9_document_fingerprints, op10_line_dedup,
+        op13_simhash_near_dedup)
 }
