@@ -39,6 +39,24 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_TERMS = rf"coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w))::BIGINT AS words FROM d),
+t AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+qw AS (SELECT item_id, term, count(*) AS k, any_value(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)))::BIGINT AS w
+       FROM q JOIN f USING (term), g GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))))::BIGINT AS score
+      FROM qw JOIN p USING (term), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def _quoted(s: str) -> str:
     """A DuckDB literal; line ends and tabs by their code."""
     parts = s.replace("'", "''")
@@ -96,4 +114,5 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2,
     "op3_benchmark_decontamination": OP3,
     "op6_warc_derivatives": _op6(),
+    "op12_ranked_lexical_search": OP12,
 }
