@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clashlens.llm import (decontaminate, fingerprint, jaccard_join, language_id, lexical_search, line_dedup,
-                           mixing, quality, simhash, token_codes, token_count, warc)
+from clashlens.llm import (conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, lexical_search,
+                           line_dedup, mixing, quality, simhash, token_codes, token_count, warc)
 from clashlens.llm.common import held_out, table
 
 #: Shares of all tokens that the mixture aims at.
@@ -65,6 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=20)
 
@@ -77,5 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_target_mixing, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_language_id, op5_token_counts,
         op6_warc_derivatives, op7_token_id_output, op8_quality_classifier, op9_document_fingerprints, op10_line_dedup,
-        op12_ranked_lexical_search, op13_simhash_near_dedup)
+        op11_conversation_repair, op12_ranked_lexical_search, op13_simhash_near_dedup)
 }

@@ -39,6 +39,57 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def _op11() -> str:
+    """The cheapest edits by a table over all prefixes: per state a text of eight cost digits and the audit, '~' for none."""
+    def add(v: str, cost: str, letter: str) -> str:
+        return f"CASE WHEN {v} = '~' THEN '~' ELSE printf('%08d', left({v}, 8)::INT + {cost}) || substr({v}, 9) || '{letter}' END"
+
+    none, a = "'~'", [f"acc[{k}]" for k in (1, 2, 3, 4)]
+    pen = "CASE WHEN x.f = 3 THEN 5 ELSE 0 END"
+    may = "x.f IN (0, 3)"
+    insert = f"[{a[0]}, {a[1]}, least({a[2]}, {add(a[0], '5', 'I')}, {add(a[1], '5', 'I')}, {add(a[3], '5', 'I')}), least({a[3]}, {add(a[2], '5', 'I')})]"
+    keep = lambda i, v: f"CASE WHEN {may} AND x.i = '{i}' THEN {add(v, pen, 'K')} ELSE {none} END"
+    other = lambda v: f"CASE WHEN {may} THEN {add(v, f'1 + {pen}', 'R')} ELSE {none} END"
+    row = (f"[{add(a[0], '2', 'D')}, least({add(a[1], '2', 'D')}, {keep('s', a[0])}), "
+           f"least({add(a[2], '2', 'D')}, {', '.join(f'{keep(chr(117), a[k])}, {other(a[k])}' for k in (0, 1, 3))}), "
+           f"least({add(a[3], '2', 'D')}, {keep('a', a[2])}, {other(a[2])})]")
+    edge = "{'f': 9, 'i': '', 'role': '', 'text': ''}"
+    new_role, line = "CASE WHEN acc.s = 2 THEN 'assistant' ELSE 'user' END", "CASE WHEN acc.s = 0 THEN '' ELSE chr(10) END"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH bits AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT) FOR n IN range(256)] AS tab),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             [ascii(c)::BIGINT FOR c IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS place FROM conversations),
+k AS (SELECT o.*, xor(list_reduce(place, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS code FROM o, bits),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+             CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE code <> 0),
+m AS (SELECT *, sha256(len(role) || ':' || role || text) AS digest, right(rtrim(text, {blanks}), 1) AS last,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest, nth) AS before FROM m),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE f = 1) AS blank,
+             count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+             count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({{'f': f, 'i': i, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, digest, nth) AS turns FROM f GROUP BY conv_id),
+t AS (SELECT *, list_reduce(flatten([[{edge}, {edge}, r] FOR r IN turns]) || [{edge}, {edge}],
+                            lambda acc, x: CASE WHEN x.f = 9 THEN {insert} ELSE {row} END, ['00000000', '~', '~', '~']) AS ways FROM c),
+b AS (SELECT *, least(ways[1], ways[4]) AS way FROM t),
+e AS (SELECT *, left(way, 8)::BIGINT AS cost, substr(way, 9) AS audit FROM b),
+p AS (SELECT *, list_reduce(string_split(audit, ''), lambda acc, x: CASE x
+        WHEN 'D' THEN {{'p': acc.p + 1, 's': acc.s, 'o': acc.o}}
+        WHEN 'I' THEN {{'p': acc.p, 's': CASE WHEN acc.s = 2 THEN 3 ELSE 2 END, 'o': acc.o || {line} || {new_role} || ':'}}
+        WHEN 'R' THEN {{'p': acc.p + 1, 's': CASE WHEN acc.s = 2 THEN 3 ELSE 2 END, 'o': acc.o || {line} || {new_role} || ':' || turns[acc.p + 1].text}}
+        WHEN 'K' THEN {{'p': acc.p + 1, 's': CASE turns[acc.p + 1].i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+                        'o': acc.o || {line} || turns[acc.p + 1].role || ':' || turns[acc.p + 1].text}}
+        ELSE acc END, {{'p': 0, 's': 0, 'o': ''}}).o AS said FROM e)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN p ON a.conv_id IS NOT DISTINCT FROM p.conv_id
+"""
+
+
 _TERMS = rf"coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
 
 OP12 = rf"""
@@ -114,5 +165,6 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2,
     "op3_benchmark_decontamination": OP3,
     "op6_warc_derivatives": _op6(),
+    "op11_conversation_repair": _op11(),
     "op12_ranked_lexical_search": OP12,
 }
