@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,18 @@ if hasattr(libc := ctypes.CDLL(None), "mallopt"):
 
 #: Text bytes handled at once inside a task.
 BLOCK_BYTES = 1 << 20
+#: Bytes of the record batches that go to and from Python workers (a row is never cut).
+BATCH_BYTES = 4 << 20
+
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Let the session's record batches be no larger than ``size``: a batch is in memory several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(key, None) or "")
+    if not now or int(now[0]) > size:
+        spark.conf.set(key, str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +50,24 @@ def columns_only(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, inside the workspace that is open."""
+    return f"{_workspace.get() or ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(path: str):
+    """Tables that ``saved`` writes meanwhile lie under ``path``, so that they can be dropped together."""
+    token = _workspace.set(path)
+    try:
+        yield path
+    finally:
+        _workspace.reset(token)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of saved tables, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -175,9 +207,12 @@ def run_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(fn, schema)
 
 
-def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` (written, narrow rows) marked for broadcast if it is counted at most ``rows``, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` (written) marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, counted, else as it is."""
+    wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind not in ("bigint", "int", "boolean", "double")]
+    own = reduce(lambda a, b: a + b, (F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(df.columns)))
+    got = df.agg(F.count("*").alias("n"), F.sum(own.cast("long")).alias("b")).collect()[0]
+    return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= size else df
 
 
 def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str) -> DataFrame:

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clashlens.llm import (conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, lexical_search,
                            line_dedup, mixing, quality, simhash, token_codes, token_count, warc)
-from clashlens.llm.common import held_out, table
+from clashlens.llm.common import bounded_batches, held_out
+from clashlens.llm.common import table as read
 
 #: Shares of all tokens that the mixture aims at.
 MIXTURE = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return read(spark, sf_dir, name)
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

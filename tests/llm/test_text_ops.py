@@ -62,6 +62,31 @@ def test_decontamination_of_odd_rows(spark):
     assert D.report(empty(spark), items).count() == 0 and not any(r["contaminated"] for r in D.report(docs, items.limit(0)).collect())
 
 
+def test_decontamination_tells_letters_as_the_exact_words_do(spark):
+    """Greek sigmas, dotted and dotless i, the Kelvin sign: equal but for A-Z is equal, whatever stands between the words."""
+    tail = "ββ γγ δδ εε ζζ ηη θθ ιι"
+    items = [(1, f"ΟΔΟΣ.αα {tail}"), (2, "İstanbul ISPARTA ığdır izmir a1 a2 a3 a4 a5 a6"), (3, "5 \u212a 6 k b1 b2 b3 b4 b5 b6"), (4, "ΣΑΣ'ς"), (5, "K\u0307ΑΣ")]
+    docs = [(1, f"x ΟΔΟΣ αα {tail}"), (2, f"ΟΔΟΣ,\u0020αα {tail} ΣΑΣ ς"), (3, f"οδος αα {tail}"), (4, f"ΟΔΟσ αα {tail}"), (5, "İSTANBUL isparta ığdır IZMIR a1 a2 a3 a4 a5 a6"),
+            (6, "i̇stanbul isparta ığdır izmir a1 a2 a3 a4 a5 a6"), (7, "5 k 6 k b1 b2 b3 b4 b5 b6"), (8, "5 \u212a 6 K b1 b2 b3 b4 b5 b6"), (9, "ςας ς"), (10, "k\u0307ΑΣ."),
+            (11, "K\u0307ας"), (12, f"ΟΔΟΣ:αα.{tail.replace(' ', '.')}")]
+    got = D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == leaks(docs, items)
+    assert {r["doc_id"] for r in got if r["contaminated"]} == {1, 2, 5, 8, 10, 12}
+
+
+def test_folding_changes_every_character_by_itself(spark):
+    """Over all code points and several neighbours, so that equal words have equal folded words."""
+    import pyarrow as pa
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    alone = spark.createDataFrame(pa.table({"text": chars})).select("text", D.folded("text").alias("f"))
+    small = {r["text"]: r["f"] for r in alone.collect()}
+    around = ("a{}b", "a{}", "{}a", "I{}\u0307", "Α{} ", "{}\u0307", "Σ{}Σ", "\u0301{}.", "{0}{0}")
+    texts = [form.format(c) for a in range(0, len(chars), 997) for form in around for c in chars[a:a + 997:7]]
+    joined = ["".join(texts[a:a + 5000]) for a in range(0, len(texts), 5000)]
+    for r in spark.createDataFrame(pa.table({"text": joined})).select("text", D.folded("text").alias("f")).collect():
+        assert r["f"] == "".join(map(small.get, r["text"]))
+
+
 def test_winnowing_guarantees_shared_windows():
     """Any 10 shared words hold one 5-gram that both texts select."""
     rng = random.Random(0)
