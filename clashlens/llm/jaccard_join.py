@@ -20,10 +20,9 @@ within one component already: components are those of the full join.
 
 Defined results: words are runs without the given break bytes after ASCII lower-casing. A text with fewer
 words than n has one shingle, all its words; a null text or one without words has none and links with
-nothing (component: itself). Equal sets link. Repeated rows and ties: the smallest id names a component;
-an id stands for one text, so of rows that repeat an id with other texts only one is compared.
-Documents with a null id are returned with a null component. Other columns of the input, whatever their
-names, aren't read.
+nothing (component: itself). Equal sets link. Ties: the smallest id names a component. A node is a set, not
+an id: rows that repeat an id with other texts are compared each by its own. Documents with a null id are
+returned with a null component. Other columns of the input, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -66,16 +65,16 @@ def _signed(x) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): the size of each document's set and 128 bits that name the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(doc_id, digest, n_shingles, h1, h2) of rows (doc_id, text, digest): the size of each document's set and 128 bits that name the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches):
         for b in blocks(batches):
             sets = shingle_sets(b.column(1), n)
             names = [[mix(s, k).sum(dtype=np.uint64) for s in sets] for k in (11, 12)]
-            yield as_batch(schema, b.column(0), [len(s) for s in sets], _signed(names[0]), _signed(names[1]))
+            yield as_batch(schema, b.column(0), b.column(2), [len(s) for s in sets], _signed(names[0]), _signed(names[1]))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, digest long, n_shingles long, h1 long, h2 long")
 
 
 # --- bands and their allocation ------------------------------------------------------------------
@@ -356,26 +355,25 @@ def components(edges: DataFrame) -> DataFrame:
     return moved
 
 
-def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
-
-    Links documents with 100 * |A and B| >= percent * |A or B| on sets of word n-grams.
-    """
-    num, den = percent, 100
-    docs = columns_only(docs, doc_id="long", text="string")
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of the rows ``docs`` (doc_id, text, digest), and (h1, h2, comp) of every set that isn't empty and has an id."""
     sizes = saved(set_sizes(docs, n), "sizes")
-    nodes = saved(sizes.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-                  .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size")), "nodes")
+    # a set's number is made once, where its row is written; its text is that of its smallest id
+    sets_ = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "digest")).alias("at"), F.first("n_shingles").alias("size"))
+    nodes = saved(sets_.select("h1", "h2", "at.doc_id", "at.digest", "size", F.monotonically_increasing_id().alias("node")), "nodes")
 
     top = nodes.agg(F.max("size").alias("m")).collect()[0]["m"] or 1
     starts = [s for s in _starts(band(top) + 2)]
     number = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("size"))) - 1
     means = {r["k"]: r["mean"] for r in nodes.groupBy(number.alias("k")).agg(F.avg("size").alias("mean")).collect()}
 
-    ids = nodes.select(F.col("node").alias("doc_id"))
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ``some`` (node, doc_id, digest)."""
+        return docs.join(checked_broadcast(some), ["doc_id", "digest"]).select("node", "text").dropDuplicates(["node"])
+
     frequent = frequent_shingles(docs, n)
-    firsts = docs.join(checked_broadcast(ids), "doc_id", "left_semi")
-    indexed = saved(index(firsts, n, num, den, means, frequent), "index")
+    indexed = saved(index(texts_of(nodes.select("node", "doc_id", "digest")), n, num, den, means, frequent), "index")
     same = Window.partitionBy("key")
     hub = (indexed.select("node", F.explode("keys").alias("key"))
            .select("key", "node", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("far")))
@@ -385,31 +383,51 @@ def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> Dat
     tried = saved(led.where("node <> hub").select("hub", "node").unionByName(
         above.select(F.coalesce("hub", "rep").alias("hub"), "node")).where("hub <> node").distinct(), "tried")
 
-    near = saved(tried.select("node").union(tried.select("hub")).distinct().withColumnRenamed("node", "doc_id"), "near")
-    near = docs.join(checked_broadcast(near), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = saved(sets_of(near, n), "sets")
+    met = tried.select("node").union(tried.select("hub")).distinct()
+    near = saved(nodes.join(met, "node", "left_semi").select("node", "doc_id", "digest"), "near")
+    sets = saved(sets_of(texts_of(near), n), "sets")
     check = partial(verified, sets=sets, num=num, den=den)
     links = saved(check(tried.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
     comp = components(links)
     grouped = (tried.join(comp, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
                .join(sets.select("node", "size", "sketch"), "node").select("hub", "node", "comp", "size", "sketch"))
     comp = components(links.unionByName(check(compared_in_tiles(grouped, num, den))))
+    return sizes, nodes.join(comp, "node", "left").select("h1", "h2", "doc_id", F.coalesce("comp", "node").alias("comp"))
+
 
-    named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
+def _digested(docs: DataFrame) -> DataFrame:
+    return columns_only(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+
+
+def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+
+    Links documents with 100 * |A and B| >= percent * |A or B| on sets of word n-grams.
+    """
+    sizes, placed = _components(_digested(docs), n, percent, 100)
+    placed = saved(placed, "placed")
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(least, "comp").select("h1", "h2", "component_id")
     return sizes.join(named, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))
+        .otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document kept of every group of linked documents.
 
-    Keeps the smallest id of a component, one row of rows that repeat an id, and every row with a null id.
+    Keeps the smallest id of a component (of its texts there the one with the smallest digest, and one row of
+    those that repeat both), every row without words and every row with a null id.
     """
-    found = saved(similarity_components(docs, n, percent).where("component_id = doc_id").groupBy("doc_id")
-                  .agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id"), "kept")
+    sizes, placed = _components(_digested(docs), n, percent, 100)
+    first = (sizes.where("n_shingles > 0 and doc_id is not null").join(placed.select("h1", "h2", "comp"), ["h1", "h2"])
+             .groupBy("comp", "doc_id", "digest").agg(F.count("*").alias("n")).groupBy("comp").agg(F.min(F.struct("doc_id", "digest", "n")).alias("k")))
+    found = saved(first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept"), F.col("k.n").alias("n"))
+                  .unionByName(sizes.where("n_shingles = 0 and doc_id is not null").select("doc_id", "digest").distinct()
+                               .select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept"), F.lit(1).cast("long").alias("n"))), "kept")
     once, more = found.where("n = 1"), found.where("n > 1")
-    here = lambda ids: docs["doc_id"].cast("long") == ids["kept_id"]
+    here = lambda k: (docs["doc_id"].cast("long") == k["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["kept"])
     out = docs.join(checked_broadcast(once), here(once), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     if not more.isEmpty():
-        out = out.unionByName(docs.join(more, here(more), "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(docs.join(checked_broadcast(more), here(more), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

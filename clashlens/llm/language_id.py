@@ -5,8 +5,8 @@ likelihood under every language, and expectation-maximisation estimates the prop
 in the text. The language set grows from the single best language, one language at a time, while the
 log-likelihood gains more than a penalty that grows with the logarithm of the number of runs.
 
-Defined results: a null text and a text without letters are ``und`` with score 0 and no proportions. Ties
-between languages go to the first name in sort order. Repeated rows get equal rows. An empty table gives
+Defined results: a null text and a text without letters (marks alone are none) are ``und`` with score 0 and
+no proportions. Ties between languages go to the first name in sort order. Repeated rows get equal rows. An empty table gives
 an empty table. Texts are read whole.
 """
 
@@ -26,6 +26,7 @@ from clashlens.llm.common import PieceTable, Words, as_batch, blocks, code_point
 
 LETTER = r"\p{L}|\p{M}"
 WORD = regex.compile(rf"(?:{LETTER})+")
+ANY_LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 16
 RUN_WORDS = 8
 UNDETERMINED = "und"
@@ -112,19 +113,20 @@ def train(docs: DataFrame, rows_per_lang: int = 2000, lang: str = "lang") -> Lan
     return LanguageModel(langs, np.log(c / c.sum(axis=0)).astype(np.float32))
 
 
-def expectation_maximisation(ll: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of ``ll`` (items x languages, log-likelihoods) and the log-likelihood."""
+def expectation_maximisation(ll: np.ndarray, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Proportions of the columns of ``ll`` (items x languages, log-likelihoods) and the log-likelihood.
+
+    Goes on until no proportion moves by ``tolerance``; the moves shrink to nothing, as the likelihood is concave.
+    """
     top = ll.max(axis=1, keepdims=True)
     lik = np.exp(ll - top)
     p = np.full(ll.shape[1], 1.0 / ll.shape[1])
-    for _ in range(rounds):
+    moved = 1.0
+    while moved > tolerance:
         r = lik * p
         r /= r.sum(axis=1, keepdims=True)
         q = r.mean(axis=0)
-        done = np.abs(q - p).max() < 1e-6
-        p = q
-        if done:
-            break
+        moved, p = float(np.abs(q - p).max()), q
     return p, float((np.log((lik * p).sum(axis=1)) + top[:, 0]).sum())
 
 
@@ -162,7 +164,7 @@ def infer(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, floa
     The score is the proportion of the predicted language times how surely the likelihood tells the
     selected languages from every other one.
     """
-    words = words_of([t.lower() if t else "" for t in texts], code_points(LETTER))
+    words = words_of([t.lower() if t and ANY_LETTER.search(t) else "" for t in texts], code_points(LETTER))
     out: list[tuple[str, float, np.ndarray | None]] = []
     if not len(words.hash) or not model.langs:
         return [(UNDETERMINED, 0.0, None)] * len(texts)
@@ -203,13 +205,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         run, "doc_id long, lang_pred string, score double, proportions map<string,double>")
 
 
-def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.25) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language: not ``und`` and at least ``min_score``."""
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language, or several: all but those that are ``und``."""
     at = docs.columns.index("text")
 
     def run(batches):
         for b in blocks(batches, "text"):
-            got = infer(model, b.column(at).to_pylist())
-            yield b.filter(pa.array([g[0] != UNDETERMINED and g[1] >= min_score for g in got]))
+            yield b.filter(pa.array([g[0] != UNDETERMINED for g in infer(model, b.column(at).to_pylist())]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -127,7 +127,8 @@ class Encoder:
         self.tokenizer, self.classes = load_tokenizer(path), classes
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.known = PieceTable()
+        self.known = PieceTable()       # number of each piece: where its ids begin in the pool, and how many they are
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _keep(self, ids: np.ndarray) -> int:
@@ -155,7 +156,8 @@ class Encoder:
         rest = np.flatnonzero(~plain)
         for i, e in zip(rest.tolist(), self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
             first[i], size[i] = self._keep(np.array(e.ids, np.uint32)), len(e.ids)
-        self.known.put(hashes, first << 24 | size)
+        self.known.put(hashes, np.arange(len(self.first), len(self.first) + len(first)))
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
     @cached_property
     def begins(self) -> np.ndarray:
@@ -175,11 +177,11 @@ class Encoder:
             h, which = np.unique(pieces.hash, return_index=True)
             if self.known.full_with(len(h)):
                 self.known.clear()
-                self.used = 0
+                self.first, self.size, self.used = self.first[:0], self.size[:0], 0
             which = which[self.known.get(h) < 0]
             self._learn(pieces.hash[which], pieces.strings(which))
             at = self.known.get(pieces.hash)
-        first, n = at >> 24, at & 0xFFFFFF
+        first, n = self.first[at], self.size[at]
         sizes = np.bincount(pieces.part, weights=n, minlength=len(texts)).astype(np.int64) + 1
         ids = np.empty(int(sizes.sum()), np.uint32)
         ends = np.cumsum(sizes) - 1
@@ -235,7 +237,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 2, buckets: int
                     if held:
                         yield segment()
                     bucket, seg = int(numbers[a]), 0
-                for b in blocks(iter([whole.slice(a, z - a)]), limit=1 << 20):
+                for b in blocks(iter([whole.slice(a, z - a)]), limit=1 << 19):
                     ids, sizes = encoder(tokenizer, classes).encode(pc.fill_null(b.column(2), "").to_pylist(), end)
                     held.append((ids, sizes, pc.fill_null(b.column(1), NO_ID).to_numpy()))
                     if sum(len(h[0]) for h in held) >= SEGMENT_TOKENS:

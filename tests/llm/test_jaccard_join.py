@@ -123,6 +123,17 @@ def test_odd_rows(spark):
     assert [r["doc_id"] for r in rows(kept)] == [None, 1, 2, 3, 4, 5, 7, 8, 9] and kept.columns[-1] == "kept_id"
 
 
+def test_rows_of_one_id_are_compared_each_by_its_text(spark):
+    a, b, c = words(40, 0), words(40, 100), words(40, 200)
+    df = lambda rows_: spark.createDataFrame(rows_, "doc_id long, text string")
+    kept = lambda rows_: sorted((r["doc_id"], r["text"]) for r in J.one_of_each(df(rows_)).collect())
+    assert kept([(1, a), (1, b), (2, b)]) == sorted([(1, a), (1, b)])
+    assert kept([(1, a), (2, b), (2, c), (3, c), (3, c), (2, b)]) == sorted([(1, a), (2, b), (2, c)])
+    assert kept([(4, ""), (4, ""), (5, a), (5, a)]) == [(4, ""), (4, ""), (5, a)]
+    got = sorted(tuple(r) for r in J.similarity_components(df([(3, a), (3, b), (2, b), (9, a), (9, c)])).collect())
+    assert got == [(2, 37, 2), (3, 37, 2), (3, 37, 3), (9, 37, 3), (9, 37, 9)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 300) for i in range(20)]
     got = {r["node"]: r["comp"] for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -39,10 +39,59 @@ def test_mixture_of_two_languages(spark, model):
 def test_expectation_maximisation_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     ll = rng.normal(0, 4, (40, 3))
-    values = [L.expectation_maximisation(ll, rounds=k)[1] for k in range(1, 15)]
+    values = [L.expectation_maximisation(ll, tolerance=10.0 ** -k)[1] for k in range(1, 9)]
     assert all(b >= a - 1e-9 for a, b in zip(values, values[1:]))
 
 
+def plain_language(model, text):
+    """(language, proportions) by plain loops: runs of eight words, every set grown one language at a time."""
+    import math
+
+    import regex
+    if not text or not regex.search(r"\p{L}", text):
+        return "und", None
+    found = regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    one = [[sum(float(model.logp[g, k]) for w in found[a:a + 8] for g in L.grams(w)) for k in range(len(model.langs))] for a in range(0, len(found), 8)]
+
+    def fitted(some):
+        p = [1 / len(some)] * len(some)
+        while True:
+            share = [[p[i] * math.exp(r[k] - max(r[j] for j in some)) for i, k in enumerate(some)] for r in one]
+            q = [sum(s[i] / sum(s) for s in share) / len(one) for i in range(len(some))]
+            far, p = max(abs(x - y) for x, y in zip(p, q)), q
+            if far <= 1e-6:
+                return p, sum(math.log(sum(p[i] * math.exp(r[k] - max(r[j] for j in some)) for i, k in enumerate(some))) + max(r[j] for j in some) for r in one)
+
+    total = [sum(r[k] for r in one) for k in range(len(model.langs))]
+    chosen = [total.index(max(total))]
+    p, have = fitted(chosen)
+    while len(chosen) < len(model.langs):
+        value, k = max((fitted([*chosen, k])[1], -k) for k in range(len(model.langs)) if k not in chosen)
+        if value - have <= 3 + 0.5 * math.log(len(one)):
+            break
+        chosen.append(-k)
+        p, have = fitted(chosen)
+    sizes = [min(8, len(found) - a) for a in range(0, len(found), 8)]
+    weigh = [[p[i] * math.exp(r[k] - max(r[j] for j in chosen)) for i, k in enumerate(chosen)] for r in one]
+    shares = {model.langs[k]: sum(n * s[i] / sum(s) for n, s in zip(sizes, weigh)) / len(found) for i, k in enumerate(chosen)}
+    return max(sorted(shares), key=shares.get), shares
+
+
+def test_languages_equal_plain_loops(spark, model):
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    docs += [f"{a[:300]} {b[:200]}" for a, b in zip(docs[::7], docs[3::7])] + ["\u0301", "\u0301 12", "a\u0301", "x", ""]
+    for text, (lang, score, p) in zip(docs, L.infer(model, docs)):
+        want, shares = plain_language(model, text)
+        assert lang == want and 0 <= score <= 1
+        if shares is not None:
+            assert {x: round(v, 3) for x, v in zip(model.langs, p) if v > 0} == {x: round(v, 3) for x, v in shares.items()}
+
+
+def test_marks_alone_are_no_language(spark, model):
+    got = L.infer(model, ["\u0301\u0302", "\u0e31 \u0301 5!", "e\u0301"])
+    assert [g[0] == "und" for g in got] == [True, True, False]
+
+
 def test_selection_skips_only_where_no_set_can_gain():
     rng = np.random.default_rng(4)
     for _ in range(40):
