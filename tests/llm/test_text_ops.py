@@ -184,61 +184,107 @@ def test_warc_records_link_and_read_back(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages(spark).limit(0))).count() == 0
 
 
-def dedup_brute(docs):
-    docs = sorted(set(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+def neighbours(text):
+    """(first line, last line, text) of each two lines with words that have only blank ones between them."""
+    lines = (text or "").split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    return [(a, z, "\n".join(lines[a:z + 1])) for a, z in zip(at, at[1:])]
+
+
+def plain_dedup(docs):
+    """Without every two neighbouring lines that stand together anywhere before."""
     seen, out = set(), {}
-    for i, t in docs:
-        drop = set()
-        for k, part in line_dedup.multi_line(t):
-            drop |= {k} if part in seen else set()
-            seen.add(part)
-        out[i, t] = line_dedup.without(t, drop)
+    for i, t in sorted(set(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
+        gone = set()
+        for a, z, both in neighbours(t):
+            gone |= set(range(a, z + 1)) if both in seen else set()
+            seen.add(both)
+        lines = t.split("\n") if t else []
+        out[i, t] = ("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(gone))
     return out
 
 
+def dedup(spark, docs):
+    return line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+
+
 def test_line_dedup_equals_brute_force(spark):
+    """Lines so long that there is a boundary between any two: chunks are all neighbours."""
     rng = random.Random(3)
-    passages = ["\n".join(words(9, 1000 * p + 10 * k) for k in range(12)) for p in range(4)]
+    passages = ["\n".join(words(12, 1000 * p + 15 * k) + ("\n" if k % 5 == 2 else "") for k in range(12)) for p in range(4)]
     docs = []
     for i in range(40):
-        own = [words(8, 20000 + 900 * i + 9 * k) for k in range(rng.randrange(0, 20))]
+        own = [words(13, 20000 + 900 * i + 9 * k) for k in range(rng.randrange(0, 20))]
         for _ in range(rng.randrange(3)):
             own[rng.randrange(len(own) + 1):0] = rng.choice(passages).split("\n")
         docs.append((i, "\n".join(own)))
     docs += [(100, docs[0][1]), (100, docs[0][1]), (101, None), (102, ""), (103, "\n\n\n\n"), (104, "\n\n\n\n")]
-    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    want = dedup_brute(docs)
+    got, want = dedup(spark, docs), plain_dedup(docs)
     assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got) == Counter((i, *want[i, t]) for i, t in docs)
     assert sum(r["n_removed"] for r in got) > 100 and {r["text"] for r in got if r["doc_id"] in (103, 104)} == {"\n\n\n\n"}
 
 
-def test_chunks_do_not_depend_on_what_stands_before():
-    passage = [words(8, 50 * k) for k in range(40)]
-    cut = lambda head: {tuple((head + passage)[a:z]) for a, z in line_dedup.chunks(head + passage)}
-    plain = cut([])
+def some_lines(rng, n, tag):
+    return [" ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(rng.choice([1, 1, 2, 3, 6, 20]))) if rng.random() < 0.85 else "" for _ in range(n)]
+
+
+def test_only_repeated_neighbours_go_and_one_of_each_line_stays(spark):
+    rng = random.Random(6)
+    passages = [some_lines(rng, rng.randrange(1, 30), "p") for _ in range(12)]
+    docs = []
+    for i in range(120):
+        own = some_lines(rng, rng.randrange(0, 25), "o")
+        for _ in range(rng.randrange(3)):
+            a = rng.randrange(4)
+            own[rng.randrange(len(own) + 1):0] = rng.choice(passages)[a:a + rng.randrange(1, 30)]
+        docs.append((i, "\n".join(own)))
+    places = Counter(both for _, t in docs for *_, both in neighbours(t))
+    got = {r["doc_id"]: r for r in dedup(spark, docs)}
+    stays, removed = Counter(x for r in got.values() for x in r["text"].split("\n")), 0
+    for i, t in docs:
+        lines = t.split("\n") if t else []
+        left = got[i]["text"].split("\n") if got[i]["n_removed"] < len(lines) else []
+        assert got[i]["n_lines"] == len(lines) and len(lines) - got[i]["n_removed"] == len(left)
+        may = {k for a, z, both in neighbours(t) if places[both] > 1 for k in range(a, z + 1)}
+        it = iter(lines)
+        assert all(x in it for x in left)                                           # in order
+        assert not Counter(x for k, x in enumerate(lines) if k not in may) - Counter(left)     # nothing else goes
+        gone = Counter(lines) - Counter(left)
+        assert all(stays[x] for x in gone if x.strip())
+        removed += sum(gone.values())
+    assert removed > 200
+
+
+def test_boundaries_do_not_depend_on_what_stands_before():
+    rng = random.Random(2)
+    passage = [f"{x} end" for x in some_lines(rng, 60, "q")]
+    plain = line_dedup.Lines("\n".join(passage)).boundary.tolist()
+    assert 0 < sum(plain) < len(plain)
     for n in (1, 2, 5):
-        assert len(plain & cut([words(8, 9000 + 70 * k) for k in range(n)])) >= len(plain) - 3
+        assert line_dedup.Lines("\n".join([*(f"before {k}" for k in range(n)), *passage])).boundary.tolist()[n:] == plain
 
 
-def test_short_repeated_passages_go_whole(spark):
-    """Passages of 2 to 6 lines go with their first and last line, wherever they stand."""
+def test_repeated_passages_go_whole(spark):
+    """From the first line to the last, wherever they stand: long lines, short ones (by steps from a seed), blank ones between."""
     docs, want, n = [], {}, 0
-    for size in range(2, 7):
+    for size, long in ((2, 30), (3, 30), (5, 16), (6, 30), (40, 2), (60, 1)):
         for trial in range(8):
-            passage = [f"line {k} of passage {size} {trial}" for k in range(size)]
+            passage = [f"{size} {trial} {k} " + "word " * (long + k % 2) + "." for k in range(size)]
+            if trial % 2:
+                passage = "\n\n".join(passage).split("\n")
             for copy in range(2):
                 head, tail = ([f"{x} {n} {k}" for k in range((trial + copy) % 3)] for x in ("before", "after"))
                 docs.append((n, "\n".join(head + passage + tail)))
                 want[n] = "\n".join(head + ([] if copy else passage) + tail)
                 n += 1
-    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == want
+    got = {r["doc_id"]: r["text"] for r in dedup(spark, docs)}
+    assert [i for i in want if got[i] != want[i]] == []
 
 
-def test_no_line_is_lost(spark):
-    docs = [(1, "b\nc"), (2, "a\nb\nc"), (3, "a\nb"), (4, "x\nx\nx\nx"), (5, "one"), (6, "one")]
-    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {1: "b\nc", 2: "a", 3: "", 4: "x", 5: "one", 6: "one"}
+def test_single_lines_between_blank_ones_stay(spark):
+    thanks = "Thanks to all who have read this far and to everyone who has sent word about what was missing here and there."
+    docs = [(1, f"Intro one.\n\n{thanks}\n\nEnd one."), (2, f"Intro two.\n\n{thanks}\n\nEnd two."), (3, thanks), (4, f"{thanks}\n"), (5, f"\n\n{thanks}\n\n")]
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup(spark, docs)} == {i: (t, 0) for i, t in docs}
 
 
 def test_line_dedup_of_odd_rows(spark):
