@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clashlens.llm.warc import CRLF, DATE, ENTITY_STEPS, MARKUP_STEPS, SERVED_AS, SPACE_STEPS, VERSION
+from html.entities import html5
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -108,22 +108,26 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
-def _quoted(s: str) -> str:
-    """A DuckDB literal; line ends and tabs by their code."""
-    parts = s.replace("'", "''")
-    for c in "\r\n":
-        parts = parts.replace(c, f"' || chr({ord(c)}) || '")
-    return f"('{parts}')"
+def _decoded(text: str) -> str:
+    """Entities with a name of the standard's table, or a number, one by one; other text between them as it is."""
+    literal = lambda x: "'" + x.replace("'", "''") + "'"
+    names = [k for k in html5 if not any(ord(c) < 32 for c in html5[k])]
+    known = f"map([{', '.join(literal('&' + k) for k in names)}], [{', '.join(literal(html5[k]) for k in names)}])"
+    parts = f"regexp_extract_all({text}, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z0-9]+;?|[^&]+|&')"
+    number = "CASE WHEN lower(left(p, 3)) = '&#x' THEN chr(('0x' || rtrim(substr(p, 4), ';'))::INT) ELSE chr(rtrim(substr(p, 3), ';')::INT) END"
+    return f"array_to_string([CASE WHEN p LIKE '&#%' AND len(p) > 2 THEN {number} WHEN left(p, 1) = '&' THEN coalesce({known}[p], p) ELSE p END FOR p IN {parts}], '')"
 
 
 def _plain(html: str) -> str:
-    for pattern, to in MARKUP_STEPS:
-        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    for plain, to in ENTITY_STEPS:
-        html = f"replace({html}, {_quoted(plain)}, {_quoted(to)})"
-    for pattern, to in SPACE_STEPS:
-        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    return f"trim({html}, ' ' || chr(10))"
+    drop = lambda x, pattern, to="''": f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    for name in ("script", "style", "head"):
+        html = drop(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>")
+    html = drop(html, "(?s)<!--.*?-->")
+    html = drop(html, r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|aside|main|body|html|pre|blockquote)\b[^>]*>", "chr(10)")
+    html = drop(html, r"(?i)</?t[dh]\b[^>]*>", "' '")
+    html = _decoded(drop(html, "<[a-zA-Z/!][^>]*>"))
+    lines = f"string_split(translate({html}, chr(9) || chr(12) || chr(13) || chr(160), '    '), chr(10))"
+    return f"array_to_string([w FOR w IN [trim(regexp_replace(v, ' +', ' ', 'g')) FOR v IN {lines}] IF w <> ''], chr(10))"
 
 
 def _record_id(text: str) -> str:
@@ -135,7 +139,7 @@ def _record_id(text: str) -> str:
 def _op6() -> str:
     nl, end = "chr(10)", "chr(13) || chr(10)"
     one_line = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-    title = "regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1)"
+    title = _decoded("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1)")
     lang = "regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1)"
     meta = (f"'source-headers: ' || replace(left(http, length(http) - 2), {end}, {end} || ' ') || {end} || 'source-block-digest: ' || block_digest || {end}"
             f" || 'source-payload-digest: ' || payload_digest || {end} || 'title: ' || {one_line(title)} || {end} || 'language: ' || {one_line(lang)} || {end}")
@@ -143,9 +147,8 @@ def _op6() -> str:
     fields = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"),
               ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "record_digest"), ("WARC-Source-Payload-Digest", "source_digest"),
               ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    served = f"'HTTP/1.1 200 OK' || {end} || 'Content-Type: {SERVED_AS}' || {end} || 'Content-Length: ' || strlen(html) || {end}"
+    served = f"'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || strlen(html) || {end}"
     resp_text = f"'response' || {nl} || coalesce(target, '') || {nl} || coalesce(page_id::VARCHAR, '') || {nl} || block_digest"
-    assert CRLF == "\r\n"
     return f"""
 WITH p AS (SELECT page_id, regexp_replace(url, '[\\r\\n]+', '', 'g') AS target, coalesce(html, '') AS html FROM pages),
 q AS (SELECT *, {served} AS http FROM p),
@@ -155,9 +158,9 @@ k AS (SELECT page_id, 'metadata' AS record_type, target, response_id, 'applicati
       UNION ALL
       SELECT page_id, 'conversion', target, response_id, 'text/plain; charset=utf-8', payload_digest, {_plain('html')} FROM s),
 f AS (SELECT page_id, record_type, {_record_id(f"record_type || {nl} || response_id")} AS record_id, response_id AS refers_to, target AS target_uri,
-             '{DATE}' AS date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS record_digest,
+             '1970-01-01T00:00:00Z' AS date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS record_digest,
              source_digest::VARCHAR AS source_digest, block FROM k)
-SELECT *, '{VERSION}' || {end} || {" || ".join(line(k, c) for k, c in fields)} || {end} AS header FROM f
+SELECT *, 'WARC/1.1' || {end} || {" || ".join(line(k, c) for k, c in fields)} || {end} AS header FROM f
 """
 
 

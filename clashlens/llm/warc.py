@@ -7,15 +7,20 @@ builds the same records.
 
 Defined results: null html is an empty page; a null url gives no WARC-Target-URI line; repeated rows give
 equal records; a null page_id stays null. An empty table gives no records. Other columns aren't read.
-Texts are read whole. Line breaks inside an url are taken out, as a header is one line.
+Texts are read whole. Line breaks inside an url are taken out, as a header is one line. Entities in text and
+title are decoded in one pass, all that HTML names and all numeric ones, as HTML's own rules have it (also
+without a semicolon where that is allowed); a no-break space is a blank.
 """
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clashlens.llm.common import columns_only
 
@@ -24,26 +29,30 @@ CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"       # the pages carry no date
 SERVED_AS = "text/html; charset=utf-8"
 
-#: Steps from HTML to text, in order: pattern and replacement, then plain strings and theirs, then patterns again.
+#: Steps from HTML to text, in order: pattern and replacement; entities are decoded between the two lists.
 MARKUP_STEPS = (
     (r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|head\b[^>]*>.*?</head\s*>)", ""),
     (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|body|html|pre|blockquote)\b[^>]*>", "\n"),
     (r"(?i)</?(?:td|th)\b[^>]*>", " "),
     (r"<[a-zA-Z/!][^>]*>", ""),
 )
-ENTITY_STEPS = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 #: Runs of blanks become one, lines lose blanks at their ends, empty lines go.
-SPACE_STEPS = ((r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" \n ?|\n ", "\n"), (r"\n{2,}", "\n"))
+SPACE_STEPS = ((r"[ \t\r\f\x{A0}]{2,}|[\t\r\f\x{A0}]", " "), (r" \n ?|\n ", "\n"), (r"\n{2,}", "\n"))
 
 
-def plain_text(html: Column) -> Column:
+@F.pandas_udf(StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """Entities replaced by their characters."""
+    return text.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
+def plain_text(text: Column) -> Column:
     for pattern, to in MARKUP_STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    for plain, to in ENTITY_STEPS:
-        html = F.replace(html, F.lit(plain), F.lit(to))
+        text = F.regexp_replace(text, pattern, to)
+    text = decoded(text)
     for pattern, to in SPACE_STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    return F.btrim(html, F.lit(" \n"))
+        text = F.regexp_replace(text, pattern, to)
+    return F.btrim(text, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -98,7 +107,7 @@ def derivatives(resp: DataFrame) -> DataFrame:
     fields = F.concat(
         F.lit("source-headers: "), F.regexp_replace(F.regexp_replace("http", "\r\n$", ""), "\r\n", "\r\n "), F.lit(CRLF),
         F.lit("source-block-digest: "), "block_digest", F.lit(CRLF + "source-payload-digest: "), "payload_digest", F.lit(CRLF),
-        F.lit("title: "), one_line(title), F.lit(CRLF + "language: "), one_line(lang), F.lit(CRLF))
+        F.lit("title: "), one_line(decoded(title)), F.lit(CRLF + "language: "), one_line(lang), F.lit(CRLF))
     kind = lambda k: record_id(F.lit(k), F.col("response_id"))
     both = (resp.withColumn("_fields", fields).withColumn("_text", plain_text(F.col("html")))
             .withColumn("_of_fields", digest(F.col("_fields"))).withColumn("_of_text", digest(F.col("_text")))
@@ -134,7 +143,6 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(fields, block) of every record; a file, whose size ``per_file`` bounds, is one row of the scan."""
     def run(pdfs):
-        import pandas as pd
         for pdf in pdfs:
             for data in pdf["content"]:
                 got = list(parse(data))

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from clashlens.llm import decontaminate as D
 from clashlens.llm import fingerprint, line_dedup, warc
@@ -176,7 +177,7 @@ def test_warc_records_link_and_read_back(spark, tmp_path):
     text = {r["page_id"]: r["block"] for r in got if r["record_type"] == "conversion"}
     assert text[1] == "Un <texte>\ndéux" and text[2] == text[3] == "" and text[4] == ("wort " * 50_000).strip()
     meta = {r["page_id"]: r["block"] for r in got if r["record_type"] == "metadata"}
-    assert "title: A &amp; B\r\nlanguage: fr\r\n" in meta[1]
+    assert "title: A & B\r\nlanguage: fr\r\n" in meta[1]
     warc.write(records, str(tmp_path / "w"), per_file=5)
     back = warc.read(spark, str(tmp_path / "w")).collect()
     assert Counter((f["fields"]["WARC-Record-ID"], bytes(f["block"])) for f in back) == Counter((r["record_id"], r["block"].encode()) for r in got)
@@ -184,6 +185,16 @@ def test_warc_records_link_and_read_back(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages(spark).limit(0))).count() == 0
 
 
+def test_entities_are_decoded_once(spark):
+    """Expected texts written by hand."""
+    cases = [("&copy; 2024 &middot; caf&eacute; &mdash; &#8217;&#x27;&#X41;", "\u00a9 2024 \u00b7 caf\u00e9 \u2014 \u2019'A"), ("&amp;lt; &amp;amp;copy;", "&lt; &amp;copy;"),
+             ("a&nbsp;&nbsp;b&#160;c&#xa0;", "a b c"), ("AT&T & R&D &unknown; &", "AT&T & R&D &unknown; &"), ("&lt;p&gt;not a tag&lt;/p&gt;", "<p>not a tag</p>"),
+             ("&copy2024 &AMP; &notin; &nbspx", "\u00a92024 & \u2209 x"), ("&#0;&#x110000;&#xD800;&#128;", "\ufffd\ufffd\ufffd\u20ac"), ("&NotEqualTilde;|&#10;|", "\u2242\u0338|\n|")]
+    df = spark.createDataFrame([(k, f"<p>{a}</p>") for k, (a, _) in enumerate(cases)], "k int, html string")
+    got = df.select("k", warc.plain_text(F.col("html")).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in got] == [b for _, b in cases]
+
+
 def neighbours(text):
     """(first line, last line, text) of each two lines with words that have only blank ones between them."""
     lines = (text or "").split("\n")
