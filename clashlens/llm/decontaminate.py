@@ -3,8 +3,8 @@
 Documents and benchmark items are word sequences. Of every ``window`` words, both keep the smallest hash
 of the k-grams in it; a shared run of ``window`` words therefore has one fingerprint in common, so the
 join of the fingerprints finds every document with such a run. Only the texts of those documents are
-taken up again: their fingerprints are found with their places, and the windows around each common one
-are cut out and joined with the items' windows, by a hash and then as text.
+taken up again: the places of the items' fingerprints in them are found, and the windows around each are
+cut out and joined with the items' windows, by a hash and then as text.
 
 Items shorter than a window are one window of all their words. No fingerprint of a longer window need
 fall inside them, so documents are joined on all their word n-grams of the few lengths that occur, all in
@@ -58,7 +58,7 @@ def gram_hashes(words: str, k: int) -> Column:
 
 
 def winnowed(hashes: str, width: int) -> Column:
-    """The distinct minima of all runs of ``width`` values."""
+    """The distinct minima of all runs of ``width`` hashes."""
     last = F.greatest(F.size(hashes) - width, F.lit(0))
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(hashes, i + 1, width))))
 
@@ -93,9 +93,8 @@ def _whole_windows(keyed: DataFrame, items: DataFrame, window: int, k: int) -> D
         keyed.select("id", "digest", folded_words("text").alias("f")).where(F.size("f") >= window).withColumn("h", gram_hashes("f", k))
         .select("id", "digest", F.explode(winnowed("h", width)).alias("print")).join(prints, "print", "left_semi").select("id", "digest")))
 
-    placed = F.transform("h", lambda h, i: F.struct(h.alias("print"), i.alias("at")))       # of equal minima the first place
-    places = (texts.select("id", "digest", folded_words("text").alias("f")).withColumn("h", gram_hashes("f", k)).withColumn("p", placed)
-              .select("id", "digest", F.explode(winnowed("p", width)).alias("p")).select("id", "digest", "p.print", "p.at")
+    places = (texts.select("id", "digest", folded_words("text").alias("f")).withColumn("h", gram_hashes("f", k))
+              .select("id", "digest", F.posexplode("h").alias("at", "print"))
               .join(prints, "print", "left_semi").groupBy("id", "digest").agg(F.collect_set("at").alias("ats")))
     around = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(
         F.greatest(p - (width - 1), F.lit(0)), F.least(p, F.size("w") - window)))))
