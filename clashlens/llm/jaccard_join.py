@@ -15,8 +15,10 @@ A bucket (sets under one key) is not expanded into pairs, and blocks of texts th
 id, its hub; links form components. Two other members of a bucket then have a hub in common: the sets that
 share a hub and lie in different components are compared in tiles of bounded size by parity sketches
 (the bits in which two sketches differ never exceed the shingles in which the sets do), and the pairs
-that the sketches leave are verified on the sets themselves. So every linked pair is verified or lies
-within one component already: components are those of the full join.
+that the sketches leave are verified on the sets themselves. First a tile gives no more pairs than would
+span its components, which joins nearly all that belong together whatever set the hub is; then it gives
+all pairs that are left between the components that remain. So every linked pair is verified or lies within
+one component already: components are those of the full join.
 
 Defined results: words are runs without the given break bytes after ASCII lower-casing. A text with fewer
 words than n has one shingle, all its words; a null text or one without words has none and links with
@@ -279,11 +281,12 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             .where(F.col("i") * den >= (F.size("shinglesa") + F.size("shinglesb") - F.col("i")) * num).select("a", "b"))
 
 
-def compared_in_tiles(grouped: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
+def compared_in_tiles(grouped: DataFrame, num: int, den: int, block: int = 1000, spanning: bool = False) -> DataFrame:
     """Pairs (a, b) of nodes that share a hub, lie in different components and can link by their sketches.
 
     ``grouped``: hub, node, comp, size, sketch. A hub's nodes are dealt into blocks of about ``block`` rows,
-    and every two blocks meet in one tile, so no task holds a whole hub however many nodes it has.
+    and every two blocks meet in one tile, so no task holds a whole hub however many nodes it has. With
+    ``spanning`` a tile gives a pair only if those before it don't connect its ends: fewer than it has nodes.
     """
     count = grouped.groupBy("hub").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     dealt = (grouped.join(count.select("hub", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hub")
@@ -296,13 +299,21 @@ def compared_in_tiles(grouped: DataFrame, num: int, den: int, block: int = 1000)
         block_, node, comp, size = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(3, 7))
         words = _words([x for r in rows for x in r.column(7).to_pylist()])
         x, y = int(rows[0].column(1)[0].as_py()), int(rows[0].column(2)[0].as_py())
-        a, b = [], []
-        for i in range(len(node)):
-            j = slice(i + 1, None)
-            ok = may_link(size[i], size[j], np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64), num, den) & (comp[j] != comp[i])
+        label = np.unique(comp, return_inverse=True)[1]
+        largest = np.bincount(label).argmax()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        other = label != largest        # of two components one is not the largest
+        for i in np.flatnonzero(other).tolist():
+            # later ones, and all of the largest component
+            j = np.flatnonzero(~other | (np.arange(len(node)) > i)) if not spanning else np.flatnonzero(label != label[i])
             if x != y:
-                ok &= block_[j] != block_[i]
-            k = np.flatnonzero(ok) + i + 1
+                j = j[block_[j] != block_[i]]
+            ok = may_link(size[i], size[j], np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64), num, den) & (label[j] != label[i])
+            k = j[ok]
+            if spanning and len(k):
+                met, at = np.unique(label[k], return_index=True)
+                k = k[at]
+                label[np.isin(label, met)] = label[i]
             a.append(np.minimum(node[k], node[i]))
             b.append(np.maximum(node[k], node[i]))
         return as_batch(schema, np.concatenate(a), np.concatenate(b))
@@ -389,9 +400,13 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     check = partial(verified, sets=sets, num=num, den=den)
     links = saved(check(tried.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
     comp = components(links)
-    grouped = (tried.join(comp, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
-               .join(sets.select("node", "size", "sketch"), "node").select("hub", "node", "comp", "size", "sketch"))
-    comp = components(links.unionByName(check(compared_in_tiles(grouped, num, den))))
+    sketched = saved(tried.join(sets.select("node", "size", "sketch"), "node").select("hub", "node", "size", "sketch"), "sketched")
+    for spanning in (True, False):
+        grouped = (sketched.join(comp, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"), "size", "sketch"))
+        more = saved(check(compared_in_tiles(grouped, num, den, spanning=spanning)), "more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links)
     return sizes, nodes.join(comp, "node", "left").select("h1", "h2", "doc_id", F.coalesce("comp", "node").alias("comp"))
 
 

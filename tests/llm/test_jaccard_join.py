@@ -74,6 +74,26 @@ def test_tiles_of_a_large_hub_are_complete(spark):
     linked = {(i, j) for j in range(60) for i in range(j)
               if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c)}
     assert linked and linked <= found
+    span = {tuple(r) for r in J.compared_in_tiles(grouped, 85, 100, block=100, spanning=True).collect()}
+    assert span <= found and len(span) < 60      # one tile: as connected as all pairs are
+
+    def groups(pairs):
+        up = list(range(60))
+        for _ in range(60):
+            for x, y in pairs:
+                up[x] = up[y] = min(up[x], up[y])
+        return up
+    assert groups(span) == groups(found)
+
+
+def test_components_do_not_depend_on_the_hub(spark):
+    """Near copies of a text that isn't there itself: any two may be too far apart, all are one group."""
+    rng = random.Random(7)
+    base = words(200)
+    docs = [(i, edited(rng, base, 0.01)) for i in range(120)]
+    want = brute(docs, 4, 85)
+    assert 1 < sum(c == 0 for *_, c in want) and sorted(tuple(r) for r in J.similarity_components(
+        spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()) == want
 
 
 @pytest.mark.parametrize("seed", range(6))
