@@ -183,10 +183,12 @@ def test_totals_match_targets(spark, domains):
 
 def test_a_rare_domain_meets_its_target(spark):
     """4 of 2,000 texts are toxic: 0.2 % of the tokens."""
-    weights = np.zeros((mixing.BUCKETS + 2, 3), np.float32)
-    for k, name in enumerate(["good", "poor", "toxic"]):
-        weights[crc32(f"{name}word".encode()) % mixing.BUCKETS, k] = 60
-    model = mixing.DomainModel(["good", "poor", "toxic"], weights)
+    names = ["good", "poor", "toxic"]
+    at = {mixing.token_bucket(f"{x}word"): i for i, x in enumerate(names)}
+    weights = np.zeros((5, 3))
+    for row, b in enumerate(sorted(at)):
+        weights[row, at[b]] = 60
+    model = mixing.DomainModel(names, np.array(sorted(at)), weights)
     for poor in (200, 1000):
         kinds = ["toxic"] * 4 + ["poor"] * poor + ["good"] * (1996 - poor)
         docs = spark.createDataFrame([(i, f"{x}word " * 20) for i, x in enumerate(kinds)], "doc_id long, text string")
@@ -197,30 +199,59 @@ def test_a_rare_domain_meets_its_target(spark):
         assert rate["good"] == 1 and rate["poor"] == pytest.approx(0.5, abs=0.01) and rate["toxic"] < 0.01
 
 
-def test_rates_equal_a_direct_descent():
-    """The replay of shared steps gives the rates of plain accelerated descent on every document."""
-    rng = np.random.default_rng(1)
-    p, n = rng.dirichlet([1, 1, 1], 50), rng.integers(1, 100, 50)
-    goal, big = np.array([0.5, 0.3, 0.2]) * n.sum(), float(n.sum())
-    x = y = np.ones(50)
-    steps, theta = [], 1.0
-    for _ in range(30):
-        nxt = (1 + (1 + 4 * theta * theta) ** 0.5) / 2
-        e = ((n * y) @ p - goal) / big
-        steps.append((e, (theta - 1) / nxt))
-        new = np.clip(y - 0.9 * (p @ e + 1e-3 * (y - 1)), 0, 2)
-        x, y, theta = new, new + (theta - 1) / nxt * (new - x), nxt
-    assert np.allclose(mixing.replay(p, steps, 0.9, 1e-3, 2)[0], x)
-    assert np.abs((n * x) @ p - goal).max() < 0.06 * big < np.abs(n @ p - goal).max()
+@pytest.mark.parametrize("most", [np.inf, 1.0, 2.0])
+def test_rates_equal_a_separate_solver(most):
+    """The rates are those of plain projected descent on every document by itself, run for long."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        p, n = rng.dirichlet([0.3, 0.3, 0.1], 80), rng.integers(0, 100, 80).astype(float)
+        big, gram = n.sum(), (p.T * n) @ p / n.sum()
+        goal = rng.dirichlet([1, 1, 1]) * big * rng.uniform(0.3, 1.5)
+        sums = lambda tried: np.array([mixing.sums_at(p, n, at, most) for at in tried])  # noqa: E731, B023
+        at, totals, steps = mixing.descended(sums, gram, goal, big, n @ p, 1e-2, 1e-7)
+        x, measure = np.ones(80), np.linalg.inv(gram)
+        for _ in range(60_000):
+            x = np.clip(x - 0.9 * (p @ (measure @ ((n * x) @ p - goal) / big) + 1e-2 * (x - 1)), 0, most)
+        assert np.allclose(mixing.rates_at(p, at, most)[n > 0], x[n > 0], atol=1e-4) and np.allclose(totals, (n * x) @ p, atol=1e-2) and steps < 60
+
+
+def test_a_result_that_is_no_minimum_is_an_error():
+    wrong = lambda tried: np.full((len(tried), 13), 5.0)
+    with pytest.raises(RuntimeError, match="off their minimum"):
+        mixing.descended(wrong, np.eye(3) / 3, np.zeros(3), 10.0, np.ones(3), 1e-3, 1e-6)
+
+
+def test_posteriors_of_held_out_texts(spark):
+    """Trained without them, on the labels of sf0.1: toxic texts are told by words and by beginnings of words."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.train(docs, mixing.domains_of(labels))
+    held = docs.join(mixing.domains_of(labels), "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()
+    _, p = model.posteriors([r["text"] for r in held])
+    said = [model.domains[i] for i in p.argmax(axis=1)]
+    toxic = [(a == "toxic", r["domain"] == "toxic") for a, r in zip(said, held)]
+    assert np.mean([a == r["domain"] for a, r in zip(said, held)]) > 0.97
+    assert sum(a and b for a, b in toxic) > 0.88 * sum(b for _, b in toxic) and sum(a and not b for a, b in toxic) < 0.01 * len(toxic)
+    for k, name in enumerate(model.domains):       # calibrated: the posteriors add up to the domain's share
+        assert abs(p[:, k].mean() - np.mean([r["domain"] == name for r in held])) < 0.02
+
+
+def test_a_text_without_tokens_has_the_label_shares(spark):
+    docs = spark.createDataFrame([(i, f"tok{i % 2} common words here") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(60)] + [(99, "c")], "doc_id long, domain string")
+    model = mixing.train(docs, labels)
+    assert model.domains == ["a", "b"] and model.posteriors([None, "", "  "])[0].tolist() == [0, 0, 0]
+    n, p = model.posteriors(["tok1 x", "tok0 x"])
+    assert n.tolist() == [2, 2] and p[0, 0] > 0.8 and p[1, 1] > 0.8
 
 
 def test_mixing_odd_rows(spark, domains):
     _, model = domains
-    m = mixing.mix(odd(spark, ["rate", "n_tokens"]), model, {"good": 1, "poor": 1, "toxic": 1}, steps=5)
+    m = mixing.mix(odd(spark, ["rate", "n_tokens"]), model, {"good": 1, "poor": 1, "toxic": 1})
     got = rows(m.documents)
     assert len(got) == len(odd_rows()) and [r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
-    assert mixing.mix(empty(spark), model, {"good": 1.0}, steps=3).documents.count() == 0
+    assert mixing.mix(empty(spark), model, {"good": 1.0}).documents.count() == 0
     none = mixing.train(empty(spark), spark.createDataFrame([(1, "good")], "doc_id long, domain string"))
-    assert {round(v, 6) for r in mixing.mix(odd(spark), none, {"a": 1, "b": 3}, steps=3).documents.collect() for v in r["posterior"].values()} == {0.5}
+    assert {round(v, 6) for r in mixing.mix(odd(spark), none, {"a": 1, "b": 3}).documents.collect() for v in r["posterior"].values()} == {0.5}
     kept = mixing.drawn(odd(spark, ["kept_id"]), m)
     assert kept.columns == odd(spark, ["kept_id"]).columns and None in {r["doc_id"] for r in kept.collect()}
