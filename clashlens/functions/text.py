@@ -46,6 +46,17 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(F.lower(sentence), F.lit(TOKEN_RE), 0)
 
 
+def word_count(sentence: Column) -> Column:
+    """Number of word tokens of a sentence as it is written."""
+    return F.size(F.regexp_extract_all(sentence, F.lit(TOKEN_RE), 0))
+
+
+def first_words(sentence: str, n: str) -> Column:
+    """The beginning of a sentence up to its n-th word token, with all characters as they are (both are column names)."""
+    words = F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){"), F.col(n).cast("string"), F.lit("}"))
+    return F.when(F.col(n) <= 0, F.lit("")).otherwise(F.coalesce(F.regexp_substr(F.col(sentence), words), F.lit("")))
+
+
 def run_starts(s: Column) -> Column:
     """1-based positions where a new run of equal values starts in the sorted array ``s``.
 

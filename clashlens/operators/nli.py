@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clashlens.config import LABEL_ORDER, SCORER_WEIGHTS, BATCH_SIZE
+from clashlens.config import BATCH_SIZE, DEFAULT, LABEL_ORDER, SCORER_WEIGHTS, Settings
+from clashlens.functions import text as tx
 from clashlens.functions.scores import softmax3
 from clashlens.operators.hooks import model_key, model_of
 
@@ -41,6 +42,27 @@ def lexical_scorer(pairs: DataFrame, weights: dict | None = None, cos: str = "co
     return pairs.withColumn("entailment", e).withColumn("neutral", n).withColumn("contradiction", c)
 
 
+def within_budget(pairs: DataFrame, budget: int, s1: str = "sentence1", s2: str = "sentence2") -> DataFrame:
+    """T-4 before a model: both sentences cut together to ``budget`` word tokens, the longer side first.
+
+    A cut sentence keeps its own characters up to its last kept token; one that fits is as it was.
+    """
+    d = pairs.withColumn("_na", F.coalesce(tx.word_count(F.col(s1)), F.lit(0))).withColumn("_nb", F.coalesce(tx.word_count(F.col(s2)), F.lit(0)))
+    a, b = tx.truncate_pair(F.col("_na"), F.col("_nb"), budget)
+    d = d.withColumn("_ka", a).withColumn("_kb", b)
+    for col, n, k in ((s1, "_na", "_ka"), (s2, "_nb", "_kb")):
+        d = d.withColumn(col, F.when(F.col(k) < F.col(n), tx.first_words(col, k)).otherwise(F.col(col)))
+    return d.drop("_na", "_nb", "_ka", "_kb")
+
+
+def model_scored(pairs: DataFrame, scorer: Callable[[DataFrame], DataFrame], settings: Settings = DEFAULT, s1: str = "sentence1",
+                 s2: str = "sentence2") -> DataFrame:
+    """The pairs with a model's three probabilities. The model gets the sentences cut to ``settings.max_seq_len``
+    tokens less the three marks of a pair encoding; the rows keep them whole."""
+    cut = within_budget(pairs.withColumn("_s1", F.col(s1)).withColumn("_s2", F.col(s2)), settings.max_seq_len - 3, s1, s2)
+    return scorer(cut).withColumn(s1, F.col("_s1")).withColumn(s2, F.col("_s2")).drop("_s1", "_s2")
+
+
 def model_scorer(pairs: DataFrame, load_model: Callable[[], object], labels: Sequence[str],
                  s1: str = "sentence1", s2: str = "sentence2", batch_size: int = BATCH_SIZE) -> DataFrame:
     """Hook U-2: score pairs with a user model ``model(list_s1, list_s2) -> array[n, k] of probabilities``.

@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT, Settings
-from clashlens.functions import text as tx
 from clashlens.operators import reports
 from clashlens.operators.hooks import encode_with
-from clashlens.operators.nli import lexical_scorer
+from clashlens.operators.nli import lexical_scorer, model_scored
 from clashlens.operators.sentences import explode_sentences, sentence_arrays, sentence_vectors
 from clashlens.operators.similarity import aligned_features, dense_candidates, token_candidates
 from clashlens.session import ensure_checkpoint_dir
@@ -62,27 +61,18 @@ class DocumentCheck:
 
 def run_document_check(docs: DataFrame, out_dir: str, settings: Settings = DEFAULT, scorer=None,
                        fmt: str = "parquet", encoder=None) -> None:
-    """Batch job: nested reports, the flat contradiction table and the rejected documents under ``out_dir``."""
+    """Batch job: nested reports, the flat contradiction table and the rejected documents under ``out_dir``.
+
+    ``docs``: (doc_id, text), or a source that was checked already (``sources.files``) with its ``error``.
+    """
     from clashlens.sources.sinks import write_doc_report
-    source = document_source(docs)
-    c = check_documents(valid_only(source), settings, scorer, encoder=encoder).materialize()
+    source = docs if "error" in docs.columns else document_source(docs)
+    c = check_documents(valid_only(source).select("doc_id", "text"), settings, scorer, encoder=encoder).materialize()
     write_doc_report(c.report(nested=True), f"{out_dir}/doc_report", fmt)
     c.contradictions().write.mode("overwrite").format(fmt).save(f"{out_dir}/contradictions")
     source.where(F.col("error").isNotNull()).write.mode("overwrite").format(fmt).save(f"{out_dir}/rejected")
 
 
-def within_budget(pairs: DataFrame, budget: int, s1: str = "sentence1", s2: str = "sentence2") -> DataFrame:
-    """T-4 before a model: both sentences cut together to ``budget`` word tokens, the longer side first.
-
-    A sentence that fits keeps its text; a cut one is its first tokens joined by blanks.
-    """
-    d = pairs.withColumn("_ta", tx.tokens(F.col(s1))).withColumn("_tb", tx.tokens(F.col(s2)))
-    keep = tx.truncate_pair(F.size("_ta"), F.size("_tb"), budget)
-    for col, toks, n in ((s1, "_ta", keep[0]), (s2, "_tb", keep[1])):
-        d = d.withColumn(col, F.when(n < F.size(toks), F.array_join(F.slice(toks, F.lit(1), F.greatest(n, F.lit(0))), " ")).otherwise(F.col(col)))
-    return d.drop("_ta", "_tb")
-
-
 def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
                     similarity_threshold: float | None = None, encoder=None) -> DocumentCheck:
     """The document check over a table (doc_id, text).
@@ -109,6 +99,6 @@ def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
         if scorer is None:
             scored = lexical_scorer(aligned_features(texts.drop("jac", "neg")), settings.scorer_weights)
         else:
-            scored = scorer(within_budget(texts, settings.max_seq_len - 3))
+            scored = model_scored(texts, scorer, settings)
         scored = scored.drop("sentence1", "sentence2")
     return DocumentCheck(docs, arrays, sents, cand, scored, settings)

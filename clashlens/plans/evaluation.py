@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from clashlens.config import DEFAULT, Settings
 from clashlens.functions.scores import expected_score, rounded, score_label, to_05_scale
-from clashlens.operators.nli import lexical_scorer
+from clashlens.operators.nli import lexical_scorer, model_scored
 from clashlens.operators.ranking import value_ranks
 from clashlens.operators.reports import reduction_pct
 from clashlens.operators.sentences import sentence_arrays
-from clashlens.operators.similarity import aligned_features
+from clashlens.plans.pair_check import pair_features
 from clashlens.session import ensure_checkpoint_dir
 from clashlens.sources.documents import consecutive_sentence_pairs
 from clashlens.sources.tables import read_table
@@ -52,12 +52,21 @@ def graded_pairs_from_tables(spark, sf_dir: str) -> DataFrame:
     return graded_pairs(g)
 
 
-def wide_predictions(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, threshold: float | None = None) -> DataFrame:
+def scored_features(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, encoder=None) -> DataFrame:
+    """Graded pairs with ``cos`` and the three probabilities, every pair scored once (the verifier-only method needs all).
+
+    ``encoder`` and ``scorer`` are the hooks of the pair check: each distinct sentence is encoded once, and a model
+    gets sentences cut to the sequence limit.
+    """
+    feats = pair_features(graded, settings, scorer, encoder)
+    return model_scored(feats, scorer, settings) if scorer else lexical_scorer(feats, settings.scorer_weights)
+
+
+def wide_predictions(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, threshold: float | None = None, encoder=None) -> DataFrame:
     """One row per pair: cos, scores, gold, and every method's prediction and confidences (M-1..M-3)."""
     t = settings.similarity_threshold if threshold is None else threshold
     ct = settings.contradiction_threshold
-    sc = scorer or (lambda df: lexical_scorer(df, settings.scorer_weights))
-    w = sc(aligned_features(graded))
+    w = scored_features(graded, settings, scorer, encoder)
     e, n, c, cos = F.col("entailment"), F.col("neutral"), F.col("contradiction"), F.col("cos")
     five = F.lit(5.0) * cos
     passed = cos >= F.lit(t)
@@ -138,22 +147,22 @@ def metrics(long: DataFrame, groups=("split", "method"), num_partitions: int | N
             .select(*g, "n_pairs", "pearson", "spearman", "f1"))
 
 
-def method_predictions(graded: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
-    return long_predictions(wide_predictions(graded, settings, scorer))
+def method_predictions(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, encoder=None) -> DataFrame:
+    return long_predictions(wide_predictions(graded, settings, scorer, encoder=encoder))
 
 
-def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
+def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, encoder=None) -> DataFrame:
     """M-8: one row per (split, method).
 
     The long table feeds three aggregations; it is checkpointed once to the shared checkpoint folder so
     the features and the scorer run once and the lineage is cut.
     """
     ensure_checkpoint_dir(graded.sparkSession)
-    long = method_predictions(graded, settings, scorer).select("split", "method", "pred", "pred_bin", "gold", "gold_bin").checkpoint(eager=True)
+    long = method_predictions(graded, settings, scorer, encoder).select("split", "method", "pred", "pred_bin", "gold", "gold_bin").checkpoint(eager=True)
     return metrics(long, num_partitions=settings.rank_partitions or None)
 
 
-def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, thresholds=None) -> DataFrame:
+def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, thresholds=None, encoder=None) -> DataFrame:
     """M-10: per (split, threshold): pairs, survivors, reduction %, F1 of the two-stage method.
 
     The scorer runs once; each pair is replicated once per threshold by an in-row explode of a literal
@@ -161,8 +170,7 @@ def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None
     """
     ts = list(thresholds or settings.sweep_thresholds)
     ct = settings.contradiction_threshold
-    sc = scorer or (lambda df: lexical_scorer(df, settings.scorer_weights))
-    w = sc(aligned_features(graded)).withColumn("gold_bin", F.when(F.col("label") == "contradiction", 1).otherwise(0))
+    w = scored_features(graded, settings, scorer, encoder).withColumn("gold_bin", F.when(F.col("label") == "contradiction", 1).otherwise(0))
     x = w.select("split", "cos", "contradiction", "gold_bin",
                  F.explode_outer(F.array(*[F.lit(float(t)) for t in ts])).alias("threshold"))
     passed = F.col("cos") >= F.col("threshold")

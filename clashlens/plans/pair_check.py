@@ -14,23 +14,36 @@ from pyspark.sql import functions as F
 from clashlens.config import DEFAULT, FILTERED_REASON, LABEL_ORDER, Settings
 from clashlens.functions.scores import (argmax_label, expected_score, rounded, verdict,
                                         verdict_confidence)
-from clashlens.operators.nli import lexical_scorer
+from clashlens.operators.aligned import with_encoded_cosine
+from clashlens.operators.nli import lexical_scorer, model_scored
 from clashlens.operators.similarity import aligned_features
 
 
-def _scorer(settings: Settings, scorer):
-    return scorer or (lambda df: lexical_scorer(df, settings.scorer_weights))
+def pair_features(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, encoder=None) -> DataFrame:
+    """Pairs with ``cos``, and the built-in scorer's other features where that one is used.
+
+    ``encoder``: a loader of a sentence encoder (hook U-1); every distinct sentence is encoded once. Without
+    one the cosine is that of the built-in term vectors.
+    """
+    if encoder is None:
+        return aligned_features(pairs)
+    feats = pairs if scorer else aligned_features(pairs).drop("cos")
+    return with_encoded_cosine(feats, encoder, batch_size=settings.batch_size)
+
+
+def _scored(feats: DataFrame, settings: Settings, scorer) -> DataFrame:
+    return model_scored(feats, scorer, settings) if scorer else lexical_scorer(feats, settings.scorer_weights)
 
 
 def scored_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
-    """Every pair scored, no gate (the verifier-only path, N-1)."""
-    return _scorer(settings, scorer)(aligned_features(pairs))
+    """Every pair scored, no gate and no similarity where a model scores (the verifier-only path, N-1)."""
+    return model_scored(pairs, scorer, settings) if scorer else lexical_scorer(aligned_features(pairs), settings.scorer_weights)
 
 
-def gated_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, threshold: float | None = None) -> DataFrame:
+def gated_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, threshold: float | None = None, encoder=None) -> DataFrame:
     """P-6: pairs with cos >= threshold are scored; the others keep NULL scores. Adds passed_filter."""
     t = settings.similarity_threshold if threshold is None else threshold
-    feats = aligned_features(pairs)
+    feats = pair_features(pairs, settings, scorer, encoder)
     if scorer is None:
         # The built-in scorer is a few JVM arithmetic expressions: one pass, scores nulled for the
         # filtered rows, is cheaper than two branches that each recompute the features.
@@ -39,7 +52,7 @@ def gated_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, thr
         for k in LABEL_ORDER:
             s = s.withColumn(k, F.when(passed, F.col(k)))
         return s.withColumn("passed_filter", passed)
-    survivors = _scorer(settings, scorer)(feats.where(F.col("cos") >= F.lit(t)))
+    survivors = _scored(feats.where(F.col("cos") >= F.lit(t)), settings, scorer)
     rest = feats.where(~(F.col("cos") >= F.lit(t)))
     for k in LABEL_ORDER:
         rest = rest.withColumn(k, F.lit(None).cast("double"))
@@ -47,9 +60,9 @@ def gated_pairs(pairs: DataFrame, settings: Settings = DEFAULT, scorer=None, thr
             .unionByName(rest.withColumn("passed_filter", F.lit(False))))
 
 
-def pair_report(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=None) -> DataFrame:
+def pair_report(pairs: DataFrame, keys, settings: Settings = DEFAULT, scorer=None, encoder=None) -> DataFrame:
     """S-7 / N-8 record: similarity, threshold, passed_filter, scores, verdict, confidence, filtered_reason."""
-    g = gated_pairs(pairs, settings, scorer)
+    g = gated_pairs(pairs, settings, scorer, encoder=encoder)
     e, n, c = F.col("entailment"), F.col("neutral"), F.col("contradiction")
     ct = settings.contradiction_threshold
     passed = F.col("passed_filter")

@@ -13,10 +13,10 @@ from clashlens.config import MISSING_PAIR_REASON, MISSING_TEXT_REASON
 from clashlens.functions.text import strip
 
 
-def document_source(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """S-3: (key, text stripped, error). Missing or blank text is an error, as the document API does."""
+def document_source(docs: DataFrame, key: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
+    """S-3: (key, text stripped, further columns to ``keep``, error). Missing or blank text is an error, as the document API does."""
     t = strip(F.coalesce(F.col(text), F.lit("")))
-    return (docs.select(F.col(key), t.alias("text"))
+    return (docs.select(F.col(key), t.alias("text"), *keep)
             .withColumn("error", F.when(F.col("text") == "", F.lit(MISSING_TEXT_REASON))))
 
 

@@ -138,7 +138,7 @@ def test_document_check_with_an_encoder_and_a_model(spark):
 
 
 def test_texts_are_cut_before_the_model(spark):
-    from clashlens.plans.document_check import within_budget
+    from clashlens.operators.nli import within_budget
     df = spark.createDataFrame([("a b c d e f", "x y"), ("a b.", "c d!"), (" ".join("abcdefghij"), " ".join("klmnopqrst"))], "sentence1 string, sentence2 string")
     got = [tuple(r) for r in within_budget(df, 6).collect()]
     assert got == [("a b c d", "x y"), ("a b.", "c d!"), ("a b c", "k l m")]
