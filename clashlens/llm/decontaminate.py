@@ -20,6 +20,8 @@ an id are one item. Documents that repeat an id are taken by their text, and row
 equal rows. Other columns of the inputs, whatever their names, aren't read.
 """
 
+# A plain explode lets the optimizer infer a filter on its array, which puts a copy of all that the array is made of,
+# the splitting included, into the lambda below: explode_outer and a test for null don't.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,7 +96,7 @@ def _whole_windows(keyed: DataFrame, items: DataFrame, window: int, k: int) -> D
         .select("id", "digest", F.explode(winnowed("h", width)).alias("print")).join(prints, "print", "left_semi").select("id", "digest")))
 
     places = (texts.select("id", "digest", folded_words("text").alias("f")).withColumn("h", gram_hashes("f", k))
-              .select("id", "digest", F.posexplode("h").alias("at", "print"))
+              .select("id", "digest", F.posexplode_outer("h").alias("at", "print")).where("print is not null")
               .join(prints, "print", "left_semi").groupBy("id", "digest").agg(F.collect_set("at").alias("ats")))
     around = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(
         F.greatest(p - (width - 1), F.lit(0)), F.least(p, F.size("w") - window)))))
@@ -122,7 +124,7 @@ def _short_items(keyed: DataFrame, items: DataFrame, window: int) -> DataFrame:
         return F.when(F.size("f") >= n, each).otherwise(none)
 
     near = saved(keyed.select("id", "digest", folded_words("text").alias("f")).where(F.size("f") >= lengths[0])
-                 .select("id", "digest", F.explode(F.flatten(F.array(*map(grams, lengths)))).alias("g")).select("id", "digest", "g.*")
+                 .select("id", "digest", F.explode_outer(F.flatten(F.array(*map(grams, lengths)))).alias("g")).where("g is not null").select("id", "digest", "g.*")
                  .join(side, ["length", "h"]).select("id", "digest", "start", "length", "item_id", "key").distinct(), "near")
     texts = _texts(keyed, near.select("id", "digest")).select("id", "digest", exact_words("text").alias("w"))
     return (near.join(texts, ["id", "digest"]).where(window_text("w", F.col("start"), F.col("length")) == F.col("key"))
