@@ -12,19 +12,19 @@ from clashlens.config import (CONTRADICTION_THRESHOLD, EXPECTED_SCORE_WEIGHTS, L
 def rounded(x: Column, digits: int) -> Column:
     """x rounded to ``digits`` decimals as Python's ``round``: by its exact binary value, ties to even.
 
-    The product p = x * 10^d is itself rounded; its error comes from cutting x into two halves whose
-    products with 10^d are exact, and decides the cases where p lies on a half.
+    The product p = x * 10^d is itself rounded, by far less than 1e-6; that can only matter where p lies about on a
+    half. There its error, from cutting x into two halves whose products with 10^d are exact, decides.
     """
     s = F.lit(float(10 ** digits))
     a = F.abs(x)
     p = a * s
+    whole = F.floor(p).cast("double")
+    rest = p - whole
     t = a * F.lit(134217729.0)          # 2^27 + 1
     high = t - (t - a)
     error = (high * s - p) + (a - high) * s
-    whole = F.floor(p).cast("double")
-    rest = p - whole
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    out = (whole + F.when(up, 1.0).otherwise(0.0)) / s
+    tie_up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    out = F.when(F.abs(rest - 0.5) > 1e-6, F.floor(p + 0.5).cast("double")).otherwise(whole + F.when(tie_up, 1.0).otherwise(0.0)) / s
     return F.when(x < 0, F.lit(0.0) - out).otherwise(out)
 
 

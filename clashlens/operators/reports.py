@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clashlens.config import CONTRADICTION_THRESHOLD
 from clashlens.functions.scores import rounded
 from clashlens.functions.text import split_sentences
+from clashlens.session import ensure_checkpoint_dir
 
 # Document verdict texts.
 VERDICT_CONSISTENT = "Fully Consistent"
@@ -75,10 +76,21 @@ def with_texts(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
 
 def contradictions(scored: DataFrame, docs: DataFrame, threshold: float = CONTRADICTION_THRESHOLD,
                    key: str = "doc_id") -> DataFrame:
-    """D-1 flat: (key, i, j, sentence1, sentence2, confidence) for P(contradiction) >= threshold."""
+    """D-1 flat: (key, i, j, sentence1, sentence2, confidence) for P(contradiction) >= threshold.
+
+    The hits are narrow and are written first (to the shared checkpoint folder). Documents with one are told by
+    their keys before any text moves: their keys are broadcast if they are counted few, else they are joined.
+    """
+    ensure_checkpoint_dir(scored.sparkSession)
     hits = (scored.where(F.col("contradiction") >= F.lit(threshold))
-            .select(key, "i", "j", F.col("contradiction").alias("confidence")))
-    return with_texts(hits, docs, key).select(key, "i", "j", "sentence1", "sentence2", "confidence")
+            .select(key, "i", "j", F.col("contradiction").alias("confidence")).checkpoint(eager=True))
+    some = docs.join(broadcast_if_few(hits.select(key).distinct()), key, "left_semi")
+    return with_texts(hits, some, key).select(key, "i", "j", "sentence1", "sentence2", "confidence")
+
+
+def broadcast_if_few(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A narrow table marked for broadcast if it is counted at most ``rows``, else as it is."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
 
 
 def nested_report(stats: DataFrame, flat_contradictions: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -331,17 +331,13 @@ DOC_QUERIES.update({
     "head_limit": "SELECT row_ord, source, key, label FROM nhead",
     "distinct_first": "SELECT first_ord, premise FROM dfirst",
     "paraphrase_topn": "SELECT sentence, rank::INTEGER AS rank, paraphrase FROM para",
-    "paraphrase_lookup": f"""SELECT p.sentence, p.rank::INTEGER AS rank, p.paraphrase, coalesce(c.n >= {NUM_PARAPHRASES}, false) AS from_cache
-        FROM para p LEFT JOIN (SELECT sentence, count(*) AS n FROM para
-                               WHERE sentence IN (SELECT premise FROM nli_s WHERE source_ord = 0) GROUP BY sentence) c
-             ON c.sentence = p.sentence""",
+    "paraphrase_lookup": f"""SELECT sentence, rank::INTEGER AS rank, paraphrase,
+        max(rank) OVER (PARTITION BY sentence) >= {NUM_PARAPHRASES} AND first_source AS from_cache
+        FROM (SELECT p.*, f.first_source FROM para p JOIN (SELECT premise, bool_or(source_ord = 0) AS first_source FROM nli_s GROUP BY premise) f
+              ON f.premise = p.sentence)""",
     "augment_pairs": f"""SELECT f.first_ord, f.premise AS sentence, p.rank::INTEGER AS rank, p.paraphrase
         FROM dfirst f JOIN para p ON p.sentence = f.premise""",
     "training_set": "SELECT part, ord, s1, s2, label FROM tset",
-    "train_pair_classifier": f"""SELECT label, count(*) AS n_rows, true AS accurate FROM (
-        SELECT CASE WHEN list_has_any(a, {NEG_LIST_SQL}) <> list_has_any(b, {NEG_LIST_SQL}) THEN 2
-                    WHEN list_has_any(a, b) THEN 0 ELSE 1 END AS label
-        FROM (SELECT {tokens_sql('s1')} AS a, {tokens_sql('s2')} AS b FROM tset)) GROUP BY label""",
     "training_shards": f"""SELECT part, ord, shuffle_ord, (shuffle_ord - 1) // {BATCH_SIZE} AS shard FROM (
         SELECT part, ord, row_number() OVER (ORDER BY md5('{SAMPLE_SEED}:' || part::VARCHAR || ':' || ord::VARCHAR), part, ord) AS shuffle_ord
         FROM tset)""",

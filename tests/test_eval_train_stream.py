@@ -183,3 +183,22 @@ def test_shards_are_written_many_to_a_file(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 200 and back.groupBy("shard").count().where("count = 8").count() == 25
     assert len(list((tmp_path / "s").glob("part-*"))) <= 3
+
+
+def test_classifier_predicts_every_row_like_a_separately_fitted_model(spark):
+    """Softmax regression by plain numpy gradient descent on the same features."""
+    import numpy as np
+
+    from clashlens.plans.catalog import QUERIES
+    got = {(r.part, r.ord): (r.label, r.prediction) for r in QUERIES["train_pair_classifier"](spark, SF).collect()}
+    rows = tr.pair_features(tr.rule_labels(tr.training_set(tr.load_nli(spark, SF)))).select("part", "ord", "label", *tr.FEATURES).collect()
+    assert len(got) == len(rows) and all(got[r.part, r.ord][0] == r.label for r in rows)
+    x, y = np.array([[r[f] for f in tr.FEATURES] + [1.0] for r in rows]), np.array([r.label for r in rows])
+    w = np.zeros((4, 3))
+    for _ in range(4000):
+        p = np.exp((z := x @ w) - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        w -= 2.0 * x.T @ (p - np.eye(3)[y]) / len(x)
+    own = (x @ w).argmax(axis=1)
+    theirs = np.array([got[r.part, r.ord][1] for r in rows])
+    assert np.mean(theirs == y) > 0.9 and np.mean(theirs == own) > 0.98
