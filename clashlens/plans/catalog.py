@@ -100,7 +100,7 @@ from clashlens.config import LABEL_ORDER, MAX_SEQ_LEN  # noqa: E402
 from clashlens.functions import text as tx  # noqa: E402
 from clashlens.functions.scores import softmax3  # noqa: E402
 from clashlens.operators.nli import _logit  # noqa: E402
-from clashlens.operators.similarity import aligned_features, dense_candidates, with_l2_normalized  # noqa: E402
+from clashlens.operators.similarity import aligned_features, dense_candidates, lsh_candidates, with_l2_normalized  # noqa: E402
 from clashlens.plans import pair_check  # noqa: E402
 from clashlens.sources import documents as srcdocs  # noqa: E402
 
@@ -209,6 +209,14 @@ def q_candidate_pairs_dense_all(spark, sf_dir):
     return c.select("i", "j", rounded(F.col("cos"), 6).alias("cos"))
 
 
+@register("candidate_pairs_lsh")
+def q_candidate_pairs_lsh(spark, sf_dir):
+    """The approximate plan over the same groups; no twin, as it may miss pairs (recall is tested)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    c = lsh_candidates(e, DEFAULT.similarity_threshold, group="label", ident="vec_id", vector="embedding")
+    return c.select("label", "i", "j", rounded(F.col("cos"), 6).alias("cos"))
+
+
 # ------------------------------------------------------------------------------------------------
 # evaluation on graded pairs (consecutive sentences of labelled documents)
 # ------------------------------------------------------------------------------------------------

@@ -99,16 +99,21 @@ def test_aligned_features(spark):
     assert rows[3].neg is True and rows[1].neg is False
 
 
-def test_lsh_is_a_subset_of_exact(spark):
+def test_lsh_recall_and_precision_against_the_exact_plan(spark):
     from clashlens.operators.similarity import lsh_candidates
+    from clashlens.plans.catalog import QUERIES
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(20, 16))
-    x = np.concatenate([base + 0.3 * rng.normal(size=(20, 16)) for _ in range(5)]).astype(np.float32)
-    rows = [(int(i), x[i].tolist(), int(i % 2)) for i in range(len(x))]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    exact = {(r.label, r.i, r.j) for r in dense_candidates(df, 0.6, block_rows=16).collect()}
-    approx = {(r.label, r.i, r.j) for r in lsh_candidates(df, 0.6, bucket_length=2.0, num_hash_tables=12).collect()}
-    assert approx <= exact and len(approx) >= 0.5 * len(exact) > 0
+    base = rng.normal(size=(30, 24))
+    x = np.concatenate([base + 0.8 * rng.normal(size=base.shape) for _ in range(8)] + [np.zeros((2, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(int(i), x[i].tolist(), int(i % 3)) for i in range(len(x))], "vec_id long, embedding array<float>, label int").repartition(5)
+    exact = {(r.label, r.i, r.j): r.cos for r in dense_candidates(df, 0.4, block_rows=16).collect()}
+    found = {(r.label, r.i, r.j): r.cos for r in lsh_candidates(df, 0.4).collect()}
+    assert found.keys() <= exact.keys() and len(found) >= 0.9 * len(exact) > 100
+    assert all(found[k] == pytest.approx(exact[k], abs=1e-9) for k in found)
+    sf = "/root/testdata/sf0.01"
+    want, got = ({(r.label, r.i, r.j) for r in QUERIES[q](spark, sf).collect()} for q in ("candidate_pairs_dense", "candidate_pairs_lsh"))
+    assert got <= want and len(got) >= 0.9 * len(want) - 1
+    assert lsh_candidates(df.limit(0), 0.4).collect() == []
 
 
 def test_cosine_exactly_at_threshold_passes(spark):
