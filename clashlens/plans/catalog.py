@@ -288,24 +288,20 @@ def q_example_pairs(spark, sf_dir):
 def q_doc_threshold_sweep(spark, sf_dir):
     """Per sweep threshold over all documents: surviving pairs, contradictions, reduction %.
 
-    Candidates are formed once at the lowest threshold; every candidate and every document is
-    replicated once per threshold by an in-row explode, and one aggregation produces all rows.
+    Candidates are formed once at the lowest threshold and counted once each, by the number of thresholds that their
+    cosine reaches; documents add their possible pairs. Only the counts meet the thresholds.
     """
     ts = sorted(DEFAULT.sweep_thresholds)
     c = check_documents(read_table(spark, sf_dir, "documents"), DEFAULT, similarity_threshold=ts[0])
-    arr = F.array(*[F.lit(float(t)) for t in ts])
     z = F.lit(0).cast("long")
-    cand = (c.scored.select("cos", "contradiction", F.explode_outer(arr).alias("threshold"))
-            .where(F.col("cos") >= F.col("threshold"))
-            .select("threshold", F.lit(1).cast("long").alias("s"),
-                    (F.col("contradiction") >= F.lit(DEFAULT.contradiction_threshold)).cast("long").alias("k"),
-                    z.alias("t")))
-    docs = (c.arrays.select(reports.total_pairs(F.col("total_sentences")).alias("t"),
-                            F.explode_outer(arr).alias("threshold"))
-            .select("threshold", z.alias("s"), z.alias("k"), "t"))
-    a = cand.unionByName(docs).groupBy("threshold").agg(
-        F.sum("s").cast("long").alias("survivors"), F.sum("k").cast("long").alias("contradictions"),
-        F.sum("t").cast("long").alias("total_pairs"))
+    cand = c.scored.select(ev.reached(F.col("cos"), ts).alias("k"), F.lit(1).cast("long").alias("s"),
+                           (F.col("contradiction") >= F.lit(DEFAULT.contradiction_threshold)).cast("long").alias("c"), z.alias("t"))
+    docs = c.arrays.select(F.lit(0).alias("k"), z.alias("s"), z.alias("c"), reports.total_pairs(F.col("total_sentences")).alias("t"))
+    counts = cand.unionByName(docs).groupBy("k").agg(*(F.sum(x).cast("long").alias(x) for x in "sct"))
+    m = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(i).alias("m")) for i, t in enumerate(ts)]))
+    above = lambda x: F.sum(F.when(F.col("k") > F.col("p.m"), F.col(x)).otherwise(z)).cast("long")
+    a = counts.withColumn("p", m).groupBy(F.col("p.threshold").alias("threshold")).agg(
+        above("s").alias("survivors"), above("c").alias("contradictions"), F.sum("t").cast("long").alias("total_pairs"))
     return a.withColumn("reduction_pct", reports.reduction_pct(F.col("survivors"), F.col("total_pairs")))
 
 

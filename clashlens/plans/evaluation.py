@@ -162,26 +162,40 @@ def method_comparison(graded: DataFrame, settings: Settings = DEFAULT, scorer=No
     return metrics(long, num_partitions=settings.rank_partitions or None)
 
 
+def reached(cos, thresholds: list[float]):
+    """How many of the ascending thresholds a cosine reaches; binary search in the row."""
+    def half(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(cos >= F.lit(float(thresholds[mid])), half(mid + 1, hi)).otherwise(half(lo, mid))
+    return half(0, len(thresholds))
+
+
 def threshold_sweep(graded: DataFrame, settings: Settings = DEFAULT, scorer=None, thresholds=None, encoder=None) -> DataFrame:
     """M-10: per (split, threshold): pairs, survivors, reduction %, F1 of the two-stage method.
 
-    The scorer runs once; each pair is replicated once per threshold by an in-row explode of a literal
-    array (no join with a threshold table).
+    The whole curve from one pass, however many thresholds: a pair is counted once, by the number of thresholds that
+    its cosine reaches, and a threshold's figures are sums over those counts (those above it as verified, the others
+    by their low cosine). Nothing is replicated per threshold but the counts.
     """
-    ts = list(thresholds or settings.sweep_thresholds)
-    ct = settings.contradiction_threshold
-    w = scored_features(graded, settings, scorer, encoder).withColumn("gold_bin", F.when(F.col("label") == "contradiction", 1).otherwise(0))
-    x = w.select("split", "cos", "contradiction", "gold_bin",
-                 F.explode_outer(F.array(*[F.lit(float(t)) for t in ts])).alias("threshold"))
-    passed = F.col("cos") >= F.col("threshold")
-    pb = F.when(passed, (F.col("contradiction") >= F.lit(ct)).cast("int")).otherwise(
-        (F.lit(5.0) * F.col("cos") <= F.lit(2.0)).cast("int"))
-    x = x.withColumn("_pb", pb).withColumn("_pass", passed.cast("int"))
-    a = x.groupBy("split", "threshold").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum("_pass").cast("long").alias("survivors"),
-        F.count_if((F.col("_pb") == 1) & (F.col("gold_bin") == 1)).alias("_tp"),
-        F.count_if((F.col("_pb") == 1) & (F.col("gold_bin") == 0)).alias("_fp"),
-        F.count_if((F.col("_pb") == 0) & (F.col("gold_bin") == 1)).alias("_fn"))
+    ts = sorted(set(thresholds or settings.sweep_thresholds))
+    w = scored_features(graded, settings, scorer, encoder)
+    gold = F.col("label") == "contradiction"
+    verified = F.col("contradiction") >= F.lit(settings.contradiction_threshold)
+    low = F.lit(5.0) * F.col("cos") <= F.lit(2.0)
+    hit = lambda said, truth: F.count_if(said & truth)
+    by_reach = w.withColumn("_k", reached(F.col("cos"), ts)).groupBy("split", "_k").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[hit(p, g).alias(f"_{name}{x}") for x, p in (("v", verified), ("l", low)) for name, g in (("tp", gold), ("fp", ~gold))],
+        *[hit(~p, gold).alias(f"_fn{x}") for x, p in (("v", verified), ("l", low))])
+    # from here on a row for each split and reach: the curve's points are running sums from either end
+    m = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(i).alias("m")) for i, t in enumerate(ts)]))
+    c = by_reach.withColumn("_t", m).withColumn("_pass", F.col("_k") > F.col("_t.m"))
+    total = lambda name: F.sum(F.when(F.col("_pass"), F.col(f"_{name}v")).otherwise(F.col(f"_{name}l")))
+    a = c.groupBy("split", F.col("_t.threshold").alias("threshold")).agg(
+        F.sum("_n").alias("n_pairs"), F.sum(F.when(F.col("_pass"), F.col("_n")).otherwise(F.lit(0))).cast("long").alias("survivors"),
+        *(total(x).alias(f"_{x}") for x in ("tp", "fp", "fn")))
     return a.select("split", "threshold", "n_pairs", "survivors",
                     reduction_pct(F.col("survivors"), F.col("n_pairs")).alias("reduction_pct"),
                     rounded(_f1(F.col("_tp"), F.col("_fp"), F.col("_fn")), 6).alias("f1"))

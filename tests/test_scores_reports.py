@@ -91,3 +91,22 @@ def test_rounding_equals_python(spark):
     odd = [2.675, 0.5, 1.5, 2.5, 0.125, 1e15 + 0.5, 4.35, 1.005]
     got = spark.createDataFrame([(v,) for v in odd], "x double").select("x", rounded(F.col("x"), 2).alias("r"), rounded(F.col("x"), 0).alias("z")).collect()
     assert all(r["r"] == round(r["x"], 2) and r["z"] == round(r["x"], 0) for r in got)
+
+
+def test_a_curve_of_many_thresholds_equals_one_by_one(spark):
+    """Every point of a fine sweep against plain counting, boundaries included."""
+    from clashlens.functions.scores import rounded  # noqa: F401
+    from clashlens.plans import evaluation as ev
+    said = ["a b c d e", "a b x y z", "a b c d e f g", "not a b", "a", "q r", "a b c not", ""]
+    rows = [("s" if i % 3 else "t", i, 0, said[i % 8], said[(i * 5 + 2) % 8], float(i % 6)) for i in range(60)]
+    g = ev.graded_pairs(spark.createDataFrame(rows, "split string, doc_id int, idx int, sentence1 string, sentence2 string, score double"))
+    ts = [i / 50 for i in range(1, 51)] + [0.4]
+    got = {(r.split, r.threshold): r for r in ev.threshold_sweep(g, thresholds=ts).collect()}
+    wide = ev.scored_features(g).select("split", "cos", "contradiction", "label").collect()
+    assert len(got) == 2 * len(set(ts)) and any(r.cos in ts for r in wide)
+    for (split, t), r in got.items():
+        mine = [w for w in wide if w.split == split]
+        said_ = [(w.contradiction >= 0.7) if w.cos >= t else 5 * w.cos <= 2 for w in mine]
+        tp, fp, fn = (sum(p == x and (w.label == "contradiction") == y for p, w in zip(said_, mine)) for x, y in ((1, 1), (1, 0), (0, 1)))
+        assert (r.n_pairs, r.survivors) == (len(mine), sum(w.cos >= t for w in mine))
+        assert abs(r.f1 - (2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0)) < 1e-6
