@@ -64,24 +64,24 @@ HEX_DIGITS = 4       # of a hexadecimal hash: 65,536 buckets of about equal size
 
 
 def hash_numbers(df: DataFrame, hashed: str, ties: Sequence[str], out: str, groups: Sequence[str] = (),
-                 limit: Column | None = None) -> DataFrame:
+                 limit: Column | None = None, lead: Sequence[str] = ()) -> DataFrame:
     """Adds ``out``: the 1-based place of each row in the order of a hexadecimal hash column, then ``ties``.
 
-    With ``groups`` places count within each group. The first digits of the hash cut the order into buckets;
+    With ``groups`` places count within each group; columns in ``lead`` (of few values) come before the hash in the order. The first digits of the hash cut the order into buckets;
     one aggregation counts them (at most 16^HEX_DIGITS rows a group, which bounds its broadcast), running
     sums give where each begins, and places inside a bucket are a window over that bucket alone. With
     ``limit`` (largest place wanted, by group) buckets that begin beyond it are left out before any sort.
     """
-    g = list(groups)
+    g, first = list(groups), list(lead)
     rows = df.withColumn("_bucket", F.substring(hashed, 1, HEX_DIGITS))
-    counts = rows.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")
+    counts = rows.groupBy(*g, *first, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*g).orderBy(*first, "_bucket") if g else Window.orderBy(*first, "_bucket")
     earlier = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*g, "_bucket", F.coalesce(earlier, F.lit(0)).cast("long").alias("_before"))
+    starts = counts.select(*g, *first, "_bucket", F.coalesce(earlier, F.lit(0)).cast("long").alias("_before"))
     if limit is not None:
         starts = starts.where(F.col("_before") < limit)
-    inside = Window.partitionBy(*g, "_bucket").orderBy(hashed, *ties)
-    rows = (rows.join(F.broadcast(starts), [*g, "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
+    inside = Window.partitionBy(*g, *first, "_bucket").orderBy(hashed, *ties)
+    rows = (rows.join(F.broadcast(starts), [*g, *first, "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
             .drop("_bucket", "_before"))
     return rows if limit is None else rows.where(F.col(out) <= limit)
 

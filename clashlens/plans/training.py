@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clashlens.config import (BATCH_SIZE, MNLI_LIMIT, NLI_HEAD_LIMIT, NUM_PARAPHRASES, PARAPHRASE_PROMPT,
                               PARAPHRASE_SENTENCE_LIMIT, SAMPLE_SEED, SNLI_LIMIT, WARMUP_FRACTION)
 from clashlens.functions.text import WS, has_negation, strip, tokens
-from clashlens.operators.ranking import HEX_DIGITS, hash_numbers, row_number
+from clashlens.operators.ranking import hash_numbers, row_number
 from clashlens.operators.sentences import sentence_arrays
 from clashlens.operators.similarity import aligned_features
 from clashlens.sources.documents import consecutive_sentence_pairs, consecutive_turn_pairs, pair_source, valid_only
@@ -108,9 +108,7 @@ def distinct_first(rows: DataFrame, col: str = "premise", seed: int = SAMPLE_SEE
     hashed = rows.withColumn("_h", seeded_hash(seed, key=key))
     firsts = (hashed.groupBy(col).agg(F.min(F.struct(F.col(group).alias("g"), F.col("_h").alias("h"), F.col(key).alias("k"))).alias("_f"))
               .select(col, F.col("_f.g").alias("_g"), F.col("_f.h").alias("_h"), F.col("_f.k").alias("_k")))
-    # the group's number goes before the hash, so one order covers all groups
-    firsts = firsts.withColumn("_h", F.concat(F.lpad(F.hex("_g"), HEX_DIGITS // 2, "0"), "_h"))
-    return hash_numbers(firsts, "_h", ["_k"], "first_ord").select("first_ord", col)
+    return hash_numbers(firsts, "_h", ["_k"], "first_ord", lead=["_g"]).select("first_ord", col)
 
 
 def paraphrase_prompt(sentence) -> F.Column:

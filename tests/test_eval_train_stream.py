@@ -202,3 +202,14 @@ def test_classifier_predicts_every_row_like_a_separately_fitted_model(spark):
     own = (x @ w).argmax(axis=1)
     theirs = np.array([got[r.part, r.ord][1] for r in rows])
     assert np.mean(theirs == y) > 0.9 and np.mean(theirs == own) > 0.98
+
+
+def test_first_appearances_follow_the_order_of_many_groups(spark):
+    import hashlib
+    rows = [(f"s{g}", g, f"k{i}", f"p{(g * 7 + i) % 900}") for g in (0, 1, 255, 256, 257, 4096, 70000) for i in range(150)]
+    df = spark.createDataFrame(rows, "source string, source_ord int, key string, premise string")
+    got = [r.premise for r in tr.distinct_first(df).orderBy("first_ord").collect()]
+    want = []
+    for source, _, key, premise in sorted(rows, key=lambda r: (r[1], hashlib.md5(f"42:{r[0]}:{r[2]}".encode()).hexdigest(), r[2])):
+        want += [premise] if premise not in want else []
+    assert got == want
