@@ -10,7 +10,6 @@ import duckdb
 import pytest
 
 from clashlens.llm import conversation_repair as C
-from tests.llm.helpers import SF
 
 SHAPE = re.compile(r"(s?(ua)+)?\Z")
 

@@ -1,5 +1,4 @@
 import random
-from zlib import crc32
 
 import numpy as np
 import pytest
