@@ -6,7 +6,8 @@ the hashes that two sketches share estimate how much of the smaller text is cont
 The sketch of a union is the union of the sketches.
 
 A text whose shingles all lie above the threshold keeps its smallest one, so only a text without words
-has an empty sketch. A text of fewer than five words is one shingle.
+has an empty sketch; ``n_kept`` is 0 then, and its likeness to another text rests on that one hash alone. With m
+shingles that happens with probability 0.75^m. A text of fewer than five words is one shingle.
 
 Defined results: null texts are empty. Two empty sketches are alike (1.0), an empty one and another are
 not (0.0). The next document is the one with the next id, the first after the last; null ids come first,
@@ -23,7 +24,6 @@ from clashlens.llm.common import bucket_of, columns_only, range_splits
 WORDS = 5
 #: Signed hashes below this are the lowest quarter of the range.
 THRESHOLD = -(1 << 62)
-DIGITS = 8      # hexadecimal digits of a hash in the printed fingerprint
 
 
 def words(text: str) -> Column:
@@ -45,8 +45,15 @@ def with_sketch(df: DataFrame, text: str, sketch: str) -> DataFrame:
 
 
 def printed(sketch: str) -> Column:
-    """Hexadecimal text of a sketch: the digits of each hash after the two that the threshold fixes."""
-    return F.array_join(F.transform(sketch, lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 3, DIGITS)), "")
+    """Hexadecimal text of a sketch: the 16 digits of each hash, ascending as signed numbers, so that it can be read back."""
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+
+
+def read_back(fingerprint: str) -> Column:
+    """The sketch of a printed fingerprint."""
+    digits = F.regexp_extract_all(F.col(fingerprint), F.lit("[0-9A-F]{16}"), 0)
+    signed = lambda d: F.conv(d, 16, -10).cast("long")
+    return F.transform(digits, signed)
 
 
 def containment(a: str, b: str) -> Column:
@@ -93,11 +100,15 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, Window]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_kept) of every row.
+
+    ``n_kept``: the hashes of the own sketch that lie below the threshold.
+    """
     rows, order = edited_texts(docs)
     rows = with_sketch(with_sketch(rows, "text", "own"), "edited", "changed")
     rows = rows.withColumn("next", F.lead("own").over(order)).where("guard = 0")
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         printed("own").alias("fingerprint"), printed("changed").alias("edited_fingerprint"),
-        containment("own", "changed").alias("near_edited"), containment("own", "next").alias("near_next"))
+        containment("own", "changed").alias("near_edited"), containment("own", "next").alias("near_next"),
+        F.size(F.filter("own", lambda x: x < THRESHOLD)).cast("long").alias("n_kept"))

@@ -130,6 +130,32 @@ def test_fingerprints(spark):
     assert errors and max(map(abs, errors)) < 0.2 and abs(sum(errors) / len(errors)) < 0.05
 
 
+def plain_sketch(t):
+    """The hashes of the shingles, word after word seeded by the last one, that lie in the lowest quarter."""
+    import xxhash
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if x]
+    out = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i:i + 5]:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(x for x in out if x < fingerprint.THRESHOLD) or sorted(out)[:1]
+
+
+def test_fingerprints_equal_plain_hashing(spark):
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] + [(10**6, ""), (10**6 + 1, "two words")]
+    df = fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in df.withColumn("back", fingerprint.read_back("fingerprint")).collect()}
+    share = lambda a, b: 1.0 if not a and not b else len({*a} & {*b}) / min(len(a), len(b)) if a and b else 0.0
+    for i, t, nxt in next_texts(docs):
+        r, own = got[i], plain_sketch(t)
+        changed = plain_sketch(t[:len(t) - len(t) // 4] + nxt[:len(t) // 4])
+        assert r["back"] == own and r["fingerprint"] == "".join(f"{x % (1 << 64):016X}" for x in own)
+        assert r["edited_fingerprint"] == "".join(f"{x % (1 << 64):016X}" for x in changed) and r["n_kept"] == sum(x < fingerprint.THRESHOLD for x in own)
+        assert r["near_edited"] == share(own, changed) and r["near_next"] == share(own, plain_sketch(nxt))
+
+
 def test_fingerprints_of_odd_rows(spark):
     got = fingerprint.fingerprints(odd(spark, ["bucket", "guard", "own", "next"])).collect()
     want = Counter((i, len(t), hashlib.sha256((t[:len(t) - len(t) // 4] + nxt[:len(t) // 4]).encode()).hexdigest())
