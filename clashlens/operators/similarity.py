@@ -173,9 +173,8 @@ def _tile_scorer(threshold: float, group: str, ident: str, vector: str):
     return score
 
 
-def dense_candidates(df: DataFrame, threshold: float, group: str = "label", ident: str = "vec_id",
-                     vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
-    """(group, i, j, cos) for every pair i < j of one group with cosine >= threshold.
+def _tiles(df: DataFrame, group: str, ident: str, vector: str, block_rows: int) -> DataFrame:
+    """(group, ident, vector, _b, _lo, _hi): each vector in every pair of blocks that its own block is part of.
 
     Group sizes come from a partial-then-final count; their join back is planned by Spark (AQE
     turns it into a broadcast only when the measured size is small, e.g. ten labels).
@@ -184,55 +183,73 @@ def dense_candidates(df: DataFrame, threshold: float, group: str = "label", iden
     blocks = (df.select(group, ident, vector).join(sizes, group)
               .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int"))
               .withColumn("_b", F.pmod(F.xxhash64(F.col(ident)), F.col("_nb")).cast("int")))
-    tiles = (blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-             .select(group, ident, vector, "_b",
-                     F.least("_b", "_k").alias("_lo"), F.greatest("_b", "_k").alias("_hi")))
-    gtype = df.schema[group].dataType
-    itype = df.schema[ident].dataType
-    schema = T.StructType([T.StructField(group, gtype), T.StructField("i", itype),
-                           T.StructField("j", itype), T.StructField("cos", T.DoubleType())])
-    return tiles.groupBy(group, "_lo", "_hi").applyInPandas(_tile_scorer(threshold, group, ident, vector), schema)
+    return (blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+            .select(group, ident, vector, "_b",
+                    F.least("_b", "_k").alias("_lo"), F.greatest("_b", "_k").alias("_hi")))
 
 
-def signatures(df: DataFrame, group: str, ident: str, vector: str, bands: int, bits: int, seed: int = 42) -> DataFrame:
-    """(group, ident, band, key): the sides of random hyperplanes on which a vector lies, ``bits`` of them a band.
+def _pair_schema(df: DataFrame, group: str, ident: str) -> T.StructType:
+    itype = df.schema[ident].dataType
+    return T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("i", itype),
+                         T.StructField("j", itype), T.StructField("cos", T.DoubleType())])
 
-    Two vectors at the angle w agree on a band with probability (1 - w / pi) ^ bits. Zero vectors have none.
-    """
-    gtype, itype = df.schema[group].dataType, df.schema[ident].dataType
-    schema = T.StructType([T.StructField(group, gtype), T.StructField(ident, itype), T.StructField("band", T.IntegerType()), T.StructField("key", T.LongType())])
 
-    def run(batches):
-        planes = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
-            pdf, x = pdf[x.any(axis=1)], x[x.any(axis=1)]
-            if planes is None:      # the same in every task
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
-            keys = ((x @ planes > 0).reshape(len(x), bands, bits) @ (1 << np.arange(bits))).astype(np.int64)
-            yield pd.DataFrame({group: np.repeat(pdf[group].to_numpy(), bands), ident: np.repeat(pdf[ident].to_numpy(), bands),
-                                "band": np.tile(np.arange(bands, dtype=np.int32), len(x)), "key": keys.ravel()})
+def dense_candidates(df: DataFrame, threshold: float, group: str = "label", ident: str = "vec_id",
+                     vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+    """(group, i, j, cos) for every pair i < j of one group with cosine >= threshold."""
+    return _tiles(df, group, ident, vector, block_rows).groupBy(group, "_lo", "_hi").applyInPandas(
+        _tile_scorer(threshold, group, ident, vector), _pair_schema(df, group, ident))
 
-    return df.select(group, ident, vector).mapInPandas(run, schema)
+
+def _band_scorer(threshold: float, group: str, ident: str, vector: str, bands: int, bits: int, seed: int):
+    """Pairs of a tile that agree on a band: each bucket of a band is a small product, and a pair is that of its first band."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf["_lo"].iat[0] == pdf["_hi"].iat[0]
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
+        some = x.any(axis=1)                    # zero vectors lie on no side
+        x, ids, low = x[some], pdf[ident].to_numpy()[some], (pdf["_b"] == pdf["_lo"]).to_numpy()[some]
+        planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))      # the same in every task
+        keys = ((x @ planes > 0).reshape(len(x), bands, bits) @ (1 << np.arange(bits))).astype(np.int64)
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        first = np.arange(len(x)) if one else np.flatnonzero(low)
+        second = first if one else np.flatnonzero(~low)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for band in range(bands if len(first) and len(second) else 0):
+            a, b = (s[np.argsort(keys[s, band], kind="stable")] for s in (first, second))
+            ka, kb = keys[a, band], keys[b, band]
+            names = np.intersect1d(ka, kb)
+            for a0, a1, b0, b1 in zip(*(np.searchsorted(k, names, side) for k in (ka, kb) for side in ("left", "right"))):
+                there = x[b[b0:b1]].T
+                for at in range(a0, a1, PART):
+                    part = a[at:min(at + PART, a1)]
+                    s = x[part] @ there
+                    ii, jj = np.nonzero(s >= threshold)
+                    p, q, cos = part[ii], b[b0:b1][jj], s[ii, jj]
+                    new = ~(keys[p, :band] == keys[q, :band]).any(axis=1)
+                    if one:
+                        new &= ids[p] < ids[q]
+                    if new.any():
+                        found.append((p[new], q[new], cos[new]))
+        p, q, cos = (np.concatenate(c) for c in zip(*found))
+        i, j = ids[p], ids[q]
+        return pd.DataFrame({group: np.full(len(cos), pdf[group].iat[0]), "i": np.minimum(i, j), "j": np.maximum(i, j), "cos": cos})
+    return run
+
+
+PART = 1024         # vectors of a bucket that meet the other side's at a time
 
 
 def lsh_candidates(df: DataFrame, threshold: float, group: str = "label", ident: str = "vec_id",
-                   vector: str = "embedding", bands: int = 120, bits: int = 8, seed: int = 42) -> DataFrame:
+                   vector: str = "embedding", bands: int = 120, bits: int = 8, seed: int = 42, block_rows: int = 4096) -> DataFrame:
     """P-2 (c), opt-in and approximate: (group, i, j, cos) of the pairs that agree on a band and reach the threshold.
 
-    Bands are keyed by their group, so pairs of other groups never meet. Every pair is verified on its vectors; what
-    is missed is a pair that agrees on no band, with probability (1 - (1 - w / pi) ^ bits) ^ bands: at most 5 % of the
-    pairs at a cosine of 0.4 with the defaults, and far fewer above it. Memory per task is bounded by rows, not groups.
+    A band is the sides of ``bits`` random hyperplanes on which a vector lies; two vectors at the angle w agree on one
+    with probability (1 - w / pi) ^ bits, and zero vectors have none. Only pairs of a group that agree on a band are
+    compared; what is missed is a pair that agrees on no band, with probability (1 - (1 - w / pi) ^ bits) ^ bands: at
+    most 5 % of the pairs at a cosine of 0.4 with the defaults, and far fewer above it. Groups are cut into tiles as in
+    ``dense_candidates`` and bands looked up inside them, so vectors move once for each block of their group, not once
+    for each pair that agrees, and only pairs at the threshold are ever written. Memory per task is bounded by rows.
     """
-    s = signatures(df, group, ident, vector, bands, bits, seed)
-    a, b = s.alias("a"), s.alias("b")
-    met = (a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-                  & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
-           .select(F.col(f"a.{group}").alias(group), F.col(f"a.{ident}").alias("i"), F.col(f"b.{ident}").alias("j")).distinct())
-    unit = with_l2_normalized(df.select(group, ident, vector), vector, "_u", "_n")
-    side = lambda k, v: unit.select(F.col(group), F.col(ident).alias(k), F.col("_u").alias(v))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return (met.join(side("i", "_a"), [group, "i"]).join(side("j", "_b"), [group, "j"]).select(group, "i", "j", dot.alias("cos"))
-            .where(F.col("cos") >= F.lit(threshold)))
+    some = df.where(F.col(group).isNotNull() & F.col(ident).isNotNull())
+    return _tiles(some, group, ident, vector, block_rows).groupBy(group, "_lo", "_hi").applyInPandas(
+        _band_scorer(threshold, group, ident, vector, bands, bits, seed), _pair_schema(df, group, ident))
