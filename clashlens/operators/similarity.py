@@ -2,11 +2,10 @@
 
 Two exact plans for "all pairs (i < j) of a group whose cosine is at least t":
 
-* ``token_candidates`` — sparse term vectors. Inverted-index equi-join on (group, token): only pairs
-  that share a token are ever formed, the dot product is a partial-then-final aggregation on
-  (group, i, j), and norms are exact integers, so ``cos >= t`` is decided identically by any engine.
-  The join key is (group, token, pair of sentence blocks), so even a word that stands in every sentence
-  of a very long document is spread over many keys of bounded size.
+* ``token_candidates``, ``sentence_candidates`` — sparse term vectors. A group's items are cut into blocks
+  in their order; each pair of blocks is a tile (lo, hi) of its own, dealt by (group, lo, hi), and one product
+  of its term counts. Counts, dot products and norms are exact integers, so ``cos >= t`` is decided identically
+  by any engine. Only pairs at the threshold leave the tile.
 * ``dense_candidates`` — dense vectors. Each group is cut into blocks of ``block_rows`` vectors by a
   hash of the id; a vector is copied to every tile (lo, hi) its block belongs to, and each tile is one
   NumPy product of at most ``2 * block_rows`` vectors. No task ever holds a whole group, and only
@@ -19,12 +18,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from clashlens.functions import text as tx
-from clashlens.operators.sentences import term_rows
+from clashlens.operators import terms
+from clashlens.operators.terms import aligned_dots, cosines, jaccards, odd_tokens, term_counts, term_lists, tile_pairs
+
+cloudpickle.register_pickle_by_value(terms)     # a worker may run without this package
 
 
 def cosine_from_counts(dot: Column, nsq_a: Column, nsq_b: Column) -> Column:
@@ -42,97 +47,161 @@ def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id"
                      block_rows: int = 256, total: str = "total_sentences") -> DataFrame:
     """(group, i, j, dot, shared, nsq_i, nsq_j, nd_i, nd_j, neg_i, neg_j, cos, jac) for cos >= threshold.
 
-    ``vectors`` holds one row per item with ``terms, nsq, nd, neg`` (see ``sentence_vectors``), ``ident``
-    counting from 0 in its group, and the group's item count as ``total`` (counted here if it is missing).
-    Items are cut into blocks of ``block_rows``; a term row goes to every pair of blocks that its own
-    block is part of, so no join key holds more than two blocks, however long the document is.
+    ``vectors`` holds one row per item with ``terms, neg`` (see ``sentence_vectors``), ``ident`` counting
+    from 0 in its group, and the group's item count as ``total`` (counted here if it is missing).
+    Items are cut into blocks of ``block_rows``; an item goes to every pair of blocks that its own
+    block is part of, so no tile holds more than two blocks, however long the document is.
     """
-    if not threshold > 0:
-        raise ValueError("the token plan only forms pairs that share a token; threshold must be > 0")
+    _positive(threshold)
     if total not in vectors.columns:
         vectors = vectors.join(vectors.groupBy(group).agg((F.max(ident) + 1).alias(total)), group)
-    last = F.greatest(F.col(total) - 1, F.lit(0)) / block_rows
-    t = (term_rows(vectors, (group, ident, total))
-         .withColumn("_b", F.floor(F.col(ident) / block_rows).cast("int"))
-         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(last).cast("int"))))
-         .withColumn("_lo", F.least("_b", "_k")).withColumn("_hi", F.greatest("_b", "_k")).drop("_k", total))
-    a, b = t.alias("a"), t.alias("b")
-    # Sort-merge self-join: both sides are the same plan, so the exchange is computed once and reused.
-    # Off the diagonal the a side is the lower block; said in a way that concerns both sides, as a
-    # condition on one of them would be pushed below its exchange and the two would differ.
-    # The term table is derived data with an unreliable size estimate: it must never be broadcast.
-    cond = F.lit(True)
-    for c in (group, "token", "_lo", "_hi"):
-        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    cond = (cond & (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
-            & ((F.col("a._b") < F.col("b._b")) | (F.col("a._lo") == F.col("b._hi"))))
-    return _pairs_from_join(a.hint("merge").join(b, cond), group, ident, threshold)
-
-
-def _pairs_from_join(joined: DataFrame, group: str, ident: str, threshold: float) -> DataFrame:
-    pairs = joined.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{ident}").alias("i"),
-                           F.col(f"b.{ident}").alias("j")).agg(
-        F.sum(F.col("a.tf") * F.col("b.tf")).alias("dot"),
-        F.count(F.lit(1)).alias("shared"),
-        *[F.max(F.col(f"{s}.{c}")).alias(f"{c}_{x}") for s, x in (("a", "i"), ("b", "j")) for c in ("nsq", "nd", "neg")])
-    pairs = pairs.withColumn("cos", cosine_from_counts(F.col("dot"), F.col("nsq_i"), F.col("nsq_j")))
-    return (pairs.where(F.col("cos") >= F.lit(threshold))
-            .withColumn("jac", jaccard_from_counts(F.col("shared"), F.col("nd_i"), F.col("nd_j"))))
-
-
-def _square_sum(sorted_toks: Column) -> Column:
-    """Sum of squared token counts of a sorted token array: a run of length r adds r^2 = 1 + 3 + ... + (2r-1)."""
-    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("run"),
-                    F.lit(0).cast("long").alias("acc"))
-    return F.aggregate(sorted_toks, init, lambda a, x: F.when(a["p"] == x, F.struct(
-        x.alias("p"), (a["run"] + 1).alias("run"), (a["acc"] + a["run"] * 2 + 1).alias("acc"))).otherwise(
-        F.struct(x.alias("p"), F.lit(1).cast("long").alias("run"), (a["acc"] + 1).alias("acc"))),
-        lambda a: a["acc"])
-
-
-def _merge_dot(sorted_a: Column, sorted_b: Column) -> Column:
-    """Dot product of the count vectors of two token arrays: one pass over their tagged, sorted union."""
-    tagged = F.array_sort(F.concat(F.transform(sorted_a, lambda x: F.struct(x.alias("t"), F.lit(0).alias("s"))),
-                                   F.transform(sorted_b, lambda x: F.struct(x.alias("t"), F.lit(1).alias("s")))))
-    z = F.lit(0).cast("long")
-    init = F.struct(F.lit(None).cast("string").alias("p"), z.alias("ca"), z.alias("cb"), z.alias("dot"))
-
-    def step(a, x):
-        is_a = F.when(x["s"] == 0, 1).otherwise(0).cast("long")
-        is_b = F.when(x["s"] == 1, 1).otherwise(0).cast("long")
-        same = F.struct(a["p"].alias("p"), (a["ca"] + is_a).alias("ca"), (a["cb"] + is_b).alias("cb"),
-                        a["dot"].alias("dot"))
-        new = F.struct(x["t"].alias("p"), is_a.alias("ca"), is_b.alias("cb"),
-                       (a["dot"] + a["ca"] * a["cb"]).alias("dot"))
-        return F.when(a["p"] == x["t"], same).otherwise(new)
-
-    return F.aggregate(tagged, init, step, lambda a: a["dot"] + a["ca"] * a["cb"])
+    own = F.floor(F.col(ident) / block_rows).cast("int")
+    tiles = (vectors.select(group, F.array(ident).alias("_i"), F.array("terms").alias("_terms"), F.array("neg").alias("_neg"), own.alias("_b"),
+                            F.explode(F.sequence(F.lit(0), _last_block(F.col(total), block_rows))).alias("_k"))
+             .select(group, F.least("_b", "_k").alias("_lo"), F.greatest("_b", "_k").alias("_hi"), "_i", "_terms", "_neg"))
+    return _tile_candidates(tiles, vectors.schema[group], vectors.schema[ident].dataType, threshold, group, block_rows, ("_terms", "_neg"))
+
+
+def sentence_candidates(arrays: DataFrame, threshold: float, group: str = "doc_id", block_rows: int = 256,
+                        sents: str = "sents", total: str = "total_sentences") -> DataFrame:
+    """The same pairs from rows of a document's sentences: the plain text moves, and a tile's task finds the words.
+
+    A document of one block is one row; a longer one goes in pairs of blocks to as many rows.
+    """
+    _positive(threshold)
+    block = lambda k: F.slice(F.col(sents), F.col(k) * block_rows + 1, F.lit(block_rows))
+    places = lambda k: F.sequence(F.col(k) * block_rows, F.least(F.col(k) * block_rows + block_rows, F.col(total)) - 1)
+    both = lambda of: F.when(F.col("_lo") == F.col("_hi"), of("_lo")).otherwise(F.concat(of("_lo"), of("_hi")))
+    # outer generators and a filter on what they give: plain ones (or a filter on the count) make Catalyst split a second time
+    last = _last_block(F.col(total), block_rows)
+    lows = F.when(F.col(total) > 1, F.sequence(F.lit(0), last))
+    tiles = (arrays.select(group, sents, total, F.explode_outer(lows).alias("_lo")).where(F.col("_lo").isNotNull())
+             .select(group, sents, total, "_lo", F.explode_outer(F.sequence(F.col("_lo"), last)).alias("_hi"))
+             .select(group, "_lo", "_hi", both(places).alias("_i"), both(block).alias("_sents")))
+    return _tile_candidates(tiles, arrays.schema[group], T.IntegerType(), threshold, group, block_rows, ("_sents", "_odd"))
+
+
+def _positive(threshold: float) -> None:
+    if not threshold > 0:
+        raise ValueError("the token plan only forms pairs that share a token; threshold must be > 0")
+
+
+def _last_block(total: Column, block_rows: int) -> Column:
+    return F.floor(F.greatest(total - 1, F.lit(0)) / block_rows).cast("int")
+
+
+TILE_ITEMS = 50_000     # items whose terms are counted at a time, but a whole tile at least
+PAIRS_OUT = 200_000     # pairs of a batch that leaves a task, but those of a whole tile at least
+
+
+def _tile_candidates(tiles: DataFrame, group_field: T.StructField, ident: T.DataType, threshold: float, group: str, block_rows: int,
+                     of: tuple[str, str]) -> DataFrame:
+    """Pairs of tile rows (group, _lo, _hi, _i, and the columns ``of``). Rows of one tile are brought together and sorted,
+    so that they are neighbours; each tile is one product of its sentences' terms."""
+    keys = (group, "_lo", "_hi")
+    rows = tiles.where(F.col(group).isNotNull()).repartition(*keys).sortWithinPartitions(*keys)
+    if of[1] == "_odd":
+        rows = rows.withColumn("_odd", F.transform("_sents", odd_tokens))
+    long, flag, real = T.LongType(), T.BooleanType(), T.DoubleType()
+    schema = T.StructType([T.StructField(group, group_field.dataType), T.StructField("i", ident), T.StructField("j", ident),
+                           *[T.StructField(c, long) for c in ("dot", "shared", "nsq_i", "nsq_j")],
+                           *[T.StructField(c, T.IntegerType()) for c in ("nd_i", "nd_j")], *[T.StructField(c, flag) for c in ("neg_i", "neg_j")],
+                           *[T.StructField(c, real) for c in ("cos", "jac")]])
+    return rows.select(*keys, "_i", *of).mapInArrow(_tile_pairs(threshold, block_rows, keys, of, to_arrow_schema(schema)), schema)
+
+
+def _tile_pairs(threshold: float, block_rows: int, keys, of, schema: pa.Schema):
+    count = term_counts if of[1] == "_odd" else term_lists
+
+    def starts(t: pa.Table) -> np.ndarray:
+        """Where the rows of a next tile begin."""
+        new = np.zeros(max(len(t) - 1, 0), bool)
+        for k in keys:
+            v = t[k].combine_chunks()
+            new |= pc.fill_null(pc.not_equal(v[1:], v[:-1]), True).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    def pairs(t: pa.Table, begin: np.ndarray):
+        places = t["_i"].combine_chunks()
+        n = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+        ident = pc.list_flatten(places).to_numpy(zero_copy_only=False)
+        counted = count(*(pc.list_flatten(t[c].combine_chunks()) for c in of))
+        edge = np.concatenate([[0], np.cumsum(n)])
+        lows, highs = (t[k].combine_chunks().to_numpy(zero_copy_only=False) for k in keys[1:])
+        in_low = ident // block_rows == np.repeat(lows, n)
+        out, held = [], 0
+        for a, b in zip(begin, [*begin[1:], len(t)]):
+            p = tile_pairs(counted, edge[a], edge[b], ident, in_low, lows[a] == highs[a], threshold)
+            if len(p["i"]):
+                out.append((a, p))
+                held += len(p["i"])
+            if out and (held >= PAIRS_OUT or b == len(t)):
+                yield _batch(t, out)
+                out, held = [], 0
+
+    def _batch(t: pa.Table, out) -> pa.RecordBatch:
+        at = np.repeat([a for a, _ in out], [len(p["i"]) for _, p in out])
+        cols = {k: np.concatenate([p[k] for _, p in out]) for k in out[0][1]}
+        return pa.RecordBatch.from_arrays([t[keys[0]].combine_chunks().take(pa.array(at)).cast(schema.field(0).type),
+                                           *[pa.array(cols[f.name]).cast(f.type) for f in list(schema)[1:]]], schema=schema)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            begin = starts(t)
+            yield from in_parts(t.slice(0, begin[-1]), begin[:-1])
+            rest = t.slice(begin[-1])       # its tile may go on in the next batch
+        if rest is not None and len(rest):
+            yield from in_parts(rest, np.zeros(1, np.int64))
+
+    def in_parts(t: pa.Table, begin: np.ndarray):
+        if not len(begin):
+            return
+        edge = np.concatenate([[0], np.cumsum(pc.list_value_length(t["_i"].combine_chunks()).to_numpy(zero_copy_only=False))])
+        part = edge[begin] // TILE_ITEMS
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(begin)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            last = begin[b] if b < len(begin) else len(t)
+            yield from pairs(t.slice(begin[a], last - begin[a]), begin[a:b] - begin[a])
+
+    return run
 
 
 def aligned_features(pairs: DataFrame, s1: str = "sentence1", s2: str = "sentence2") -> DataFrame:
     """Adds cos, jac, neg (negation on exactly one side) for two sentences held in the same row.
 
-    Built only from built-in array functions and self-contained ``aggregate`` folds (a lambda sees
-    its accumulator and element only), so the cost stays O(n log n) per row even when Catalyst
-    inlines these columns into a pushed-down filter. Aligned pairs need no join.
+    Aligned pairs need no join: a pass over Arrow batches counts the words of each distinct sentence of a
+    batch once (a sentence is often the second of one pair and the first of the next) and looks the words of
+    the first sentences up among those of the second ones. A NULL sentence has no words, and no ``neg``.
     """
-    ta, tb = tx.tokens(F.col(s1)), tx.tokens(F.col(s2))
-    df = (pairs.withColumn("_ta", F.array_sort(ta)).withColumn("_tb", F.array_sort(tb)))
-    a, b = F.col("_ta"), F.col("_tb")
-    df = (df.withColumn("_nd_a", F.size(F.array_distinct(a))).withColumn("_nd_b", F.size(F.array_distinct(b)))
-            .withColumn("_shared", F.size(F.array_intersect(a, b))))
-    # Fast path (built-in, code-generated array functions): without repeated tokens every count is 1,
-    # so the squared norm is the token count and the dot product is the number of shared tokens.
-    # Only rows with repeats run the folds (CASE evaluates the chosen branch only).
-    rep_a = F.size(a) != F.col("_nd_a")
-    rep_b = F.size(b) != F.col("_nd_b")
-    df = (df.withColumn("_nsq_a", F.when(rep_a, _square_sum(a)).otherwise(F.size(a).cast("long")))
-            .withColumn("_nsq_b", F.when(rep_b, _square_sum(b)).otherwise(F.size(b).cast("long")))
-            .withColumn("_dot", F.when(rep_a | rep_b, _merge_dot(a, b)).otherwise(F.col("_shared").cast("long"))))
-    return (df.withColumn("cos", cosine_from_counts(F.col("_dot"), F.col("_nsq_a"), F.col("_nsq_b")))
-            .withColumn("jac", jaccard_from_counts(F.col("_shared"), F.col("_nd_a"), F.col("_nd_b")))
-            .withColumn("neg", tx.has_negation(a) != tx.has_negation(b))
-            .drop("_ta", "_tb", "_dot", "_nsq_a", "_nsq_b", "_nd_a", "_nd_b", "_shared"))
+    out = T.StructType([*pairs.schema.fields, T.StructField("cos", T.DoubleType()), T.StructField("jac", T.DoubleType()),
+                        T.StructField("neg", T.BooleanType())])
+    kept = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))
+            n = batch.num_rows
+            if not n:
+                continue
+            both = pa.concat_arrays([at(s1).cast(pa.string()), at(s2).cast(pa.string())]).dictionary_encode()
+            names, which = both.dictionary, both.indices
+            null = which.is_null().to_numpy(zero_copy_only=False)
+            which = pc.fill_null(which, len(names)).to_numpy(zero_copy_only=False).astype(np.int64)     # NULL: one more, without words
+            where = np.zeros(len(names) + 1, np.int64)
+            where[which] = np.arange(2 * n)
+            odd = pa.concat_arrays([at("_odd1"), at("_odd2")]).take(pa.array(where))
+            t = term_counts(pa.concat_arrays([names, pa.array([""])]), odd)
+            a, b = which[:n], which[n:]
+            dot, shared = aligned_dots(t, a, b)
+            yield pa.RecordBatch.from_arrays(
+                [*[at(c) for c in kept], pa.array(cosines(dot, t.nsq[a], t.nsq[b])), pa.array(jaccards(shared, t.nd[a], t.nd[b])),
+                 pa.array(t.neg[a] != t.neg[b], mask=null[:n] | null[n:])], names=[*kept, "cos", "jac", "neg"])
+
+    with_odd = pairs.select("*", odd_tokens(F.col(s1)).alias("_odd1"), odd_tokens(F.col(s2)).alias("_odd2"))
+    return with_odd.mapInArrow(run, out)
 
 
 # ---------------------------------------------------------------------------------------------

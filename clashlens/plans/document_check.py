@@ -1,8 +1,7 @@
 """D-7: the whole document check over a table of documents, as one lazy plan.
 
-split (narrow) -> term vectors (narrow) -> token-join candidates (shuffle on (doc_id, token, blocks), then
-on (doc_id, i, j) with map-side partial sums) -> scorer (narrow for the built-in one) -> per-document
-counts (shuffle on doc_id, partial) -> left join to every document.
+split (narrow) -> tiles of sentences (one shuffle, on (doc_id, pair of blocks)) -> products of their term
+counts (narrow) -> scorer (narrow for the built-in one) -> per-document counts (shuffle on doc_id, partial) -> left join to every document.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from clashlens.config import DEFAULT, Settings
 from clashlens.operators import reports
 from clashlens.operators.hooks import encode_with
 from clashlens.operators.nli import lexical_scorer, model_scored
-from clashlens.operators.sentences import explode_sentences, sentence_arrays, sentence_vectors
-from clashlens.operators.similarity import aligned_features, dense_candidates, token_candidates
+from clashlens.operators.sentences import explode_sentences, sentence_arrays
+from clashlens.operators.similarity import aligned_features, dense_candidates, sentence_candidates
 from clashlens.session import ensure_checkpoint_dir
 from clashlens.sources.documents import document_source, valid_only
 
@@ -87,8 +86,7 @@ def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
     arrays = sentence_arrays(docs)
     sents = explode_sentences(arrays)
     if encoder is None:
-        totals = explode_sentences(arrays, keep=["total_sentences"])
-        cand = token_candidates(sentence_vectors(totals, ("doc_id", "idx", "total_sentences")), t, block_rows=settings.token_block_rows)
+        cand = sentence_candidates(arrays, t, block_rows=settings.token_block_rows)
     else:
         vectors = encode_with(sents, encoder, batch_size=settings.batch_size)
         cand = dense_candidates(vectors, t, group="doc_id", ident="idx", vector="embedding", block_rows=settings.dense_block_rows)
