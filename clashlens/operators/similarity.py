@@ -285,20 +285,19 @@ def _band_scorer(threshold: float, group: str, ident: str, vector: str, bands: i
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for band in range(bands if len(first) and len(second) else 0):
             a, b = (s[np.argsort(keys[s, band], kind="stable")] for s in (first, second))
-            ka, kb = keys[a, band], keys[b, band]
-            names = np.intersect1d(ka, kb)
+            ka, kb, xa, xb = keys[a, band], keys[b, band], x[a], x[b].T
+            names, hits = np.intersect1d(ka, kb), []
             for a0, a1, b0, b1 in zip(*(np.searchsorted(k, names, side) for k in (ka, kb) for side in ("left", "right"))):
-                there = x[b[b0:b1]].T
                 for at in range(a0, a1, PART):
-                    part = a[at:min(at + PART, a1)]
-                    s = x[part] @ there
-                    ii, jj = np.nonzero(s >= threshold)
-                    p, q, cos = part[ii], b[b0:b1][jj], s[ii, jj]
-                    new = ~(keys[p, :band] == keys[q, :band]).any(axis=1)
-                    if one:
-                        new &= ids[p] < ids[q]
-                    if new.any():
-                        found.append((p[new], q[new], cos[new]))
+                    s = xa[at:min(at + PART, a1)] @ xb[:, b0:b1]
+                    ii, jj = (s >= threshold).nonzero()
+                    if len(ii):
+                        hits.append((a[ii + at], b[jj + b0], s[ii, jj]))
+            if hits:
+                p, q, cos = (np.concatenate(c) for c in zip(*hits))
+                new = ids[p] < ids[q] if one else np.ones(len(p), bool)
+                new[new] = ~(keys[p[new], :band] == keys[q[new], :band]).any(axis=1)
+                found.append((p[new], q[new], cos[new]))
         p, q, cos = (np.concatenate(c) for c in zip(*found))
         i, j = ids[p], ids[q]
         return pd.DataFrame({group: np.full(len(cos), pdf[group].iat[0]), "i": np.minimum(i, j), "j": np.maximum(i, j), "cos": cos})
