@@ -5,7 +5,8 @@ Two exact plans for "all pairs (i < j) of a group whose cosine is at least t":
 * ``token_candidates``, ``sentence_candidates`` — sparse term vectors. A group's items are cut into blocks
   in their order; each pair of blocks is a tile (lo, hi) of its own, dealt by (group, lo, hi), and one product
   of its term counts. Counts, dot products and norms are exact integers, so ``cos >= t`` is decided identically
-  by any engine. Only pairs at the threshold leave the tile.
+  by any engine. Equal sentences are one in a tile: a link, of two different sentences or one with itself, leaves
+  it once with its pairs (``sentence_links``), and only those at the threshold do.
 * ``dense_candidates`` — dense vectors. Each group is cut into blocks of ``block_rows`` vectors by a
   hash of the id; a vector is copied to every tile (lo, hi) its block belongs to, and each tile is one
   NumPy product of at most ``2 * block_rows`` vectors. No task ever holds a whole group, and only
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clashlens.operators import terms
-from clashlens.operators.terms import aligned_dots, cosines, jaccards, odd_tokens, term_counts, term_lists, tile_pairs
+from clashlens.operators.terms import aligned_dots, cosines, jaccards, list_items, odd_lists, odd_tokens, term_counts, term_lists, tile_links
 
 cloudpickle.register_pickle_by_value(terms)     # a worker may run without this package
 
@@ -59,14 +60,23 @@ def token_candidates(vectors: DataFrame, threshold: float, group: str = "doc_id"
     tiles = (vectors.select(group, F.array(ident).alias("_i"), F.array("terms").alias("_terms"), F.array("neg").alias("_neg"), own.alias("_b"),
                             F.explode(F.sequence(F.lit(0), _last_block(F.col(total), block_rows))).alias("_k"))
              .select(group, F.least("_b", "_k").alias("_lo"), F.greatest("_b", "_k").alias("_hi"), "_i", "_terms", "_neg"))
-    return _tile_candidates(tiles, vectors.schema[group], vectors.schema[ident].dataType, threshold, group, block_rows, ("_terms", "_neg"))
+    links = _tile_links(tiles, vectors.schema[group], threshold, group, block_rows, ("_terms", "_neg"))
+    return pairs_of(links, vectors.schema[ident].dataType)
 
 
 def sentence_candidates(arrays: DataFrame, threshold: float, group: str = "doc_id", block_rows: int = 256,
                         sents: str = "sents", total: str = "total_sentences") -> DataFrame:
-    """The same pairs from rows of a document's sentences: the plain text moves, and a tile's task finds the words.
+    """The same pairs from rows of a document's sentences."""
+    return pairs_of(sentence_links(arrays, threshold, group, block_rows, sents, total))
 
-    A document of one block is one row; a longer one goes in pairs of blocks to as many rows.
+
+def sentence_links(arrays: DataFrame, threshold: float, group: str = "doc_id", block_rows: int = 256, sents: str = "sents",
+                   total: str = "total_sentences", with_pairs: bool = True, with_texts: bool = False) -> DataFrame:
+    """(group, n, [pairs], [sentence1, sentence2], dot, ..., jac): a tile's sentences of the same text are one, and ``n`` pairs
+    of places (i, j) are one link; ``pairs`` holds them for ``pairs_of``, the sentences are those of i and of j.
+
+    The plain text moves, and a tile's task finds the words. A document of one block is one row; a longer one goes in
+    pairs of blocks to as many rows. In a document that stands more than once a link is one pair, without its sentences.
     """
     _positive(threshold)
     block = lambda k: F.slice(F.col(sents), F.col(k) * block_rows + 1, F.lit(block_rows))
@@ -78,7 +88,15 @@ def sentence_candidates(arrays: DataFrame, threshold: float, group: str = "doc_i
     tiles = (arrays.select(group, sents, total, F.explode_outer(lows).alias("_lo")).where(F.col("_lo").isNotNull())
              .select(group, sents, total, "_lo", F.explode_outer(F.sequence(F.col("_lo"), last)).alias("_hi"))
              .select(group, "_lo", "_hi", both(places).alias("_i"), both(block).alias("_sents")))
-    return _tile_candidates(tiles, arrays.schema[group], T.IntegerType(), threshold, group, block_rows, ("_sents", "_odd"))
+    return _tile_links(tiles, arrays.schema[group], threshold, group, block_rows, ("_sents", "_odd"), with_pairs, with_texts)
+
+
+def pairs_of(links: DataFrame, ident: T.DataType = T.IntegerType()) -> DataFrame:
+    """A row (group, i, j, ...) for each pair of the links."""
+    rest = [c for c in links.columns[1:] if c not in ("n", "pairs")]
+    rows = links.select(links.columns[0], *rest, F.explode("pairs").alias("_p"))
+    return rows.select(links.columns[0], F.shiftright("_p", 32).cast(ident).alias("i"),
+                       F.col("_p").bitwiseAND(F.lit(0xFFFFFFFF)).cast(ident).alias("j"), *rest)
 
 
 def _positive(threshold: float) -> None:
@@ -91,28 +109,27 @@ def _last_block(total: Column, block_rows: int) -> Column:
 
 
 TILE_ITEMS = 50_000     # items whose terms are counted at a time, but a whole tile at least
-PAIRS_OUT = 200_000     # pairs of a batch that leaves a task, but those of a whole tile at least
 
 
-def _tile_candidates(tiles: DataFrame, group_field: T.StructField, ident: T.DataType, threshold: float, group: str, block_rows: int,
-                     of: tuple[str, str]) -> DataFrame:
-    """Pairs of tile rows (group, _lo, _hi, _i, and the columns ``of``). Rows of one tile are brought together and sorted,
+def _tile_links(tiles: DataFrame, group_field: T.StructField, threshold: float, group: str, block_rows: int,
+                of: tuple[str, str], with_pairs: bool = True, with_texts: bool = False) -> DataFrame:
+    """Links of tile rows (group, _lo, _hi, _i, and the columns ``of``). Rows of one tile are brought together and sorted,
     so that they are neighbours; each tile is one product of its sentences' terms."""
     keys = (group, "_lo", "_hi")
     rows = tiles.where(F.col(group).isNotNull()).repartition(*keys).sortWithinPartitions(*keys)
     if of[1] == "_odd":
-        rows = rows.withColumn("_odd", F.transform("_sents", odd_tokens))
+        rows = rows.withColumn("_odd", odd_lists("_sents"))
     long, flag, real = T.LongType(), T.BooleanType(), T.DoubleType()
-    schema = T.StructType([T.StructField(group, group_field.dataType), T.StructField("i", ident), T.StructField("j", ident),
+    schema = T.StructType([T.StructField(group, group_field.dataType), T.StructField("n", long),
+                           *([T.StructField("pairs", T.ArrayType(long, False))] if with_pairs else []),
+                           *([T.StructField(c, T.StringType()) for c in ("sentence1", "sentence2")] if with_texts else []),
                            *[T.StructField(c, long) for c in ("dot", "shared", "nsq_i", "nsq_j")],
                            *[T.StructField(c, T.IntegerType()) for c in ("nd_i", "nd_j")], *[T.StructField(c, flag) for c in ("neg_i", "neg_j")],
                            *[T.StructField(c, real) for c in ("cos", "jac")]])
-    return rows.select(*keys, "_i", *of).mapInArrow(_tile_pairs(threshold, block_rows, keys, of, to_arrow_schema(schema)), schema)
-
+    return rows.select(*keys, "_i", *of).mapInArrow(_links_in_tiles(threshold, block_rows, keys, of, to_arrow_schema(schema)), schema)
 
-def _tile_pairs(threshold: float, block_rows: int, keys, of, schema: pa.Schema):
-    count = term_counts if of[1] == "_odd" else term_lists
 
+def _links_in_tiles(threshold: float, block_rows: int, keys, of, schema: pa.Schema):
     def starts(t: pa.Table) -> np.ndarray:
         """Where the rows of a next tile begin."""
         new = np.zeros(max(len(t) - 1, 0), bool)
@@ -121,29 +138,37 @@ def _tile_pairs(threshold: float, block_rows: int, keys, of, schema: pa.Schema):
             new |= pc.fill_null(pc.not_equal(v[1:], v[:-1]), True).to_numpy(zero_copy_only=False)
         return np.concatenate([[0], np.flatnonzero(new) + 1])
 
-    def pairs(t: pa.Table, begin: np.ndarray):
+    def counted(t: pa.Table, n: np.ndarray):
+        """(code, names, terms): what each sentence's terms stand under, and the texts of those codes where there are texts."""
+        first, second = (list_items(t[c].combine_chunks(), n) for c in of)
+        if of[1] != "_odd":
+            return np.arange(len(first)), None, term_lists(first, second)
+        coded = first.cast(pa.string()).dictionary_encode(null_encoding="encode")
+        code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        where = np.zeros(len(names), np.int64)
+        where[code] = np.arange(len(code))
+        return code, names, term_counts(names, second.take(pa.array(where)))
+
+    def links(t: pa.Table, begin: np.ndarray):
         places = t["_i"].combine_chunks()
         n = pc.list_value_length(places).to_numpy(zero_copy_only=False)
         ident = pc.list_flatten(places).to_numpy(zero_copy_only=False)
-        counted = count(*(pc.list_flatten(t[c].combine_chunks()) for c in of))
-        edge = np.concatenate([[0], np.cumsum(n)])
+        code, names, found = counted(t, n)
         lows, highs = (t[k].combine_chunks().to_numpy(zero_copy_only=False) for k in keys[1:])
         in_low = ident // block_rows == np.repeat(lows, n)
-        out, held = [], 0
-        for a, b in zip(begin, [*begin[1:], len(t)]):
-            p = tile_pairs(counted, edge[a], edge[b], ident, in_low, lows[a] == highs[a], threshold)
-            if len(p["i"]):
-                out.append((a, p))
-                held += len(p["i"])
-            if out and (held >= PAIRS_OUT or b == len(t)):
-                yield _batch(t, out)
-                out, held = [], 0
-
-    def _batch(t: pa.Table, out) -> pa.RecordBatch:
-        at = np.repeat([a for a, _ in out], [len(p["i"]) for _, p in out])
-        cols = {k: np.concatenate([p[k] for _, p in out]) for k in out[0][1]}
-        return pa.RecordBatch.from_arrays([t[keys[0]].combine_chunks().take(pa.array(at)).cast(schema.field(0).type),
-                                           *[pa.array(cols[f.name]).cast(f.type) for f in list(schema)[1:]]], schema=schema)
+        tile = np.repeat(np.repeat(np.arange(len(begin)), np.diff([*begin, len(t)])), n)
+        for p in tile_links(found, code, ident, tile, in_low, (lows == highs)[begin], threshold, "pairs" in schema.names):
+            yield _batch(t, begin, p, names)
+
+    def _batch(t: pa.Table, begin: np.ndarray, p: dict, names) -> pa.RecordBatch:
+        cols = {k: pa.array(v) for k, v in p.items() if k in schema.names and k != "pairs"}
+        cols[keys[0]] = t[keys[0]].combine_chunks().take(pa.array(begin[p["tile"]]))
+        if "pairs" in schema.names:
+            cols["pairs"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p["n"])]).astype(np.int32)), pa.array(p["pairs"]))
+        for c, k in (("sentence1", "a"), ("sentence2", "b")):
+            if c in schema.names:
+                cols[c] = names.take(pa.array(p[k]))
+        return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in schema], schema=schema)
 
     def run(batches):
         rest = None
@@ -164,7 +189,7 @@ def _tile_pairs(threshold: float, block_rows: int, keys, of, schema: pa.Schema):
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(begin)]])
         for a, b in zip(cuts[:-1], cuts[1:]):
             last = begin[b] if b < len(begin) else len(t)
-            yield from pairs(t.slice(begin[a], last - begin[a]), begin[a:b] - begin[a])
+            yield from links(t.slice(begin[a], last - begin[a]), begin[a:b] - begin[a])
 
     return run
 
