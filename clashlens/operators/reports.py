@@ -34,11 +34,12 @@ def consistency(k, checked):
     return rounded(F.lit(1.0) - k.cast("double") / F.greatest(checked, F.lit(1)).cast("double"), 4)
 
 
-def candidate_counts(scored: DataFrame, threshold: float = CONTRADICTION_THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(key, filtered_pairs, contradiction_count) from scored candidates, one aggregation."""
-    return scored.groupBy(key).agg(
-        F.count(F.lit(1)).alias("filtered_pairs"),
-        F.count_if(F.col("contradiction") >= F.lit(threshold)).alias("contradiction_count"))
+def candidate_counts(scored: DataFrame, threshold: float = CONTRADICTION_THRESHOLD, key: str = "doc_id", n: str | None = None) -> DataFrame:
+    """(key, filtered_pairs, contradiction_count) from scored candidates, or from links of ``n`` pairs each, one aggregation."""
+    each = F.lit(1).cast("long") if n is None else F.col(n)
+    hit = F.col("contradiction") >= F.lit(threshold)
+    return scored.groupBy(key).agg(F.sum(each).alias("filtered_pairs"),
+                                   F.sum(F.when(hit, each).otherwise(F.lit(0).cast("long"))).alias("contradiction_count"))
 
 
 def doc_stats(counts_of_sentences: DataFrame, counts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """D-7: the whole document check over a table of documents, as one lazy plan.
 
 split (narrow) -> tiles of sentences (one shuffle, on (doc_id, pair of blocks)) -> products of their term
-counts (narrow) -> scorer (narrow for the built-in one) -> per-document counts (shuffle on doc_id, partial) -> left join to every document.
+counts (narrow), a link for each two sentences of different text -> scorer (narrow for the built-in one, once a link)
+-> per-document counts (shuffle on doc_id, partial) -> left join to every document, or the links' pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from clashlens.operators import reports
 from clashlens.operators.hooks import encode_with
 from clashlens.operators.nli import lexical_scorer, model_scored
 from clashlens.operators.sentences import explode_sentences, sentence_arrays
-from clashlens.operators.similarity import aligned_features, dense_candidates, sentence_candidates
+from clashlens.operators.similarity import aligned_features, dense_candidates, pairs_of, sentence_links
 from clashlens.session import ensure_checkpoint_dir
 from clashlens.sources.documents import document_source, valid_only
 
@@ -29,6 +30,8 @@ class DocumentCheck:
     candidates: DataFrame   # doc_id, i, j, cos, ... (cos >= similarity threshold)
     scored: DataFrame       # candidates + entailment, neutral, contradiction
     settings: Settings
+    links: DataFrame | None = None      # built-in plan: the scored links without their pairs, n pairs each
+    threshold: float = DEFAULT.similarity_threshold
 
     def materialize(self) -> "DocumentCheck":
         """Write the sentence arrays and scored candidates once to the shared checkpoint folder.
@@ -43,11 +46,35 @@ class DocumentCheck:
         return DocumentCheck(arrays, arrays, explode_sentences(arrays), scored, scored, self.settings)
 
     def stats(self) -> DataFrame:
-        counts = reports.candidate_counts(self.scored, self.settings.contradiction_threshold)
+        counts = reports.candidate_counts(self.scored if self.links is None else self.links, self.settings.contradiction_threshold,
+                                          n=None if self.links is None else "n")
         return reports.doc_stats(self.arrays, counts)
 
     def contradictions(self) -> DataFrame:
-        return reports.contradictions(self.scored, self.docs, self.settings.contradiction_threshold)
+        if self.links is None:
+            return reports.contradictions(self.scored, self.docs, self.settings.contradiction_threshold)
+        hit = F.col("contradiction") >= F.lit(self.settings.contradiction_threshold)
+        return self._texted(lambda links: links.where(hit), F.col("contradiction").alias("confidence"),
+                            later=lambda c, docs: reports.contradictions(c.scored, docs, c.settings.contradiction_threshold))
+
+    def candidate_texts(self) -> DataFrame:
+        """(doc_id, i, j, sentence1, sentence2) of every candidate."""
+        later = lambda c, docs: reports.with_texts(c.candidates.select("doc_id", "i", "j"), docs)
+        return later(self, self.docs) if self.links is None else self._texted(lambda links: links, later=later)
+
+    def _texted(self, of, *cols, later) -> DataFrame:
+        """Pairs of the scored links ``of`` keeps with their sentences, which come along from the tiles. A doc_id that stands
+        more than once has each pair once a document, looked up in its text afterwards (``later``)."""
+        links = lambda docs: of(lexical_scorer(sentence_links(
+            sentence_arrays(docs), self.threshold, block_rows=self.settings.token_block_rows, with_texts=True), self.settings.scorer_weights))
+        pairs = lambda docs: pairs_of(links(docs)).select("doc_id", "i", "j", "sentence1", "sentence2", *cols)
+        again = self.docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+        if again.isEmpty():
+            return pairs(self.docs)
+        again = reports.broadcast_if_few(again)
+        twice = self.docs.join(again, "doc_id", "left_semi")
+        return pairs(self.docs.join(again, "doc_id", "left_anti")).unionByName(
+            later(check_documents(twice, self.settings, similarity_threshold=self.threshold), twice))
 
     def report(self, nested: bool = True) -> DataFrame:
         stats = self.stats()
@@ -85,13 +112,15 @@ def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
     docs = docs.select("doc_id", "text")
     arrays = sentence_arrays(docs)
     sents = explode_sentences(arrays)
+    built_in = encoder is None and scorer is None
     if encoder is None:
-        cand = sentence_candidates(arrays, t, block_rows=settings.token_block_rows)
+        found = lambda **kw: sentence_links(arrays, t, block_rows=settings.token_block_rows, **kw)
+        cand = pairs_of(found())
     else:
         vectors = encode_with(sents, encoder, batch_size=settings.batch_size)
         cand = dense_candidates(vectors, t, group="doc_id", ident="idx", vector="embedding", block_rows=settings.dense_block_rows)
-    if scorer is None and encoder is None:
-        scored = lexical_scorer(cand, settings.scorer_weights)
+    if built_in:
+        scored = pairs_of(lexical_scorer(found(), settings.scorer_weights))
     else:
         texts = reports.with_texts(cand, docs)
         if scorer is None:
@@ -99,4 +128,5 @@ def check_documents(docs: DataFrame, settings: Settings = DEFAULT, scorer=None,
         else:
             scored = model_scored(texts, scorer, settings)
         scored = scored.drop("sentence1", "sentence2")
-    return DocumentCheck(docs, arrays, sents, cand, scored, settings)
+    links = lexical_scorer(found(with_pairs=False), settings.scorer_weights) if built_in else None
+    return DocumentCheck(docs, arrays, sents, cand, scored, settings, links, t)
